@@ -168,7 +168,7 @@ def ingest_qa(df: DataFrame, order: str = "seq") -> DataFrame:
         F.count(F.lit(1)).alias("c"), F.sum((F.col("value") < 0).cast("long")).alias("neg"),
         F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     step = F.datediff("date", F.lag("date").over(by(k)))
-    span = F.floor((F.unix_micros(F.max("t1")) - F.unix_micros(F.min("t0"))) / 86_400_000_000) + 1
+    span = F.floor((F.unix_micros(F.max("t1").cast("timestamp")) - F.unix_micros(F.min("t0").cast("timestamp"))) / 86_400_000_000) + 1
     cover = (days.withColumn("step", step).groupBy(*k).agg(
         F.sum("c").alias("n_values"), F.min("date").alias("start"), F.max("date").alias("end"),
         F.count(F.lit(1)).alias("n_days"), span.cast("long").alias("n_days_span"), F.sum("neg").alias("n_negative"),

@@ -33,18 +33,23 @@ def severity(ratio: Column) -> Column:
     return F.when(ratio < 1.0, "info").when(ratio < 1.5, "warning").otherwise("critical")
 
 
-def alert_report(df: DataFrame, standards: list[str] | None = None, row_id: str = "seq") -> DataFrame:
+def alert_report(df: DataFrame, standards: list[str] | None = None) -> DataFrame:
     """Totals by severity and the number of samples with an alert.
 
-    A sample's breaches are found in the same task as the sample, so they are counted per row first
-    (``exists`` over the limits of its parameter) and no distinct count over rows is needed.
+    The limits of a parameter travel as one small array, so a sample is tested in place: the whole
+    report is one broadcast join and one global sum, without a shuffle of samples.
     """
-    hits = breaches(df, standards)
-    sev = hits.groupBy(row_id).agg(*[F.sum((F.col("severity") == s).cast("long")).alias(s)
-                                     for s in ("critical", "warning", "info")])
-    totals = sev.agg(F.count(F.lit(1)).alias("samples_with_alerts"),
-                     *[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in ("critical", "warning", "info")])
-    return totals.join(df.agg(F.count(F.lit(1)).alias("total_samples")), F.lit(True))
+    lim = dims.thresholds(df.sparkSession, standards).groupBy("parameter").agg(F.collect_list("limit_value").alias("limits"))
+    v, lower = F.col("value"), F.col("parameter").isin(*LOWER_BOUND)
+    inf = F.lit(float("inf"))
+    ratio = F.transform("limits", lambda x: F.when(lower & (v < x), F.when(v != 0, x / v).otherwise(inf))
+                        .when(~lower & (v > x), F.when(x != 0, v / x).otherwise(inf)))
+    rows = df.join(F.broadcast(lim), "parameter", "left").withColumn("_r", F.array_compact(ratio))
+    of = lambda s: F.sum(F.coalesce(F.size(F.filter("_r", lambda r: severity(r) == s)), F.lit(0)).cast("long"))
+    names = ("critical", "warning", "info")
+    return rows.withColumn("_r", F.coalesce("_r", F.array().cast("array<double>"))).agg(
+        *[F.coalesce(of(s), F.lit(0)).alias(s) for s in names],
+        F.sum((F.size("_r") > 0).cast("long")).alias("samples_with_alerts"), F.count(F.lit(1)).alias("total_samples"))
 
 
 def top_alerts(df: DataFrame, n: int = 20, tie: tuple[str, ...] = ("seq", "standard", "limit_value")) -> DataFrame:
@@ -128,7 +133,7 @@ def trophic_state(df: DataFrame) -> DataFrame:
     m = m.select("station_id", chl.alias("tsi_chl"), tp.alias("tsi_tp")).where("tsi_chl IS NOT NULL OR tsi_tp IS NOT NULL")
     tsi = F.when(F.col("tsi_chl").isNull(), F.col("tsi_tp")).when(F.col("tsi_tp").isNull(), F.col("tsi_chl")).otherwise(
         (F.col("tsi_chl") + F.col("tsi_tp")) / 2)
-    return m.withColumn("tsi", F.round(tsi, 2)).withColumn(
+    return m.withColumn("tsi", F.round(tsi, 3)).withColumn(
         "state", F.when(F.col("tsi") < 30, "Oligotrophic").when(F.col("tsi") < 50, "Mesotrophic")
         .when(F.col("tsi") < 70, "Eutrophic").otherwise("Hypereutrophic"))
 

@@ -13,7 +13,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def obs(spark, sf) -> DataFrame:
     return table(spark, sf, "events").select(
         F.lit("events").alias("source"), F.col("user_id").alias("station_id"),
-        F.col("event_type").alias("parameter"), "ts", "value", F.col("event_id").alias("seq"))
+        F.col("event_type").alias("parameter"), F.col("ts").cast("timestamp").alias("ts"), "value",
+        F.col("event_id").alias("seq"))
 
 
 OBS = "obs AS (SELECT 'events' AS source, user_id AS station_id, event_type AS parameter, ts, value, event_id AS seq FROM events)"
@@ -59,11 +60,11 @@ SFLOW = ("sflow AS (SELECT l_suppkey AS station_id, CAST(l_shipdate AS DATE) AS
 def precip(spark, sf) -> DataFrame:
     return table(spark, sf, "orders").groupBy(
         (F.col("o_custkey") % 10).alias("station_id"), F.to_date("o_orderdate").alias("date")).agg(
-        F.round(F.sum("o_totalprice") / 1e5, 6).alias("value"))
+        F.round(F.sum("o_totalprice") / 1e5, 7).alias("value"))
 
 
 PRECIP = ("precip AS (SELECT o_custkey % 10 AS station_id, CAST(o_orderdate AS DATE) AS date, "
-          "round(sum(o_totalprice) / 1e5, 6) AS value FROM orders GROUP BY 1, 2)")
+          "round(sum(o_totalprice) / 1e5, 7) AS value FROM orders GROUP BY 1, 2)")
 
 
 def paired(spark, sf) -> DataFrame:
@@ -149,7 +150,7 @@ CELL = ("cell AS (SELECT 'g' AS grid_id, p_partkey // 20 AS row, p_partkey % 20
 
 def gaugings(spark, sf) -> DataFrame:
     return table(spark, sf, "lineitem").select(
-        (F.col("l_suppkey") % 10).alias("station_id"), F.col("l_shipdate").alias("ts"),
+        (F.col("l_suppkey") % 10).alias("station_id"), F.col("l_shipdate").cast("timestamp").alias("ts"),
         F.col("l_quantity").alias("stage"), F.col("l_extendedprice").alias("discharge"))
 
 

@@ -24,3 +24,16 @@ def query(name: str, oracle: str | None = None):
 def R(expr: str, n: int = 4) -> str:
     """Rounded SQL value without negative zero."""
     return f"(round({expr}, {n}) + 0.0)"
+
+
+NUDGE = 3e-10  # moves exact half-way decimals off the rounding edge, the same way in both engines
+
+
+def N(expr: str, n: int = 6) -> str:
+    """Rounded SQL value that does not depend on how an engine rounds half-way decimals."""
+    return f"(round(({expr}) + {NUDGE!r}::DOUBLE, {n}) + 0.0)"
+
+
+def nudged(df, n, *cols):
+    from pyspark.sql import functions as F
+    return df.select(*[F.round(F.col(c) + NUDGE, n).alias(c) if c in cols else F.col(c) for c in df.columns])

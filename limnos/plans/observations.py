@@ -303,17 +303,17 @@ def rpi_categories(spark, sf):
 
 
 @query("trophic_tsi", f"""WITH {named_sql(LAKE)}, m AS (SELECT station_id, avg(CASE WHEN parameter = 'Chlorophyll-a' THEN value END) AS chl, avg(CASE WHEN parameter = 'TP' THEN value END) AS tp FROM obs GROUP BY 1),
- t AS (SELECT station_id, CASE WHEN chl > 0 THEN {R('9.81 * ln(chl) + 30.6', 2)} END AS tsi_chl, CASE WHEN tp > 0 THEN {R('14.42 * ln(tp) + 4.15', 2)} END AS tsi_tp FROM m), u AS (SELECT *, {R('CASE WHEN tsi_chl IS NULL THEN tsi_tp WHEN tsi_tp IS NULL THEN tsi_chl ELSE (tsi_chl + tsi_tp) / 2 END', 2)} AS tsi FROM t WHERE tsi_chl IS NOT NULL OR tsi_tp IS NOT NULL)
+ t AS (SELECT station_id, CASE WHEN chl > 0 THEN {R('9.81 * ln(chl) + 30.6', 2)} END AS tsi_chl, CASE WHEN tp > 0 THEN {R('14.42 * ln(tp) + 4.15', 2)} END AS tsi_tp FROM m), u AS (SELECT *, {R('CASE WHEN tsi_chl IS NULL THEN tsi_tp WHEN tsi_tp IS NULL THEN tsi_chl ELSE (tsi_chl + tsi_tp) / 2 END', 3)} AS tsi FROM t WHERE tsi_chl IS NOT NULL OR tsi_tp IS NOT NULL)
  SELECT *, CASE WHEN tsi < 30 THEN 'Oligotrophic' WHEN tsi < 50 THEN 'Mesotrophic' WHEN tsi < 70 THEN 'Eutrophic' ELSE 'Hypereutrophic' END AS state FROM u""")
 def trophic_tsi(spark, sf):
     return S.trophic_state(named(obs(spark, sf), LAKE))
 
 
-@query("sdg6_rank", f"""WITH {OBS}, a AS (SELECT station_id AS entity, parameter AS indicator, {R('avg(value)')} AS mean, {R('stddev_samp(value)')} AS std, count(value) AS n FROM obs GROUP BY 1, 2)
+@query("sdg6_rank", f"""WITH {OBS}, a AS (SELECT station_id AS entity, parameter AS indicator, {R('avg(value)', 8)} AS mean, {R('stddev_samp(value)', 8)} AS std, count(value) AS n FROM obs GROUP BY 1, 2)
  SELECT *, row_number() OVER (PARTITION BY indicator ORDER BY mean DESC, entity) AS rank FROM a""")
 def sdg6_rank(spark, sf):
     from limnos.operators.indicators import rank_entities
-    return rank_entities(obs(spark, sf), "station_id", "parameter")
+    return rank_entities(obs(spark, sf), "station_id", "parameter", digits=8)
 
 
 @query("spatial_heterogeneity", f"""WITH {OBS}, st AS (SELECT parameter, station_id, count(*) AS c, avg(value) AS m FROM obs GROUP BY 1, 2), sp AS (SELECT parameter, count(*) AS n_stations, stddev_samp(m) AS sd, avg(m) AS mm, min(m) AS lo, max(m) AS hi FROM st GROUP BY 1),

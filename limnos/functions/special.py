@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Coefficients of the Hart double-precision normal integral, highest power first.
 HART_NUM = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383,
@@ -187,32 +188,32 @@ def _vector(fn, *series: pd.Series) -> pd.Series:
     return pd.Series([fn(*row) for row in zip(*arrays)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gammainc(a: pd.Series, x: pd.Series) -> pd.Series:
     return _vector(_gammainc, a, x)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return _vector(lambda v, k: 1 - _gammainc(k / 2, v / 2), x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return _vector(_t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_ppf(p: pd.Series, df: pd.Series) -> pd.Series:
     return _vector(_t_ppf, p, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_sf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _vector(lambda v, a, b: _betainc(b / 2, a / 2, b / (b + a * v)) if v >= 0 else float("nan"), f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def pearson3_ppf(p: pd.Series, skew: pd.Series) -> pd.Series:
     return _vector(_pearson3_ppf, p, skew)
 

@@ -43,14 +43,14 @@ def bundle_info(daily: DataFrame) -> DataFrame:
                                                  F.min("a").alias("first"), F.max("b").alias("last"))
 
 
-def wkb_point(lon: Column, lat: Column) -> Column:
-    """Little-endian WKB point from exact binary fractions is not built in; the catalog keeps WKT beside lat/lon."""
+def wkt_point(lon: Column, lat: Column) -> Column:
+    """Text geometry of a station."""
     return F.format_string("POINT (%s %s)", lon, lat)
 
 
 def write_catalog(stations: DataFrame, path: str) -> None:
     """Station catalog sorted by (source, station_id) with a text geometry."""
-    (stations.withColumn("geometry", wkb_point(F.col("longitude"), F.col("latitude")))
+    (stations.withColumn("geometry", wkt_point(F.col("longitude"), F.col("latitude")))
      .repartitionByRange("source", "station_id").sortWithinPartitions("source", "station_id").write.parquet(path))
 
 

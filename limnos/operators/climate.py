@@ -144,12 +144,13 @@ def spi(monthly: DataFrame, scale: int = 3, min_per_group: int = 10, keys: Seque
     return d.withColumn("spi", norm_ppf("_p")).select(*keys, "date", "acc", "spi")
 
 
-def spi_status(monthly: DataFrame, scales: Sequence[int] = (1, 3, 6, 12), keys: Sequence[str] = KEYS) -> DataFrame:
+def spi_status(monthly: DataFrame, scales: Sequence[int] = (1, 3, 6, 12), min_per_group: int = 10,
+               keys: Sequence[str] = KEYS) -> DataFrame:
     """Latest index per scale with its class, and the overall verdict from the three-month scale."""
     k = list(keys)
     parts = None
     for s in scales:
-        one = spi(monthly, s, keys=k).where("spi IS NOT NULL").groupBy(*k).agg(F.max_by("spi", "date").alias(f"spi_{s}"))
+        one = spi(monthly, s, min_per_group, k).where("spi IS NOT NULL").groupBy(*k).agg(F.max_by("spi", "date").alias(f"spi_{s}"))
         parts = one if parts is None else parts.join(one, k, "full")
     x = F.col("spi_3")
     overall = (F.when(x <= -2.0, "EXTREME DROUGHT").when(x <= -1.5, "SEVERE DROUGHT").when(x <= -1.0, "MODERATE DROUGHT")

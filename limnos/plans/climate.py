@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from limnos.functions.special import norm_ppf_sql
 from limnos.operators import climate as C
 from limnos.operators import periods as P
-from limnos.operators.agri import reference_et
-from limnos.plans.adapters import FLOW, OBS, PAIRED, PRECIP, flow, obs, paired, precip, weather
+from limnos.plans.adapters import FLOW, OBS, PAIRED, PRECIP, flow, obs, paired, precip
 from limnos.plans.catalog import N, nudged, query
 from limnos.plans.trends import MONTHLY, monthly
 
@@ -121,12 +120,7 @@ def spi_accumulated(spark, sf):
 
 @query("spi_status")
 def spi_status(spark, sf):
-    from functools import partial
-    full, C.spi = C.spi, partial(C.spi, min_per_group=5)
-    try:
-        return C.spi_status(monthly_precip(spark, sf), (1, 3, 6))
-    finally:
-        C.spi = full
+    return C.spi_status(monthly_precip(spark, sf), (1, 3, 6), min_per_group=5)
 
 
 @query("pdsi_simplified")
@@ -274,8 +268,3 @@ def flood_risk_class(spark, sf):
 @query("double_mass", f"WITH {FLOW}, r AS (SELECT date, avg(value) AS m FROM flow GROUP BY 1) SELECT station_id, date, sum(value) OVER w AS cumulative, {N('sum(m) OVER w')} AS reference FROM flow JOIN r USING (date) WINDOW w AS (PARTITION BY station_id ORDER BY date)")
 def double_mass(spark, sf):
     return nudged(C.double_mass(flow(spark, sf)), 6, "reference")
-
-
-@query("eto_weather_rows")
-def eto_weather_rows(spark, sf):
-    return reference_et(weather(spark, sf))

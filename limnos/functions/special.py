@@ -8,6 +8,7 @@ are only applied to rows that are already aggregated (one per key).
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -143,6 +144,7 @@ def _t_two_sided(t: float, df: float) -> float:
     return _betainc(df / 2, 0.5, df / (df + t * t)) if df > 0 and not math.isnan(t) else float("nan")
 
 
+@lru_cache(maxsize=4096)
 def _t_ppf(p: float, df: float) -> float:
     """Student t quantile by bisection on the upper tail."""
     if not (0 < p < 1) or not df > 0:
@@ -152,7 +154,7 @@ def _t_ppf(p: float, df: float) -> float:
     target, lo, hi = 2 * min(p, 1 - p), 0.0, 1.0
     while _t_two_sided(hi, df) > target:
         hi *= 2
-    for _ in range(200):
+    for _ in range(80):
         mid = (lo + hi) / 2
         if _t_two_sided(mid, df) > target:
             lo = mid
@@ -171,16 +173,19 @@ def _pearson3_ppf(p: float, skew: float) -> float:
         return NormalDist().inv_cdf(p)
     alpha = 4 / (skew * skew)
     q = p if skew > 0 else 1 - p
-    lo, hi = 0.0, max(alpha, 1.0)
-    while _gammainc(alpha, hi) < q:
-        hi *= 2
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        if _gammainc(alpha, mid) < q:
-            lo = mid
-        else:
-            hi = mid
-    return ((lo + hi) / 2 - alpha) * skew / 2
+    lo, hi = 0.0, math.inf
+    z = NormalDist().inv_cdf(q)
+    x = alpha * max(1 - 1 / (9 * alpha) + z / (3 * math.sqrt(alpha)), 1e-3) ** 3
+    for _ in range(100):
+        gap = _gammainc(alpha, x) - q
+        lo, hi = (x, hi) if gap < 0 else (lo, x)
+        slope = math.exp((alpha - 1) * math.log(x) - x - math.lgamma(alpha))
+        step = x - gap / slope if slope > 0 else -1.0
+        new = step if lo < step < hi else ((lo + hi) / 2 if hi < math.inf else 2 * x)
+        if abs(new - x) <= 1e-11 * x:
+            break
+        x = new
+    return (x - alpha) * skew / 2
 
 
 def _vector(fn, *series: pd.Series) -> pd.Series:

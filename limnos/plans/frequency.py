@@ -125,11 +125,11 @@ for _name, _fn in (("grubbs_beck", X.grubbs_beck), ("ema_censored", X.ema_censor
     query(_name)(_run)
 
 
-@query("return_shift", f"WITH {AM}, ha AS (SELECT * FROM am WHERE year <= 1998), fa AS (SELECT * FROM am WHERE year > 1996), {lmom_sql('ha', name='hl')}, {lmom_sql('fa', name='fl')}, {gev_sql('hl', 'hg')}, {gev_sql('fl', 'fg')}, a AS (SELECT station_id, return_period, {LEV.format(p='1 - 1 / return_period')} AS h FROM hg, {RP} WHERE n >= 4), b AS (SELECT station_id, return_period, {LEV.format(p='1 - 1 / return_period')} AS f FROM fg, {RP} WHERE n >= 5) "
+@query("return_shift", f"WITH {AM}, ha AS (SELECT * FROM am WHERE year <= 1999), fa AS (SELECT * FROM am WHERE year > 1996), {lmom_sql('ha', name='hl')}, {lmom_sql('fa', name='fl')}, {gev_sql('hl', 'hg')}, {gev_sql('fl', 'fg')}, a AS (SELECT station_id, return_period, {LEV.format(p='1 - 1 / return_period')} AS h FROM hg, {RP} WHERE n >= 4), b AS (SELECT station_id, return_period, {LEV.format(p='1 - 1 / return_period')} AS f FROM fg, {RP} WHERE n >= 5) "
        f"SELECT station_id, return_period, {N('h', 4)} AS hist_level, {N('f', 4)} AS future_level, {N('f / h', 4)} AS shift FROM a JOIN b USING (station_id, return_period) WHERE return_period <= 100 AND station_id IN (SELECT station_id FROM hg WHERE n >= 5)")
 def return_shift(spark, sf):
     a = am(spark, sf)
-    return nudged(X.return_shift(a.where("year <= 1998"), a.where("year > 1996")), 4, "hist_level", "future_level", "shift")
+    return nudged(X.return_shift(a.where("year <= 1999"), a.where("year > 1996")), 4, "hist_level", "future_level", "shift")
 
 
 @query("empirical_return_period", f"WITH {AM} SELECT station_id, year, value, {N('(count(*) OVER (PARTITION BY station_id) + 1) / (count(*) OVER (PARTITION BY station_id) + 1 - row_number() OVER (PARTITION BY station_id ORDER BY value, year))::DOUBLE')} AS return_period FROM am")
@@ -193,11 +193,11 @@ def segments(spark, sf):
 PICK = "CASE WHEN stage * 1.3 < 20 THEN 1200 * (stage * 1.3) ** 1.1 WHEN stage * 1.3 < 40 THEN 900 * (stage * 1.3 - 1) ** 1.2 ELSE 700 * (stage * 1.3 - 2) ** 1.25 END"
 
 
-@query("rating_predict", f"WITH {GAUGING}, p AS (SELECT station_id, {PICK.replace('1.3', '1.3::DOUBLE')} AS q FROM gauging) SELECT station_id, count(*) AS n, {N('sum(round(q, 4))', 3)} AS total, {N('max(q)', 4)} AS max_q FROM p GROUP BY 1")
+@query("rating_predict", f"WITH {GAUGING}, p AS (SELECT station_id, {PICK.replace('1.3', '1.3::DOUBLE')} AS q FROM gauging) SELECT station_id, count(*) AS n, {N('avg(q)', 4)} AS mean_q, {N('max(q)', 4)} AS max_q FROM p GROUP BY 1")
 def rating_predict(spark, sf):
     g = gaugings(spark, sf).select(*K, (F.col("stage") * 1.3).alias("stage"))
-    d = R.predict(g, segments(spark, sf)).groupBy(*K).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round("discharge_pred", 4)).alias("total"), F.max("discharge_pred").alias("max_q"))
-    return nudged(nudged(d, 3, "total"), 4, "max_q")
+    d = R.predict(g, segments(spark, sf)).groupBy(*K).agg(F.count(F.lit(1)).alias("n"), F.avg("discharge_pred").alias("mean_q"), F.max("discharge_pred").alias("max_q"))
+    return nudged(d, 4, "mean_q", "max_q")
 
 
 @query("rating_invert", f"WITH {GAUGING}, s AS (SELECT *, 1200 * 20.0::DOUBLE ** 1.1 AS h1, 900 * 19.0::DOUBLE ** 1.2 AS l2, 900 * 39.0::DOUBLE ** 1.2 AS h2, 700 * 38.0::DOUBLE ** 1.25 AS l3, 700 * 58.0::DOUBLE ** 1.25 AS h3 FROM gauging), p AS (SELECT station_id, CASE WHEN discharge < 0 OR discharge BETWEEN 0 AND h1 THEN (discharge / 1200) ** (1 / 1.1::DOUBLE) WHEN discharge BETWEEN l2 AND h2 THEN (discharge / 900) ** (1 / 1.2::DOUBLE) + 1 "

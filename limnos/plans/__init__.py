@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("observations", "pairs", "hydrology", "trends", "relational", "climate", "land", "frequency", "spatial")
+FAMILIES = ("observations", "pairs", "hydrology", "trends", "relational", "climate", "land", "frequency", "spatial", "loading")
 
 for _family in FAMILIES:
     import_module(f"limnos.plans.{_family}")

@@ -231,8 +231,8 @@ def regionalize_knn(spark, sf):
     return nudged(nudged(knn(spark, sf), 6, "estimate", "donor_min", "donor_max"), 5, "low", "high")
 
 
-@query("loo_skill", f"WITH {KNN}, j AS (SELECT signature, value, est, CASE WHEN signature = 'flow_mm' THEN ln(greatest(value, 1e-3)) ELSE value END AS o, CASE WHEN signature = 'flow_mm' THEN ln(greatest(est, 1e-3)) ELSE est END AS s FROM ke JOIN lv ON lv.id = target AND lv.signature = ke.signature) "
-       f"SELECT signature, count(*) AS n, {N('1 - avg((s - o) ** 2) / var_pop(o)')} AS nse, {N('corr(o, s) ** 2')} AS r2, {N('quantile_cont(CASE WHEN abs(value) > 1e-9 THEN abs(est - value) / abs(value) END, 0.5)')} AS median_ape FROM j GROUP BY 1".replace("SELECT signature, value, est, CASE", "SELECT ke.signature AS signature, value, est, CASE").replace("CASE WHEN signature = 'flow_mm' THEN ln(greatest(value", "CASE WHEN ke.signature = 'flow_mm' THEN ln(greatest(value").replace("CASE WHEN signature = 'flow_mm' THEN ln(greatest(est", "CASE WHEN ke.signature = 'flow_mm' THEN ln(greatest(est"))
+@query("loo_skill", f"WITH {KNN}, jj AS (SELECT ke.signature AS signature, value, est FROM ke JOIN lv ON lv.id = ke.target AND lv.signature = ke.signature), j AS (SELECT *, {Y} AS o, {Y.replace('value', 'est')} AS s FROM jj) "
+       f"SELECT signature, count(*) AS n, {N('1 - avg((s - o) ** 2) / var_pop(o)')} AS nse, {N('corr(o, s) ** 2')} AS r2, {N('quantile_cont(CASE WHEN abs(value) > 1e-9 THEN abs(est - value) / abs(value) END, 0.5)')} AS median_ape FROM j GROUP BY 1")
 def loo_skill(spark, sf):
     return nudged(S.loo_skill(knn(spark, sf), signature_values(spark, sf), ["flow_mm"]), 6, "nse", "r2", "median_ape")
 

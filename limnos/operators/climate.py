@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from limnos.functions.arith import ratio
 from limnos.functions.special import gammainc, norm_ppf
 from limnos.operators.changepoint import avg_ranks
 from limnos.operators.periods import annual_cycle, resample
@@ -218,9 +219,9 @@ def export_indices(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     moist = F.when(F.col("p") > F.col("e"), 1 - F.col("e") / F.col("p")).when(F.col("p") < F.col("e"), F.col("p") / F.col("e") - 1).otherwise(0.0)
     mon = m.withColumn("x", moist).groupBy(*k).agg(
         F.avg("x").alias("moisture_index"), (F.max("x") - F.min("x")).alias("seasonality"),
-        (F.sum(F.when(F.col("t") < 0, F.col("p")).otherwise(0.0)) / F.sum("p")).alias("frac_snow"))
+        ratio(F.sum(F.when(F.col("t") < 0, F.col("p")).otherwise(0.0)), F.sum("p")).alias("frac_snow"))
     out = base.join(freq, k).join(dur(hi, "high_prec_dur"), k, "left").join(dur(lo, "low_prec_dur"), k, "left").join(mon, k)
-    return out.select(*k, "p_mean", "pet_mean", (F.col("pet_mean") / F.col("p_mean")).alias("aridity"), "frac_snow", "moisture_index",
+    return out.select(*k, "p_mean", "pet_mean", ratio("pet_mean", "p_mean").alias("aridity"), "frac_snow", "moisture_index",
                       "seasonality", "high_prec_freq", F.coalesce("high_prec_dur", F.lit(0.0)).alias("high_prec_dur"),
                       "low_prec_freq", F.coalesce("low_prec_dur", F.lit(0.0)).alias("low_prec_dur"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from limnos.functions.arith import correlation, ratio
 from limnos.functions.special import norm_ppf, t_two_sided
 from limnos.operators.changepoint import avg_ranks
 from limnos.operators.series import whole
@@ -32,10 +33,10 @@ def column_pairs(wide: DataFrame, names: Sequence[str], keep: Sequence[str] = ()
 
 def correlation_pairs(wide: DataFrame, names: Sequence[str], min_r: float = 0.3, alpha: float = 0.05, only_significant: bool = True) -> DataFrame:
     """Pearson r and p of every parameter pair in one aggregate, strongest first."""
-    cells = [F.struct(F.lit(a).alias("param1"), F.lit(b).alias("param2"), F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias("r"), F.count(F.lit(1)).alias("n"))
+    cells = [F.struct(F.lit(a).alias("param1"), F.lit(b).alias("param2"), correlation(F.col(f"`{a}`"), F.col(f"`{b}`")).alias("r"), F.count(F.lit(1)).alias("n"))
              for i, a in enumerate(names) for b in names[i + 1:]]
     d = wide.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
-    d = d.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
+    d = d.withColumn("t", F.col("r") * F.sqrt(ratio(F.col("n") - 2, 1 - F.col("r") * F.col("r"))))
     d = d.withColumn("p_value", t_two_sided("t", (F.col("n") - 2).cast("double"))).drop("t")
     return d.where((F.col("p_value") < alpha) & (F.abs("r") > min_r)).orderBy(F.desc(F.abs("r"))) if only_significant else d
 
@@ -47,7 +48,7 @@ def partial_correlations(wide: DataFrame, names: Sequence[str], alpha: float | N
     (p is the number of parameters) is inverted.
     """
     names = list(names)
-    cells = [F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"c{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+    cells = [correlation(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"c{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
     row = wide.agg(F.count(F.lit(1)).cast("double").alias("n"), *cells)
 
     def invert(frames):
@@ -63,7 +64,7 @@ def partial_correlations(wide: DataFrame, names: Sequence[str], alpha: float | N
 
     d = row.mapInPandas(invert, "param1 string, param2 string, partial_corr double, n double")
     dof = F.col("n") - 2
-    d = d.withColumn("t", F.col("partial_corr") * F.sqrt(dof / (1 - F.col("partial_corr") * F.col("partial_corr")))).withColumn("p_value", t_two_sided("t", dof)).drop("t", "n")
+    d = d.withColumn("t", F.col("partial_corr") * F.sqrt(ratio(dof, 1 - F.col("partial_corr") * F.col("partial_corr")))).withColumn("p_value", t_two_sided("t", dof)).drop("t", "n")
     return d if alpha is None else d.where(F.col("p_value") < alpha)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limnos.functions.arith import correlation, ratio
 from limnos.operators.series import quantile_aggs, value_ranks
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
@@ -29,7 +30,7 @@ def describe(df: DataFrame, keys: Sequence[str] = ("parameter",), digits: int =
     out = (F.col("value") < F.col("q25") - 1.5 * iqr) | (F.col("value") > F.col("q75") + 1.5 * iqr)
     spread = ranked.join(stats.select(*keys, "mean", "q25", "q75"), keys).groupBy(*keys).agg(
         F.sum(F.when(out, F.col("cnt")).otherwise(0)).alias("n_outliers"),
-        F.sqrt(F.sum(F.pow(F.col("value") - F.col("mean"), 2) * F.col("cnt")) / (F.max("n") - 1)).alias("std"))
+        F.sqrt(ratio(F.sum(F.pow(F.col("value") - F.col("mean"), 2) * F.col("cnt")), F.max("n") - 1)).alias("std"))
     rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     return stats.join(spread, keys).join(rows, keys).select(
         *keys, "n_values", (F.col("_rows") - F.col("n_values")).alias("n_missing"),
@@ -88,7 +89,7 @@ def parameter_correlation(df: DataFrame, index: Sequence[str] = ("ts", "station_
     names = [r[0] for r in df.select("parameter").distinct().orderBy("parameter").collect()]
     wide = means.groupBy(*index).pivot("parameter", names).agg(F.first("value"))
     cells = [F.struct(F.lit(a).alias("param1"), F.lit(b).alias("param2"),
-                      F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias("r"),
+                      correlation(F.col(f"`{a}`"), F.col(f"`{b}`")).alias("r"),
                       F.count(F.col(f"`{a}`") + F.col(f"`{b}`")).alias("n"))
              for i, a in enumerate(names) for b in names[i + 1:]]
     return (wide.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("c")).select("c.*")

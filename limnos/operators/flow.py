@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from limnos.functions.arith import ratio
 from limnos.operators.series import KEYS, by, islands, numbered, whole
 
 FDC_PERCENTILES = (5, 10, 25, 50, 75, 90, 95, 99)
@@ -74,8 +75,8 @@ def seasonality(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     m = df.groupBy(*k, F.month("date").alias("m")).agg(F.avg("value").alias("w"))
     ang = 2 * math.pi * (F.col("m") - 1) / 12
     tot = F.sum("w")
-    v = m.groupBy(*k).agg(tot.alias("tot"), (F.sum(F.col("w") * F.cos(ang)) / tot).alias("x"),
-                          (F.sum(F.col("w") * F.sin(ang)) / tot).alias("y"))
+    v = m.groupBy(*k).agg(tot.alias("tot"), ratio(F.sum(F.col("w") * F.cos(ang)), tot).alias("x"),
+                          ratio(F.sum(F.col("w") * F.sin(ang)), tot).alias("y"))
     at = F.atan2("y", "x")
     at = F.when(at < 0, at + 2 * math.pi).otherwise(at)
     mon = F.bround(at * 12 / (2 * math.pi), 0).cast("long") + 1

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from limnos.functions.arith import ratio
 from limnos.functions.special import expint1
 from limnos.operators.baseflow import lyne_hollick
 from limnos.operators.series import KEYS, by, numbered, whole
@@ -37,8 +38,8 @@ def transmissivity(tests: DataFrame, q: Column, r: Column, keys: Sequence[str] =
 
 
 def safe_yield(extraction: Column, recharge: Column) -> Column:
-    ratio = extraction / recharge
-    return F.when(ratio <= 0.7, "sustainable").when(ratio <= 1.0, "at risk").otherwise("unsustainable")
+    share = ratio(extraction, recharge)
+    return F.when(share <= 0.7, "sustainable").when(share <= 1.0, "at risk").when(share.isNotNull(), "unsustainable")
 
 
 def chloride_recharge(precip: Column, cl_precip: Column, cl_well: Column) -> Column:
@@ -101,7 +102,7 @@ def storage_anomaly(tws: DataFrame, soil: DataFrame, surface: DataFrame, keys: S
 
 def sigma_anomalies(df: DataFrame, sigma: float = 2.0, keys: Sequence[str] = KEYS) -> DataFrame:
     w = whole(keys)
-    z = (F.col("value") - F.avg("value").over(w)) / F.stddev_samp("value").over(w)
+    z = ratio(F.col("value") - F.avg("value").over(w), F.stddev_samp("value").over(w))
     return df.withColumn("z_score", z).where(F.abs("z_score") >= sigma).withColumn(
         "anomaly", F.when(F.col("z_score") < 0, "depletion").otherwise("surplus"))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from limnos.functions.arith import correlation, ratio
 from limnos.operators.series import avg_rank_expr, exact_quantiles, value_ranks
 
 
@@ -29,7 +30,7 @@ def fit_metrics(df: DataFrame, keys: Sequence[str] = ("station_id",), obs: str =
     """NSE, log-NSE, KGE, percent bias, RMSE, MAE and R2 in one map-side combined aggregate."""
     o, s = F.col(obs), F.col(sim)
     so, mo = F.stddev_pop(o), F.avg(o)
-    kge = 1 - F.sqrt(F.pow(F.corr(o, s) - 1, 2) + F.pow(F.stddev_pop(s) / so - 1, 2) + F.pow(F.avg(s) / mo - 1, 2))
+    kge = 1 - F.sqrt(F.pow(correlation(o, s) - 1, 2) + F.pow(F.stddev_pop(s) / so - 1, 2) + F.pow(F.avg(s) / mo - 1, 2))
     return df.where(finite(obs, sim)).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), _nse(o, s).alias("nse"),
         _nse(F.log(o + epsilon), F.log(s + epsilon)).alias("log_nse"),
@@ -97,8 +98,8 @@ def two_sample_ks(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFra
     joined = ranks.join(first.drop("a_less", "na"), [*keys, "value"], "left").join(
         first.groupBy(*keys).agg(F.max("na").alias("na")), keys).withColumn("a_cnt", F.coalesce("a_cnt", F.lit(0)))
     cum = running_total(joined, keys, "a_cnt")
-    fa = F.col("below") / F.col("na")
-    fb = (F.col("n_less") + F.col("cnt") - F.col("below")) / (F.col("n") - F.col("na"))
+    fa = ratio("below", "na")
+    fb = ratio(F.col("n_less") + F.col("cnt") - F.col("below"), F.col("n") - F.col("na"))
     return cum.groupBy(*keys).agg(F.max(F.abs(fa - fb)).alias("ks"), F.max("na").alias("n_a"),
                                   F.max(F.col("n") - F.col("na")).alias("n_b"))
 
@@ -122,7 +123,7 @@ def downscaling_skill(df: DataFrame, keys: Sequence[str] = ("station_id",), obs=
     keys = list(keys)
     o, s = F.col(obs), F.col(sim)
     base = df.groupBy(*keys).agg(F.sqrt(F.avg(F.pow(s - o, 2))).alias("rmse"), F.avg(F.abs(s - o)).alias("mae"),
-                                 F.avg(s - o).alias("bias"), F.corr(o, s).alias("correlation"))
+                                 F.avg(s - o).alias("bias"), correlation(o, s).alias("correlation"))
     probs = {f"p{p}": p / 100 for p in (5, 25, 50, 75, 95)}
     qo, qs = (exact_quantiles(df.select(*keys, F.col(c).alias("value")), keys, probs) for c in (obs, sim))
     errs = qo.alias("a").join(qs.alias("b"), keys).select(
@@ -137,16 +138,16 @@ def rank_test(df: DataFrame, keys: Sequence[str], first: Column) -> DataFrame:
     keys = list(keys)
     rows = df.withColumn("_f", first)
     ranks = value_ranks(rows, keys).withColumn("r", avg_rank_expr())
-    part = rows.where("_f AND value IS NOT NULL").groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("k"))
+    part = rows.where("_f AND value IS NOT NULL").groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_k"))
     r1 = part.join(ranks.select(*keys, "value", "r"), [*keys, "value"]).groupBy(*keys).agg(
-        F.sum(F.col("r") * F.col("k")).alias("r1"), F.sum("k").alias("n1"))
+        F.sum(F.col("r") * F.col("_k")).alias("r1"), F.sum("_k").alias("n1"))
     ties = ranks.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(F.pow("cnt", 3) - F.col("cnt")).alias("ties"))
     d = r1.join(ties, keys)
     n, n1 = F.col("n"), F.col("n1")
     d = d.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
     n2 = n - n1
-    sd = F.sqrt(n1 * n2 / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    z = (F.greatest(F.col("u"), n1 * n2 - F.col("u")) - n1 * n2 / 2.0 - 0.5) / sd
+    sd = F.sqrt(n1 * n2 / 12.0 * (n + 1 - ratio(F.col("ties"), n * (n - 1))))
+    z = ratio(F.greatest(F.col("u"), n1 * n2 - F.col("u")) - n1 * n2 / 2.0 - 0.5, sd)
     d = d.withColumn("z", F.when(sd > 0, z)).withColumn("_mz", -F.col("z"))
     return d.withColumn("p_value", F.least(F.lit(1.0), 2 * norm_cdf("_mz"))).select(
         *keys, "n1", n2.alias("n2"), "u", "z", "p_value")

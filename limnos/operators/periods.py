@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from limnos.functions.arith import ratio
 from limnos.operators.series import KEYS, whole
 
 HOW = {"avg": F.avg, "sum": F.sum, "max": F.max, "min": F.min}
@@ -65,7 +66,7 @@ def linear_trend(df: DataFrame, x: Column, keys: Sequence[str] = KEYS) -> DataFr
         F.count(F.lit(1)).alias("n"), F.regr_slope("value", "_x").alias("slope"),
         F.regr_intercept("value", "_x").alias("intercept"), F.regr_r2("value", "_x").alias("r2"),
         F.regr_sxx("value", "_x").alias("sxx"), F.regr_syy("value", "_x").alias("syy"))
-    se = F.sqrt(F.greatest(F.lit(0.0), (1 - F.col("r2")) * F.col("syy")) / (F.col("n") - 2) / F.col("sxx"))
+    se = F.sqrt(ratio(F.greatest(F.lit(0.0), (1 - F.col("r2")) * F.col("syy")) / (F.col("n") - 2), F.col("sxx")))
     return fit.where("n >= 3").withColumn("slope_se", se).withColumn(
         "t_stat", F.when(F.col("slope_se") > 0, F.col("slope") / F.col("slope_se"))).drop("sxx", "syy")
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from limnos.functions.arith import ratio
 from limnos.functions.special import f_sf, t_ppf
 from limnos.operators.series import KEYS, by, whole
 
@@ -31,7 +32,7 @@ def _log_fit(h0: Column, n: str = "n", l: str = "l") -> tuple[Column, Column]:
     w = F.when(x.isNotNull(), F.col(n))
     sw, sx, sxx = F.sum(w), F.sum(w * x), F.sum(w * x * x)
     sy, sxy = F.sum(F.when(x.isNotNull(), F.col(l))), F.sum(x * F.col(l))
-    b = (sw * sxy - sx * sy) / (sw * sxx - sx * sx)
+    b = ratio(sw * sxy - sx * sy, sw * sxx - sx * sx)
     return b, (sy - b * sx) / sw
 
 
@@ -62,7 +63,7 @@ def fit(df: DataFrame, h0: float | None = None, candidates: int = 40, keys: Sequ
         F.sum(F.col("q") - power(F.col("stage"), F.col("a"), F.col("b"), F.col("h0")) * F.col("n")).alias("sr"),
         F.min("stage").alias("stage_min"), F.max("stage").alias("stage_max"))
     best = err.groupBy(*k).agg(F.min_by(F.struct(*[c for c in err.columns if c not in k]), F.struct("sse", "h0")).alias("r")).select(*k, "r.*")
-    var2 = (F.col("sse") - F.col("sr") * F.col("sr") / F.col("n")) / (F.col("n") - 2)
+    var2 = (F.col("sse") - F.col("sr") * F.col("sr") / F.col("n")) / F.greatest(F.col("n") - 2, F.lit(1))
     return best.select(*k, "a", "b", "h0", F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst")).alias("r_squared"),
                        F.sqrt(F.greatest(F.col("sse"), F.lit(0.0)) / F.col("n")).alias("rmse"), F.sqrt(var2).alias("resid_sd"), "n", "stage_min", "stage_max")
 
@@ -130,7 +131,7 @@ def cross_validate(df: DataFrame, folds: int = 5, h0: float = 0.0, keys: Sequenc
     par = grid.groupBy(*k, "fold").agg(b.alias("b"), ln_a.alias("la"), F.sum("r_n").alias("m")).where("m >= 5").withColumn("a", F.exp("la"))
     per = grid.join(par.select(*k, "fold", "a", "b"), [*k, "fold"]).groupBy(*k, "fold").agg(
         _sse().alias("sse"), F.sum("n").alias("n"), (F.sum("qq") - F.sum("q") * F.sum("q") / F.sum("n")).alias("sst"))
-    per = per.where("n > 0").withColumn("rmse", F.sqrt(F.col("sse") / F.col("n"))).withColumn("r2", 1 - F.col("sse") / F.col("sst"))
+    per = per.where("n > 0").withColumn("rmse", F.sqrt(F.col("sse") / F.col("n"))).withColumn("r2", 1 - ratio("sse", "sst"))
     return per.groupBy(*k).agg(F.avg("rmse").alias("mean_rmse"), F.stddev_pop("rmse").alias("std_rmse"), F.avg("r2").alias("mean_r2"), F.count(F.lit(1)).alias("folds"))
 
 

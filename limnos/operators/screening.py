@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from limnos.functions.arith import ratio
 from limnos.functions import dims
 from limnos.operators.series import avg_rank_expr, quantile_aggs, value_ranks
 
@@ -157,7 +158,7 @@ def spatial_heterogeneity(df: DataFrame) -> DataFrame:
             .groupBy("parameter", "station_id").agg(F.sum(F.col("r") * F.col("k")).alias("rs"), F.max("c").alias("c"))
             .groupBy("parameter").agg(F.sum(F.col("rs") * F.col("rs") / F.col("c")).alias("ss"), F.count(F.lit(1)).alias("g")))
     n = F.col("n")
-    h = (12 / (n * (n + 1)) * F.col("ss") - 3 * (n + 1)) / (1 - F.col("ties") / (F.pow(n, 3) - n))
+    h = ratio(12 / (n * (n + 1)) * F.col("ss") - 3 * (n + 1), 1 - F.col("ties") / (F.pow(n, 3) - n))
     return spread.join(sums, "parameter").join(ties, "parameter").where("g >= 2").select(
         "parameter", "n_stations", F.round(F.when(F.col("mm") != 0, F.col("sd") / F.col("mm") * 100).otherwise(0.0), 2)
         .alias("spatial_cv_pct"), F.round(h, 4).alias("kruskal_h"), (F.col("g") - 1).alias("dof"),

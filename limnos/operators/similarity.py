@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from limnos.functions.arith import correlation, ratio
 from limnos.operators.ensemble import cross_products, solve_rows
 from limnos.operators.series import block_pairs, blocks_for
 
@@ -92,8 +93,8 @@ def _leave_one_out_spread(donors: DataFrame, n: int, targets: DataFrame) -> Data
     for c in f:
         x = F.when(F.col(c).isNotNull(), own * F.col(c)).otherwise(0.0)
         m = F.col(f"n_{c}") - F.when(F.col(c).isNotNull(), own).otherwise(0.0)
-        mu = (F.col(f"s_{c}") - x) / m
-        var = F.greatest((F.col(f"q_{c}") - x * x) / m - mu * mu, F.lit(0.0))
+        mu = ratio(F.col(f"s_{c}") - x, m)
+        var = F.greatest(ratio(F.col(f"q_{c}") - x * x, m) - mu * mu, F.lit(0.0))
         out.append(F.when(var > 0, F.sqrt(var)).otherwise(1.0).alias(f"sd_{c}"))
     return inside.select(*out)
 
@@ -223,7 +224,7 @@ def loo_skill(estimates: DataFrame, values: DataFrame, log_names: Sequence[str]
     v = F.var_pop("o")
     return j.withColumn("ape", ape).groupBy("signature").agg(
         F.count(F.lit(1)).alias("n"), F.when(v > 0, 1 - F.avg(F.pow(F.col("s") - F.col("o"), 2)) / v).alias("nse"),
-        F.pow(F.corr("o", "s"), 2).alias("r2"), F.percentile("ape", F.lit(0.5)).alias("median_ape")).where("n >= 10")
+        F.pow(correlation("o", "s"), 2).alias("r2"), F.percentile("ape", F.lit(0.5)).alias("median_ape")).where("n >= 10")
 
 
 def proximity_weights(donors: DataFrame, lat: float, lon: float) -> DataFrame:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from limnos.functions.arith import ratio
 from limnos.functions.special import norm_cdf
 from limnos.operators.series import KEYS, by, numbered, per_series, whole
 
@@ -129,7 +130,7 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFra
          .join(half(y).select(*k, F.col("tie").alias("ty")), k).join(half(x, y).select(*k, F.col("tie").alias("txy")), k))
     n0 = F.col("n") * (F.col("n") - 1) / 2.0
     s = F.col("s") - (F.col("tx") - F.col("txy"))
-    return j.select(*k, "n", s.alias("s"), (s / F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))).alias("tau"))
+    return j.select(*k, "n", s.alias("s"), ratio(s, F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))).alias("tau"))
 
 
 def annual_trend(df: DataFrame, keys: Sequence[str] = KEYS, share: float = 0.8, min_years: int = 8) -> DataFrame:
@@ -149,7 +150,7 @@ def lag1(df: DataFrame, keys: Sequence[str] = KEYS, col: str = "value") -> DataF
     m = F.avg(col).over(whole(k))
     d = df.withColumn("_c", F.col(col) - m)
     d = d.withColumn("_p", F.lag("_c").over(by(k)))
-    return d.groupBy(*k).agg((F.sum(F.col("_c") * F.col("_p")) / F.sum(F.col("_c") * F.col("_c"))).alias("r1"))
+    return d.groupBy(*k).agg(ratio(F.sum(F.col("_c") * F.col("_p")), F.sum(F.col("_c") * F.col("_c"))).alias("r1"))
 
 
 def _acf(x: np.ndarray) -> np.ndarray:

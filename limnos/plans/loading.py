@@ -199,7 +199,7 @@ def sink_hec(spark, sf):
     return rec.join(n, "pathname").drop("pathname")
 
 
-@query("sink_swmm", f"WITH {FLOW} SELECT printf('%-16s ', station_id) || strftime(date, '%m/%d/%Y 00:00') || printf(' %12.4f', value) AS line FROM flow")
+@query("sink_swmm", f"WITH {FLOW} SELECT printf('%-16s ', CAST(station_id AS VARCHAR)) || strftime(date, '%m/%d/%Y 00:00') || printf(' %12.4f', value) AS line FROM flow")
 def sink_swmm(spark, sf):
     path = scratch_path(spark, "swmm")
     K.write_swmm(flow(spark, sf).select(*ID, F.col("date").cast("timestamp").alias("ts"), "value"), path)

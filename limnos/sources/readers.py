@@ -65,7 +65,7 @@ def header_text(spark: SparkSession, path: str, floor: float = -900.0) -> DataFr
 
     A header belongs to one file, so each (small, one-station) file is one record; its rows explode out.
     """
-    t = spark.read.option("wholetext", True).text(path)
+    t = spark.read.text(path, wholetext=True)
     key = lambda k: F.nullif(F.trim(F.regexp_extract("value", rf"(?im)^#+\s*{k}\.?\s*:[ \t]*(.*)$", 1)), F.lit(""))
     meta = t.select(key("GRDC-No").alias("station_id"), key("Station").alias("name"), key("Latitude").alias("lat"), key("Longitude").alias("lon"),
                     F.explode(F.split("value", r"\r?\n")).alias("line"))
@@ -124,7 +124,7 @@ def indicator_rows(df: DataFrame) -> DataFrame:
 
 def cube_rows(df: DataFrame) -> DataFrame:
     """Gridded productivity rows: dates parsed, bounding box text normalised to four rounded numbers."""
-    box = F.transform(F.split(F.regexp_replace("bbox", r"[\[\]\s]", ""), ","), lambda x: F.format_number(x.cast("double"), "0.000000"))
+    box = F.transform(F.split(F.regexp_replace("bbox", r"[\[\]\s]", ""), ","), lambda x: F.format_string("%.6f", x.cast("double")))
     return df.select("cube_code", *[F.expr(f"try_cast({c} AS DATE)").alias(c) for c in ("date", "start_date", "end_date") if c in df.columns],
                      F.array_join(box, ",").alias("bbox"), F.expr("try_cast(value AS DOUBLE)").alias("value"), "unit").where("value IS NOT NULL")
 

@@ -45,6 +45,11 @@ def seasonal_features(df: DataFrame, lags: Sequence[int] = (1, 2, 3, 7, 14, 30),
     return d.dropna()
 
 
+def enough(df: DataFrame, rows: int) -> bool:
+    """Whether a training table has at least ``rows`` rows (reads no more than that)."""
+    return df.limit(rows).count() >= rows
+
+
 def holdout(df: DataFrame, share: float = 0.3) -> tuple[DataFrame, DataFrame]:
     """Repeatable split by row hash (a rerun task draws the same rows)."""
     h = F.pmod(F.xxhash64(*df.columns), F.lit(1000)) < int(share * 1000)
@@ -53,6 +58,8 @@ def holdout(df: DataFrame, share: float = 0.3) -> tuple[DataFrame, DataFrame]:
 
 def pca_clusters(wide: DataFrame, names: Sequence[str], k: int = 3, components: int = 2, seed: int = 42) -> DataFrame:
     """Standardised principal components clustered by k-means."""
+    if not enough(wide, 10):
+        return wide.limit(0).select("*", *[F.lit(0.0).alias(f"pc{i + 1}") for i in range(min(components, len(names)))], F.lit(0).alias("cluster"))
     stages = [VectorAssembler(inputCols=list(names), outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True),
               PCA(k=min(components, len(names)), inputCol="_z", outputCol="_p"), KMeans(k=k, seed=seed, featuresCol="_p", predictionCol="cluster")]
     d = Pipeline(stages=stages).fit(wide).transform(wide)
@@ -63,17 +70,21 @@ def pca_clusters(wide: DataFrame, names: Sequence[str], k: int = 3, components:
 def forest_classify(wide: DataFrame, names: Sequence[str], trees: int = 50, seed: int = 42) -> DataFrame:
     """Terciles of the first parameter from the others: accuracy and importances."""
     target, xs = names[0], list(names[1:])
+    spark = wide.sparkSession
+    if not enough(wide, 20):
+        return spark.createDataFrame([], "feature string, importance double, accuracy double")
     d = QuantileDiscretizer(numBuckets=3, inputCol=target, outputCol="label", relativeError=0.001).fit(wide).transform(wide)
     train, test = holdout(d.select(*names, "label"), 0.3)
     va = VectorAssembler(inputCols=xs, outputCol="features")
     model = RandomForestClassifier(numTrees=trees, seed=seed).fit(va.transform(train))
     acc = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(model.transform(va.transform(test)))
-    spark = wide.sparkSession
     return spark.createDataFrame([(c, float(i), float(acc)) for c, i in zip(xs, model.featureImportances.toArray())], "feature string, importance double, accuracy double")
 
 
 def regress(train: DataFrame, test: DataFrame, xs: Sequence[str], y: str, kind: str = "gbt", weight: str | None = None, seed: int = 42) -> DataFrame:
     """Predictions of the test rows by boosted trees, a forest or a ridge line."""
+    if not enough(train, 10):
+        return test.limit(0).withColumn("prediction", F.lit(0.0))
     models = {"gbt": lambda: GBTRegressor(labelCol=y, maxIter=20, maxDepth=4, seed=seed), "forest": lambda: RandomForestRegressor(labelCol=y, numTrees=30, seed=seed),
               "linear": lambda: LinearRegression(labelCol=y, regParam=1e-6), "ridge": lambda: LinearRegression(labelCol=y, regParam=1.0, elasticNetParam=0.0)}
     m = models[kind]()

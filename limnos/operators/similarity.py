@@ -267,10 +267,10 @@ def variogram(stations: DataFrame, bins: int = 15, rows_per_block: int = 4000) -
     return g.select("bin", ((F.col("bin") + 0.5) * F.col("half") / bins).alias("bin_center"), "pairs", (F.col("sq") / F.col("pairs") / 2).alias("gamma"))
 
 
-def variogram_model(stations: DataFrame, gamma: DataFrame) -> DataFrame:
+def variogram_model(stations: DataFrame, gamma: DataFrame, bins: int = 15) -> DataFrame:
     """Sill, nugget and range read off the stations and the empirical variogram."""
     s = stations.agg(F.var_pop("value").alias("sill"), F.count(F.lit(1)).alias("n_stations"))
     g = gamma.agg(F.min_by("gamma", "bin").alias("nugget"), F.max(F.col("bin_center") / (F.col("bin") + 0.5)).alias("width"))
-    return s.join(g, F.lit(True)).select("n_stations", "sill", "nugget", (F.col("width") * 15 * 0.6).alias("range"))
+    return s.join(g, F.lit(True)).select("n_stations", "sill", "nugget", (F.col("width") * F.least(F.lit(bins), F.col("n_stations")) * 0.6).alias("range"))
 
 

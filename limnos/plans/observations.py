@@ -174,17 +174,17 @@ def resample_daily_gaps(spark, sf):
     return fill_calendar(d, ["station_id", "parameter"])
 
 
-@query("eda_stats", f"""WITH {DEFECTS}, {FENCE.format(src='defects')} SELECT parameter, count(value) AS n_values, count(*) - count(value) AS n_missing, {R('avg(value)')} AS mean, {R('stddev_samp(value)')} AS std,
- {R('min(value)')} AS min, {R('quantile_cont(value, 0.25)')} AS q25, {R('quantile_cont(value, 0.5)')} AS median, {R('quantile_cont(value, 0.75)')} AS q75, {R('max(value)')} AS max,
+@query("eda_stats", f"""WITH {DEFECTS}, {FENCE.format(src='defects')} SELECT parameter, count(value) AS n_values, count(*) - count(value) AS n_missing, {R('avg(value)', 8)} AS mean, {R('stddev_samp(value)', 8)} AS std,
+ {R('min(value)', 8)} AS min, {R('quantile_cont(value, 0.25)', 8)} AS q25, {R('quantile_cont(value, 0.5)', 8)} AS median, {R('quantile_cont(value, 0.75)', 8)} AS q75, {R('max(value)', 8)} AS max,
  CAST(sum(CASE WHEN {OUT} THEN 1 ELSE 0 END) AS BIGINT) AS n_outliers FROM defects JOIN f USING (parameter) GROUP BY 1""")
 def eda_stats(spark, sf):
-    return X.describe(obs_defects(spark, sf))
+    return X.describe(obs_defects(spark, sf), digits=8)
 
 
-@query("wq_summary", f"""WITH {OBS} SELECT parameter, count(value) AS n_records, {R('avg(value)')} AS mean, {R('stddev_samp(value)')} AS std, {R('min(value)')} AS min, {R('quantile_cont(value, 0.25)')} AS p25,
- {R('quantile_cont(value, 0.5)')} AS median, {R('quantile_cont(value, 0.75)')} AS p75, {R('max(value)')} AS max FROM obs GROUP BY 1""")
+@query("wq_summary", f"""WITH {OBS} SELECT parameter, count(value) AS n_records, {R('avg(value)', 8)} AS mean, {R('stddev_samp(value)', 8)} AS std, {R('min(value)', 8)} AS min, {R('quantile_cont(value, 0.25)', 8)} AS p25,
+ {R('quantile_cont(value, 0.5)', 8)} AS median, {R('quantile_cont(value, 0.75)', 8)} AS p75, {R('max(value)', 8)} AS max FROM obs GROUP BY 1""")
 def wq_summary(spark, sf):
-    d = X.describe(obs(spark, sf))
+    d = X.describe(obs(spark, sf), digits=8)
     return d.select("parameter", F.col("n_values").alias("n_records"), "mean", "std", "min", F.col("q25").alias("p25"), "median", F.col("q75").alias("p75"), "max")
 
 

@@ -276,7 +276,7 @@ def join_spatial_weight(spark, sf):
     return nudged(S.proximity_weights(stations(spark, sf).select("station_id", "latitude", "longitude"), 25.0, 121.0).select("station_id", "weight"), 8, "weight")
 
 
-STV = f"{SFLOW}, {STATION}, sv AS (SELECT station_id, latitude AS lat, longitude AS lon, avg(value) AS value FROM sflow JOIN station USING (station_id) GROUP BY 1, 2, 3), vp AS (SELECT sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2) AS d, (a.value - b.value) ** 2 AS g FROM sv a JOIN sv b ON a.station_id < b.station_id), h AS (SELECT max(d) / 2 AS half FROM vp), vb AS (SELECT ceil(d / (half / 15))::BIGINT - 1 AS bin, g, half FROM vp, h WHERE d > 0 AND d <= half)"
+STV = f"{SFLOW}, {STATION}, sv AS (SELECT station_id, latitude AS lat, longitude AS lon, avg(value) AS value FROM sflow JOIN station USING (station_id) GROUP BY 1, 2, 3), vp AS (SELECT sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2) AS d, (a.value - b.value) ** 2 AS g FROM sv a JOIN sv b ON a.station_id < b.station_id), h AS (SELECT max(d) / 2 AS half, (SELECT least(15, count(*)) FROM sv) AS nb FROM vp), vb AS (SELECT ceil(d / (half / nb))::BIGINT - 1 AS bin, g, half, nb FROM vp, h WHERE d > 0 AND d <= half)"
 
 
 def station_values(spark, sf):
@@ -284,7 +284,7 @@ def station_values(spark, sf):
     return m.join(stations(spark, sf).select("station_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon")), "station_id")
 
 
-@query("variogram", f"WITH {STV} SELECT bin, {N('(bin + 0.5) * max(half) / 15')} AS bin_center, count(*) AS pairs, {N('avg(g) / 2')} AS gamma FROM vb GROUP BY 1")
+@query("variogram", f"WITH {STV} SELECT bin, {N('(bin + 0.5) * max(half) / max(nb)')} AS bin_center, count(*) AS pairs, {N('avg(g) / 2')} AS gamma FROM vb GROUP BY 1")
 def variogram(spark, sf):
     return nudged(S.variogram(station_values(spark, sf), rows_per_block=40), 6, "bin_center", "gamma")
 

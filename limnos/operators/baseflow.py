@@ -92,7 +92,7 @@ def smoothed_minima(df: DataFrame, block: int = 5, keys: Sequence[str] = KEYS) -
     pt = F.when(F.col("tv").isNotNull(), F.struct("rn", "tv"))
     o = by(k, "rn")
     s = (s.withColumn("a", F.last(pt, True).over(o.rowsBetween(Window.unboundedPreceding, 0)))
-         .withColumn("b", F.first(pt, True).over(o.rowsBetween(0, Window.unboundedFollowing)))
+         .withColumn("b", F.last(pt, True).over(Window.partitionBy(*k).orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)))
          .withColumn("floor", F.min("value").over(whole(k))))
     line = F.coalesce(interp_between(F.col("rn"), F.col("a.rn"), F.col("a.tv"), F.col("b.rn"), F.col("b.tv")), F.col("floor"))
     base = F.least(F.greatest(line, F.lit(0.0)), F.col("value"))

@@ -29,12 +29,18 @@ def pettitt(df: DataFrame, keys: Sequence[str] = KEYS, alpha: float | None = 0.0
     k = list(keys)
     s = avg_ranks(numbered(df, k), k).where(F.col("n") >= 4)
     run = by(k).rowsBetween(Window.unboundedPreceding, -1)
-    w0, w1 = by(k).rowsBetween(Window.unboundedPreceding, -1), by(k).rowsBetween(0, Window.unboundedFollowing)
-    v = "value"
+    # sums of centred values before a row; what lies after it is the total less these (a frame to the
+    # end of the series would be recomputed for every row)
+    s = s.withColumn("m", F.avg("value").over(whole(k))).withColumn("c", F.col("value") - F.col("m"))
     s = s.withColumn("u", F.abs(F.sum(2 * F.col("rank_avg") - F.col("n") - 1).over(run)))
-    for name, w in (("before", w0), ("after", w1)):
-        s = s.withColumn(f"mean_{name}", F.avg(v).over(w)).withColumn(f"variance_{name}", F.coalesce(F.var_samp(v).over(w), F.lit(0.0)))
-    best = s.where("rn > 1").groupBy(*k).agg(F.max_by(
+    s = (s.withColumn("s1", F.sum("c").over(run)).withColumn("s2", F.sum(F.col("c") * F.col("c")).over(run))
+         .withColumn("t1", F.sum("c").over(whole(k))).withColumn("t2", F.sum(F.col("c") * F.col("c")).over(whole(k))).where("rn > 1"))
+    before, after = F.col("rn") - 1, F.col("n") - F.col("rn") + 1
+    parts = (("before", before, F.col("s1"), F.col("s2")), ("after", after, F.col("t1") - F.col("s1"), F.col("t2") - F.col("s2")))
+    for name, cnt, a, b in parts:
+        s = s.withColumn(f"mean_{name}", F.col("m") + a / cnt).withColumn(
+            f"variance_{name}", F.when(cnt > 1, (b - a * a / cnt) / (cnt - 1)).otherwise(0.0))
+    best = s.groupBy(*k).agg(F.max_by(
         F.struct("rn", "date", "u", "n", "mean_before", "mean_after", "variance_before", "variance_after"),
         F.struct("u", -F.col("rn"))).alias("b")).select(*k, "b.*")
     n = F.col("n").cast("double")

@@ -85,7 +85,7 @@ def regress(train: DataFrame, test: DataFrame, xs: Sequence[str], y: str, kind:
     """Predictions of the test rows by boosted trees, a forest or a ridge line."""
     if not enough(train, 10):
         return test.limit(0).withColumn("prediction", F.lit(0.0))
-    models = {"gbt": lambda: GBTRegressor(labelCol=y, maxIter=20, maxDepth=4, seed=seed), "forest": lambda: RandomForestRegressor(labelCol=y, numTrees=30, seed=seed),
+    models = {"gbt": lambda: GBTRegressor(labelCol=y, maxIter=15, maxDepth=3, seed=seed), "forest": lambda: RandomForestRegressor(labelCol=y, numTrees=20, maxDepth=4, seed=seed),
               "linear": lambda: LinearRegression(labelCol=y, regParam=1e-6), "ridge": lambda: LinearRegression(labelCol=y, regParam=1.0, elasticNetParam=0.0)}
     m = models[kind]()
     if weight:

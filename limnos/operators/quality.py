@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from limnos.functions.dims import SENTINELS
-from limnos.operators.series import by, exact_quantiles, islands, value_ranks, whole  # noqa: F401
+from limnos.operators.series import by, exact_quantiles, quantile_aggs, value_ranks, whole
 
 ROW_KEY = ("station_id", "ts", "parameter")
 
@@ -152,19 +152,19 @@ def is_sentinel(col: Column) -> Column:
 def ingest_qa(df: DataFrame, order: str = "seq") -> DataFrame:
     """Per-station ingest report: duplicates, sentinels, negatives, spikes, coverage, gaps."""
     k = ["station_id"]
-    kept = dedupe(df, ["station_id", "ts"], "last", order)
-    clean = kept.where(~F.coalesce(is_sentinel(F.col("value")), F.lit(False)) & F.col("value").isNotNull())
-    raw = df.groupBy("station_id", "ts").agg(F.count(F.lit(1)).alias("c")).groupBy(*k).agg(
-        F.sum(F.col("c") - 1).alias("n_duplicates"))
-    sentinels = kept.groupBy(*k).agg(F.sum(F.coalesce(is_sentinel(F.col("value")), F.lit(False)).cast("long"))
-                                     .alias("n_sentinels"))
-    med = exact_quantiles(clean, k, {"med": 0.5})
-    dev = clean.join(med, k).select(*k, F.abs(F.col("value") - F.col("med")).alias("value"))
-    mad = value_ranks(dev, k)
-    mad_q = exact_quantiles(dev, k, {"mad": 0.5})
+    kept = df.groupBy("station_id", "ts").agg(F.max_by("value", order).alias("value"), F.count(F.lit(1)).alias("c"))
+    bad = F.coalesce(is_sentinel(F.col("value")), F.lit(False))
+    # distinct values per station with their counts: medians and spikes never need the raw rows again
+    vals = kept.groupBy("station_id", "value").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("c") - 1).alias("d"))
+    raw = vals.groupBy(*k).agg(F.sum("d").alias("n_duplicates"), F.sum(F.when(bad, F.col("k")).otherwise(0)).alias("n_sentinels"))
+    good = vals.where(~bad & F.col("value").isNotNull())
+    med = exact_quantiles(good, k, {"med": 0.5}, weight="k")
+    dev = good.join(med, k).select(*k, F.abs(F.col("value") - F.col("med")).alias("value"), "k")
+    mad = value_ranks(dev, k, weight="k")
+    mad_q = mad.groupBy(*k).agg(*quantile_aggs({"mad": 0.5}))
     spike = (F.col("n") > 30) & (F.col("value") / (1.4826 * F.when(F.col("mad") == 0, 1e-9).otherwise(F.col("mad"))) > 12)
     spikes = mad.join(mad_q, k).groupBy(*k).agg(F.sum(F.when(spike, F.col("cnt")).otherwise(0)).alias("n_spikes"))
-    days = clean.groupBy("station_id", F.to_date("ts").alias("date")).agg(
+    days = kept.where(~bad & F.col("value").isNotNull()).groupBy("station_id", F.to_date("ts").alias("date")).agg(
         F.count(F.lit(1)).alias("c"), F.sum((F.col("value") < 0).cast("long")).alias("neg"),
         F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     step = F.datediff("date", F.lag("date").over(by(k)))
@@ -176,7 +176,7 @@ def ingest_qa(df: DataFrame, order: str = "seq") -> DataFrame:
         F.sum((F.col("step") > 30).cast("long")).alias("n_gaps"))
         .withColumn("coverage_pct", F.round(F.col("n_days") * 100.0 / F.col("n_days_span"), 1))
         .withColumn("n_gaps", F.coalesce("n_gaps", F.lit(0))))
-    return cover.join(raw, k).join(sentinels, k).join(spikes, k).select(
+    return cover.join(raw, k).join(spikes, k).select(
         "station_id", "n_values", "start", "end", "n_days", "n_days_span", "coverage_pct", "n_duplicates", "n_sentinels",
         "n_negative", "n_spikes", "n_gaps", "longest_gap",
         F.array_join(F.array_compact(F.array(

@@ -142,17 +142,15 @@ def trophic_state(df: DataFrame) -> DataFrame:
 def spatial_heterogeneity(df: DataFrame) -> DataFrame:
     """Spread of station means and Kruskal-Wallis H per parameter.
 
-    Ranks are taken per parameter over all stations by the two-level rank table; the raw rows then
-    only meet it by (parameter, value).
+    Everything derives from one count table per (parameter, station, value): station means, and the
+    ranks per parameter over all stations by the two-level rank table.
     """
-    rows = df.where("value IS NOT NULL")
-    st = rows.groupBy("parameter", "station_id").agg(F.count(F.lit(1)).alias("c"), F.avg("value").alias("m"))
+    counts = df.where("value IS NOT NULL").groupBy("parameter", "station_id", "value").agg(F.count(F.lit(1)).alias("k"))
+    st = counts.groupBy("parameter", "station_id").agg(F.sum("k").alias("c"), (F.sum(F.col("value") * F.col("k")) / F.sum("k")).alias("m"))
     spread = st.groupBy("parameter").agg(F.count(F.lit(1)).alias("n_stations"), F.stddev_samp("m").alias("sd"),
                                          F.avg("m").alias("mm"), F.min("m").alias("mean_min"), F.max("m").alias("mean_max"))
-    counts = rows.groupBy("parameter", "station_id", "value").agg(F.count(F.lit(1)).alias("k"))
     tested = counts.join(st.where("c >= 3").select("parameter", "station_id", "c"), ["parameter", "station_id"])
-    ranks = (value_ranks(rows.join(st.where("c >= 3").select("parameter", "station_id"), ["parameter", "station_id"]),
-                         ["parameter"]).withColumn("r", avg_rank_expr()))
+    ranks = value_ranks(tested, ["parameter"], weight="k").withColumn("r", avg_rank_expr())
     ties = ranks.groupBy("parameter").agg(F.sum(F.pow("cnt", 3) - F.col("cnt")).alias("ties"), F.max("n").alias("n"))
     sums = (tested.join(ranks.select("parameter", "value", "r"), ["parameter", "value"])
             .groupBy("parameter", "station_id").agg(F.sum(F.col("r") * F.col("k")).alias("rs"), F.max("c").alias("c"))
@@ -162,7 +160,7 @@ def spatial_heterogeneity(df: DataFrame) -> DataFrame:
     return spread.join(sums, "parameter").join(ties, "parameter").where("g >= 2").select(
         "parameter", "n_stations", F.round(F.when(F.col("mm") != 0, F.col("sd") / F.col("mm") * 100).otherwise(0.0), 2)
         .alias("spatial_cv_pct"), F.round(h, 4).alias("kruskal_h"), (F.col("g") - 1).alias("dof"),
-        F.round("mean_min", 4).alias("mean_min"), F.round("mean_max", 4).alias("mean_max"))
+        F.round("mean_min", 8).alias("mean_min"), F.round("mean_max", 8).alias("mean_max"))
 
 
 # Discharge standards and background concentrations of treatment parameters (mg/L).

@@ -61,16 +61,17 @@ def value_bucket(value: Column) -> Column:
     return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, mag).otherwise(-mag)
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str = "value", weight: str | None = None) -> DataFrame:
     """Distinct values of each key with ``cnt``, ``n_less`` (rows strictly below) and ``n``.
 
     Ties collapse in a map-side combined count. The order of a key is then built from two levels:
-    bucket totals per key, and positions inside one bucket. No task sees a whole key.
+    bucket totals per key, and positions inside one bucket. No task sees a whole key. With
+    ``weight`` the rows are already counts and are ranked as that many equal rows.
     """
     keys = list(keys)
     counts = (df.where(F.col(value).isNotNull())
               .groupBy(*keys, value_bucket(F.col(value)).alias("_b"), F.col(value).alias("value"))
-              .agg(F.count(F.lit(1)).alias("cnt")))
+              .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("cnt")))
     totals = counts.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_bn"))
     totals = (totals.withColumn("_base", F.sum("_bn").over(by(keys, "_b").rowsBetween(
                   Window.unboundedPreceding, 0)) - F.col("_bn"))
@@ -97,9 +98,10 @@ def quantile_aggs(probs: dict[str, float]) -> list[Column]:
     return out
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float], value: str = "value") -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float], value: str = "value",
+                    weight: str | None = None) -> DataFrame:
     """Exact quantiles per key for keys of any size (numpy's linear rule)."""
-    return value_ranks(df, keys, value).groupBy(*keys).agg(*quantile_aggs(probs))
+    return value_ranks(df, keys, value, weight).groupBy(*keys).agg(*quantile_aggs(probs))
 
 
 def per_series(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame],

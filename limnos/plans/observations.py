@@ -320,7 +320,7 @@ def sdg6_rank(spark, sf):
  o3 AS (SELECT obs.parameter, obs.station_id, value, rank() OVER (PARTITION BY obs.parameter ORDER BY value) + (count(*) OVER (PARTITION BY obs.parameter, value) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY obs.parameter) AS n FROM obs JOIN st USING (parameter, station_id) WHERE c >= 3),
  ti AS (SELECT parameter, sum(k * k * k - k) AS ties FROM (SELECT parameter, value, count(*)::DOUBLE AS k FROM o3 GROUP BY 1, 2) GROUP BY 1), gs AS (SELECT parameter, station_id, sum(r) AS rs, count(*) AS c, max(n) AS n FROM o3 GROUP BY 1, 2),
  ss AS (SELECT parameter, sum(rs * rs / c) AS ss, count(*) AS g, max(n)::DOUBLE AS n FROM gs GROUP BY 1)
- SELECT parameter, n_stations, {R('sd / mm * 100', 2)} AS spatial_cv_pct, {R('(12 / (n * (n + 1)) * ss - 3 * (n + 1)) / (1 - ties / (n * n * n - n))')} AS kruskal_h, g - 1 AS dof, {R('lo')} AS mean_min, {R('hi')} AS mean_max FROM sp JOIN ss USING (parameter) JOIN ti USING (parameter) WHERE g >= 2""")
+ SELECT parameter, n_stations, {R('sd / mm * 100', 2)} AS spatial_cv_pct, {R('(12 / (n * (n + 1)) * ss - 3 * (n + 1)) / (1 - ties / (n * n * n - n))')} AS kruskal_h, g - 1 AS dof, {R('lo', 8)} AS mean_min, {R('hi', 8)} AS mean_max FROM sp JOIN ss USING (parameter) JOIN ti USING (parameter) WHERE g >= 2""")
 def spatial_heterogeneity(spark, sf):
     return S.spatial_heterogeneity(obs(spark, sf))
 

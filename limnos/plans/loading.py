@@ -108,7 +108,7 @@ def src_indicator(spark, sf):
     return R.indicator_rows(spark.read.option("header", True).csv(landed(raw, "indicator")))
 
 
-@query("src_cube", f"WITH {FLOW} SELECT 'C' || station_id AS cube_code, date, printf('%.6f,23.500000,122.000000,24.000000', 100 + station_id) AS bbox, value, 'mm' AS unit FROM flow")
+@query("src_cube", f"WITH {FLOW} SELECT 'C' || station_id AS cube_code, date, printf('%.6f,23.500000,122.000000,24.000000', CAST(100 + station_id AS DOUBLE)) AS bbox, value, 'mm' AS unit FROM flow")
 def src_cube(spark, sf):
     raw = flow(spark, sf).select(F.concat(F.lit("C"), "station_id").alias("cube_code"), "date", F.concat(F.lit("["), 100 + F.col("station_id"), F.lit(", 23.5, 122, 24.0]")).alias("bbox"), "value", F.lit("mm").alias("unit"))
     return R.cube_rows(spark.read.option("header", True).csv(landed(raw, "cube", quoteAll=True)))

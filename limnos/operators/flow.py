@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from limnos.functions.arith import ratio
 from limnos.operators.series import KEYS, by, islands, numbered, whole
+from limnos.session import cut
 
 FDC_PERCENTILES = (5, 10, 25, 50, 75, 90, 95, 99)
 
@@ -136,7 +137,8 @@ def signatures(df: DataFrame, keys: Sequence[str] = KEYS, min_values: int = 365)
     from limnos.operators.baseflow import lyne_hollick_bfi
 
     k = list(keys)
-    s = df.where("value IS NOT NULL")
+    # ten parts read the daily series: it is materialised once, so its source is scanned once
+    s = cut(df.where("value IS NOT NULL").select(*k, "date", "value"))
     pct = lambda p: F.percentile("value", F.lit(p))
     base = s.groupBy(*k).agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_flow"), pct(0.5).alias("median_flow"),

@@ -85,7 +85,7 @@ def join_point_in_bbox(spark, sf):
     return K.assign_boxes(stations(spark, sf), boxes)
 
 
-@query("join_lag_crosscorr", f"WITH {PAIRED}, s AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY date) AS rn, count(*) OVER (PARTITION BY station_id) AS n FROM paired), c AS (SELECT a.station_id, k, corr(a.obs, b.sim) AS c FROM s a JOIN range(366) t(k) ON k <= least(a.n // 3, 365) JOIN s b ON a.station_id = b.station_id AND a.rn = b.rn + k GROUP BY 1, 2) "
+@query("join_lag_crosscorr", f"WITH {PAIRED}, s AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY date) AS rn, count(*) OVER (PARTITION BY station_id) AS n FROM paired), e AS (SELECT station_id, rn, obs, unnest(range(least(n // 3, 365) + 1)) AS k FROM s), f AS (SELECT station_id, k, obs, rn - k AS j FROM e WHERE rn > k), c AS (SELECT f.station_id, k, corr(f.obs, b.sim) AS c FROM f JOIN s b ON b.station_id = f.station_id AND b.rn = f.j GROUP BY 1, 2) "
        f"SELECT station_id, {N('max(CASE WHEN k = 0 THEN c END)')} AS correlation, arg_max(k, c) AS lag_days, {N('max(c)')} AS lag_correlation FROM c GROUP BY 1")
 def join_lag_crosscorr(spark, sf):
     return nudged(J.lag_correlation(paired(spark, sf)), 6, "correlation", "lag_correlation")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from limnos.functions.special import norm_cdf_sql
 from limnos.operators import metrics as M
 from limnos.plans.adapters import FLOW, OBS, PAIRED, flow, obs, paired
-from limnos.plans.catalog import R, query
+from limnos.plans.catalog import N, R, nudged, query
 
 
 def rounded(df, n, *cols):
@@ -105,6 +106,13 @@ def mann_whitney(spark, sf):
     return d.select("station_id", "n1", "n2", F.round("u", 2).alias("u"))
 
 
-@query("mann_whitney_p")
+MZ_CDF = norm_cdf_sql("mz")
+MWP = (f"{FLOW}, r AS (SELECT station_id, value, date < DATE '1998-06-01' AS f, rank() OVER (PARTITION BY station_id ORDER BY value) + (count(*) OVER (PARTITION BY station_id, value) - 1) / 2.0::DOUBLE AS r FROM flow), "
+       "g AS (SELECT station_id, sum(f::INT)::DOUBLE AS n1, count(*)::DOUBLE AS n, sum(CASE WHEN f THEN r END) - sum(f::INT) * (sum(f::INT) + 1) / 2.0::DOUBLE AS u FROM r GROUP BY 1), t AS (SELECT station_id, sum(c ** 3 - c) AS ties FROM (SELECT station_id, value, count(*)::DOUBLE AS c FROM flow GROUP BY 1, 2) GROUP BY 1), "
+       "h AS (SELECT *, n - n1 AS n2, -((greatest(u, n1 * (n - n1) - u) - n1 * (n - n1) / 2 - 0.5) / sqrt(n1 * (n - n1) / 12 * (n + 1 - ties / (n * (n - 1))))) AS mz FROM g JOIN t USING (station_id))")
+
+
+@query("mann_whitney_p", f"WITH {MWP} SELECT station_id, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, {N('u', 2)} AS u, {N('-mz')} AS z, {N(f'least(1, 2 * {MZ_CDF})')} AS p_value FROM h")
 def mann_whitney_p(spark, sf):
-    return M.rank_test(flow(spark, sf), ["station_id"], F.col("date") < "1998-06-01")
+    d = M.rank_test(flow(spark, sf), ["station_id"], F.col("date") < "1998-06-01")
+    return nudged(nudged(d, 2, "u"), 6, "z", "p_value")

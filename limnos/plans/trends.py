@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from limnos.functions.special import norm_cdf_sql
 from limnos.operators import changepoint as C
 from limnos.operators import trend as T
 from limnos.operators.periods import resample
@@ -39,9 +40,11 @@ def mann_kendall_parameters(spark, sf):
     return nudged(T.mann_kendall(d, k, min_n=10), 6, "z", "slope").select(*k, "n", "s", "z", "slope")
 
 
-@query("mann_kendall_p")
+@query("mann_kendall_p", f"WITH {FLOW}, {RN.format(src='flow')}, {PAIRS}, q AS (SELECT *, -abs(z) AS a FROM z), w AS (SELECT *, 2 * {norm_cdf_sql('a')} AS p FROM q) SELECT station_id, CAST(n AS BIGINT) AS n, CAST(s AS BIGINT) AS s, {N('z')} AS z, {N('p')} AS p_value, "
+       "CASE WHEN p < 0.05 AND z > 0 THEN 'increasing' WHEN p < 0.05 AND z < 0 THEN 'decreasing' ELSE 'no trend' END AS trend FROM w")
 def mann_kendall_p(spark, sf):
-    return T.mann_kendall(flow(spark, sf), slope=False).select("station_id", "n", "s", "z", "p_value", "trend")
+    d = T.mann_kendall(flow(spark, sf), slope=False).select("station_id", "n", "s", "z", "p_value", "trend")
+    return nudged(d, 6, "z", "p_value")
 
 
 @query("sens_slope", f"WITH {FLOW}, {RN.format(src='flow')}, {PAIRS} SELECT station_id, {N('slope')} AS slope, {N('intercept')} AS intercept, CAST(n AS BIGINT) AS n_samples FROM v")

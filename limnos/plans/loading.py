@@ -78,8 +78,7 @@ def src_param_files(spark, sf):
     path = scratch_path(spark, "parameters")
     o.write.partitionBy("parameter").option("header", True).csv(path)
     st = stations(spark, sf).select(F.col("station_id").cast("string"), "country")
-    return R.parameter_files(spark, path, st, "_1", "2024-01-05", "2024-01-20").union(
-        R.parameter_files(spark, path, st.where("NOT lower(country) LIKE '%\\\\_1%'"), "1", "2024-01-05", "2024-01-20")).select("station_id", "date", "parameter", "value", "country")
+    return R.parameter_files(spark, path, st, "1", "2024-01-05", "2024-01-20").select("station_id", "date", "parameter", "value", "country")
 
 
 @query("src_wqp", f"WITH {OBS} SELECT CAST(station_id AS VARCHAR) AS station_id, CASE WHEN seq % 3 = 0 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END AS ts, parameter, value, 'mg/L' AS unit FROM obs WHERE seq % 11 <> 0")

@@ -104,12 +104,12 @@ class Words:
 
 
 def words(piece: Piece, is_word: np.ndarray, fold: np.ndarray) -> Words:
-    """Maximal runs of word bytes inside each text, hashed after folding."""
+    """Maximal runs of word bytes inside each folded text, hashed."""
     n = len(piece.data)
     if n == 0:
         empty = np.zeros(0, np.int64)
         return Words(empty, empty, np.zeros(0, np.uint64), np.zeros(len(piece) + 1, np.int64))
-    inside = is_word[piece.data]
+    inside = is_word[fold[piece.data]]
     before = np.empty(n, bool)
     before[0], before[1:] = False, inside[:-1]
     before[piece.starts[:-1][piece.starts[:-1] < n]] = False

@@ -17,6 +17,7 @@ SEED = 20_240_501
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(SEED).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -180,10 +181,10 @@ class Sieve:
         self.shift = np.uint64(64 - bits)
         self.values = np.unique(values)
         self.marks = np.zeros(1 << bits, bool)
-        self.marks[(self.values >> self.shift).astype(np.int64)] = True
+        self.marks[(self.values * _SPREAD >> self.shift).astype(np.int64)] = True
 
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where ``x`` holds a known value, and the position of that value."""
-        near = np.flatnonzero(self.marks[(x >> self.shift).astype(np.int64)])
+        near = np.flatnonzero(self.marks[(x * _SPREAD >> self.shift).astype(np.int64)])
         at = members(self.values, x[near])
         return near[at >= 0], at[at >= 0]

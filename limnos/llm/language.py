@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.llm.arrays import pieces, table
+from limnos.llm.labelled import held_out
 
 GRAM = 4  # bytes of the lower-cased text
 BITS = 20  # log2 of the filter's positions: 8 MB for up to 64 languages
@@ -163,11 +164,6 @@ def identify(docs: DataFrame, fitted: LanguageFilter, id_col: str = "doc_id", te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), _padded(text_col).alias("text")).mapInArrow(task, "doc_id long, lang_pred string, score double")
 
 
-def held_out(id_col: str, folds: int, fold: int):
-    """Whether crc32 of the id as text falls into ``fold``; a null id counts as the empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
-
-
 def predict(docs: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """Learn from the documents outside the held-out fold, predict all: doc_id, held_out, lang_pred, score."""
     out = held_out(id_col, folds, fold)

@@ -51,8 +51,8 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
 links AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
 e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach AS (SELECT doc_id, doc_id AS at FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN e ON e.a = r.at),
-c AS (SELECT doc_id, min(at) AS component_id FROM reach GROUP BY doc_id)
+reach AS (SELECT doc_id, doc_id AS t FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN e ON e.a = r.t),
+c AS (SELECT doc_id, min(t) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Toxicity by two Kneser-Ney language models, one of toxic and one of ordinary documents, over one shared backoff.
 
 A model spells words: P(byte | the ``ORDER`` - 1 bytes before it in the word). A class takes the discounted share of the n-gram and
-leaves the freed mass to a distribution of order ``BACKOFF`` that both classes share. That one counts, over every document of the
-corpus, labelled or not, how many distinct words of the document hold the n-gram. N-grams that a class has seen less than ``CUTOFF``
-times count as unseen, so rare spellings fall back to what both share and say nothing about the class.
+leaves the freed mass to a distribution of order ``BACKOFF`` that both classes share. That one comes from every document of the
+corpus, labelled or not. Both count how many distinct words of a document hold an n-gram, so a repeated line counts once. N-grams
+that a class has seen less than ``CUTOFF`` times count as unseen: rare spellings fall back to what both share and say nothing.
 The score is a logistic function of the difference of the log-likelihoods divided by the number of words, fitted on labelled
 documents that the counts have not seen.
 """
@@ -23,8 +23,8 @@ from limnos.llm.spread import small
 
 PER_CLASS = 4_000  # expected labelled documents of each class that the models learn from
 ORDER, BACKOFF = 7, 4  # bytes; at most 8
-DISCOUNT = 0.75
-CUTOFF = 2
+DISCOUNT = 8.0  # more than is usual, so that chance in small samples stays with the shared backoff
+CUTOFF = 9
 FIT_PARTS, FIT_PART = 5, 0  # part of the sample that fits the logistic function instead of the counts
 
 IS_WORD = table(lambda b: 0x61 <= b <= 0x7A or b >= 0x80)
@@ -50,7 +50,7 @@ def spelled(folded: np.ndarray, w: Words, pick: np.ndarray, order: int = ORDER)
     return code[at], np.concatenate(([0], np.cumsum(n)))
 
 
-def _distinct(w: Words, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """First position of every distinct word of a piece, and each word's number among them."""
     _, first, number = np.unique(w.hashes, return_index=True, return_inverse=True)
     return first, number
@@ -83,7 +83,7 @@ class ClassModels:
 
 
 def _class_counts(sample: DataFrame) -> DataFrame:
-    """Counts of the n-grams in each class, aggregated by Spark."""
+    """In each class, how many distinct words of a document hold the n-gram, added up over documents by Spark."""
     def task(batches):
         for batch in batches:
             labels = np.asarray(batch.column(1))
@@ -91,9 +91,10 @@ def _class_counts(sample: DataFrame) -> DataFrame:
                 w = words(p, IS_WORD, FOLD)
                 if len(w.hashes) == 0:
                     continue
-                label = np.repeat(labels[p.first:p.first + len(p)], w.counts)
                 first, number = _distinct(w)
                 code, at = spelled(FOLD[p.data], w, first)
+                once = np.unique(np.repeat(np.arange(len(p)), w.counts) * len(first) + number)  # a word counts once a document
+                label, number = labels[p.first + once // len(first)], once % len(first)
                 for c in (0, 1):
                     times = np.repeat(np.bincount(number[label == c], minlength=len(first)), np.diff(at))
                     gram, back = np.unique(code[times > 0], return_inverse=True)
@@ -187,12 +188,12 @@ def differences(docs: DataFrame, models: ClassModels) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, "doc_id long, diff double, n_words long")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Slope, offset and scale of a one-variable logistic fit with equal class weights, by Newton steps with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight_0: float) -> tuple[float, float, float]:
+    """Slope, offset and scale of a one-variable logistic fit by Newton steps with a small ridge; ``weight_0`` is the weight of class 0."""
     if len(x) == 0 or y.min() == y.max():
         return 0.0, 0.0, 1.0
     scale = float(x.std()) or 1.0
-    z, weight = x / scale, np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    z, weight = x / scale, np.where(y == 1, 1.0, weight_0)
     a, b = 0.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
@@ -210,17 +211,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
                    text_col: str = "text", **options) -> DataFrame:
     """Toxicity of every whole text: doc_id, held_out, score (0 to 1), predicted (score >= 0.5), diff, n_words.
 
-    Learns from labels outside the held-out fold only. A text that is null or has no words has difference 0. Without labels of both
+    Learns from labels outside the held-out fold only, from as many ordinary as toxic documents; in the logistic fit an ordinary one
+    weighs the square root of how much more frequent its class is. A text that is null or has no words has difference 0. Without labels of both
     classes every score is 0.5. Null ids are scored and teach nothing; repeated rows come out repeated; an empty table gives no rows;
     other columns are not read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = labelled_sample(labels, label_col, folds, fold, per_class)
+    sample, sizes = labelled_sample(labels, label_col, folds, fold, per_class, even=True)
     known = with_texts(d, sample)
     part = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(FIT_PARTS)) == FIT_PART
     models = fit_models(known.where(~part), d, **options)
     fit = differences(known.where(part), models).join(sample, "doc_id").select("diff", "label").toPandas()
-    a, b, scale = _logistic(fit["diff"].to_numpy(float), fit["label"].to_numpy(float))
+    a, b, scale = _logistic(fit["diff"].to_numpy(float), fit["label"].to_numpy(float), (sizes[0] / sizes[1]) ** 0.5 if sizes[0] and sizes[1] else 1.0)
     z = F.col("diff") * (a / scale) + b
     score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
     return (differences(d, models).select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), score.alias("score"), "diff", "n_words")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from limnos.llm.decontaminate import report as decontamination_report
+from limnos.llm.embeddings import near_duplicates as near_duplicate_vectors
 from limnos.llm.language import predict as predict_language
 from limnos.llm.near_dedup import near_duplicates
 from limnos.llm.quality import score_quality
@@ -97,3 +98,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_quality")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query("op9_embedding_dedup", """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+                     AND list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE) * x)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS t FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.t),
+c AS (SELECT vec_id, min(t) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))

@@ -6,9 +6,8 @@ on. ``bands`` x ``rows`` multiply-shift hashes give a signature; two sets of sim
 
 Within a bucket no list of all pairs is made. A bucket of few members compares those that are not connected yet; a larger one
 compares every member with one pivot, which the hash order makes the same in all buckets, so a large family of copies becomes one
-component in a round or two and drops out. Large buckets that stay open (documents that share one passage) are divided once more by
-their members' other bands. What is still open is compared in rounds with growing limits until no bucket holds two documents that
-are neither connected nor compared, so no bucket is ever cut short.
+component in a round or two and drops out. Buckets that stay open (documents that share one passage) are compared block by block
+inside tasks, which return links only; blocks of one component never meet. No bucket is ever cut short.
 """
 
 from __future__ import annotations
@@ -25,7 +24,9 @@ WORDS_A_SHINGLE = 5
 BANDS, ROWS = 64, 7
 SIMILAR = 75  # percent
 SLACK = 0.12  # a pair goes to the exact check unless its signature lies this far (over five standard deviations) below the limit
-FEW = 8  # members up to which a bucket compares all that are not connected, fourfold each round
+FEW = 8  # members up to which a bucket lists the pairs that are not connected
+PIVOTS = 2  # rounds in which the members of larger buckets meet one pivot
+BLOCK = 128  # members a block of a bucket that stays open after that
 
 SPACES = {9, 10, 11, 12, 13, 32}
 IS_WORD = table(lambda b: b not in SPACES)
@@ -135,7 +136,8 @@ def similar_pairs(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, perc
 
 def _open_buckets(members: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """Members with their component, and the buckets that still hold two components: size and pivot."""
-    m = join_split(members, labels, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("c"))
+    m = (members.withColumn("c", F.col("node")) if labels.isEmpty() else  # the first round, unless an id has several texts
+         join_split(members, labels, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("c")))
     key = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("pivot"), F.col("c").alias("pivot_c"), F.col("size").alias("pivot_size"))
     b = m.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.min(key).alias("p")).where("_lo < _hi")
     return m, b.select("bucket", "n", "p.pivot", "p.pivot_c", "p.pivot_size")
@@ -150,35 +152,94 @@ def _labels(signatures: DataFrame, docs: DataFrame, percent: int, few: int, ties
     n_nodes = nodes.count()
     sets = landed(shingle_sets(docs.select("doc_id", "text").join(small(nodes, n_nodes), "doc_id", "left_semi")), "sets")
     known = landed(signatures.join(small(nodes, n_nodes), "doc_id", "left_semi"), "known")
-    labels, tested, turn = landed(components(ties, "a", "b"), "labels"), None, 0
+    labels = landed(components(ties, "a", "b"), "labels")
 
     def alike(p, q):  # sets whose sizes differ more can't be similar enough
         return 100 * F.least(p, q) >= percent * F.greatest(p, q)
 
-    while True:
+    def tie(found: DataFrame) -> DataFrame:
+        if found.isEmpty():
+            return labels
+        held = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return landed(components(found.unionByName(held), "a", "b"), "labels")
+
+    for turn in range(PIVOTS):
         m, b = _open_buckets(members, labels, turn)
         m = landed(join_split(m, b, "bucket"), "open")
         if m.isEmpty():
-            break
-        limit = few * 4**turn
-        tight = m.where(F.col("n") <= limit)
+            return labels
+        tight = m.where(F.col("n") <= few)
         other = tight.select("bucket", F.col("node").alias("node2"), F.col("c").alias("c2"), F.col("size").alias("size2"))
         cross = tight.join(other, "bucket").where("node < node2 and c <> c2").where(alike("size", "size2")).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-        wide = m.where(F.col("n") > limit)
+        wide = m.where(F.col("n") > few)
         star = wide.where("c <> pivot_c").where(alike("size", "pivot_size")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        pairs = cross.unionByName(star).distinct()
-        pairs = landed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = landed(similar_pairs(pairs, known, sets, percent), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not found.isEmpty():
-            held = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = landed(components(found.unionByName(held), "a", "b"), "labels")
+        pairs = landed(cross.unionByName(star).distinct(), "pairs")
+        labels = tie(landed(similar_pairs(pairs, known, sets, percent), "links"))
         members = wide.where("node <> pivot").select("bucket", "node", "size")
-        if turn == 0:  # what stays wide: the members' other bands divide each bucket
-            finer = known.select(F.col("doc_id").alias("node"), F.explode("bands").alias("other"))
-            members = landed(members.join(finer, "node").where("bucket <> other").select(F.xxhash64("bucket", "other").alias("bucket"), "node", "size").distinct(), "finer")
-        turn += 1
-    return labels
+    m, b = _open_buckets(members, labels, PIVOTS)
+    m = landed(join_split(m, b.select("bucket"), "bucket"), "open")
+    return labels if m.isEmpty() else tie(landed(_block_links(m, known, sets, percent), "links"))
+
+
+def _block_links(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside wide buckets (bucket, node, c), found block by block on the full sets.
+
+    A component of more than ``BLOCK`` members of a bucket gets blocks of its own, smaller ones share blocks. Two blocks of one
+    component never meet. A task holds two blocks and returns at most one link for each of their members. A pair is compared in the
+    first band that it shares only.
+    """
+    per = landed(members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n_c")), "parts")
+    shared = per.where(F.col("n_c") <= BLOCK).groupBy("bucket").agg(F.sum("n_c").alias("n_shared"))
+    sized = join_split(members, per, ["bucket", "c"]).join(shared, "bucket", "left")
+    big = F.col("n_c") > BLOCK
+    slot = F.when(big, F.xxhash64("c", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_c") / BLOCK)))).otherwise(F.pmod(F.xxhash64("c"), F.ceil(F.col("n_shared") / BLOCK)))
+    dealt = landed(sized.select("bucket", "node", "c", slot.alias("block"), F.when(big, F.col("c")).alias("pure")), "dealt")
+    blocks = landed(dealt.select("bucket", "block", "pure").distinct(), "blocks")
+    right = blocks.select("bucket", F.col("block").alias("block2"), F.col("pure").alias("pure2"))
+    met = blocks.join(right, "bucket").where("block < block2 and not (pure <=> pure2 and pure is not null) or block = block2 and pure is null")
+    met = landed(met.select("bucket", "block", "block2"), "met")
+    sides = met.select("bucket", F.col("block").alias("own"), "block", "block2").unionByName(
+        met.where("block <> block2").select("bucket", F.col("block2").alias("own"), "block", "block2"))
+    data = known.select(F.col("doc_id").alias("node"), "bands").join(sets.withColumnRenamed("doc_id", "node"), "node")
+    rows = dealt.withColumnRenamed("block", "own").join(sides, ["bucket", "own"]).select("bucket", "block", "block2", "own", "node", "c")
+    rows = join_split(rows, data, "node")
+
+    def compare(group):
+        import pandas as pd
+        g = group.drop_duplicates("node")
+        node, c, own = g["node"].to_numpy(), g["c"].to_numpy(), g["own"].to_numpy()
+        bands, bucket = np.stack(g["bands"].to_list()), g["bucket"].iat[0]
+        here = (bands == bucket).argmax(1)
+        each = [np.frombuffer(x, np.uint64) for x in g["shingles"]]
+        size = np.array([len(x) for x in each])
+        _, at = np.unique(np.concatenate(each), return_inverse=True)
+        who = np.repeat(np.arange(len(each)), size)
+        order = np.argsort(at, kind="stable")
+        at, who = at[order], who[order]
+        common = np.zeros((len(each), len(each)), np.float32)
+        for lo in range(0, int(at[-1]) + 1, 4096):  # the shingles by parts, so the incidence matrix stays small
+            part = slice(*np.searchsorted(at, (lo, lo + 4096)))
+            m = np.zeros((len(each), 4096), np.float32)
+            m[who[part], at[part] - lo] = 1
+            common += m @ m.T
+        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        linked &= c[:, None] != c[None, :]
+        if g["block"].iat[0] != g["block2"].iat[0]:
+            linked &= own[:, None] != own[None, :]
+        root, out = {x: x for x in c.tolist()}, []
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i, j in np.argwhere(np.triu(linked, 1)):
+            if (bands[i] == bands[j]).argmax() == min(here[i], here[j]) and find(int(c[i])) != find(int(c[j])):
+                root[find(int(c[i]))] = find(int(c[j]))
+                out.append((int(node[i]), int(node[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("bucket", "block", "block2").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILAR, bands: int = BANDS, rows: int = ROWS,

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from limnos.llm.decontaminate import report as decontamination_report
 from limnos.llm.embeddings import near_duplicates as near_duplicate_vectors
 from limnos.llm.language import predict as predict_language
+from limnos.llm.mixing import schedule
 from limnos.llm.near_dedup import near_duplicates
 from limnos.llm.quality import score_quality
+from limnos.llm.sharding import shard
 from limnos.llm.token_counts import count_tokens
 from limnos.llm.toxicity import score_toxicity
 
@@ -110,3 +112,13 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule(_table(spark, sf_dir, "documents"))
+
+
+@query("op2_sharding")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_table(spark, sf_dir, "documents"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.llm.arrays import Sieve, Words, lowered, pieces, table, windows, words
-from limnos.llm.spread import landed
+from limnos.llm.spread import landed, small
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20  # benchmark text a block may hold; windows of it take about 30 MB in a task
@@ -191,3 +191,15 @@ def without_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, drop_
             yield batch.filter(pa.array(keep)) if not keep.all() else batch
 
     return docs.mapInArrow(task, docs.schema)
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without any benchmark window, with all their columns, in one pass; null texts stay.
+
+    A benchmark of more than one block is scanned in blocks, and the ids found go.
+    """
+    size = items.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    if size <= BLOCK_BYTES:
+        return without_spans(docs, items, window, 0.0, id_col, text_col)
+    gone = landed(scan(docs, items, window, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
+    return docs.withColumn("_id", F.col(id_col).cast("long")).join(small(gone, gone.count()), "_id", "left_anti").drop("_id")

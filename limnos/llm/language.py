@@ -135,6 +135,18 @@ def _has_letter(p, d: int) -> bool:
     return bool(_LETTER[raw].any()) or any(c.isalpha() for c in raw.tobytes().decode("utf-8", "replace"))
 
 
+def _decided(f: LanguageFilter, p) -> tuple[list[str], np.ndarray]:
+    """Language and score of every text of a piece."""
+    letters = np.array([p.starts[d + 1] > p.starts[d] and _has_letter(p, d) for d in range(len(p))], bool)
+    if not f.names:
+        return [UNKNOWN] * len(p), np.zeros(len(p))
+    c = f.counts(*_grams(p))
+    total, best = c.sum(1), c.argmax(1)
+    best[total <= 0] = f.usual
+    score = np.where(letters & (total > 0), c.max(1) / np.maximum(total, 1e-12), 0.0)
+    return [f.names[b] if ok else UNKNOWN for b, ok in zip(best, letters)], score
+
+
 def identify(docs: DataFrame, fitted: LanguageFilter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Language of every whole text: doc_id, lang_pred, score (the best language's share of all corrected counts).
 
@@ -145,25 +157,35 @@ def identify(docs: DataFrame, fitted: LanguageFilter, id_col: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def task(batches):
-        f = shared.value
         for batch in batches:
-            ids = batch.column(0)
             for p in pieces(batch.column(1)):
-                code, at = _grams(p)
-                letters = np.array([p.starts[d + 1] > p.starts[d] and _has_letter(p, d) for d in range(len(p))], bool)
-                if not f.names:
-                    names, score = [UNKNOWN] * len(p), np.zeros(len(p))
-                else:
-                    c = f.counts(code, at)
-                    total, best = c.sum(1), c.argmax(1)
-                    best[total <= 0] = f.usual
-                    score = np.where(letters & (total > 0), c.max(1) / np.maximum(total, 1e-12), 0.0)
-                    names = [f.names[b] if ok else UNKNOWN for b, ok in zip(best, letters)]
-                yield pa.RecordBatch.from_arrays([ids.slice(p.first, len(p)), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+                names, score = _decided(shared.value, p)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(p.first, len(p)), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), _padded(text_col).alias("text")).mapInArrow(task, "doc_id long, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, fitted: LanguageFilter, text_col: str = "text", least_score: float = 0.0, languages: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text has a language (one of ``languages``, if given) with at least ``least_score``, in one pass.
+
+    Columns stay as they are, whatever their names; null and letterless texts go.
+    """
+    shared, n = docs.sparkSession.sparkContext.broadcast(fitted), len(docs.columns)
+    padded = "_padded"
+    while padded in docs.columns:
+        padded += "_"
+
+    def task(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for p in pieces(batch.column(n)):
+                names, score = _decided(shared.value, p)
+                keep[p.first:p.first + len(p)] = [x != UNKNOWN and s >= least_score and (languages is None or x in languages) for x, s in zip(names, score)]
+            yield batch.select(range(n)).filter(pa.array(keep))
+
+    return docs.withColumn(padded, _padded(text_col)).mapInArrow(task, docs.schema)
+
+
 def predict(docs: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """Learn from the documents outside the held-out fold, predict all: doc_id, held_out, lang_pred, score."""
     out = held_out(id_col, folds, fold)

@@ -268,3 +268,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = join_split(member, labels.where("node <> component").withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns: one document of each group.
+
+    Only the ids that go meet the texts. Of repeated rows of one id and text one stays; rows with null ids stay.
+    """
+    found = landed(near_duplicates(docs, id_col, text_col, **options), "found")
+    gone = landed(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    with_id = docs.withColumn("_id", F.col(id_col).cast("long"))
+    left = with_id.join(small(gone, gone.count()), "_id", "left_anti")
+    again = landed(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "again")
+    n = again.count()
+    if n:
+        repeated = left.join(small(again, n), "_id", "left_semi").dropDuplicates(["_id", text_col])
+        left = left.join(small(again, n), "_id", "left_anti").unionByName(repeated)
+    return left.select(*docs.columns)

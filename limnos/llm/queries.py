@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from limnos.llm.decontaminate import report as decontamination_report
 from limnos.llm.embeddings import near_duplicates as near_duplicate_vectors
 from limnos.llm.language import predict as predict_language
+from limnos.llm.licenses import report as license_report
 from limnos.llm.mixing import schedule
 from limnos.llm.near_dedup import near_duplicates
 from limnos.llm.quality import score_quality
@@ -122,3 +123,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_sharding")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
+
+
+@query("op10_licenses")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(_table(spark, sf_dir, "documents"))

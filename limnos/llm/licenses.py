@@ -99,8 +99,8 @@ class Templates:
             out = mix(out + least[r::self.rows] + np.arange(1, self.bands + 1, dtype=np.uint64)[:, None])
         return out
 
-    def hits(self, w) -> list[tuple[int, int, int, float]]:
-        """(template, first word, words, share of the template's shingles) of every window of a piece that holds a template."""
+    def hits(self, w) -> list[tuple[int, int, int, float, int]]:
+        """(template, first word, words, share of the template's shingles, places with one of them) of every window of a piece that holds a template."""
         out = []
         if len(w.hashes) == 0:
             return out
@@ -131,7 +131,8 @@ class Templates:
                             seen.add((i, int(t)))
                             share = float(np.isin(self.sets[t], view[i]).mean())
                             if share >= self.contained:
-                                out.append((int(t), int(s[i]), n, share))
+                                own = int(np.isin(view[i], self.sets[t]).sum())  # of several windows the one with least besides
+                                out.append((int(t), int(s[i]), n, share, own))
         return out
 
 
@@ -165,9 +166,9 @@ def scan(docs: DataFrame, templates: DataFrame, bands: int = BANDS, rows: int =
             for p in pieces(batch.column(1)):
                 w = words(p, IS_WORD, FOLD)
                 best: list[dict] = [{} for _ in range(len(p))]
-                for t, first, n, share in known.hits(w):
+                for t, first, n, share, _ in sorted(known.hits(w), key=lambda h: (-h[3], -h[4], h[1])):
                     d = int(np.searchsorted(w.bounds, first, "right")) - 1
-                    if t not in best[d] or share > best[d][t]["share"]:
+                    if t not in best[d]:
                         best[d][t] = {"license": known.names[t], "first": first - int(w.bounds[d]), "words": n, "from_byte": int(w.begin[first] - p.starts[d]),
                                       "to_byte": int(w.end[first + n - 1] - p.starts[d]), "share": share}
                 found = [sorted(_clearest(list(b.values())), key=lambda m: (m["first"], m["license"], m["words"])) for b in best]

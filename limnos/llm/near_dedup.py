@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = landed(classes.where("copies > 1"), "classes").drop("copies")
     # ids, names and sizes only: the wide columns stay out of the shuffle unless a row is a representative
     member = landed(join_split(signed.select("doc_id", *names), classes, names, "left").select(
-        "doc_id", *names, F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("rep")), "member")
+        "doc_id", *names, F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("rep")), "member")
     later = landed(member.where("doc_id > rep").select("doc_id", *names).distinct(), "later")
     firsts = landed(real.join(small(later, later.count()), ["doc_id", *names], "left_anti"), "firsts")
     several = member.groupBy("doc_id").agg(F.min("rep").alias("_lo"), F.max("rep").alias("_hi")).where("_lo < _hi").select("doc_id")

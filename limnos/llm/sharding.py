@@ -3,8 +3,8 @@
 Documents with equal link keys are neighbours of each other. They differ in nothing that matters here, so the propagation runs on how
 many documents of a group each shard holds, at most one row for each group and shard, and never on pairs. In a round every group picks
 a target among its own shards and the emptiest one, preferably one with room for all of it; its smaller parts ask to move to the
-target; quotas admit them until the shard is full of linked documents. A part only moves to a larger part (or the whole group moves
-together to a new shard), so cut edges fall in every round and the loop ends when nobody moves. Documents without links fill the
+target; quotas admit as many as the target has room for, and swaps between two shards beyond that. A part only moves to a larger part
+(or all parts together to a shard with room), so cut edges fall in every round and the loop ends when nobody moves. Documents without links fill the
 shards up to counts that differ by at most one.
 """
 
@@ -30,26 +30,36 @@ def _room(state: DataFrame, n_docs: int, shards: int) -> DataFrame:
 
 def _round(state: DataFrame, n_docs: int, shards: int) -> DataFrame:
     """Admitted moves of one round: group, from shard, to shard, how many."""
-    room = F.broadcast(_room(state, n_docs, shards))  # one row a shard
+    free = landed(_room(state, n_docs, shards), "room")
+    room = F.broadcast(free)  # one row a shard
     per_group = Window.partitionBy("group")
     here = state.join(room.select("shard", "room"), "shard").withColumn("size", F.sum("n").over(per_group))
-    most = F.broadcast(room.orderBy(F.desc("room"), "shard").limit(1).select(F.col("shard").alias("new"), F.col("room").alias("new_room")))
-    # a target with room for the rest of the group first, then the largest part; a full shard can't take anyone
+    most = F.broadcast(free.orderBy(F.desc("room"), "shard").limit(1).select(F.col("shard").alias("new"), F.col("room").alias("new_room")))
+    # a target with room for the rest of the group first, then any with room, then the largest part
     tie = F.pmod(F.xxhash64("group", "shard"), F.lit(1 << 20))
-    own = F.max(F.when(F.col("room") > 0, F.struct((F.col("room") >= F.col("size") - F.col("n")).alias("fits"), "n", tie.alias("tie"), F.col("shard").alias("to"), "room"))).over(per_group)
+    own = F.max(F.struct((F.col("room") >= F.col("size") - F.col("n")).alias("fits"), (F.col("room") > 0).alias("open"), "n", tie.alias("tie"), F.col("shard").alias("to"))).over(per_group)
     aimed = here.withColumn("own", own).withColumn("parts", F.count("shard").over(per_group)).where("parts > 1").crossJoin(most)
-    whole = (F.col("own").isNull() | ~F.col("own.fits")) & (F.col("new_room") >= F.col("size"))
-    aimed = aimed.withColumn("to", F.when(whole, F.col("new")).otherwise(F.col("own.to"))).where("to is not null and shard <> to")
+    whole = ~F.col("own.fits") & (F.col("new_room") >= F.col("size"))
     smaller = F.struct("n", tie.alias("tie")) < F.struct(F.col("own.n").alias("n"), F.col("own.tie").alias("tie"))
-    movers = aimed.where(whole | smaller).select("group", "shard", "to", "n", whole.alias("whole"))
-    asks = movers.groupBy("group", "to", "whole").agg(F.sum("n").alias("asked"))
-    queued = running(asks, "to", "asked", ["group"], "before").join(room.select(F.col("shard").alias("to"), "room"), "to")
-    granted = queued.select("group", F.greatest(F.lit(0), F.least("asked", F.col("room") - F.col("before"))).alias("granted"), "asked").where("granted > 0")
-    # a group that moves as a whole does so only if all of it is admitted
-    parts = movers.join(granted, "group").where("not whole or granted = asked")
-    ahead = Window.partitionBy("group").orderBy(F.desc("n"), "shard").rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.least(F.col("n"), F.col("granted") - F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-    return parts.select("group", "shard", "to", taken.alias("moved")).where("moved > 0")
+    aimed = aimed.withColumn("whole", whole).withColumn("to", F.when(F.col("whole"), F.col("new")).otherwise(F.col("own.to")))
+    movers = landed(aimed.where(F.col("shard") != F.col("to")).where(F.col("whole") | smaller).select("group", "shard", "to", "n", "whole"), "movers")
+    # groups that move together to the emptiest shard take its room first
+    asks = movers.where("whole").groupBy("group", "to").agg(F.sum("n").alias("asked"))
+    fitting = running(asks, "to", "asked", ["group"], "before").join(room.select(F.col("shard").alias("to"), "room"), "to").where("before + asked <= room")
+    together = landed(movers.join(fitting.select("group", "asked"), "group").where("whole"), "together")
+    used = together.groupBy("to").agg(F.sum("n").alias("used"))
+    # two shards may swap what both send each other; what one sends beyond that needs room. One row for each pair of shards
+    sent = movers.where("not whole").groupBy("shard", "to").agg(F.sum("n").alias("sent"))
+    back = sent.select(F.col("to").alias("shard"), F.col("shard").alias("to"), F.col("sent").alias("back"))
+    pair = sent.join(back, ["shard", "to"], "left").withColumn("swap", F.least("sent", F.coalesce("back", F.lit(0)))).withColumn("beyond", F.col("sent") - F.col("swap"))
+    before = F.coalesce(F.sum("beyond").over(Window.partitionBy("to").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pair = pair.withColumn("ahead", before).join(room.select(F.col("shard").alias("to"), "room"), "to").join(used, "to", "left")
+    left = F.greatest(F.lit(0), F.col("room")) - F.coalesce("used", F.lit(0)) - F.col("ahead")
+    allowed = pair.select("shard", "to", (F.col("swap") + F.greatest(F.lit(0), F.least("beyond", left))).alias("allowed"))
+    single = movers.where("not whole").withColumn("pair", F.col("shard") * shards + F.col("to"))
+    queued = running(single, "pair", "n", ["group"], "before").join(F.broadcast(allowed), ["shard", "to"])
+    granted = queued.select("group", "shard", "to", F.greatest(F.lit(0), F.least("n", F.col("allowed") - F.col("before"))).alias("moved")).where("moved > 0")
+    return granted.unionByName(together.select("group", "shard", "to", F.col("n").alias("moved")))
 
 
 def propagate(state: DataFrame, n_docs: int, shards: int) -> DataFrame:

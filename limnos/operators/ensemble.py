@@ -85,7 +85,7 @@ def solve_rows(products: DataFrame, names: Sequence[str], keys: Sequence[str], p
     return products.mapInPandas(run, ", ".join([f"{c} {types[c]}" for c in k] + ["term string, estimate double, std double, sigma2 double, n long, resid_sd double"]))
 
 
-def bayes_regression(df: DataFrame, xs: Sequence[str], y: str, keys: Sequence[str], precision: float = 1e-6, a0: float = 1.0, b0: float = 1.0) -> DataFrame:
+def bayes_regression(df: DataFrame, xs: Sequence[str], y: str, keys: Sequence[str], precision: float = 0.01, a0: float = 1.0, b0: float = 1.0) -> DataFrame:
     """Conjugate posterior mean and sd of the coefficients and the noise variance."""
     return solve_rows(cross_products(df, xs, y, keys), xs, keys, [precision] * len(xs), a0, b0)
 

@@ -23,14 +23,18 @@ def pointers(edges: DataFrame, node: str, down: str) -> DataFrame:
     return e.join(known, "j", "left").select("v", F.when(F.col("_in"), F.col("j")).alias("j"))
 
 
-def jump_tables(ptr: DataFrame, max_rounds: int = 40) -> list[DataFrame]:
-    """J_0, J_1, ... with J_k(v) the node 2^k steps downstream; stops when every pointer has run out."""
+def jump_tables(ptr: DataFrame) -> list[DataFrame]:
+    """J_0, J_1, ... with J_k(v) the node 2^k steps downstream; stops when every pointer has run out.
+
+    A path without cycles has fewer steps than there are nodes, so more doublings than that mean a cycle.
+    """
+    rounds = max(1, ptr.count()).bit_length() + 1
     tables, cur = [], cut(ptr.where("j IS NOT NULL"))
-    while len(tables) < max_rounds and not cur.isEmpty():
+    while len(tables) < rounds and not cur.isEmpty():
         tables.append(cur)
         nxt = cur.alias("a").join(cur.alias("b"), F.col("a.j") == F.col("b.v")).select(F.col("a.v").alias("v"), F.col("b.j").alias("j"))
         cur = cut(nxt)
-    if len(tables) == max_rounds:
+    if not cur.isEmpty():
         raise ValueError("the network has a cycle; run break_cycles first")
     return tables
 
@@ -91,19 +95,21 @@ def members(ptr: DataFrame, outlets: DataFrame) -> DataFrame:
     """
     o = outlets.select("v").distinct().withColumn("_o", F.lit(True))
     cur = ptr.join(o, "v", "left").select("v", F.when(F.col("_o").isNull(), F.col("j")).alias("j"))
-    tables = jump_tables(cur)
+    tables = jump_tables(break_cycles(cur))
     root = ptr.select("v", F.col("v").alias("root"))
     for t in reversed(tables):  # longest jump first: each is taken at most once
         root = cut(root.join(t.select(F.col("v").alias("root"), "j"), "root", "left").select("v", F.coalesce("j", "root").alias("root")))
     return root.join(o.select(F.col("v").alias("root")), "root").select("v", F.col("root").alias("outlet"))
 
 
-def strahler(ptr: DataFrame, tables: Sequence[DataFrame], max_order: int = 30) -> DataFrame:
+def strahler(ptr: DataFrame, tables: Sequence[DataFrame]) -> DataFrame:
     """Stream order. A node has order above k exactly when it lies at or below a node with two tributaries
-    of order k or more, so the loop runs over orders (a dozen at most), not over levels."""
+    of order k or more, so the loop runs over orders, not over levels, until no order has two tributaries."""
     order = cut(ptr.select("v", F.lit(1).cast("long").alias("strahler")))
     at_least = ptr.select("v")
-    for k in range(1, max_order):
+    k = 0
+    while True:
+        k += 1
         joins = ptr.join(at_least, "v", "left_semi").where("j IS NOT NULL").groupBy(F.col("j").alias("v")).agg(F.count(F.lit(1)).alias("c"))
         seeds = cut(joins.where("c >= 2").select("v"))
         if seeds.isEmpty():
@@ -111,20 +117,23 @@ def strahler(ptr: DataFrame, tables: Sequence[DataFrame], max_order: int = 30) -
         at_least = downstream_closure(seeds, tables)
         order = cut(order.join(at_least.withColumn("_up", F.lit(True)), "v", "left").select(
             "v", F.when(F.col("_up"), F.lit(k + 1)).otherwise(F.col("strahler")).cast("long").alias("strahler")))
-    return order
 
 
 def area_weighted(attrs: DataFrame, tables: Sequence[DataFrame], mean: Sequence[str] = (), total: Sequence[str] = (), top: Sequence[str] = (),
                   area: str = "sub_area", nodata: float = -9999.0) -> DataFrame:
-    """Catchment attributes of every node: area-weighted means, sums and maxima over its upstream area."""
+    """Catchment attributes of every node: area-weighted means, sums and maxima over its upstream area.
+
+    An attribute that is nodata in the whole upstream area is null.
+    """
     w = F.greatest(F.col(area), F.lit(0.0))
     ok = lambda c: F.when(F.col(c) > nodata, F.col(c))
+    known = sorted({*mean, *total})
     v = attrs.select("v", F.lit(1).cast("long").alias("n_sub_basins"), w.alias("area"), *[F.coalesce(ok(c) * w, F.lit(0.0)).alias(f"m_{c}") for c in mean],
-                     *[F.coalesce(ok(c), F.lit(0.0)).alias(f"s_{c}") for c in total], *[ok(c).alias(f"x_{c}") for c in top])
-    s = upstream_sums(v, tables, ["n_sub_basins", "area", *[f"m_{c}" for c in mean], *[f"s_{c}" for c in total]], [f"x_{c}" for c in top])
+                     *[F.coalesce(ok(c), F.lit(0.0)).alias(f"s_{c}") for c in total], *[ok(c).isNotNull().cast("long").alias(f"k_{c}") for c in known], *[ok(c).alias(f"x_{c}") for c in top])
+    s = upstream_sums(v, tables, ["n_sub_basins", "area", *[f"m_{c}" for c in mean], *[f"s_{c}" for c in total], *[f"k_{c}" for c in known]], [f"x_{c}" for c in top])
     d = F.when(F.col("area") > 0, F.col("area")).otherwise(1.0)
-    return s.select("v", "n_sub_basins", F.col("area").alias("area_km2"), *[(F.col(f"m_{c}") / d).alias(f"{c}_mean") for c in mean],
-                    *[F.col(f"s_{c}").alias(f"{c}_sum") for c in total], *[F.col(f"x_{c}").alias(f"{c}_max") for c in top])
+    return s.select("v", "n_sub_basins", F.col("area").alias("area_km2"), *[F.when(F.col(f"k_{c}") > 0, F.col(f"m_{c}") / d).alias(f"{c}_mean") for c in mean],
+                    *[F.when(F.col(f"k_{c}") > 0, F.col(f"s_{c}")).alias(f"{c}_sum") for c in total], *[F.col(f"x_{c}").alias(f"{c}_max") for c in top])
 
 
 # ── elevation grids ─────────────────────────────────────────────────────────────
@@ -213,9 +222,8 @@ def catchment_stats(cells: DataFrame, key: Sequence[str], cell_size: float = 1.0
 def prepare(ptr: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Pointers and their jump tables, with cycles cut when there are any."""
     ptr = cut(ptr)
-    limit = max(1, ptr.count()).bit_length() + 1
     try:
-        return ptr, jump_tables(ptr, limit)
+        return ptr, jump_tables(ptr)
     except ValueError:
         ptr = cut(break_cycles(ptr))
-        return ptr, jump_tables(ptr, limit)
+        return ptr, jump_tables(ptr)

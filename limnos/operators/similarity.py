@@ -41,7 +41,7 @@ CATCHMENT_FEATURES = (
 def transformed(f: Feature) -> Column:
     x = F.col(f.column).cast("double")
     if f.transform == "log10":
-        return F.log10(F.greatest(x, F.lit(1e-6)))
+        return F.log10(F.greatest(x, F.lit(1e-3)))
     if f.transform == "log1p":
         return F.log1p(F.greatest(x, F.lit(0.0)))
     return x
@@ -86,12 +86,15 @@ def block_topk(targets: DataFrame, donors: DataFrame, k: int, distance, rows_per
 def _leave_one_out_spread(donors: DataFrame, n: int, targets: DataFrame) -> DataFrame:
     """Adds each feature's population sd over the donors without the target itself (closed form from sums)."""
     f = [f"f{i}" for i in range(n)]
-    one = donors.agg(*[F.count(c).alias(f"n_{c}") for c in f], *[F.sum(c).alias(f"s_{c}") for c in f], *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in f])
-    inside = targets.join(donors.select("id").withColumn("_d", F.lit(1.0)), "id", "left").join(F.broadcast(one), F.lit(True))
+    # sums around the overall means: squares of large values would lose the spread
+    middle = F.broadcast(donors.agg(*[F.avg(c).alias(f"m_{c}") for c in f]))
+    around = donors.join(middle, F.lit(True)).select("id", *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in f])
+    one = around.agg(*[F.count(c).alias(f"n_{c}") for c in f], *[F.sum(c).alias(f"s_{c}") for c in f], *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in f])
+    inside = targets.join(donors.select("id").withColumn("_d", F.lit(1.0)), "id", "left").join(F.broadcast(one), F.lit(True)).join(middle, F.lit(True))
     own = F.coalesce("_d", F.lit(0.0))
     out = [F.col(c) for c in targets.columns]
     for c in f:
-        x = F.when(F.col(c).isNotNull(), own * F.col(c)).otherwise(0.0)
+        x = F.when(F.col(c).isNotNull(), own * (F.col(c) - F.col(f"m_{c}"))).otherwise(0.0)
         m = F.col(f"n_{c}") - F.when(F.col(c).isNotNull(), own).otherwise(0.0)
         mu = ratio(F.col(f"s_{c}") - x, m)
         var = F.greatest(ratio(F.col(f"q_{c}") - x * x, m) - mu * mu, F.lit(0.0))
@@ -99,21 +102,24 @@ def _leave_one_out_spread(donors: DataFrame, n: int, targets: DataFrame) -> Data
     return inside.select(*out)
 
 
+# What a method's score is made of: attributes, ground distance. An unknown name is a KeyError.
+METHODS = {"similarity": (True, False), "proximity": (False, True), "combined": (True, True)}
+
+
 def similar(targets: DataFrame, donors: DataFrame, features: Sequence[Feature], k: int = 10, method: str = "similarity") -> DataFrame:
     """Top-k donors by standardised attribute distance, ground distance or both.
 
     Both tables come from ``feature_table`` (``lat`` / ``lon`` extra columns for ground distance). A
     missing donor value counts three standard deviations; features a target lacks are left out.
     """
-    if method not in ("similarity", "proximity", "combined"):
-        raise ValueError("method must be similarity, proximity or combined")
+    by_attributes, by_ground = METHODS[method]
     n, w = len(features), np.array([f.weight for f in features])
     cols, sds = [f"f{i}" for i in range(n)], [f"sd_f{i}" for i in range(n)]
     t = _leave_one_out_spread(donors, n, targets)
 
     def distance(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
         attr = ground = 0.0
-        if method != "proximity":
+        if by_attributes:
             x, y, sd = a[cols].to_numpy(float), b[cols].to_numpy(float), a[sds].to_numpy(float)
             acc, tot = np.zeros((len(a), len(b))), np.zeros(len(a))
             for i in range(n):
@@ -123,18 +129,23 @@ def similar(targets: DataFrame, donors: DataFrame, features: Sequence[Feature],
                 acc += np.where(has[:, None], z * z, 0.0)
                 tot += has * w[i] ** 2
             attr = np.sqrt(acc / np.maximum(tot, 1e-9)[:, None])
-        if method != "similarity":
-            ground = _haversine(a, b)
-        return attr if method == "similarity" else ground if method == "proximity" else np.sqrt(attr ** 2 + (ground / SCALE_KM) ** 2)
+        if by_ground:
+            ground = _ground_km(a, b)
+        return np.hypot(attr, ground / SCALE_KM) if by_attributes and by_ground else attr if by_attributes else ground
 
     return block_topk(t, donors, k, distance)
 
 
-def _haversine(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    p1, p2 = np.radians(a["lat"].to_numpy(float))[:, None], np.radians(b["lat"].to_numpy(float))[None, :]
-    dl = np.radians(b["lon"].to_numpy(float))[None, :] - np.radians(a["lon"].to_numpy(float))[:, None]
-    h = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(dl / 2) ** 2
-    return np.nan_to_num(2 * 6371.0088 * np.arcsin(np.minimum(1, np.sqrt(h))), nan=1e9)
+def _on_sphere(d: pd.DataFrame) -> np.ndarray:
+    """Unit vectors of the places of a block."""
+    phi, lam = np.radians(d["lat"].to_numpy(float)), np.radians(d["lon"].to_numpy(float))
+    return np.stack([np.cos(phi) * np.cos(lam), np.cos(phi) * np.sin(lam), np.sin(phi)])
+
+
+def _ground_km(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    """Great-circle distances of two blocks from the chords between their places; unknown places are far from everything."""
+    half_chord = np.sqrt(sum((u[:, None] - v[None, :]) ** 2 for u, v in zip(_on_sphere(a), _on_sphere(b)))) / 2
+    return np.nan_to_num(2 * 6371.0088 * np.arcsin(np.minimum(half_chord, 1.0)), nan=1e9)
 
 
 # Signatures that weigh double.
@@ -191,9 +202,12 @@ def knn_estimates(top: DataFrame, values: DataFrame, log_names: Sequence[str] =
                     "donor_min", "donor_max", "n_donors")
 
 
-def ridge_estimates(donors: DataFrame, targets: DataFrame, values: DataFrame, n: int, log_names: Sequence[str] = (), lam: float = 1.0) -> DataFrame:
+def ridge_estimates(donors: DataFrame, targets: DataFrame, values: DataFrame, n: int, log_names: Sequence[str] = (), lam: float = 1.0,
+                    bounds: dict[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
     """Ridge regression of every signature on the standardised attributes, applied to all targets.
 
+    ``bounds`` holds physical limits by signature; the estimate and its band are clipped to them.
+
     The design reduces to its cross products in one aggregate per signature; only those are solved.
     """
     f = [f"f{i}" for i in range(n)]
@@ -208,7 +222,14 @@ def ridge_estimates(donors: DataFrame, targets: DataFrame, values: DataFrame, n:
     wide = beta.groupBy("signature").pivot("term", names).agg(F.first("estimate")).join(beta.groupBy("signature").agg(F.first("resid_sd").alias("sd"), F.max("n").alias("n_fit")), "signature")
     wide = wide.select("signature", "sd", "n_fit", *[F.col(c).alias(f"b_{c}") for c in names])
     pred = sum((F.col(f"b_{c}") * F.col(c) for c in names), F.lit(0.0))
-    back = lambda e: F.when(is_log, F.exp(e)).otherwise(e)
+    def back(e):
+        e = F.when(is_log, F.exp(e)).otherwise(e)
+        for name, (lo, hi) in (bounds or {}).items():
+            inside = e if lo is None else F.greatest(e, F.lit(lo))
+            inside = inside if hi is None else F.least(inside, F.lit(hi))
+            e = F.when(F.col("signature") == name, inside).otherwise(e)
+        return e
+
     d = z(targets).join(F.broadcast(wide), F.lit(True)).withColumn("p", pred)  # one fitted row per signature
     return d.select(F.col("id").alias("target"), "signature", back(F.col("p")).alias("estimate"), back(F.col("p") - F.col("sd")).alias("low"),
                     back(F.col("p") + F.col("sd")).alias("high"), "n_fit")

@@ -137,7 +137,7 @@ def water_balance_monthly(spark, sf):
 
 
 @query("point_climate", f"WITH {FLOW}, {PRECIP}, a AS (SELECT station_id, avg(s) AS p FROM (SELECT station_id, year(date) AS y, sum(value) AS s FROM precip GROUP BY 1, 2 HAVING count(value) >= 100) GROUP BY 1), b AS (SELECT station_id, avg(s) AS e FROM (SELECT station_id, year(date) AS y, sum(value) AS s FROM flow GROUP BY 1, 2 HAVING count(value) >= 100) GROUP BY 1), "
-       f"c AS (SELECT station_id, max(value) AS w FROM precip GROUP BY 1) SELECT station_id, {N('p')} AS precipitation_per_year, {N('e')} AS et0_per_year, {N('p / e')} AS aridity_index, CASE WHEN p / e < 0.05 THEN 'hyper-arid' WHEN p / e < 0.2 THEN 'arid' WHEN p / e < 0.5 THEN 'semi-arid' WHEN p / e < 0.65 THEN 'dry sub-humid' ELSE 'humid' END AS aridity_class, {N('w')} AS wettest_day FROM a JOIN b USING (station_id) JOIN c USING (station_id)")
+       f"c AS (SELECT station_id, max(value) AS w FROM precip GROUP BY 1) SELECT station_id, {N('p')} AS precipitation_per_year, {N('e')} AS et0_per_year, {N('p / e')} AS aridity_index, CASE WHEN p / e < 0.05 THEN 'hyper-arid' WHEN p / e < 0.2 THEN 'arid' WHEN p / e < 0.5 THEN 'semi-arid' WHEN p / e < 0.65 THEN 'dry sub-humid' WHEN p / e >= 0.65 THEN 'humid' END AS aridity_class, {N('w')} AS wettest_day FROM c LEFT JOIN a USING (station_id) LEFT JOIN b USING (station_id)")
 def point_climate(spark, sf):
     return nudged(C.point_climate(precip(spark, sf), flow(spark, sf), 100), 6, "precipitation_per_year", "et0_per_year", "aridity_index", "wettest_day")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from limnos.functions.special import _t_ppf
 from limnos.operators import dependence as D
 from limnos.operators import ensemble as M
 from limnos.operators import extremes as X
@@ -119,7 +120,20 @@ def gof(spark, sf):
     return nudged(X.goodness_of_fit(a, X.gev_parameters(X.lmoments(a))), 6, "ad", "ad_p", "cvm", "ppcc")
 
 
-for _name, _fn in (("grubbs_beck", X.grubbs_beck), ("ema_censored", X.ema_censored), ("fit_compare", X.fit_compare), ("loo_cv", X.leave_one_out), ("coverage", X.coverage)):
+# t quantiles of the test by how many values are left
+TQ = "(VALUES " + ", ".join(f"({m}, {_t_ppf(0.1 / m, max(m - 2, 1))!r}::DOUBLE)" for m in range(1, 121)) + ") q(m, t)"
+
+
+@query("grubbs_beck", f"WITH {AM}, y AS (SELECT station_id, log10(greatest(value, 1e-30)) AS y, row_number() OVER (PARTITION BY station_id ORDER BY value, year) AS place, count(*) OVER (PARTITION BY station_id) AS n FROM am), "
+       f"r AS (SELECT a.station_id, a.place, a.y, a.n, count(*) AS m, avg(b.y) AS mu, stddev_samp(b.y) AS sd FROM y a JOIN y b ON a.station_id = b.station_id AND b.place >= a.place GROUP BY 1, 2, 3, 4), "
+       f"l AS (SELECT r.*, mu + t * sqrt(r.m - 1) / sqrt(greatest(r.m - 2 + t * t, 1e-15)) * coalesce(sd, 0) AS lim FROM r JOIN {TQ} ON q.m = r.m), "
+       "f AS (SELECT *, bool_and(m >= 5 AND coalesce(sd, 0) >= 1e-15 AND y < lim AND place <= n // 2 - 1) OVER (PARTITION BY station_id ORDER BY place) AS low FROM l) "
+       f"SELECT station_id, {N('CASE WHEN bool_or(low) THEN 10 ** arg_min(lim, place) FILTER (WHERE NOT low) ELSE 10 ** (min(y) - 1) END')} AS threshold, CAST(count(*) FILTER (WHERE low) AS BIGINT) AS n_low, max(n) AS n FROM f GROUP BY 1 HAVING max(n) >= 5")
+def grubbs_beck(spark, sf):
+    return nudged(X.grubbs_beck(am(spark, sf)), 6, "threshold")
+
+
+for _name, _fn in (("ema_censored", X.ema_censored), ("fit_compare", X.fit_compare), ("loo_cv", X.leave_one_out), ("coverage", X.coverage)):
     def _run(spark, sf, fn=_fn):
         return fn(am(spark, sf))
     query(_name)(_run)

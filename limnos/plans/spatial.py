@@ -32,8 +32,8 @@ def downstream_trace(spark, sf):
     return W.downstream_path(b.agg(F.max("hybas_id").alias("v")), jumps).select("start", F.col("v").alias("hybas_id"))
 
 
-AWA = (f"{TREE}, aw AS (SELECT a AS v, count(*) AS n_sub_basins, sum(sub_area) AS area_km2, sum(CASE WHEN precip > -9999 THEN precip * sub_area ELSE 0 END) / CASE WHEN sum(sub_area) > 0 THEN sum(sub_area) ELSE 1 END AS precip_mean, "
-       "sum(CASE WHEN precip > -9999 THEN precip ELSE 0 END) AS precip_sum, max(elev) AS elev_max FROM an JOIN basin ON hybas_id = an.v GROUP BY 1)")
+AWA = (f"{TREE}, aw AS (SELECT a AS v, count(*) AS n_sub_basins, sum(sub_area) AS area_km2, sum(CASE WHEN precip > -9999 THEN precip * sub_area END) / CASE WHEN sum(sub_area) > 0 THEN sum(sub_area) ELSE 1 END AS precip_mean, "
+       "sum(CASE WHEN precip > -9999 THEN precip END) AS precip_sum, max(elev) AS elev_max FROM an JOIN basin ON hybas_id = an.v GROUP BY 1)")
 
 
 def attrs(spark, sf):
@@ -240,7 +240,7 @@ def loo_skill(spark, sf):
 @query("regionalize_ridge")
 def regionalize_ridge(spark, sf):
     f = feats(spark, sf)
-    return S.ridge_estimates(f, f, signature_values(spark, sf), len(FEATS), ["flow_mm"])
+    return S.ridge_estimates(f, f, signature_values(spark, sf), len(FEATS), ["flow_mm"], bounds=BOUNDS)
 
 
 SIG3 = ("flow_mm", "bfi", "slope")

@@ -10,21 +10,22 @@ from pyspark.sql import functions as F
 CANDIDATE_DELIMITERS = (",", "\t", ";", "|")
 
 
-def sniff_delimiter(spark: SparkSession, path: str, lines: int = 50) -> str:
-    """Most frequent delimiter in the first non-comment lines; only that sample reaches the driver."""
-    head = [r[0] for r in spark.read.text(path).where("trim(value) <> '' AND NOT ltrim(value) LIKE '#%'").limit(lines).collect()]
-    best = ","
-    for d in CANDIDATE_DELIMITERS[1:]:
-        if sum(x.count(d) for x in head) > sum(x.count(best) for x in head):
-            best = d
-    return best
-
-
-def read_table(spark: SparkSession, path: str, fmt: str = "text", schema: str | None = None) -> DataFrame:
-    """Delimited text with # comments (all columns as strings) or JSON records."""
+def sniff_delimiter(spark: SparkSession, path: str) -> str:
+    """Most frequent delimiter of all lines that are no comments, in one aggregate; the earlier candidate on ties."""
+    lines = spark.read.text(path).where("trim(value) <> '' AND NOT ltrim(value) LIKE '#%'")
+    counts = lines.agg(*[F.sum(F.length("value") - F.length(F.replace("value", F.lit(d), F.lit("")))).alias(str(i)) for i, d in enumerate(CANDIDATE_DELIMITERS)]).first()
+    return max(enumerate(CANDIDATE_DELIMITERS), key=lambda c: (counts[c[0]] or 0, -c[0]))[1]
+
+
+def read_table(spark: SparkSession, path: str, fmt: str = "text", schema: str | None = None, multi_line: bool = False) -> DataFrame:
+    """Delimited text with # comments (all columns as strings) or JSON records.
+
+    ``multi_line``: each JSON file is one document over several lines, a list of records or ``{"data": [records]}``.
+    """
     if fmt == "json":
-        reader = spark.read
-        return reader.schema(schema).json(path) if schema else reader.json(path)
+        reader = spark.read.option("multiLine", multi_line)
+        df = reader.schema(schema).json(path) if schema else reader.json(path)
+        return df.select(F.inline("data")) if df.columns == ["data"] and dict(df.dtypes)["data"].startswith("array<struct") else df
     reader = spark.read.option("header", True).option("comment", "#").option("sep", sniff_delimiter(spark, path)).option(
         "ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
     if schema:
@@ -89,7 +90,7 @@ def parameter_files(spark: SparkSession, path: str, stations: DataFrame, country
     if end:
         d = d.where(F.col("date") <= end)
     d = d.join(s, "station_id", "left" if country is None else "inner")
-    return d if cap is None else d.limit(cap)
+    return d if cap is None else d.orderBy(*d.columns).limit(cap)  # the order makes a rerun keep the same rows
 
 
 def result_rows(df: DataFrame) -> DataFrame:
@@ -169,12 +170,11 @@ UNIT_HINTS = ((r"cfs|ft3/s|cubic feet", "m3/s", 0.028316846592), (r"m3/s|cms|cum
 FLAG_NAME = r"flag|qual|code|status|remark|comment|id\b"
 
 
-def guess_mapping(df: DataFrame, sample: int = 500) -> DataFrame:
-    """One scored row per column from a bounded sample: date share, numeric share, name and unit hints, role."""
+def guess_mapping(df: DataFrame) -> DataFrame:
+    """One scored row per column over all rows: date share, numeric share, name and unit hints, approximate distinct count, role."""
     import re
 
-    n = lambda c, cond, lim: F.avg(F.when(F.col("_i") < lim, F.when(F.col(c).isNotNull(), cond.cast("double"))))
-    head = df.limit(sample).withColumn("_i", F.monotonically_increasing_id() % sample)
+    n = lambda c, cond: F.avg(F.when(F.col(c).isNotNull(), cond.cast("double")))
     rows = []
     for c in df.columns:
         text = F.col(c).cast("string")
@@ -182,8 +182,8 @@ def guess_mapping(df: DataFrame, sample: int = 500) -> DataFrame:
         is_num = F.expr(f"try_cast(replace(CAST(`{c}` AS STRING), ',', '.') AS DOUBLE) IS NOT NULL")
         bonus = (1.0 if any(re.search(p, c, re.I) for p, *_ in NAME_HINTS) else 0.0) + (0.2 if any(re.search(p, c, re.I) for p, *_ in UNIT_HINTS) else 0.0)
         bonus -= 0.8 if re.search(FLAG_NAME, c, re.I) else 0.0
-        rows.append(F.struct(F.lit(c).alias("column_name"), n(c, is_date, 200).alias("date_share"), n(c, is_num, sample).alias("numeric_share"),
-                             F.lit(bonus).alias("hint"), F.count_distinct(F.col(c)).alias("n_distinct")))
-    d = head.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+        rows.append(F.struct(F.lit(c).alias("column_name"), n(c, is_date).alias("date_share"), n(c, is_num).alias("numeric_share"),
+                             F.lit(bonus).alias("hint"), F.approx_count_distinct(F.col(c)).alias("n_distinct")))
+    d = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
     return d.withColumn("score", F.when(F.col("numeric_share") >= 0.5, F.col("numeric_share") + F.col("hint")))
 

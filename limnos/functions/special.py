@@ -109,9 +109,9 @@ def _gammainc(a: float, x: float) -> float:
         c = b + an / c or 1e-300
         step = d * c
         h *= step
-        if abs(step - 1) < 1e-16:
-            break
-    return 1 - front * h
+        if abs(step - 1) < 1e-15:
+            return 1 - front * h
+    return float("nan")  # not converged: no value is better than a wrong one
 
 
 def _betainc(a: float, b: float, x: float) -> float:
@@ -136,8 +136,8 @@ def _betainc(a: float, b: float, x: float) -> float:
             c = 1 + num / c or tiny
             f *= c * d
         if abs(c * d - 1) < 1e-15:
-            break
-    return front * f
+            return front * f
+    return float("nan")  # not converged
 
 
 def _t_two_sided(t: float, df: float) -> float:

@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, QuantileDiscretizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limnos.operators.ensemble import cross_products, solve_rows
 from limnos.operators.series import KEYS, by, exact_quantiles, numbered
 from limnos.operators.periods import trailing
+from limnos.session import cut
 
 
 def lag_features(df: DataFrame, lags: Sequence[int] = (1, 2, 3, 7), windows: Sequence[int] = (7, 30), keys: Sequence[str] = KEYS) -> DataFrame:
@@ -46,8 +49,11 @@ def seasonal_features(df: DataFrame, lags: Sequence[int] = (1, 2, 3, 7, 14, 30),
 
 
 def enough(df: DataFrame, rows: int) -> bool:
-    """Whether a training table has at least ``rows`` rows (reads no more than that)."""
-    return df.limit(rows).count() >= rows
+    """Whether a training table has at least ``rows`` rows (reads no more than that); says so where it has not."""
+    found = df.limit(rows).count()
+    if found < rows:
+        warnings.warn(f"{found} training rows where {rows} are needed: the result is empty", stacklevel=3)
+    return found >= rows
 
 
 def holdout(df: DataFrame, share: float = 0.3) -> tuple[DataFrame, DataFrame]:
@@ -67,13 +73,15 @@ def pca_clusters(wide: DataFrame, names: Sequence[str], k: int = 3, components:
     return d.select(*wide.columns, *[F.get(p, F.lit(i)).alias(f"pc{i + 1}") for i in range(min(components, len(names)))], "cluster")
 
 
-def forest_classify(wide: DataFrame, names: Sequence[str], trees: int = 50, seed: int = 42) -> DataFrame:
+def forest_classify(wide: DataFrame, names: Sequence[str], trees: int = 100, seed: int = 42) -> DataFrame:
     """Terciles of the first parameter from the others: accuracy and importances."""
     target, xs = names[0], list(names[1:])
     spark = wide.sparkSession
     if not enough(wide, 20):
         return spark.createDataFrame([], "feature string, importance double, accuracy double")
-    d = QuantileDiscretizer(numBuckets=3, inputCol=target, outputCol="label", relativeError=0.001).fit(wide).transform(wide)
+    q = exact_quantiles(wide.select(F.lit(0).alias("_k"), F.col(target).alias("value")), ["_k"], {"lo": 1 / 3, "hi": 2 / 3})
+    x = F.col(target)
+    d = wide.join(F.broadcast(q), F.lit(True)).withColumn("label", F.when(x < F.col("lo"), 0.0).when(x < F.col("hi"), 1.0).otherwise(2.0))
     train, test = holdout(d.select(*names, "label"), 0.3)
     va = VectorAssembler(inputCols=xs, outputCol="features")
     model = RandomForestClassifier(numTrees=trees, seed=seed).fit(va.transform(train))
@@ -85,7 +93,7 @@ def regress(train: DataFrame, test: DataFrame, xs: Sequence[str], y: str, kind:
     """Predictions of the test rows by boosted trees, a forest or a ridge line."""
     if not enough(train, 10):
         return test.limit(0).withColumn("prediction", F.lit(0.0))
-    models = {"gbt": lambda: GBTRegressor(labelCol=y, maxIter=15, maxDepth=3, seed=seed), "forest": lambda: RandomForestRegressor(labelCol=y, numTrees=20, maxDepth=4, seed=seed),
+    models = {"gbt": lambda: GBTRegressor(labelCol=y, maxIter=100, maxDepth=5, stepSize=0.1, seed=seed), "forest": lambda: RandomForestRegressor(labelCol=y, numTrees=100, maxDepth=5, seed=seed),
               "linear": lambda: LinearRegression(labelCol=y, regParam=1e-6), "ridge": lambda: LinearRegression(labelCol=y, regParam=1.0, elasticNetParam=0.0)}
     m = models[kind]()
     if weight:
@@ -110,32 +118,47 @@ def lag_forecast(monthly: DataFrame, n_lags: int = 6, steps: int = 6, keys: Sequ
 
 
 def transfer(features: DataFrame, donors: DataFrame, target_weight: float = 4.0, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Donor-pooled model refitted with the target's own early rows at a higher weight; scored on its late rows.
+    """Donor-pooled linear model of every target with the target's own early rows at a higher weight, scored on its late rows.
 
-    ``donors`` is (target, donor); the pooled rows of all targets are one training table.
+    ``donors`` is (target, donor). A target's late half and everything that donors observed from its start on are kept out of the
+    target's training table. All targets are fitted at once: their weighted cross products are one grouped aggregate.
     """
+    key = keys[0]
     xs = [c for c in features.columns if c.startswith(("lag_", "rolling_", "doy_"))]
-    s = numbered(features.withColumnRenamed("y", "value"), keys).withColumnRenamed("value", "y")
-    early = s.where(F.col("rn") <= F.col("n") / 2).withColumn("w", F.lit(target_weight))
-    pool = donors.select(F.col("donor").alias(keys[0])).join(s, keys[0]).withColumn("w", F.lit(1.0))
-    test = s.where(F.col("rn") > F.col("n") / 2)
-    train = pool.select(*xs, "y", "w").unionByName(early.select(*xs, "y", "w"))
-    return skill(regress(train, test, xs, "y", "linear", "w"), "y", keys)
-
-
-def stacking(df: DataFrame, xs: Sequence[str], y: str, folds: int = 3, bases: Sequence[str] = ("linear", "forest")) -> DataFrame:
-    """Out-of-fold base predictions feed a ridge meta-model; fold by row hash."""
-    d = df.withColumn("_f", F.pmod(F.xxhash64(*df.columns), F.lit(folds))).withColumn("_id", F.xxhash64(*df.columns))
-    oof = None
+    s = numbered(features.withColumnRenamed("y", "value"), keys).withColumnRenamed("value", "y").withColumn("late", F.col("rn") > F.col("n") / 2)
+    split = s.where("late").groupBy(F.col(key).alias("target")).agg(F.min("date").alias("split"))
+    early = s.where("NOT late").select(F.col(key).alias("target"), *xs, "y", F.lit(float(target_weight)).alias("w"))
+    pairs = donors.where(F.col("target") != F.col("donor")).join(split, "target").withColumnRenamed("donor", key)
+    pool = pairs.join(s.select(key, "date", *xs, "y"), key).where("date < split").select("target", *xs, "y", F.lit(1.0).alias("w"))
+    rows = pool.unionByName(early).withColumn("one", F.lit(1.0))
+    names = ["one", *xs]
+    r = F.sqrt("w")
+    weighted = rows.select("target", *[(F.col(c) * r).alias(c) for c in names], (F.col("y") * r).alias("y"))
+    beta = solve_rows(cross_products(weighted, names, "y", ["target"]), names, ["target"], [1e-6] * len(names))
+    wide = beta.groupBy("target").pivot("term", names).agg(F.first("estimate")).select("target", *[F.col(c).alias(f"b_{c}") for c in names])
+    test = s.where("late").withColumn("target", F.col(key)).withColumn("one", F.lit(1.0)).join(wide, "target")
+    predicted = sum((F.col(f"b_{c}") * F.col(c) for c in names), F.lit(0.0))
+    return skill(test.withColumn("prediction", predicted), "y", keys)
+
+
+def stacking(df: DataFrame, xs: Sequence[str], y: str, folds: int = 5, bases: Sequence[str] = ("linear", "forest"), test_share: float = 0.2) -> DataFrame:
+    """Out-of-fold base predictions train a ridge meta-model, the bases are fitted again on all training rows; scored on rows held out.
+
+    Folds follow a row hash, so equal rows stay together; rows are told apart by a number that is written with them.
+    """
+    d = cut(df.withColumn("_id", F.monotonically_increasing_id()))
+    h = F.xxhash64(*df.columns)
+    train = d.where(F.pmod(h, F.lit(1000)) >= int(test_share * 1000)).withColumn("_f", F.pmod(F.shiftright(h, 20), F.lit(folds)))
+    test = d.where(F.pmod(h, F.lit(1000)) < int(test_share * 1000))
+    oof, again = train.select("_id", y), test.select("_id", y)
     for b in bases:
         parts = None
         for f in range(folds):
-            p = regress(d.where(F.col("_f") != f), d.where(F.col("_f") == f), xs, y, b).select("_id", F.col("prediction").alias(f"p_{b}"))
+            p = regress(train.where(F.col("_f") != f), train.where(F.col("_f") == f), xs, y, b).select("_id", F.col("prediction").alias(f"p_{b}"))
             parts = p if parts is None else parts.unionByName(p)
-        oof = parts if oof is None else oof.join(parts, "_id")
-    meta = d.select("_id", y, "_f").join(oof, "_id")
-    train, test = meta.where("_f <> 0"), meta.where("_f = 0")
-    return skill(regress(train, test, [f"p_{b}" for b in bases], y, "ridge"), y)
+        oof = oof.join(parts, "_id")
+        again = again.join(regress(train, test, xs, y, b).select("_id", F.col("prediction").alias(f"p_{b}")), "_id")
+    return skill(regress(oof, again, [f"p_{b}" for b in bases], y, "ridge"), y)
 
 
 def anomaly_scores(features: DataFrame, names: Sequence[str], contamination: float = 0.05, keys: Sequence[str] = KEYS) -> DataFrame:

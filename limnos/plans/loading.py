@@ -187,15 +187,25 @@ def sink_records(spark, sf):
     return back.where("size(geometry.coordinates) = 2").groupBy("properties.source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sink_hec", f"WITH {DO}, s AS (SELECT *, date - lag(date) OVER (PARTITION BY station_id, parameter ORDER BY date) AS st FROM dob), md AS (SELECT station_id, parameter, st, row_number() OVER (PARTITION BY station_id, parameter ORDER BY count(*) DESC, st) AS k FROM s WHERE st IS NOT NULL GROUP BY 1, 2, 3) "
-       "SELECT station_id, parameter, max(st) AS step_days, (SELECT count(*) FROM dob d WHERE d.station_id = md.station_id AND d.parameter = md.parameter) AS n FROM md WHERE k = 1 GROUP BY 1, 2")
-def sink_hec(spark, sf):
-    d = daily_obs(spark, sf)
+HEC = ("h AS (SELECT station_id, parameter, count(*) AS n, min(date) AS start, quantile_cont(st, 0.5) AS step FROM (SELECT *, date_diff('second', lag(date) OVER (PARTITION BY station_id, parameter ORDER BY date), date) AS st "
+       "FROM {src}) GROUP BY 1, 2), p AS (SELECT station_id, parameter, n, CASE WHEN step <= 60 THEN '1MIN' WHEN step <= 300 THEN '5MIN' WHEN step <= 900 THEN '15MIN' WHEN step <= 3600 THEN '1HOUR' WHEN step <= 86400 THEN '1DAY' ELSE 'IR-YEAR' END AS time_step, start FROM h) "
+       "SELECT '/UNKNOWN/' || station_id || '/' || parameter || '/' || upper(strftime(start, '%d%b%Y')) || '/' || time_step || '/OBS/' AS pathname, 'mg/L' AS unit, 'INST-VAL' AS type, n FROM p")
+
+
+def _hec(spark, rows, time):
     path = scratch_path(spark, "hec")
-    K.write_hec_csv(d, path)
-    n = spark.read.option("header", True).csv(path).groupBy("pathname").agg(F.count(F.lit(1)).alias("n"))
-    rec = K.hec_records(d).where("step_days IS NOT NULL").select("station_id", "parameter", F.col("step_days").cast("long").alias("step_days"), "pathname")
-    return rec.join(n, "pathname").drop("pathname")
+    K.write_hec_csv(rows, path, time)
+    return spark.read.option("header", True).csv(path).groupBy("pathname", "unit", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sink_hec", f"WITH {DO}, {HEC.format(src='dob')}")
+def sink_hec(spark, sf):
+    return _hec(spark, daily_obs(spark, sf), "date")
+
+
+@query("sink_hec_subdaily", f"WITH {OBS}, o AS (SELECT station_id, parameter, ts AS date FROM obs), {HEC.format(src='o')}")
+def sink_hec_subdaily(spark, sf):
+    return _hec(spark, obs(spark, sf).select("station_id", "parameter", "ts", "value", F.lit("mg/L").alias("unit")), "ts")
 
 
 @query("sink_swmm", f"WITH {FLOW} SELECT printf('%-16s ', CAST(station_id AS VARCHAR)) || strftime(date, '%m/%d/%Y 00:00') || printf(' %12.4f', value) AS line FROM flow")
@@ -333,7 +343,7 @@ def transfer_pool(spark, sf):
 
 @query("stacking")
 def stacking(spark, sf):
-    return L.stacking(L.lag_features(flow(spark, sf)), ["lag_1", "lag_2", "lag_7", "rolling_mean_7"], "y", folds=2)
+    return L.stacking(L.lag_features(flow(spark, sf)), ["lag_1", "lag_2", "lag_7", "rolling_mean_7"], "y")
 
 
 @query("monte_carlo_exceed")

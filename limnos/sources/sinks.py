@@ -54,21 +54,32 @@ def write_catalog(stations: DataFrame, path: str) -> None:
      .repartitionByRange("source", "station_id").sortWithinPartitions("source", "station_id").write.parquet(path))
 
 
-def hec_records(daily: DataFrame) -> DataFrame:
-    """Pathname, time step and ordered values per (station, parameter) of a daily-bounded table."""
+def hec_records(rows: DataFrame, time: str = "date", watershed: str = "UNKNOWN", source: str = "OBS") -> DataFrame:
+    """One header per (station, parameter): pathname, time step label, first unit, type, start and number of values.
+
+    The label comes from the median distance of neighbouring times; longer than a day, or a single value, is irregular.
+    """
+    k = ["station_id", "parameter"]
+    t = F.unix_timestamp(F.col(time).cast("timestamp"))
+    d = rows.withColumn("_t", t).withColumn("_step", F.col("_t") - F.lag("_t").over(Window.partitionBy(*k).orderBy("_t")))
+    unit = F.min_by(F.col("unit"), F.col("_t")) if "unit" in rows.columns else F.lit("unknown")
+    agg = d.groupBy(*k).agg(F.percentile("_step", F.lit(0.5)).alias("step_seconds"), F.count(F.lit(1)).alias("n"), F.min("_t").alias("_start"), unit.alias("unit"))
+    # Labels by the most seconds that a step may take.
+    label = F.lit("IR-YEAR")
+    for seconds, name in ((86400, "1DAY"), (3600, "1HOUR"), (900, "15MIN"), (300, "5MIN"), (60, "1MIN")):
+        label = F.when(F.col("step_seconds") <= seconds, name).otherwise(label)
+    start = F.upper(F.date_format(F.timestamp_seconds("_start"), "ddMMMyyyy"))
+    path = F.concat(F.lit(f"/{watershed}/"), F.col("station_id").cast("string"), F.lit("/"), F.col("parameter"), F.lit("/"), start, F.lit("/"), label, F.lit(f"/{source}/"))
+    return agg.select(*k, path.alias("pathname"), label.alias("time_step"), F.coalesce("unit", F.lit("unknown")).alias("unit"), F.lit("INST-VAL").alias("type"), "step_seconds",
+                      F.timestamp_seconds("_start").alias("start"), "n")
+
+
+def write_hec_csv(rows: DataFrame, path: str, time: str = "date", watershed: str = "UNKNOWN", source: str = "OBS") -> None:
+    """Rows of pathname, timestamp, value, unit and type, in order of path and time; no series is gathered into one row."""
     k = ["station_id", "parameter"]
-    w = Window.partitionBy(*k).orderBy("date")
-    d = daily.withColumn("step", F.datediff("date", F.lag("date").over(w)))
-    agg = d.groupBy(*k).agg(F.mode("step", True).alias("step_days"), F.count(F.lit(1)).alias("n"), F.min("date").alias("start"),
-                            F.array_sort(F.collect_list(F.struct("date", "value"))).alias("records"))
-    label = F.when(F.col("step_days") == 1, "1DAY").when(F.col("step_days").between(28, 31), "1MON").when(
-        F.col("step_days") >= 365, "1YEAR").otherwise("IR-DAY")
-    path = F.upper(F.concat(F.lit("//"), F.col("station_id").cast("string"), F.lit("/"), F.col("parameter"), F.lit("//"), label, F.lit("/OBS/")))
-    return agg.withColumn("pathname", path)
-
-
-def write_hec_csv(daily: DataFrame, path: str) -> None:
-    (hec_records(daily).select("pathname", F.explode("records").alias("r")).select("pathname", "r.date", "r.value")
+    stamp = F.date_format(F.col(time).cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("timestamp")
+    out = rows.select(*k, stamp, "value").join(hec_records(rows, time, watershed, source).select(*k, "pathname", "unit", "type"), k)
+    (out.select("pathname", "timestamp", "value", "unit", "type").repartitionByRange("pathname", "timestamp").sortWithinPartitions("pathname", "timestamp")
      .write.option("header", True).csv(path))
 
 

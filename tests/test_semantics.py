@@ -180,10 +180,6 @@ def test_kendall_score_equals_pairs(spark, n):
     assert one(trend.kendall_score(series.numbered(daily(spark, v)), ["station_id"]))["s"] == want
 
 
-def test_median_slope_search_equals_direct():
-    v = np.random.default_rng(5).normal(size=301).cumsum()
-    assert abs(trend.median_slope(v) - trend.median_slope(v, direct=10)) < 1e-9
-
 
 def test_mann_kendall_of_a_line(spark):
     r = one(trend.mann_kendall(daily(spark, [2 * i + 1 for i in range(12)])))
@@ -332,3 +328,90 @@ def test_alert_sink_skips_empty_batches(spark):
     handle(d, 1)
     handle(d.limit(0), 2)
     assert seen == [1]
+
+
+# ── one method at every size ────────────────────────────────────────────────────
+def test_median_slope_takes_one_path_at_all_lengths():
+    from limnos.operators.trend import median_slope
+    r = np.random.default_rng(1)
+    for n in (2, 3, 63, 64, 65, 2999, 3001):
+        for v in (r.standard_normal(n), r.integers(0, 4, n).astype(float), np.full(n, 7.0)):
+            i, j = np.triu_indices(n, 1)
+            assert abs(median_slope(v) - np.median((v[j] - v[i]) / (j - i))) < 1e-12
+
+
+def test_networks_know_no_largest_order_and_cut_cycles(spark):
+    import inspect
+    from limnos.operators import network
+    assert "max_order" not in inspect.signature(network.strahler).parameters
+    ptr = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3), (5, 6), (6, None)], "v long, j long")
+    got = {(r.v, r.outlet) for r in network.members(ptr, spark.createDataFrame([(6,)], "v long")).collect()}
+    assert got == {(5, 6), (6, 6)}
+
+
+def test_area_weighted_attribute_without_data_is_null(spark):
+    from limnos.operators import network
+    t = spark.createDataFrame([(1, 2, 4.0, -9999.0), (2, None, 6.0, -9999.0), (3, None, 5.0, 8.0)], "v long, j long, sub_area double, rain double")
+    p, jumps = network.prepare(t.select("v", "j"))
+    out = {r.v: (r.rain_mean, r.rain_sum) for r in network.area_weighted(t, jumps, ["rain"], ["rain"]).collect()}
+    assert out == {1: (None, None), 2: (None, None), 3: (8.0, 8.0)}
+
+
+def test_delimiter_counts_all_lines(spark, tmp_path):
+    from limnos.sources import readers
+    (tmp_path / "t.txt").write_text("# a,b,c,d,e,f,g\n" + "x\n" * 80 + "a;b;c\n" * 5)
+    assert readers.sniff_delimiter(spark, str(tmp_path / "t.txt")) == ";"
+    (tmp_path / "m.json").write_text('{"data": [\n {"a": 1},\n {"a": 2}\n]}')
+    assert sorted(r.a for r in readers.read_table(spark, str(tmp_path / "m.json"), "json", multi_line=True).collect()) == [1, 2]
+
+
+def test_feature_floor_and_spread_of_large_values(spark):
+    from limnos.operators import similarity as sim
+    f = [sim.Feature("a", None, 1.0)]
+    d = sim.feature_table(spark.createDataFrame([(i, 1e9 + i) for i in range(5)], "k long, a double"), "k", f)
+    near = {r.target: r.donor for r in sim.similar(d, d, f, 1).collect()}
+    assert near[0] == 1 and near[4] == 3
+    score = sim.similar(d, d, f, 1).where("target = 0").first().score
+    assert abs(score - 1 / np.std([1, 2, 3, 4])) < 1e-6
+    tiny = spark.createDataFrame([(1, 1e-5)], "k long, a double")
+    assert sim.feature_table(tiny, "k", [sim.Feature("a", "log10", 1.0)]).first().f0 == -3.0
+
+
+def test_ridge_estimates_stay_in_physical_bounds(spark):
+    from limnos.operators import similarity as sim
+    f = [sim.Feature("a", None, 1.0)]
+    d = sim.feature_table(spark.createDataFrame([(i, float(i)) for i in range(40)], "k long, a double"), "k", f)
+    v = spark.createDataFrame([(i, "bfi", 0.1 * i - 1) for i in range(40)], "id long, signature string, value double")
+    out = sim.ridge_estimates(d, d, v, 1, bounds={"bfi": (0.0, 1.0)}).collect()
+    assert out and all(0 <= x <= 1 for r in out for x in (r.estimate, r.low, r.high))
+
+
+def test_regional_skew_draws_the_censored_fit(spark):
+    v = list(np.exp(np.random.default_rng(4).normal(3, 0.5, 30))) + [0.0, 0.0]
+    a = annual(spark, v)
+    far = lambda g: extremes.ema_censored(a, periods=[100.0], regional_skew=g).first().level
+    own = extremes.ema_censored(a, periods=[100.0]).first()
+    assert own.n_censored == 2 and far(-2.0) < own.level < far(2.0)
+
+
+def test_transfer_never_sees_the_late_half(spark):
+    import datetime as dt
+    from limnos.operators import learn
+    r = np.random.default_rng(2)
+    rows = []
+    for s in (1, 2):
+        for i in range(200):
+            x = float(r.normal())
+            rows.append((s, dt.date(2000, 1, 1) + dt.timedelta(i), x, (2 * x if i < 100 else -2 * x)))  # the relation turns where the late half begins
+    f = spark.createDataFrame(rows, "station_id long, date date, lag_1 double, y double")
+    out = learn.transfer(f, spark.createDataFrame([(1, 2), (2, 1), (1, 1)], "target long, donor long")).collect()
+    assert len(out) == 2 and all(x.r2 < -1 for x in out)
+
+
+def test_exchange_path_has_start_and_median_step(spark):
+    import datetime as dt
+    from limnos.sources import sinks
+    t0 = dt.datetime(2020, 3, 5)
+    rows = [("a", "q", t0 + dt.timedelta(minutes=15 * i), 1.0) for i in range(5)] + [("b", "q", t0, 1.0)] + [("c", "q", t0 + dt.timedelta(days=d), 1.0) for d in (0, 1, 2, 40)]
+    out = {r.station_id: r.pathname for r in sinks.hec_records(spark.createDataFrame(rows, "station_id string, parameter string, ts timestamp, value double"), "ts").collect()}
+    assert out == {"a": "/UNKNOWN/a/q/05MAR2020/15MIN/OBS/", "b": "/UNKNOWN/b/q/05MAR2020/IR-YEAR/OBS/", "c": "/UNKNOWN/c/q/05MAR2020/1DAY/OBS/"}

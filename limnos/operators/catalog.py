@@ -78,6 +78,11 @@ def even_pick(df: DataFrame, count: int, group: str = "source", order: str = "st
 
 
 def suggest(df: DataFrame, limit: int, order: Sequence[Column]) -> DataFrame:
-    """Round-robin over sources, the best record of each source first."""
+    """Round-robin over sources, the best record of each source first.
+
+    Nobody beyond a source's first ``limit`` records can come out, so each source is first cut to that in salted parts.
+    """
+    part = Window.partitionBy("source", "_salt").orderBy(*order)
+    best = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(64))).withColumn("_turn", F.row_number().over(part)).where(F.col("_turn") <= limit).drop("_salt", "_turn")
     w = Window.partitionBy("source").orderBy(*order)
-    return df.withColumn("turn", F.row_number().over(w)).orderBy("turn", "source").limit(limit)
+    return best.withColumn("turn", F.row_number().over(w)).orderBy("turn", "source").limit(limit)

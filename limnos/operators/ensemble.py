@@ -16,7 +16,10 @@ def skill_weights(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Inverse-RMSE weights per model (rows: model, obs, sim)."""
     k = list(keys)
     r = df.groupBy(*k, "model").agg((1 / F.greatest(F.sqrt(F.avg(F.pow(F.col("obs") - F.col("sim"), 2))), F.lit(1e-10))).alias("inv"))
-    return r.select(*k, "model", (F.col("inv") / F.sum("inv").over(whole(k) if k else Window.partitionBy(F.lit(0)))).alias("weight"))
+    if k:
+        return r.select(*k, "model", (F.col("inv") / F.sum("inv").over(whole(k))).alias("weight"))
+    total = F.broadcast(r.agg(F.sum("inv").alias("total")))  # one row
+    return r.join(total, F.lit(True)).select("model", (F.col("inv") / F.col("total")).alias("weight"))
 
 
 def combine(df: DataFrame, weights: DataFrame | None = None, at: Sequence[str] = ("date",), on: Sequence[str] = ("model",)) -> DataFrame:

@@ -89,7 +89,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, link: Column | None = None, id_
     n_docs = rows.count()
     groups = rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.count(F.lit(1)).alias("size_g")).where("size_g > 1")
     groups = landed(groups, "groups")
-    spread = max(16, n_docs // ROWS_A_TASK)
+    spread = max(256, n_docs // ROWS_A_TASK)
     tagged = landed(join_split(rows, groups, "group", "left").withColumn("linked", F.col("size_g").isNotNull()).drop("size_g"), "tagged")
     order = F.struct(F.coalesce("doc_id", F.lit(-2**63)), "size", "text_crc32")
     linked = gapless(tagged.where("linked").withColumn("_order", order), "group", ["_order"], "at", spread)
@@ -110,7 +110,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, link: Column | None = None, id_
     fill = _room(state, n_docs, shards).select("shard", F.coalesce(F.sum("room").over(before), F.lit(0)).alias("lo"), "room")
     filled = single.join(F.broadcast(fill), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("lo") + F.col("room"))).select("doc_id", "size", "text_crc32", "linked", "shard", "_order")
     both = landed(placed.unionByName(filled), "placed")
-    out = gapless(both, "shard", ["_order"], "slot", max(16, spread // shards))
+    out = gapless(both, "shard", ["_order"], "slot", max(64, spread // shards))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "linked")
 
 

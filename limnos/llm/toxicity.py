@@ -4,6 +4,8 @@ A model spells words: P(byte | the ``ORDER`` - 1 bytes before it in the word). A
 leaves the freed mass to a distribution of order ``BACKOFF`` that both classes share. That one comes from every document of the
 corpus, labelled or not. Both count how many distinct words of a document hold an n-gram, so a repeated line counts once. N-grams
 that a class has seen less than ``CUTOFF`` times count as unseen: rare spellings fall back to what both share and say nothing.
+Small differences, such as one class having more texts of a language, would add up over a long text, so each n-gram's difference
+counts only by what exceeds ``MARGIN``.
 The score is a logistic function of the difference of the log-likelihoods divided by the number of words, fitted on labelled
 documents that the counts have not seen.
 """
@@ -23,8 +25,9 @@ from limnos.llm.spread import small
 
 PER_CLASS = 4_000  # expected labelled documents of each class that the models learn from
 ORDER, BACKOFF = 7, 4  # bytes; at most 8
-DISCOUNT = 8.0  # more than is usual, so that chance in small samples stays with the shared backoff
-CUTOFF = 9
+DISCOUNT = 3.0  # more than is usual, so that chance in small samples stays with the shared backoff
+CUTOFF = 4
+MARGIN = 1.5  # of an n-gram's log-likelihood difference only what exceeds this counts
 FIT_PARTS, FIT_PART = 5, 0  # part of the sample that fits the logistic function instead of the counts
 
 IS_WORD = table(lambda b: 0x61 <= b <= 0x7A or b >= 0x80)
@@ -139,7 +142,7 @@ def backoff_counts(docs: DataFrame, order: int = BACKOFF) -> DataFrame:
     return docs.select("text").mapInArrow(task, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def fit_models(sample: DataFrame, docs: DataFrame, discount: float = DISCOUNT, cutoff: int = CUTOFF) -> ClassModels:
+def fit_models(sample: DataFrame, docs: DataFrame, discount: float = DISCOUNT, cutoff: int = CUTOFF, margin: float = MARGIN) -> ClassModels:
     """Class models from a bounded labelled sample (text, label) and backoff counts from all texts of ``docs``.
 
     The driver receives n-grams that the sample has at least ``cutoff`` times, their histories and their shared probabilities, all
@@ -172,7 +175,8 @@ def fit_models(sample: DataFrame, docs: DataFrame, discount: float = DISCOUNT, c
         freed[c] -= np.bincount(after, own[c], minlength=len(histories.values))
     freed = np.maximum(freed, 1e-6)
     like = np.log(own + freed[:, after] * shared)
-    return ClassModels(grams, like[1] - like[0], histories, np.log(freed[1]) - np.log(freed[0]))
+    beyond = lambda d: np.sign(d) * np.maximum(np.abs(d) - margin, 0)
+    return ClassModels(grams, beyond(like[1] - like[0]), histories, beyond(np.log(freed[1]) - np.log(freed[0])))
 
 
 def differences(docs: DataFrame, models: ClassModels) -> DataFrame:

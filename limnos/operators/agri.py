@@ -15,31 +15,31 @@ from limnos.operators.series import per_series
 
 # Crop, single coefficient (initial, mid, late), basal coefficient (initial, mid, late),
 # stage lengths in days (initial, development, mid, late).
-CROPS = """
-wheat_winter|0.4|1.15|0.25|0.15|1.10|0.25|30|140|40|30
-maize|0.3|1.20|0.60|0.15|1.15|0.50|20|35|40|30
-rice_paddy|1.05|1.20|0.90|1.00|1.15|0.70|30|30|60|30
-soybean|0.4|1.15|0.50|0.15|1.10|0.30|20|30|60|25
-cotton|0.35|1.15|0.70|0.15|1.10|0.50|30|50|55|45
-sugarcane|0.40|1.25|0.75|0.15|1.20|0.70|35|60|190|120
-tomato|0.60|1.15|0.80|0.15|1.10|0.70|30|40|40|25
-potato|0.50|1.15|0.75|0.15|1.10|0.65|25|30|45|30
-grape|0.30|0.85|0.45|0.15|0.80|0.40|20|40|120|60
-citrus|0.65|0.60|0.65|0.60|0.55|0.60|60|90|120|95
-olive|0.65|0.70|0.65|0.55|0.65|0.55|30|90|60|90
-sunflower|0.35|1.05|0.35|0.15|1.00|0.30|25|35|45|25
-barley|0.30|1.15|0.25|0.15|1.10|0.15|15|25|50|30
-alfalfa|0.40|0.95|0.90|0.30|0.90|0.85|10|30|25|10
-onion|0.70|1.05|0.75|0.15|1.00|0.70|15|25|70|40
-cabbage|0.70|1.05|0.95|0.15|1.00|0.90|20|25|60|15
-pepper|0.60|1.05|0.90|0.15|1.00|0.80|25|35|40|20
-banana|0.50|1.10|1.00|0.15|1.05|0.90|120|60|180|5
-coffee|0.90|0.95|0.95|0.85|0.90|0.90|60|90|120|60
-tea|0.95|1.00|1.00|0.90|0.95|0.95|60|90|120|60
-sorghum|0.30|1.05|0.55|0.15|0.95|0.35|20|35|40|30
-groundnut|0.40|1.15|0.60|0.15|1.10|0.50|25|35|45|25
-sugar_beet|0.35|1.20|0.70|0.15|1.15|0.50|30|45|90|15
-"""
+CROPS = (
+    ("wheat_winter", 0.4, 1.15, 0.25, 0.15, 1.10, 0.25, 30, 140, 40, 30),
+    ("maize", 0.3, 1.20, 0.60, 0.15, 1.15, 0.50, 20, 35, 40, 30),
+    ("rice_paddy", 1.05, 1.20, 0.90, 1.00, 1.15, 0.70, 30, 30, 60, 30),
+    ("soybean", 0.4, 1.15, 0.50, 0.15, 1.10, 0.30, 20, 30, 60, 25),
+    ("cotton", 0.35, 1.15, 0.70, 0.15, 1.10, 0.50, 30, 50, 55, 45),
+    ("sugarcane", 0.40, 1.25, 0.75, 0.15, 1.20, 0.70, 35, 60, 190, 120),
+    ("tomato", 0.60, 1.15, 0.80, 0.15, 1.10, 0.70, 30, 40, 40, 25),
+    ("potato", 0.50, 1.15, 0.75, 0.15, 1.10, 0.65, 25, 30, 45, 30),
+    ("grape", 0.30, 0.85, 0.45, 0.15, 0.80, 0.40, 20, 40, 120, 60),
+    ("citrus", 0.65, 0.60, 0.65, 0.60, 0.55, 0.60, 60, 90, 120, 95),
+    ("olive", 0.65, 0.70, 0.65, 0.55, 0.65, 0.55, 30, 90, 60, 90),
+    ("sunflower", 0.35, 1.05, 0.35, 0.15, 1.00, 0.30, 25, 35, 45, 25),
+    ("barley", 0.30, 1.15, 0.25, 0.15, 1.10, 0.15, 15, 25, 50, 30),
+    ("alfalfa", 0.40, 0.95, 0.90, 0.30, 0.90, 0.85, 10, 30, 25, 10),
+    ("onion", 0.70, 1.05, 0.75, 0.15, 1.00, 0.70, 15, 25, 70, 40),
+    ("cabbage", 0.70, 1.05, 0.95, 0.15, 1.00, 0.90, 20, 25, 60, 15),
+    ("pepper", 0.60, 1.05, 0.90, 0.15, 1.00, 0.80, 25, 35, 40, 20),
+    ("banana", 0.50, 1.10, 1.00, 0.15, 1.05, 0.90, 120, 60, 180, 5),
+    ("coffee", 0.90, 0.95, 0.95, 0.85, 0.90, 0.90, 60, 90, 120, 60),
+    ("tea", 0.95, 1.00, 1.00, 0.90, 0.95, 0.95, 60, 90, 120, 60),
+    ("sorghum", 0.30, 1.05, 0.55, 0.15, 0.95, 0.35, 20, 35, 40, 30),
+    ("groundnut", 0.40, 1.15, 0.60, 0.15, 1.10, 0.50, 25, 35, 45, 25),
+    ("sugar_beet", 0.35, 1.20, 0.70, 0.15, 1.15, 0.50, 30, 45, 90, 15),
+)
 CROP_COLS = (["crop", "kc_ini", "kc_mid", "kc_late", "kcb_ini", "kcb_mid", "kcb_late", "l_ini", "l_dev", "l_mid", "l_late"],
              ["string"] + ["double"] * 10)
 

@@ -18,12 +18,6 @@ from limnos.operators.series import whole
 from limnos.operators.trend import kendall_tau_b
 
 
-def wide_parameters(df: DataFrame, index: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Complete rows of the (index × parameter) table."""
-    w = df.groupBy(*index).pivot("parameter", list(names)).agg(F.avg("value"))
-    return w.dropna(subset=list(names))
-
-
 def column_pairs(wide: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """(param1, param2, x, y) rows: a fixed number of column pairs per complete row."""
     cells = [F.struct(F.lit(a).alias("param1"), F.lit(b).alias("param2"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y"))
@@ -83,11 +77,6 @@ def tail_shares(po: DataFrame, keys: Sequence[str], q: float = 0.1) -> DataFrame
     return po.groupBy(*keys).agg((F.avg(up.cast("double")) / q).alias("upper_tail_dep"), (F.avg(lo.cast("double")) / q).alias("lower_tail_dep"))
 
 
-def kendall_and_tails(pairs: DataFrame, keys: Sequence[str], q: float = 0.1) -> DataFrame:
-    k = list(keys)
-    return kendall_tau_b(pairs, "x", "y", k).select(*k, "n", "tau").join(tail_shares(pseudo_observations(pairs, k), k, q), k)
-
-
 def _frank_theta(tau: float) -> float:
     """Frank parameter of a Kendall tau: bisection on its Debye-function relation."""
     if not abs(tau) < 1 or abs(tau) < 1e-8:

@@ -81,9 +81,5 @@ def trend_significance(fit: DataFrame, confidence: float = 0.95) -> DataFrame:
             .withColumn("ci_low", F.col("slope") - F.col("_h")).withColumn("ci_high", F.col("slope") + F.col("_h")).drop("_h"))
 
 
-def days_in_month() -> Column:
-    return F.dayofmonth(F.last_day("date"))
-
-
 def trailing(keys: Sequence[str], rows: int):
     return Window.partitionBy(*keys).orderBy("date").rowsBetween(-(rows - 1), 0)

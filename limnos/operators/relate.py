@@ -64,18 +64,3 @@ def lag_correlation(df: DataFrame, keys: Sequence[str] = KEYS, x: str = "obs", y
 
     schema = ", ".join([f"{c} {types[c]}" for c in k] + ["correlation double, lag_days long, lag_correlation double"])
     return per_series(df.select(*k, "date", x, y), k, run, schema)
-
-
-def at_or(col: Column, fallback: Column) -> Column:
-    """Looked-up value with its stated fallback."""
-    return F.coalesce(col, fallback)
-
-
-def gridded_pairs(a: DataFrame, b: DataFrame, cell: float, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """Candidate neighbours within one grid cell of each other (b is spread over the 3 x 3 cells around it)."""
-    t = lambda c: F.floor(F.col(c) / cell)
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    left = a.withColumn("_x", t(lon)).withColumn("_y", t(lat))
-    right = (b.withColumn("_x", t(lon)).withColumn("_y", t(lat)).withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
-             .withColumn("_x", F.col("_x") + F.col("_dx")).withColumn("_y", F.col("_y") + F.col("_dy")).drop("_dx", "_dy"))
-    return left.join(right, ["_x", "_y"]).drop("_x", "_y")

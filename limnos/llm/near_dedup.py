@@ -136,8 +136,10 @@ def similar_pairs(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, perc
 
 def _open_buckets(members: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """Members with their component, and the buckets that still hold two components: size and pivot."""
-    m = (members.withColumn("c", F.col("node")) if labels.isEmpty() else  # the first round, unless an id has several texts
-         join_split(members, labels, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("c")))
+    if labels.isEmpty():  # the first round, unless an id has several texts
+        m = members.withColumn("c", F.col("node"))
+    else:
+        m = landed(join_split(members, labels, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("c")), "placed")
     key = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("pivot"), F.col("c").alias("pivot_c"), F.col("size").alias("pivot_size"))
     b = m.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.min(key).alias("p")).where("_lo < _hi")
     return m, b.select("bucket", "n", "p.pivot", "p.pivot_c", "p.pivot_size")
@@ -261,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = landed(join_split(signed.select("doc_id", *names), classes, names, "left").select(
         "doc_id", *names, F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("rep")), "member")
     later = landed(member.where("doc_id > rep").select("doc_id", *names).distinct(), "later")
-    firsts = landed(real.join(small(later, later.count()), ["doc_id", *names], "left_anti"), "firsts")
+    firsts = real.join(small(later, later.count()), ["doc_id", *names], "left_anti")
     several = member.groupBy("doc_id").agg(F.min("rep").alias("_lo"), F.max("rep").alias("_hi")).where("_lo < _hi").select("doc_id")
     ties = member.join(several, "doc_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     labels = _labels(firsts, d, percent, few, landed(ties, "ties"))

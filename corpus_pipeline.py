@@ -31,13 +31,13 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources at their target weights, in the order of the schedule, up to where the first source runs out."""
-    return mixing.mixed(docs)
+    """All documents in the order of the schedule: sources at their target weights, and at those of the remaining ones when one runs out."""
+    return mixing.mixed(docs, whole=True)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and place of every document of the mix."""
-    return sharding.shard(docs)
+    """Shard and place of every document of the mix; a shard keeps the order of the mix."""
+    return sharding.shard(docs, in_order=True)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup_stage), ("decontaminate", decontaminate_stage), ("mixing", mixing_stage), ("sharding", sharding_stage)]

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from limnos.llm.spread import gapless, join_split, landed, running
+from limnos.llm.spread import file_place, gapless, join_split, landed, running
 
 SHARDS = 16
 ROWS_A_TASK = 50_000
+ROWS_A_RUN = 8_192  # consecutive rows of a file that one task numbers when shards keep an order
 
 
 def _room(state: DataFrame, n_docs: int, shards: int) -> DataFrame:
@@ -73,7 +74,7 @@ def propagate(state: DataFrame, n_docs: int, shards: int) -> DataFrame:
         state = landed(state.unionByName(change).groupBy("group", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "state")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, link: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, link: Column | None = None, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False) -> DataFrame:
     """Shard of every document under the law ``rows``: counts of any two shards differ by at most one.
 
     ``link``: key of the groups whose documents belong together; by default the text itself. Returns one row per input row: doc_id,
@@ -81,11 +82,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, link: Column | None = None, id_
     linked (whether another document has its key). A null key links with nothing; a null text has size 1 and checksum 0. Null ids and
     repeated rows get places of their own. With fewer documents than shards the first shards get one each. An empty table gives no
     rows. Other columns are not read. A group larger than a shard is parted into as few parts as the rounds find.
+
+    ``in_order``: slots follow the order of ``docs``, which must then be read from Parquet files that lie in order; otherwise they
+    follow a hash. The shards are the same either way.
     """
     text = F.col(text_col).cast("string")
     key = F.when(text.isNotNull(), F.xxhash64(text)) if link is None else F.when(link.isNotNull(), F.xxhash64(link))
     rows = landed(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-                              F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), key.alias("group")), "rows")
+                              F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), key.alias("group"), *([file_place().alias("_place")] if in_order else [])), "rows")
+    placed_by = ["_place"] if in_order else ["_order"]
     n_docs = rows.count()
     groups = rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.count(F.lit(1)).alias("size_g")).where("size_g > 1")
     groups = landed(groups, "groups")
@@ -102,15 +107,16 @@ def shard(docs: DataFrame, shards: int = SHARDS, link: Column | None = None, id_
     state = propagate(_within(start, n_docs, shards), n_docs, shards)
     ahead = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     parts = landed(state.select("group", "shard", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("lo"), "n"), "parts")
-    placed = join_split(linked, parts, "group").where("at >= lo and at < lo + n").select("doc_id", "size", "text_crc32", "linked", "shard", "_order")
+    placed = join_split(linked, parts, "group").where("at >= lo and at < lo + n").select("doc_id", "size", "text_crc32", "linked", "shard", *placed_by)
     # documents without links fill what the law leaves
     one = F.lit(0)
     single = gapless(tagged.where("not linked").withColumn("_order", order).withColumn("_all", one), "_all", ["_order"], "at", spread)
     before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     fill = _room(state, n_docs, shards).select("shard", F.coalesce(F.sum("room").over(before), F.lit(0)).alias("lo"), "room")
-    filled = single.join(F.broadcast(fill), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("lo") + F.col("room"))).select("doc_id", "size", "text_crc32", "linked", "shard", "_order")
+    filled = single.join(F.broadcast(fill), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("lo") + F.col("room"))).select("doc_id", "size", "text_crc32", "linked", "shard", *placed_by)
     both = landed(placed.unionByName(filled), "placed")
-    out = gapless(both, "shard", ["_order"], "slot", max(64, spread // shards))
+    run = F.struct("_place.task", "_place.file", F.floor(F.col("_place.row") / ROWS_A_RUN).alias("run")) if in_order else None
+    out = gapless(both, "shard", placed_by, "slot", max(64, spread // shards), run)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "linked")
 
 

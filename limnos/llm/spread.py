@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -35,14 +35,15 @@ def join_split(left: DataFrame, right: DataFrame, keys: str | list[str], how: st
     return left.withColumn("_again", again).join(right.withColumn("_again", again), [*keys, "_again"], how).drop("_again")
 
 
-def gapless(df: DataFrame, key: str, order: list[str], out: str, spread: int = 256) -> DataFrame:
+def gapless(df: DataFrame, key: str, order: list[str], out: str, spread: int = 256, bucket: Column | None = None) -> DataFrame:
     """Number the rows of every key from 0 without gaps, with ``spread`` tasks a key instead of one.
 
     Rows go to ``spread`` buckets of each key by a hash of ``order``; a bucket's base is the count of the buckets before it, so the
-    only window over a whole key has ``spread`` rows. ``order`` must tell the rows apart for the numbering to be repeatable.
+    only window over a whole key has ``spread`` rows. ``order`` must tell the rows apart for the numbering to be repeatable. With a
+    ``bucket`` that never falls along ``order`` the numbers follow ``order`` through the whole key.
     """
     b = "_bucket"
-    dealt = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(spread)).cast("int"))
+    dealt = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(spread)).cast("int") if bucket is None else bucket)
     counts = dealt.groupBy(key, b).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(F.col(key).alias("_k"), F.col(b).alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -52,6 +53,13 @@ def gapless(df: DataFrame, key: str, order: list[str], out: str, spread: int = 2
             .withColumn(out, (F.col("_base") + F.col("_rank")).cast("long")).drop("_k", "_b", "_base", "_rank", b))
 
 
+def file_place() -> Column:
+    """Place of a row in a table read from Parquet files that Spark wrote in order: writing task, file of the task, row of the file."""
+    name = F.col("_metadata.file_name")
+    number = lambda pattern: F.regexp_extract(name, pattern, 1).try_cast("int")
+    return F.struct(number("^part-([0-9]+)").alias("task"), number("-c([0-9]+)[.]").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def running(df: DataFrame, key: str, value: str, order: list[str], out: str, spread: int = 1024) -> DataFrame:
     """Sum of ``value`` over the rows of a key before each row, in order of a hash bucket and then of ``order``, without one task per key."""
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(spread)).cast("int"))

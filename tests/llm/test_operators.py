@@ -275,6 +275,21 @@ def test_mixing_follows_pfair_windows(spark):
     assert m.columns == d.columns and m.count() == sum(r[0] in mixed for r in rows)
 
 
+def test_pipeline_mix_is_whole_and_shards_keep_its_order(spark, tmp_path):
+    import corpus_pipeline
+    rows = [(i, f"text {i}", None, s) for i, s in enumerate(["hot"] * 3000 + ["b"] * 700 + [None] * 90 + ["one"])] + [(None, "t", None, "b"), (3, "again", None, "hot"), (None, None, None, "hot")]
+    d = clashing(spark, rows)
+    stages = dict(corpus_pipeline.STAGES)
+    stages["mixing"](spark, d, "").write.parquet(out := str(tmp_path / "mix"))
+    m = spark.read.parquet(out)
+    assert m.columns == d.columns and sorted(map(str, m.collect())) == sorted(map(str, d.collect()))
+    slot = {o.doc_id: (o.slot, o.position) for o in mixing.schedule(d).orderBy("slot", "position", ascending=False).collect()}
+    by = defaultdict(list)
+    for o in stages["sharding"](spark, m, "").orderBy("shard", "slot").collect():
+        by[o.shard].append(slot[o.doc_id])
+    assert sum(map(len, by.values())) == len(rows) and all(v == sorted(v) for v in by.values())
+
+
 def test_every_period_is_full_and_in_time():
     r = random.Random(7)
     for _ in range(60):

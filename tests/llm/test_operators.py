@@ -290,6 +290,24 @@ def test_pipeline_mix_is_whole_and_shards_keep_its_order(spark, tmp_path):
     assert sum(map(len, by.values())) == len(rows) and all(v == sorted(v) for v in by.values())
 
 
+@pytest.mark.parametrize("weights", [None, {"hot": 5.0, "w3": 2.0, None: 1.0}])
+def test_mixing_of_any_number_of_sources(spark, monkeypatch, weights):
+    monkeypatch.setattr(mixing, "ALONE", 4)
+    monkeypatch.setattr(mixing, "GROUPS", 3)
+    monkeypatch.setattr(mixing, "BLOCKS_A_TASK", 100)
+    r = random.Random(3)
+    sources = ["hot"] * 900 + [None] * 90 + [f"w{k}" for k in range(620) for _ in range(r.randint(1, 9))]
+    d = clashing(spark, [(i, "t", None, s) for i, s in enumerate(sources)])
+    out = mixing.schedule(d, weights, block=2, period=50).collect()
+    assert sorted(o.doc_id for o in out) == list(range(len(sources))) and all(sources[o.doc_id] == o.source for o in out)
+    blocks = {(o.source, o.block, o.slot, o.release, o.deadline) for o in out}
+    assert sorted(b[2] for b in blocks) == list(range(len(blocks))) and all(b[3] <= b[2] < b[4] for b in blocks)
+    own = defaultdict(list)
+    for s, j, slot, _, _ in blocks:
+        own[s].append((slot, j))
+    assert all([j for _, j in sorted(v)] == list(range(-(-sources.count(s) // 2))) for s, v in own.items())
+
+
 def test_every_period_is_full_and_in_time():
     r = random.Random(7)
     for _ in range(60):

@@ -256,6 +256,24 @@ def test_licenses_by_force(spark, texts):
             assert text.encode()[best["from_byte"]:best["to_byte"]].decode().lower().split()[0] in {t.lower().replace("-", " ").split()[0] for _, t in notices}
 
 
+def test_licenses_of_full_texts_and_versions(spark):
+    rows, more = licenses.template_rows(), prose(random.Random(4), 40, VOCABULARY)
+    by = dict(rows)
+    bsd = {k: next(t for t in licenses.TEMPLATES[k] if "Neither" in t or "DISCLAIMED" in t) for k in ("BSD-2-Clause", "BSD-3-Clause")}
+    own = [("All-Rights-Reserved", "Copyright 2020. All rights reserved."), ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+           ("", "This work is licensed under the GNU General Public License, version 7."), ("BSD-2-Clause", bsd["BSD-2-Clause"].replace("HOLDER ", "OWNER ")),
+           ("BSD-3-Clause", bsd["BSD-3-Clause"].replace("the copyright holder", "Example University")), ("AGPL-3.0", by["AGPL-3.0"]),
+           ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software "
+                        "Foundation; either version 2.1 of the License, or (at your option) any later version.")]
+    made = rows + own
+    d = clashing(spark, [(i, f"{more} {t}\n{more}", None, None) for i, (_, t) in enumerate(made)] + [(9000, f"Released under the MIT License. {more} Released under the MIT License.", None, None)])
+    out = {o.doc_id: o for o in licenses.scan(d, licenses.template_table(spark)).collect()}
+    assert len(out[9000].matches) == 2 and out[9000].licenses == ["MIT"]
+    wrong = [(made[i], o.licenses) for i, o in out.items() if i < 9000 and (made[i][0] not in o.licenses if made[i][0] else o.licenses)]
+    assert not wrong, [(n, t[:60], x) for (n, t), x in wrong]
+    assert all(out[i].licenses == [n] for i, (n, _) in enumerate(made) if n and i >= len(rows))
+
+
 def test_mixing_follows_pfair_windows(spark):
     rows = [(i, "t", None, s) for i, s in enumerate(["hot"] * 900 + ["b"] * 300 + ["c"] * 150 + [None] * 90 + ["one"])] + [(None, "t", None, "b"), (3, "t", None, "hot")]
     d = clashing(spark, rows)

@@ -11,6 +11,8 @@ from limnos.llm.decontaminate import report as decontamination_report
 from limnos.llm.embeddings import near_duplicates as near_duplicate_vectors
 from limnos.llm.language import predict as predict_language
 from limnos.llm.licenses import report as license_report
+from limnos.llm.line_rules import LEAST_WORDS, LOSS, PHRASE_WORDS, PHRASES, REPEATED, STUB
+from limnos.llm.line_rules import report as line_report
 from limnos.llm.mixing import schedule
 from limnos.llm.near_dedup import near_duplicates
 from limnos.llm.quality import score_quality
@@ -104,8 +106,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op9_embedding_dedup", """
-WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-                     AND list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE) * x)) > 0),
+WITH RECURSIVE u AS (SELECT r, vec_id, i, embedding[i] AS x FROM (SELECT row_number() OVER () AS r, vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE embedding IS NOT NULL)),
+v AS (SELECT r, any_value(vec_id) AS vec_id, list(CAST(x AS DOUBLE) ORDER BY i) AS e FROM u GROUP BY r
+      HAVING bool_and(x IS NOT NULL AND isfinite(x)) AND sum(CAST(x AS DOUBLE) * x) > 0),
 links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95),
 reach AS (SELECT vec_id, vec_id AS t FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.t),
 c AS (SELECT vec_id, min(t) AS component_id FROM reach GROUP BY vec_id),
@@ -128,3 +131,31 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_licenses")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(_table(spark, sf_dir, "documents"))
+
+
+_MARKS = r"[!-/:-@\[-`{-~]"
+_PHRASES = "|".join(PHRASES)
+
+
+@query("op13_line_rules", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+win AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+rep AS (SELECT r, count(DISTINCT k) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 3)) AS k FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1) GROUP BY r),
+l AS (SELECT r, i, t[i] AS line, regexp_extract_all(t[i], '[^\x20\x09-\x0D]+') AS w
+      FROM (SELECT r, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT r, string_split(t, chr(10)) AS t FROM d))),
+m AS (SELECT r, line, w, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS again FROM l WHERE len(w) > 0),
+x AS (SELECT row_number() OVER () AS k, r, line, w, again FROM m),
+y AS (SELECT k, count(*) AS n, sum(length(u)) AS chars, count(*) FILTER (WHERE regexp_matches(u, '{_MARKS}{{2}}')) AS noisy,
+             count(*) FILTER (WHERE NOT regexp_matches(u, '[0-9A-Za-z]|[^\x00-\x7F]')) AS lone FROM (SELECT k, unnest(w) AS u FROM x) GROUP BY k),
+z AS (SELECT r, chars, again, again OR 2 * noisy > n OR (n <= {STUB} AND NOT regexp_matches(w[-1], '([.!?:;]|[^\x00-\x7F])$')) OR (lone >= 2 AND 5 * lone > n)
+             OR (n <= {PHRASE_WORDS} AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_PHRASES}')) AS fails FROM x JOIN y USING (k)),
+s AS (SELECT r, CAST(sum(chars) AS BIGINT) AS word_chars, count(*) AS n_lines, count(*) FILTER (WHERE again) AS n_dup_lines, count(*) FILTER (WHERE fails) AS n_failed,
+             CAST(coalesce(sum(chars) FILTER (WHERE fails), 0) AS BIGINT) AS lost_chars FROM z GROUP BY r),
+f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_failed, 0) AS n_failed,
+             coalesce(lost_chars, 0) AS lost_chars FROM w LEFT JOIN s USING (r) LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEATED} * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND 100 * lost_chars <= {LOSS} * word_chars AS kept FROM b""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_table(spark, sf_dir, "documents"))

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from limnos.llm.decontaminate import report as decontamination_report
+from limnos.llm.divergence import LEAST_DOCS, TOP
+from limnos.llm.divergence import audit as divergence_audit
 from limnos.llm.embeddings import near_duplicates as near_duplicate_vectors
 from limnos.llm.language import predict as predict_language
 from limnos.llm.licenses import report as license_report
@@ -19,6 +21,7 @@ from limnos.llm.quality import score_quality
 from limnos.llm.sharding import shard
 from limnos.llm.token_counts import count_tokens
 from limnos.llm.toxicity import score_toxicity
+from limnos.llm.vector_codes import report as code_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +162,50 @@ b AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEATED} * n
 SELECT *, NOT base_failed AND 100 * lost_chars <= {LOSS} * word_chars AS kept FROM b""")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
+
+
+@query("op12_divergence", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= {LEAST_DOCS}),
+own AS (SELECT o.lang, source, o.term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY o.lang, source, o.term),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+groups AS (SELECT lang, source, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM own GROUP BY lang, source) USING (lang, source)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(own.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(own.n, 0) + 1) // (g.total + l.v) AS p,
+             1 + CAST(1000000000 AS HUGEINT) * (k.n + 1) // (l.total + l.v) AS q
+      FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = k.term),
+two AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN two ON two.lang = a.lang AND two.source = a.source AND two.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {TOP}""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(_table(spark, sf_dir, "documents"))
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    """Assignments and means of every round as one chain of tables."""
+    sql = """WITH k AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, embedding AS e FROM embeddings WHERE embedding IS NOT NULL),
+x AS (SELECT r, (i - 1) // (len(e) // 16) AS part, (i - 1) % (len(e) // 16) AS pos, e[i] AS f FROM (SELECT r, e, unnest(range(1, len(e) + 1)) AS i FROM k)),
+good AS (SELECT row_number() OVER (ORDER BY r) - 1 AS entry, r FROM x GROUP BY r HAVING bool_and(f IS NOT NULL AND isfinite(f))),
+y AS (SELECT r, part, pos, CAST(floor(256 * CAST(f AS DOUBLE)) AS BIGINT) AS v FROM x JOIN good USING (r)),
+b0 AS (SELECT part, entry, pos, v FROM y JOIN good USING (r) WHERE entry < 64)"""
+    for i in range(rounds + 1):
+        sql += f""",
+a{i} AS (SELECT r, part, entry, d FROM (SELECT r, y.part, entry, sum((y.v - b.v) * (y.v - b.v)) AS d FROM y JOIN b{i} b ON y.part = b.part AND y.pos = b.pos GROUP BY r, y.part, entry)
+       QUALIFY row_number() OVER (PARTITION BY r, part ORDER BY d, entry) = 1)"""
+        if i < rounds:
+            sql += f""",
+m{i} AS (SELECT y.part, entry, pos, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM y JOIN a{i} a ON a.r = y.r AND a.part = y.part GROUP BY y.part, entry, pos),
+b{i + 1} AS (SELECT part, entry, pos, coalesce((s - ((s % n) + n) % n) // n, v) AS v FROM b{i} LEFT JOIN m{i} USING (part, entry, pos))"""
+    return sql + f""",
+c AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256 FROM c JOIN k USING (r)"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_report(_table(spark, sf_dir, "embeddings"))

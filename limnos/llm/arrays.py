@@ -34,20 +34,8 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-class Powers:
-    """Powers of the base and of its inverse, grown when a longer piece arrives."""
-
-    def __init__(self):
-        self.n = 0
-
-    def upto(self, n: int):
-        if n > self.n:
-            self.n = max(n, 2 * PIECE)
-            self.up, self.down = _powers(_BASE, self.n), _powers(_INVERSE, self.n)
-        return self.up, self.down
-
-
-_POWERS = Powers()
+_STRETCH = 2 * PIECE  # bytes that are hashed at once; longer texts and words take several turns
+_UP, _DOWN = _powers(_BASE, _STRETCH + 1), _powers(_INVERSE, _STRETCH + 1)
 
 
 def lowered() -> np.ndarray:
@@ -119,14 +107,35 @@ def words(piece: Piece, is_word: np.ndarray, fold: np.ndarray) -> Words:
     stop[:-1] = ~inside[1:]
     stop[piece.starts[1:][piece.starts[1:] > 0] - 1] = True
     end = np.flatnonzero(inside & stop) + 1
-    up, down = _POWERS.upto(n + 1)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTES[fold[piece.data]] * up[:n], out=total[1:])
-    hashes = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    hashes = mix(_sums(piece.data, fold, begin, end) + (end - begin).astype(np.uint64))
     return Words(begin, end, hashes, np.searchsorted(begin, piece.starts))
 
 
+def _sums(data: np.ndarray, fold: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sum of byte codes times powers of the base over each word; the arrays stay small however long the text or a word is."""
+    out = np.empty(len(begin), np.uint64)
+    at = 0
+    while at < len(begin):
+        first = begin[at]
+        stop = max(at + 1, int(np.searchsorted(end, first + _STRETCH, "right")))
+        if end[at] - first > _STRETCH:
+            value, scale = 0, 1
+            for k in range(first, end[at], _STRETCH):
+                part = _BYTES[fold[data[k:min(k + _STRETCH, end[at])]]]
+                value = value + int(np.sum(part * _UP[:len(part)])) * scale & (1 << 64) - 1
+                scale = scale * int(_UP[len(part)]) & (1 << 64) - 1
+            out[at] = value
+        else:
+            part = _BYTES[fold[data[first:end[stop - 1]]]]
+            total = np.empty(len(part) + 1, np.uint64)
+            total[0] = 0
+            np.cumsum(part * _UP[:len(part)], out=total[1:])
+            b, e = begin[at:stop] - first, end[at:stop] - first
+            out[at:stop] = (total[e] - total[b]) * _DOWN[b]
+        at = stop
+    return out
+
+
 def windows(w: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Word positions at which a window of ``length`` words fits inside its text, and the windows' hashes."""
     m = len(w.hashes) - length + 1

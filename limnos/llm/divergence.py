@@ -27,10 +27,11 @@ from limnos.llm.spread import join_split, landed
 LEAST_DOCS = 3
 TOP = 200
 SCALE = 1_000_000_000
-STRETCH = 1 << 20  # bytes of text that a task adds up at once
+STRETCH = 1 << 22  # bytes of text that a task counts at once
+MERGE = 600_000  # counted rows that a task adds up before it hands them on
 TERMS = 20_000  # terms of a language that a block of pairs holds, as expected from a hash
 SOURCES = 48  # sources on each side of such a block
-BAND_ROWS = 20_000  # terms of a group in a first partition
+BAND_ROWS = 50_000  # terms of a group in a first partition
 FAN = 8
 CHUNK = 512
 
@@ -39,7 +40,25 @@ _TERM = table(lambda b: 97 <= b <= 122 or b >= 128)
 
 
 def _counted(batches):
-    """(lang, source, term, n, docs) of every stretch of text; each row is a document."""
+    """(lang, source, term, n, docs) of a task's text, added up over some stretches at a time."""
+    held, rows = [], 0
+
+    def merged():
+        t = pa.Table.from_batches(held).group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+        return t.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"]).to_batches(max_chunksize=100_000)
+
+    for part in _stretches(batches):
+        held.append(part)
+        rows += part.num_rows
+        if rows > MERGE:
+            yield from merged()
+            held, rows = [], 0
+    if held:
+        yield from merged()
+
+
+def _stretches(batches):
+    """Counts of every stretch of text; each row is a document."""
     for batch in batches:
         lang, source = batch.column(0).dictionary_encode(), batch.column(1).dictionary_encode()
         group = np.asarray(lang.indices).astype(np.int64) * len(source.dictionary) + np.asarray(source.indices)
@@ -80,17 +99,17 @@ def _share(count: str, total: str, terms: str):
 
 
 def counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS):
-    """Tables of kept terms (lang, source, term, n, all: the term's count in the language), of groups (lang, source, total) and of
-    languages (lang, total, terms). Groups without terms are there with 0; null values count as ''."""
+    """Tables of kept terms (lang, source, term, n, all: the term's count in the language), of groups (lang, source, total, own_terms) and
+    of languages (lang, lang_total, terms). Groups without terms are there with 0; null values count as ''."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     d = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
     raw = d.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
-    each = landed(raw.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
-    whole = each.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
-    kept = landed(each.drop("docs").join(whole, ["lang", "term"]), "kept")
-    seen = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = landed(d.select("lang", "source").distinct().join(seen, ["lang", "source"], "left").fillna(0, ["total"]), "groups")
-    names = landed(whole.groupBy("lang").agg(F.sum("all").alias("lang_total"), F.count(F.lit(1)).alias("terms")), "langs")
+    each = raw.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    whole = Window.partitionBy("lang", "term")  # at most one row a source
+    kept = landed(each.withColumn("all", F.sum("n").over(whole)).withColumn("docs", F.sum("docs").over(whole)).where(F.col("docs") >= least_docs).drop("docs"), "kept")
+    seen = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("own_terms"))
+    groups = landed(d.select("lang", "source").distinct().join(seen, ["lang", "source"], "left").fillna(0, ["total", "own_terms"]), "groups")
+    names = kept.groupBy("lang", "term").agg(F.first("all").alias("all")).groupBy("lang").agg(F.sum("all").alias("lang_total"), F.count(F.lit(1)).alias("terms"))
     langs = groups.select("lang").distinct().join(names, "lang", "left").fillna(0, ["lang_total", "terms"])
     return kept, groups, landed(langs, "langs")
 
@@ -124,13 +143,14 @@ def _band(k: int):
     return task
 
 
-def skyband(kept: DataFrame, k: int = TOP) -> DataFrame:
+def skyband(kept: DataFrame, groups: DataFrame, k: int = TOP) -> DataFrame:
     """The rows of ``kept`` (lang, source, term, n, all) that fewer than ``k`` of their group dominate. One partition of a group holds
-    a bounded number of terms at first, then ``FAN`` bands."""
+    some ``BAND_ROWS`` terms at first, then ``FAN`` bands."""
     kinds = "lang string, source string, term string, n long, all long, part long"
-    largest = kept.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows")).agg(F.max("rows")).first()[0] or 0
+    largest = groups.agg(F.max("own_terms")).first()[0] or 0
     parts = max(1, -(-largest // BAND_ROWS))
-    now = kept.select("lang", "source", "term", "n", "all", F.pmod(F.xxhash64("term"), F.lit(parts)).alias("part"))
+    dealt = join_split(kept, groups.select("lang", "source", F.greatest(F.lit(1), F.ceil(F.col("own_terms") / BAND_ROWS)).alias("_parts")), ["lang", "source"])
+    now = dealt.select("lang", "source", "term", "n", "all", F.pmod(F.xxhash64("term"), F.col("_parts")).alias("part"))
     while True:
         now = landed(now.groupBy("lang", "source", "part").applyInArrow(_band(k), kinds), "band")
         if parts == 1:
@@ -193,7 +213,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     kept, groups, langs = counts(docs, lang_col, source_col, text_col, least_docs)
     two = landed(pairs(kept, groups, langs), "pairs").withColumn("part", F.lit("pair"))
     sizes = groups.join(langs, "lang")
-    terms = join_split(skyband(kept, top), sizes, ["lang", "source"])
+    terms = join_split(skyband(kept, groups, top), sizes, ["lang", "source"])
     terms = terms.withColumn("p", _share("n", "total", "terms")).withColumn("q", _share("all", "lang_total", "terms")).where("p > q")
     terms = terms.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr("((p - q) * (p - q)) div q").alias("value"))
     place = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))

@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.arrays import pieces, table
+from limnos.llm.arrays import Piece, pieces, table
 from limnos.llm.labelled import held_out
 
 GRAM = 4  # bytes of the lower-cased text
@@ -29,12 +30,22 @@ _FOLD = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)],
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def _padded(text):
-    return F.concat(F.lit(" "), F.lower(F.col(text).cast("string")), F.lit(" " * (GRAM - 1)))
+def _folded(texts: pa.Array):
+    """Pieces of lower-cased texts between spaces; a null text is empty. Only one piece at a time is copied."""
+    for p in pieces(texts):
+        low = pc.utf8_lower(texts.slice(p.first, len(p)).cast(pa.string()))
+        q = next(pieces(pc.binary_join_element_wise(" ", low, " " * (GRAM - 1), ""), 1 << 62))
+        yield Piece(p.first, q.data, q.starts)
+
+
+def _packed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counted n-grams of several pieces as one."""
+    grams, back = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+    return grams, np.bincount(back, np.concatenate([n for _, n in held]), minlength=len(grams)).astype(np.int64)
 
 
 def _grams(p) -> tuple[np.ndarray, np.ndarray]:
-    """N-gram codes of a piece of padded texts, and for each text where its n-grams begin (a null text has none)."""
+    """N-gram codes of a piece of folded texts, and for each text where its n-grams begin (a null text has none)."""
     x = _FOLD[p.data].astype(np.uint64)
     m = len(x) - GRAM + 1
     if m <= 0:
@@ -103,15 +114,21 @@ def build_filter(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def distinct(batches):
         for batch in batches:
             langs, held = np.asarray(batch.column(0)), {}
-            for p in pieces(batch.column(1)):
+            for p in _folded(batch.column(1)):
                 code, at = _grams(p)
+                own = {}
                 for d in range(len(p)):
-                    held.setdefault(int(langs[p.first + d]), []).append(np.unique(code[at[d]:at[d + 1]]))
-            for lang, each in held.items():
-                grams, n = np.unique(np.concatenate(each), return_counts=True)
+                    own.setdefault(int(langs[p.first + d]), []).append(np.unique(code[at[d]:at[d + 1]]))
+                for lang, each in own.items():
+                    kept = held.setdefault(lang, [])
+                    kept.append(np.unique(np.concatenate(each), return_counts=True))
+                    if len(kept) >= 32:
+                        held[lang] = [_packed(kept)]
+            for lang, kept in held.items():
+                grams, n = _packed(kept)
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.full(len(grams), lang, np.int32)), pa.array(n)], names=["gram", "lang", "n"])
 
-    counted = picked.select(number[F.col("lang")].alias("lang"), _padded("text").alias("text")).mapInArrow(distinct, "gram long, lang int, n long")
+    counted = picked.select(number[F.col("lang")].alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(distinct, "gram long, lang int, n long")
     docs = {r["lang"]: r["n"] for r in picked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     need = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(max(1.0, share * docs.get(n, 0))))])
     kept = counted.groupBy("gram", "lang").agg(F.sum("n").alias("n")).where(F.col("n") >= need[F.col("lang")])
@@ -158,11 +175,11 @@ def identify(docs: DataFrame, fitted: LanguageFilter, id_col: str = "doc_id", te
 
     def task(batches):
         for batch in batches:
-            for p in pieces(batch.column(1)):
+            for p in _folded(batch.column(1)):
                 names, score = _decided(shared.value, p)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(p.first, len(p)), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), _padded(text_col).alias("text")).mapInArrow(task, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, "doc_id long, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, fitted: LanguageFilter, text_col: str = "text", least_score: float = 0.0, languages: list[str] | None = None) -> DataFrame:
@@ -170,20 +187,16 @@ def recognised(docs: DataFrame, fitted: LanguageFilter, text_col: str = "text",
 
     Columns stay as they are, whatever their names; null and letterless texts go.
     """
-    shared, n = docs.sparkSession.sparkContext.broadcast(fitted), len(docs.columns)
-    padded = "_padded"
-    while padded in docs.columns:
-        padded += "_"
+    shared, place = docs.sparkSession.sparkContext.broadcast(fitted), docs.columns.index(text_col)
 
     def task(batches):
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for p in pieces(batch.column(n)):
+            for p in _folded(batch.column(place)):
                 names, score = _decided(shared.value, p)
-                keep[p.first:p.first + len(p)] = [x != UNKNOWN and s >= least_score and (languages is None or x in languages) for x, s in zip(names, score)]
-            yield batch.select(range(n)).filter(pa.array(keep))
+                keep = [x != UNKNOWN and s >= least_score and (languages is None or x in languages) for x, s in zip(names, score)]
+                yield batch.slice(p.first, len(p)).filter(pa.array(keep, pa.bool_()))
 
-    return docs.withColumn(padded, _padded(text_col)).mapInArrow(task, docs.schema)
+    return docs.mapInArrow(task, docs.schema)
 
 
 def predict(docs: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from limnos.functions import eto as E
 from limnos.functions.dims import small_table
+from limnos.operators.scan import between_resets, clamped_scan
 from limnos.operators.series import per_series
 
 # Crop, single coefficient (initial, mid, late), basal coefficient (initial, mid, late),
@@ -129,7 +130,8 @@ def soil_balance(df: DataFrame, taw: float, raw: float, start: float = 0.0, refi
                  keys: Sequence[str] = ("station_id",)) -> DataFrame:
     """Root-zone depletion bucket from daily ``etc`` and ``precip``; with ``refill`` it is irrigated back at the trigger.
 
-    The store is cut off at both ends every day, which no window expresses: a fold over one season or record.
+    The store is cut off at both ends every day, which no window expresses: a prefix scan over one season or record, anew after each
+    irrigation.
     """
     k = list(keys)
     types = dict(df.dtypes)
@@ -137,16 +139,23 @@ def soil_balance(df: DataFrame, taw: float, raw: float, start: float = 0.0, refi
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         etc, rain = pdf["etc"].to_numpy(float), pdf["precip"].fillna(0.0).to_numpy(float)
-        n, dep = len(etc), start
-        depletion, perc, irr = np.empty(n), np.zeros(n), np.zeros(n)
-        for i in range(n):
-            net = dep if refill and dep >= raw else 0.0
-            irr[i] = net / efficiency if efficiency > 0 else net
-            dep = dep - rain[i] - net + etc[i]
-            if dep < 0:
-                perc[i], dep = -dep, 0.0
-            dep = min(dep, taw)
-            depletion[i] = dep
+        n = len(etc)
+        depletion, perc, irr, before = np.empty(n), np.zeros(n), np.zeros(n), [start]
+
+        def scan(at: int, to: int):
+            change = etc[at:to] - rain[at:to]
+            # a depletion at the trigger is irrigated away before the day's change
+            net = before[0] if refill and before[0] >= raw else 0.0
+            dep = clamped_scan(1.0, change, 0.0, taw, before[0] - net)
+
+            def accept(k: int) -> None:
+                irr[at] = net / efficiency if efficiency > 0 else net
+                depletion[at:at + k + 1] = dep[:k + 1]
+                perc[at:at + k + 1] = np.maximum(0.0, -(np.concatenate(([before[0] - net], dep[:k])) + change[:k + 1]))
+                before[0] = float(dep[k])
+            return (dep >= raw) & refill, accept
+
+        between_resets(n, scan)
         return pdf[[*k, "date"]].assign(soil_moisture=taw - depletion, depletion=depletion, deep_percolation=perc,
                                         irrigation=irr, irrigation_trigger=depletion >= raw)
 

@@ -1,8 +1,8 @@
 """Baseflow separation and recession analysis.
 
 The digital filters feed each step's clipped result into the next, which no window expresses; they
-are small folds over one daily-bounded series per group. The smoothed-minima method and the
-recession runs are plain windows.
+are prefix scans of clamped steps over one daily-bounded series per group. The smoothed-minima method
+and the recession runs are plain windows.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from limnos.operators.scan import clamped_scan
 from limnos.operators.series import KEYS, by, interp_between, islands, numbered, per_series, whole
 
 
@@ -22,14 +23,9 @@ def _schema(df: DataFrame, keys: Sequence[str], rest: str) -> str:
     return ", ".join([f"{c} {types[c]}" for c in keys] + [rest])
 
 
-def _quick_pass(q: np.ndarray, qf: np.ndarray, alpha: float) -> np.ndarray:
-    gain = (1 + alpha) / 2
-    out = qf.copy()
-    prev = out[0]
-    for i in range(1, len(q)):
-        prev = min(max(0.0, alpha * prev + gain * (q[i] - q[i - 1])), q[i])
-        out[i] = prev
-    return out
+def _quick_pass(q: np.ndarray, first: float, alpha: float) -> np.ndarray:
+    rise = (1 + alpha) / 2 * np.diff(q)
+    return np.concatenate(([first], clamped_scan(alpha, rise, np.minimum(q[1:], 0.0), q[1:], first)))
 
 
 def lyne_hollick(df: DataFrame, alpha: float = 0.925, n_passes: int = 3, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -42,7 +38,7 @@ def lyne_hollick(df: DataFrame, alpha: float = 0.925, n_passes: int = 3, keys: S
         qf = np.zeros(len(q))
         for p in range(n_passes):
             step = 1 if p % 2 == 0 else -1
-            qf = _quick_pass(q[::step], qf[::step], alpha)[::step]
+            qf = _quick_pass(q[::step], qf[::step][0], alpha)[::step]
         return pdf[k + ["date", "value"]].assign(baseflow=np.clip(q - qf, 0, q), quickflow=qf)
 
     return per_series(df.where("value IS NOT NULL").select(*k, "date", "value"), k, run,
@@ -66,12 +62,8 @@ def eckhardt(df: DataFrame, alpha: float = 0.98, bfi_max: float = 0.80, keys: Se
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         q = pdf["value"].to_numpy(float)
-        bf = np.empty(len(q))
-        prev = min(q[0], q[0] * bfi_max)
-        bf[0] = prev
-        for i in range(1, len(q)):
-            prev = max(min((a * prev + b * q[i]) / c, q[i]), 0.0)
-            bf[i] = prev
+        first = min(q[0], q[0] * bfi_max)
+        bf = np.concatenate(([first], clamped_scan(a / c, b / c * q[1:], 0.0, np.maximum(q[1:], 0.0), first)))
         return pdf[k + ["date", "value"]].assign(baseflow=bf, quickflow=q - bf)
 
     return per_series(df.where("value IS NOT NULL").select(*k, "date", "value"), k, run,

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from limnos.operators.scan import between_resets, clamped_scan
 from limnos.operators.series import KEYS, by, numbered, per_series, whole
 
 
@@ -84,16 +85,23 @@ def cusum(df: DataFrame, drift: float = 0.0, threshold_sd: float = 4.0, keys: Se
     """Two-sided cumulative sums about the mean, reset after each alarm."""
     def find(v: np.ndarray) -> list[tuple]:
         target, limit = v.mean(), threshold_sd * (v.std(ddof=1) if len(v) > 1 else 1.0)
-        up = down = 0.0
-        hits = []
-        for i, x in enumerate(v - target):
-            up, down = max(0.0, up + x - drift), max(0.0, down - x - drift)
-            if up > limit:
-                hits.append((i, up))
-                up = 0.0
-            elif down > limit:
-                hits.append((i, down))
-                down = 0.0
+        x, hits, state = v - target, [], [0.0, 0.0]
+
+        def scan(at: int, to: int):
+            up, down = clamped_scan(1.0, x[at:to] - drift, 0.0, np.inf, state[0]), clamped_scan(1.0, -x[at:to] - drift, 0.0, np.inf, state[1])
+            high, low = up > limit, down > limit
+
+            def accept(k: int) -> None:
+                state[:] = up[k], down[k]
+                if high[k]:
+                    hits.append((at + k, float(up[k])))
+                    state[0] = 0.0
+                elif low[k]:
+                    hits.append((at + k, float(down[k])))
+                    state[1] = 0.0
+            return high | low, accept
+
+        between_resets(len(v), scan)
         return hits
 
     return _grouped(df, keys, find, "index long, statistic double")

@@ -15,6 +15,7 @@ from limnos.functions.arith import ratio
 from limnos.functions.special import gammainc, norm_ppf
 from limnos.operators.changepoint import avg_ranks
 from limnos.operators.periods import annual_cycle, resample
+from limnos.operators.scan import clamped_scan
 from limnos.operators.series import KEYS, by, islands, numbered, per_series, whole
 
 
@@ -161,7 +162,7 @@ def spi_status(monthly: DataFrame, scales: Sequence[int] = (1, 3, 6, 12), min_pe
 
 
 def pdsi(df: DataFrame, awc: float = 100.0, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Simplified Palmer index from monthly ``precip`` and ``pet``: bucket fold, departure z, autoregressive fold."""
+    """Simplified Palmer index from monthly ``precip`` and ``pet``: two clamped stores, departure z, autoregression, all as scans."""
     k = list(keys)
     types = dict(df.dtypes)
     top, low = awc / 3, awc - awc / 3
@@ -169,21 +170,18 @@ def pdsi(df: DataFrame, awc: float = 100.0, keys: Sequence[str] = KEYS) -> DataF
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         p, pe = pdf["precip"].to_numpy(float), pdf["pet"].to_numpy(float)
-        s, u, et = top, low, np.zeros(len(p))
-        for i in range(len(p)):
-            a = min(pe[i], s)
-            b = min(pe[i] - a, u)
-            et[i] = a + b
-            s, u = s - a, u - b
-            fill = min(p[i], top - s)
-            s, u = s + fill, u + min(p[i] - fill, low - u)
+        # each store: the demand leaves it, then the rain fills it up
+        upper = clamped_scan(1.0, p - pe, np.minimum(p, top), top, top)
+        had = np.concatenate(([top], upper[:-1]))
+        drawn = np.minimum(pe, had)
+        over = p - np.minimum(p, top - (had - drawn))
+        lower = clamped_scan(1.0, over - (pe - drawn), np.minimum(over, low), low, low)
+        et = drawn + np.minimum(pe - drawn, np.concatenate(([low], lower[:-1])))
         share = np.where(pe > 0, et / np.where(pe > 0, pe, 1), 1.0)
         d = p - share.mean() * pe
         z = d / (d.std() + 1e-10)
-        x = np.zeros(len(p))
-        for i in range(1, len(p)):
-            x[i] = 0.897 * x[i - 1] + z[i] / 3
-        return pdf[[*k, "date"]].assign(pdsi=x)
+        z[0] = 0.0  # the index starts at zero
+        return pdf[[*k, "date"]].assign(pdsi=clamped_scan(0.897, z / 3, -np.inf, np.inf, 0.0))
 
     return per_series(df.select(*k, "date", "precip", "pet"), k, run,
                       ", ".join([f"{c} {types[c]}" for c in k] + ["date date, pdsi double"]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.operators import learn as L
-from limnos.plans.adapters import FLOW, INDICATOR, OBS, PRECIP, STATION, flow, indicators, obs, precip, stations, table
+from limnos.plans.adapters import FLOW, INDICATOR, OBS, PRECIP, STATION, flow, indicators, obs, precip, stations, supplier_flow, table
 from limnos.plans.catalog import N, nudged, query
 from limnos.plans.frequency import NAMES, WIDE, wide
 from limnos.plans.observations import DRINKING, HITS, RIVER, named
@@ -302,6 +302,15 @@ def anomaly_scores(spark, sf):
     return nudged(L.anomaly_scores(L.lag_features(flow(spark, sf)), ANOM), 6, "anomaly_score")
 
 
+FOREST = ("lag_1", "lag_2", "lag_3", "lag_7", "rolling_mean_7", "rolling_std_7", "rolling_mean_30", "rolling_std_30", "dayofyear", "month", "season")
+
+
+@query("isolation_scores")
+def isolation_scores(spark, sf):
+    from limnos.operators.isolation import isolation_scores as score
+    return score(L.lag_features(supplier_flow(spark, sf)), FOREST)
+
+
 def complete(spark, sf):
     return wide(spark, sf).dropna()
 

@@ -15,7 +15,7 @@ from limnos.functions.arith import correlation, ratio
 from limnos.functions.special import norm_ppf, t_two_sided
 from limnos.operators.changepoint import avg_ranks
 from limnos.operators.series import whole
-from limnos.operators.trend import kendall_tau_b
+from limnos.operators.concordance import kendall_tau_b
 
 
 def column_pairs(wide: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

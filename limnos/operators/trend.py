@@ -126,21 +126,6 @@ def mann_kendall(df: DataFrame, keys: Sequence[str] = KEYS, alpha: float = 0.05,
     return d.join(sens_slope(df, k).drop("n_samples"), k) if slope else d
 
 
-def kendall_tau_b(df: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFrame:
-    """Kendall's tau-b of two columns. Ties in x are ordered by y, then taken out of the score again."""
-    k = list(keys)
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    order = Window.partitionBy(*k).orderBy(x, y)
-    r = d.withColumn("rn", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(whole(k))).withColumn("value", F.col(y))
-    half = lambda *c: (d.groupBy(*k, *c).agg(F.count(F.lit(1)).alias("t"))
-                       .groupBy(*k).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("tie"), F.sum("t").alias("n")))
-    j = (kendall_score(r, k).join(half(x).select(*k, "n", F.col("tie").alias("tx")), k)
-         .join(half(y).select(*k, F.col("tie").alias("ty")), k).join(half(x, y).select(*k, F.col("tie").alias("txy")), k))
-    n0 = F.col("n") * (F.col("n") - 1) / 2.0
-    s = F.col("s") - (F.col("tx") - F.col("txy"))
-    return j.select(*k, "n", s.alias("s"), ratio(s, F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))).alias("tau"))
-
-
 def annual_trend(df: DataFrame, keys: Sequence[str] = KEYS, share: float = 0.8, min_years: int = 8) -> DataFrame:
     """Trend of the annual means over years with enough of the usual number of values."""
     k = list(keys)

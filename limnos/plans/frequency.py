@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from limnos.functions.special import _t_ppf
+from limnos.functions.special import _t_ppf, norm_cdf_sql
 from limnos.operators import dependence as D
 from limnos.operators import ensemble as M
 from limnos.operators import extremes as X
@@ -271,11 +271,25 @@ KT = ("n AS (SELECT {k}, count(*)::DOUBLE AS n FROM {s} GROUP BY ALL), sc AS (SE
 
 @query("kendall_pairs", f"WITH {WIDE}{PAIR_ROWS}, {KT.format(k='param1, param2', ak='param1, param2', s='pr')} SELECT param1, param2, CAST(n AS BIGINT) AS n, {N('tau')} AS tau FROM kt")
 def kendall_pairs(spark, sf):
-    from limnos.operators.trend import kendall_tau_b
+    from limnos.operators.concordance import kendall_tau_b
     d = kendall_tau_b(pair_rows(spark, sf), "x", "y", ["param1", "param2"])
     return nudged(d.select("param1", "param2", "n", "tau"), 6, "tau")
 
 
+PD = ("pn AS (SELECT param1, param2, x, y, count(*) OVER p AS n, rank() OVER (p ORDER BY x) + (count(*) OVER (PARTITION BY param1, param2, x) - 1) / 2.0::DOUBLE AS rx, "
+      "rank() OVER (p ORDER BY y) + (count(*) OVER (PARTITION BY param1, param2, y) - 1) / 2.0::DOUBLE AS ry FROM pr WINDOW p AS (PARTITION BY param1, param2)), "
+      "tl AS (SELECT param1, param2, avg((rx / (n + 1) > 0.9 AND ry / (n + 1) > 0.9)::INT) / 0.1 AS up, avg((rx / (n + 1) < 0.1 AND ry / (n + 1) < 0.1)::INT) / 0.1 AS low FROM pn GROUP BY ALL), "
+      "ts AS (SELECT param1, param2, sum(sign(b.x - a.x) * sign(b.y - a.y)) / 2 AS s FROM pr a JOIN pr b USING (param1, param2) GROUP BY ALL), "
+      "tz AS (SELECT kt.param1 AS param1, kt.param2 AS param2, kt.n AS n, tau, -abs(s) / sqrt((kt.n * (kt.n - 1) * (2 * kt.n + 5) - vx - vy) / 18 + 2 * tx * ty / (kt.n * (kt.n - 1)) + ux * uy / (9 * kt.n * (kt.n - 1) * (kt.n - 2))) AS z FROM kt JOIN ts USING (param1, param2) "
+      + " ".join(f"JOIN (SELECT param1, param2, sum(c * (c - 1) / 2) AS t{c}, sum(c * (c - 1) * (c - 2)) AS u{c}, sum(c * (c - 1) * (2 * c + 5)) AS v{c} FROM (SELECT param1, param2, {c}, count(*)::DOUBLE AS c FROM pr GROUP BY ALL) GROUP BY ALL) AS tie{c} USING (param1, param2)" for c in ("x", "y")) + ")")
+
+
+@query("pair_dependence", f"WITH {WIDE}{PAIR_ROWS}, {KT.format(k='param1, param2', ak='param1, param2', s='pr')}, {PD} SELECT param1, param2, CAST(n AS BIGINT) AS n, {N('tau')} AS tau, {N(f'2 * {norm_cdf_sql('z')}')} AS p_value, {N('up')} AS upper_tail_dep, {N('low')} AS lower_tail_dep FROM tz JOIN tl USING (param1, param2) WHERE n >= 30")
+def pair_dependence(spark, sf):
+    from limnos.operators.concordance import pair_dependence as report
+    return nudged(report(pair_rows(spark, sf)), 6, "tau", "p_value", "upper_tail_dep", "lower_tail_dep")
+
+
 @query("tail_dep", f"WITH {PO} SELECT station_id, {N('avg((u > 0.9 AND v > 0.9)::INT) / 0.1')} AS upper_tail_dep, {N('avg((u < 0.1 AND v < 0.1)::INT) / 0.1')} AS lower_tail_dep FROM po GROUP BY 1")
 def tail_dep(spark, sf):
     return nudged(D.tail_shares(D.pseudo_observations(xy(spark, sf), K), K), 6, "upper_tail_dep", "lower_tail_dep")
@@ -291,7 +305,7 @@ JC = "fc AS (SELECT station_id, 'clayton' AS family, cl AS theta, greatest(0.9::
 
 
 def closed_forms(spark, sf):
-    from limnos.operators.trend import kendall_tau_b
+    from limnos.operators.concordance import kendall_tau_b
     p = D.copula_parameters(kendall_tau_b(xy(spark, sf), "x", "y", K).select(*K, "tau"))
     return p.where("family IN ('clayton', 'gumbel')").drop("tau")
 

@@ -276,6 +276,22 @@ def join_spatial_weight(spark, sf):
     return nudged(S.proximity_weights(stations(spark, sf).select("station_id", "latitude", "longitude"), 25.0, 121.0).select("station_id", "weight"), 8, "weight")
 
 
+SITE = "site AS (SELECT c_custkey AS station_id, (c_custkey * 53 % 17999)::DOUBLE / 100 - 89.995 AS latitude, (c_custkey * 97 % 36000)::DOUBLE / 100 - 180 AS longitude FROM customer)"
+
+
+def sites(spark, sf):
+    """Places without gauges, one per customer, on both sides of the dateline and up to the poles."""
+    c = F.col("c_custkey")
+    return table(spark, sf, "customer").select(c.alias("station_id"), ((c * 53 % 17999).cast("double") / 100 - 89.995).alias("latitude"), ((c * 97 % 36000).cast("double") / 100 - 180).alias("longitude"))
+
+
+@query("spatial_weights", f"WITH {STATION}, {SITE}, km AS (SELECT s.station_id AS target, d.station_id AS donor, 2 * 6371.0::DOUBLE * asin(least(1, sqrt(sin(radians(d.latitude - s.latitude) / 2) ** 2 + cos(radians(s.latitude)) * cos(radians(d.latitude)) * sin(radians(d.longitude - s.longitude) / 2) ** 2))) AS km FROM site s, station d), "
+       f"near AS (SELECT * FROM km QUALIFY row_number() OVER (PARTITION BY target ORDER BY round(km, 6), donor) <= 5) SELECT target, donor, {N('km', 5)} AS km, {N('(1 / (km + 1e-6)) / sum(1 / (km + 1e-6)) OVER (PARTITION BY target)', 6)} AS weight FROM near")
+def spatial_weights(spark, sf):
+    from limnos.operators.nearest import spatial_weights as weigh
+    return nudged(nudged(weigh(sites(spark, sf), stations(spark, sf), 5), 5, "km"), 6, "weight")
+
+
 STV = f"{SFLOW}, {STATION}, sv AS (SELECT station_id, latitude AS lat, longitude AS lon, avg(value) AS value FROM sflow JOIN station USING (station_id) GROUP BY 1, 2, 3), vp AS (SELECT sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2) AS d, (a.value - b.value) ** 2 AS g FROM sv a JOIN sv b ON a.station_id < b.station_id), h AS (SELECT max(d) / 2 AS half, (SELECT least(15, count(*)) FROM sv) AS nb FROM vp), vb AS (SELECT ceil(d / (half / nb))::BIGINT - 1 AS bin, g, half, nb FROM vp, h WHERE d > 0 AND d <= half)"
 
 

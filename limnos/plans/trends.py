@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from limnos.functions.special import norm_cdf_sql
+from limnos.operators.concordance import kendall_tau_b
 from limnos.operators import changepoint as C
 from limnos.operators import trend as T
 from limnos.operators.periods import resample
@@ -68,7 +69,7 @@ def monthly(spark, sf):
        f"t AS (SELECT station_id, sum(c) AS n, sum(c * (c - 1) / 2) AS ty FROM (SELECT station_id, value, count(*)::DOUBLE AS c FROM s GROUP BY 1, 2) GROUP BY 1) SELECT station_id, CAST(n AS BIGINT) AS n, {N('s / sqrt((n * (n - 1) / 2) * (n * (n - 1) / 2 - ty))')} AS tau FROM p JOIN t USING (station_id) WHERE n >= 12")
 def kendall_monthly(spark, sf):
     s = numbered(monthly(spark, sf)).where(F.col("n") >= 12)
-    return nudged(T.kendall_tau_b(s.drop("n"), "rn", "value", ["station_id"]).select("station_id", "n", "tau"), 6, "tau")
+    return nudged(kendall_tau_b(s.drop("n"), "rn", "value", ["station_id"]).select("station_id", "n", "tau"), 6, "tau")
 
 
 @query("annual_trend", f"WITH {FLOW}, y AS (SELECT station_id, year(date) AS y, avg(value) AS value, count(*) AS c FROM flow GROUP BY 1, 2), yy AS (SELECT *, quantile_cont(c, 0.5) OVER (PARTITION BY station_id) AS u FROM y), yk AS (SELECT station_id, make_date(y, 1, 1) AS date, value, count(*) OVER (PARTITION BY station_id) AS ny FROM yy WHERE c >= 0.8::DOUBLE * u), "

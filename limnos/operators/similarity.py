@@ -1,12 +1,13 @@
 """Catchment similarity, donors and regionalisation.
 
-Ranking every target against every donor is quadratic in the number of catchments. The tables are
-hashed into blocks of bounded size, one pair of blocks is one task, and a task returns only its
-local top k, so neither pairs nor whole tables pass through a shuffle or the driver.
+Ranking every target against every donor is quadratic in the number of catchments. Donors are cut into
+blocks of neighbours by median splits; a target first meets its own block, and then only blocks whose
+bounding box could hold a nearer donor than the k-th it has found. Tasks return local top k lists.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from limnos.functions.arith import correlation, ratio
 from limnos.operators.ensemble import cross_products, solve_rows
-from limnos.operators.series import block_pairs, blocks_for
+from limnos.operators.series import block_pairs
+from limnos.session import cut
 
 SCALE_KM = 500.0
 
@@ -41,9 +43,9 @@ CATCHMENT_FEATURES = (
 def transformed(f: Feature) -> Column:
     x = F.col(f.column).cast("double")
     if f.transform == "log10":
-        return F.log10(F.greatest(x, F.lit(1e-3)))
+        return F.when(x.isNotNull(), F.log10(F.greatest(x, F.lit(1e-3))))  # greatest() would pass over a missing value
     if f.transform == "log1p":
-        return F.log1p(F.greatest(x, F.lit(0.0)))
+        return F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0))))
     return x
 
 
@@ -51,34 +53,143 @@ def feature_table(df: DataFrame, key: str, features: Sequence[Feature], extra: S
     return df.select(F.col(key).alias("id"), *extra, *[transformed(f).alias(f"f{i}") for i, f in enumerate(features)])
 
 
-def _topk_rows(tid, did, score: np.ndarray, k: int, skip_self: bool) -> pd.DataFrame:
-    if skip_self:
-        score = np.where(tid[:, None] == did[None, :], np.inf, score)
+def _topk(did: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Column places of the k smallest scores of every row, by score and then donor id, and the scores. ``did`` must ascend."""
     kk = min(k, score.shape[1])
-    # stable order: by score, then donor id
-    order = np.lexsort((np.broadcast_to(did, score.shape), score), axis=1)[:, :kk]
-    rows = np.repeat(np.arange(len(tid)), kk)
-    out = pd.DataFrame({"target": tid[rows], "donor": did[order.ravel()], "score": score[rows, order.ravel()]})
-    return out[np.isfinite(out["score"])]
+    limit = np.partition(score, kk - 1, axis=1)[:, kk - 1:kk] if kk else score[:, :0]
+    keep = score <= limit if kk else np.zeros(score.shape, bool)
+    rows, cols = np.nonzero(keep)
+    order = np.lexsort((cols, score[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    first = np.searchsorted(rows, np.arange(len(score)))
+    pick = (first[:, None] + np.arange(kk)).astype(int)
+    return cols[pick], score[np.arange(len(score))[:, None], cols[pick]]
 
 
-def block_topk(targets: DataFrame, donors: DataFrame, k: int, distance, rows_per_block: int = 3000, skip_self: bool = True) -> DataFrame:
-    """(target, donor, score, place): the k nearest donors of every target, exactly.
+MAX_BLOCKS = 20_000  # boxes that the driver holds: some 5 MB
+SAMPLE_ROWS = 50_000  # expected donors that shape the splits; any splits give the same result
 
-    ``distance(t, d)`` maps two blocks (pandas) to a score matrix.
+
+@dataclass(frozen=True)
+class Splits:
+    """Complete binary tree of median splits: the column and value of each inner slot. A missing value goes left."""
+
+    columns: tuple[str, ...]
+    side: np.ndarray
+    cut: np.ndarray
+    depth: int
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame, columns: Sequence[str], blocks: int) -> Splits:
+        depth = max(1, math.ceil(math.log2(blocks)))
+        x = rows[list(columns)].to_numpy(float)
+        scale = np.nan_to_num(np.nanstd(x, axis=0)) if len(x) else np.ones(x.shape[1])
+        side, cut_at = np.zeros((1 << depth) - 1, int), np.zeros((1 << depth) - 1)
+        nodes = {0: np.arange(len(x))}
+        for slot in range(len(side)):
+            own = nodes.pop(slot, np.zeros(0, int))
+            if len(own) > 1:
+                v = np.nan_to_num(x[own], nan=-1e300)
+                spread = np.array([np.ptp(c[np.isfinite(c)]) if np.isfinite(c).sum() > 1 else 0.0 for c in x[own].T]) / np.where(scale > 0, scale, 1)
+                side[slot] = int(spread.argmax())
+                cut_at[slot] = np.median(v[:, side[slot]])
+                right = v[:, side[slot]] > cut_at[slot]
+                nodes[2 * slot + 1], nodes[2 * slot + 2] = own[~right], own[right]
+        return cls(tuple(columns), side, cut_at, depth)
+
+    def place(self, df: DataFrame) -> Column:
+        """Block of every row."""
+        side, cut_at, depth = self.side, self.cut, self.depth
+
+        @F.pandas_udf("int")
+        def block(*cols: pd.Series) -> pd.Series:
+            v = np.nan_to_num(np.stack([c.to_numpy(float) for c in cols], axis=1), nan=-1e300)
+            slot, row = np.zeros(len(v), int), np.arange(len(v))
+            for _ in range(depth):
+                slot = 2 * slot + 1 + (v[row, side[slot]] > cut_at[slot])
+            return pd.Series(slot - len(side))
+
+        return block(*[df[c] for c in self.columns])
+
+
+def _chunked(df: DataFrame, by: str, rows: int, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """``df`` with a ``_chunk`` that holds some ``rows`` rows of a value of ``by``, and the (value, chunks) table."""
+    sizes = cut(df.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_chunks")))
+    return df.join(F.broadcast(sizes), by).withColumn("_chunk", F.pmod(F.xxhash64(id_col), F.col("_chunks")).cast("int")).drop("_chunks"), sizes
+
+
+def block_topk(targets: DataFrame, donors: DataFrame, k: int, distance, bound, columns: Sequence[str], rows_per_block: int = 3000, skip_self: bool = True) -> DataFrame:
+    """(target, donor, score, place): the k nearest donors of every target, exactly; equal scores go by donor id.
+
+    ``distance(t, d)`` maps two blocks (pandas) to a score matrix; ``bound(t, boxes)`` gives the least score that a donor in a box can
+    have, from ``lo_c``, ``hi_c`` (null where all are) and ``some_c`` (whether values are missing) of every column in ``columns``.
     """
-    nt, nd = blocks_for(targets, rows_per_block), blocks_for(donors, rows_per_block)
-    targets, donors = targets.select(*[F.col(c).alias(c) for c in targets.columns]), donors.select(*[F.col(c).alias(c) for c in donors.columns])
-    t = targets.withColumn("_bt", F.pmod(F.xxhash64("id"), F.lit(nt))).withColumn("_bd", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nd - 1).cast("long"))))
-    d = donors.withColumn("_bd", F.pmod(F.xxhash64("id"), F.lit(nd))).withColumn("_bt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nt - 1).cast("long"))))
-    kind = dict(targets.dtypes)["id"]
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"target": [], "donor": [], "score": []})
-        return _topk_rows(a["id"].to_numpy(), b["id"].to_numpy(), distance(a, b), k, skip_self)
-
-    local = t.groupBy("_bt", "_bd").cogroup(d.groupBy("_bt", "_bd")).applyInPandas(run, f"target {kind}, donor {kind}, score double")
+    kind, want = dict(targets.dtypes)["id"], k + 1 if skip_self else k
+    targets, donors = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (targets, donors))  # one table may be both sides
+    # of equal donors the first by id suffice
+    rest = [c for c in donors.columns if c != "id"]
+    donors = cut(donors.withColumn("_r", F.row_number().over(Window.partitionBy(*rest).orderBy("id"))).where(F.col("_r") <= want).drop("_r"))
+    targets = cut(targets)
+    n = donors.count()
+    rows_per_block = max(rows_per_block, -(-n // MAX_BLOCKS))
+    n_blocks = -(-n // rows_per_block)
+    if n_blocks <= 1:
+        boxes = pd.DataFrame({"_block": [0]})
+        d, t = donors.withColumn("_block", F.lit(0)), targets.withColumn("_block", F.lit(0))
+    else:
+        shape = donors.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < min(1.0, SAMPLE_ROWS / n) * 1_000_000).select(*columns).toPandas()
+        splits = Splits.of(shape, columns, n_blocks)
+        d, t = cut(donors.withColumn("_block", splits.place(donors))), targets.withColumn("_block", splits.place(targets))
+        sides = [e for c in columns for e in (F.min(F.when(~F.isnan(c), F.col(c))).alias(f"lo_{c}"), F.max(F.when(~F.isnan(c), F.col(c))).alias(f"hi_{c}"),
+                                              F.max(F.col(c).isNull() | F.isnan(c)).alias(f"some_{c}"))]
+        boxes = d.groupBy("_block").agg(*sides).toPandas()  # at most 2 MAX_BLOCKS rows
+    ids = boxes["_block"].to_numpy(int)
+
+    def scored(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        b = b.sort_values("id")
+        did = b["id"].to_numpy()
+        score = distance(a, b)
+        if skip_self:
+            score = np.where(a["id"].to_numpy()[:, None] == did[None, :], np.inf, score)
+        cols, best = _topk(did, score, k)
+        return did, cols, best
+
+    def home(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for at in range(0, len(a), 500):
+            part = a.iloc[at:at + 500]
+            if b.empty:
+                donor, best = np.empty((len(part), 0), int), np.empty((len(part), 0))
+            else:
+                did, cols, best = scored(part, b)
+                donor = did[cols]
+            reach = best[:, k - 1] if best.shape[1] >= k else np.full(len(part), np.inf)
+            open_ = np.zeros((len(part), 0), bool) if len(ids) == 1 else (bound(part, boxes) <= reach[:, None] * (1 + 1e-9) + 1e-9) & (ids[None, :] != part["_block"].to_numpy()[:, None])
+            ok = np.isfinite(best)
+            out.append(pd.DataFrame({"target": part["id"].to_numpy(), "donor": [x[m] for x, m in zip(donor, ok)], "score": [x[m] for x, m in zip(best, ok)],
+                                     "reach": reach, "blocks": [ids[m].tolist() for m in open_] if len(ids) > 1 else [[] for _ in range(len(part))]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["target", "donor", "score", "reach", "blocks"])
+
+    def meet(t: DataFrame, fn, schema: str) -> DataFrame:
+        t, sizes = _chunked(t, "_block", rows_per_block)
+        spread = d.join(F.broadcast(sizes), "_block").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
+        return t.groupBy("_block", "_chunk").cogroup(spread.groupBy("_block", "_chunk")).applyInPandas(fn, schema)
+
+    first = cut(meet(t, home, f"target {kind}, donor array<{kind}>, score array<double>, reach double, blocks array<int>"))
+    local = first.select("target", F.explode(F.arrays_zip("donor", "score")).alias("e")).select("target", "e.donor", "e.score")
+    if n_blocks > 1:
+        visits = first.where(F.size("blocks") > 0).select(F.col("target").alias("id"), "reach", F.explode("blocks").alias("_block"))
+
+        def visit(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"target": [], "donor": [], "score": []})]
+            for at in range(0, len(a) if len(b) else 0, 500):
+                part = a.iloc[at:at + 500]
+                did, cols, best = scored(part, b)
+                row, col = np.nonzero(np.isfinite(best) & (best <= part["reach"].to_numpy()[:, None]))
+                out.append(pd.DataFrame({"target": part["id"].to_numpy()[row], "donor": did[cols[row, col]], "score": best[row, col]}))
+            return pd.concat(out)
+
+        local = local.unionByName(meet(targets.join(visits, "id"), visit, f"target {kind}, donor {kind}, score double"))
     w = Window.partitionBy("target").orderBy("score", "donor")
     return local.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
@@ -106,7 +217,7 @@ def _leave_one_out_spread(donors: DataFrame, n: int, targets: DataFrame) -> Data
 METHODS = {"similarity": (True, False), "proximity": (False, True), "combined": (True, True)}
 
 
-def similar(targets: DataFrame, donors: DataFrame, features: Sequence[Feature], k: int = 10, method: str = "similarity") -> DataFrame:
+def similar(targets: DataFrame, donors: DataFrame, features: Sequence[Feature], k: int = 10, method: str = "similarity", rows_per_block: int = 3000) -> DataFrame:
     """Top-k donors by standardised attribute distance, ground distance or both.
 
     Both tables come from ``feature_table`` (``lat`` / ``lon`` extra columns for ground distance). A
@@ -133,7 +244,38 @@ def similar(targets: DataFrame, donors: DataFrame, features: Sequence[Feature],
             ground = _ground_km(a, b)
         return np.hypot(attr, ground / SCALE_KM) if by_attributes and by_ground else attr if by_attributes else ground
 
-    return block_topk(t, donors, k, distance)
+    def bound(a: pd.DataFrame, boxes: pd.DataFrame) -> np.ndarray:
+        attr = ground = 0.0
+        if by_attributes:
+            x, sd = a[cols].to_numpy(float), a[sds].to_numpy(float)
+            acc, tot = np.zeros((len(a), len(boxes))), np.zeros(len(a))
+            for i in range(n):
+                has = ~np.isnan(x[:, i])
+                z = _gap(x[:, i], boxes, f"f{i}") / sd[:, None, i]
+                z = np.where(np.isnan(z), 3.0, np.where(boxes[f"some_f{i}"].to_numpy(bool)[None, :], np.minimum(z, 3.0), z)) * w[i]
+                acc += np.where(has[:, None], z * z, 0.0)
+                tot += has * w[i] ** 2
+            attr = np.sqrt(acc / np.maximum(tot, 1e-9)[:, None])
+        if by_ground:
+            chord = np.sqrt(sum(_gap(v, boxes, c) ** 2 for v, c in zip(_on_sphere(a), _SPHERE)))
+            ground = np.nan_to_num(2 * 6371.0088 * np.arcsin(np.minimum(chord / 2, 1.0)), nan=1e9)
+        return np.hypot(attr, ground / SCALE_KM) if by_attributes and by_ground else attr if by_attributes else ground
+
+    shape = cols if by_attributes else []
+    if by_ground:
+        phi, lam = F.radians("lat"), F.radians("lon")
+        on_sphere = lambda d: d.withColumns({"_ux": F.cos(phi) * F.cos(lam), "_uy": F.cos(phi) * F.sin(lam), "_uz": F.sin(phi)})
+        t, donors, shape = on_sphere(t), on_sphere(donors), [*shape, *_SPHERE]
+    return block_topk(t, donors, k, distance, bound, shape, rows_per_block)
+
+
+_SPHERE = ("_ux", "_uy", "_uz")
+
+
+def _gap(x: np.ndarray, boxes: pd.DataFrame, c: str) -> np.ndarray:
+    """Distance from every value to every box's side; not a number where the box has no values."""
+    lo, hi = boxes[f"lo_{c}"].to_numpy(float), boxes[f"hi_{c}"].to_numpy(float)
+    return np.maximum(0.0, np.maximum(lo[None, :] - x[:, None], x[:, None] - hi[None, :]))
 
 
 def _on_sphere(d: pd.DataFrame) -> np.ndarray:
@@ -153,7 +295,7 @@ SIGNATURE_WEIGHTS = {"baseflow_index": 2.0, "flashiness_index": 2.0, "seasonalit
 
 
 def signature_distance(targets: DataFrame, donors: DataFrame, names: Sequence[str], k: int = 10, max_distance: float | None = None,
-                       weights: dict[str, float] | None = None) -> DataFrame:
+                       weights: dict[str, float] | None = None, rows_per_block: int = 3000) -> DataFrame:
     """Top-k donors by relative signature differences (each scaled by the mean magnitude of the two values)."""
     wt = SIGNATURE_WEIGHTS if weights is None else weights
     w = [wt.get(c, 1.0) for c in names]
@@ -168,10 +310,49 @@ def signature_distance(targets: DataFrame, donors: DataFrame, names: Sequence[st
             acc += np.where((m > 0) & np.isfinite(m), d, 0.0)
         return np.sqrt(acc)
 
-    top = block_topk(targets, donors, k, distance)
+    def bound(a: pd.DataFrame, boxes: pd.DataFrame) -> np.ndarray:
+        acc = np.zeros((len(a), len(boxes)))
+        for c, wi in zip(names, w):
+            # a term falls towards the target's own value from both sides, so a box's nearest value has the least
+            x = a[c].to_numpy(float)[:, None]
+            y = np.clip(x, boxes[f"lo_{c}"].to_numpy(float)[None, :], boxes[f"hi_{c}"].to_numpy(float)[None, :])
+            m = (np.abs(x) + np.abs(y)) / 2
+            with np.errstate(all="ignore"):
+                d = wi * ((x - y) / m) ** 2
+            acc += np.where((m > 0) & np.isfinite(m) & ~boxes[f"some_{c}"].to_numpy(bool)[None, :], d, 0.0)
+        return np.sqrt(acc)
+
+    top = block_topk(targets, donors, k, distance, bound, list(names), rows_per_block)
     return top if max_distance is None else top.where(F.col("score") <= max_distance)
 
 
+def similar_basins(targets: DataFrame, stations: DataFrame, features: Sequence[Feature] = CATCHMENT_FEATURES, k: int = 10, method: str = "similarity",
+                   sources: Sequence[str] | None = None, require_discharge: bool = True, rows_per_block: int = 3000) -> tuple[DataFrame, DataFrame]:
+    """Ranking (target, donor, score, place, similarity_distance, distance_km) and deltas (target, donor, feature, station, own).
+
+    ``stations`` holds id, source, variables (array), latitude, longitude and the attributes; with ``require_discharge`` only stations
+    that measure discharge are candidates, with ``sources`` only those of the named archives. A station is never its own donor. Deltas
+    list the untransformed attributes that both sides know, to three decimals.
+    """
+    by_attributes, by_ground = METHODS[method]
+    ground = [F.col("latitude").alias("lat"), F.col("longitude").alias("lon")]
+    wanted = stations.where(F.array_contains("variables", "discharge")) if require_discharge else stations
+    wanted = wanted.where(F.col("source").isin(list(sources))) if sources else wanted
+    t, d = feature_table(targets, "id", features, ground), feature_table(wanted, "id", features, ground)
+    top = cut(similar(t, d, features, k, method, rows_per_block))
+    raw = [f.column for f in features]
+    place = lambda df, end: df.select(F.col("id").alias(end), F.col("latitude").alias(f"{end}_lat"), F.col("longitude").alias(f"{end}_lon"))
+    far = top.join(place(targets, "target"), "target").join(place(stations, "donor"), "donor")
+    from limnos.operators.catalog import haversine
+
+    km = haversine(F.col("target_lat"), F.col("target_lon"), F.col("donor_lat"), F.col("donor_lon"), 6371.0088)
+    apart = F.col("score") if not by_ground else F.sqrt(F.greatest(F.pow("score", 2) - F.pow(km / SCALE_KM, 2), F.lit(0.0))) if by_attributes else F.lit(None).cast("double")
+    ranked = far.select("target", "donor", "score", "place", apart.alias("similarity_distance"), (km if by_ground else F.lit(None).cast("double")).alias("distance_km"))
+    long = lambda df, end, v: df.select(F.col("id").alias(end), *[F.col(c).cast("double").alias(c) for c in raw]).unpivot([end], raw, "feature", v)
+    deltas = top.select("target", "donor").join(long(stations, "donor", "station"), "donor").join(long(targets, "target", "own"), ["target", "feature"])
+    return ranked, deltas.where("station IS NOT NULL AND own IS NOT NULL").select("target", "donor", "feature", F.round("station", 3).alias("station"), F.round("own", 3).alias("own"))
+
+
 def percent_differences(a: DataFrame, b: DataFrame, names: Sequence[str], on: str = "id") -> DataFrame:
     """Field-by-field percent difference of two signature tables."""
     long = lambda d, v: d.select(on, *[F.col(c).cast("double").alias(c) for c in names]).unpivot([on], list(names), "signature", v)

@@ -276,6 +276,53 @@ def join_spatial_weight(spark, sf):
     return nudged(S.proximity_weights(stations(spark, sf).select("station_id", "latitude", "longitude"), 25.0, 121.0).select("station_id", "weight"), 8, "weight")
 
 
+# catchment attributes made from embeddings: scale, offset and whether only the size of a component counts
+ATTRS = {"area_km2": (900.0, 1.0, True), "elevation_m": (800.0, 600.0, False), "slope_deg": (9.0, 0.0, True), "precipitation_mm_yr": (700.0, 900.0, False), "aridity_index": (1.5, 0.1, True),
+         "temperature_c": (9.0, 11.0, False), "snow_cover_pct": (30.0, 0.0, True), "forest_pct": (50.0, 0.0, True), "cropland_pct": (45.0, 0.0, True), "urban_pct": (12.0, 0.0, True),
+         "clay_pct": (30.0, 5.0, True), "sand_pct": (40.0, 5.0, True), "population_density": (300.0, 0.0, True), "degree_of_regulation_pct": (25.0, 0.0, True)}
+CATCH = "ca AS (SELECT vec_id AS id, 'archive' || (vec_id % 3) AS source, vec_id % 2 = 0 AS flow, (vec_id * 37 % 180) - 89.5::DOUBLE AS latitude, (vec_id * 91 % 360) - 179.5::DOUBLE AS longitude, " + ", ".join(
+    f"CASE WHEN vec_id % 17 <> {i} THEN round({k}::DOUBLE * {'abs' if a else ''}(embedding[{i + 1}]::DOUBLE) + {o}::DOUBLE, 6) END AS {c}" for i, (c, (k, o, a)) in enumerate(ATTRS.items())) + " FROM embeddings)"
+
+
+def catchments(spark, sf):
+    k, e = F.col("vec_id"), lambda i, a: (F.abs if a else lambda x: x)(F.get("embedding", F.lit(i)).cast("double"))
+    return table(spark, sf, "embeddings").select(
+        k.alias("id"), F.concat(F.lit("archive"), (k % 3).cast("string")).alias("source"), F.when(k % 2 == 0, F.array(F.lit("level"), F.lit("discharge"))).otherwise(F.array(F.lit("level"))).alias("variables"),
+        ((k * 37 % 180) - 89.5).cast("double").alias("latitude"), ((k * 91 % 360) - 179.5).cast("double").alias("longitude"),
+        *[F.when(k % 17 != i, F.round(scale * e(i, size) + off, 6)).alias(c) for i, (c, (scale, off, size)) in enumerate(ATTRS.items())])
+
+
+def _how(f, c):
+    return {"log10": f"CASE WHEN {c} IS NOT NULL THEN log10(greatest({c}, 1e-3)) END", "log1p": f"CASE WHEN {c} IS NOT NULL THEN ln(1 + greatest({c}, 0)) END", None: c}[f.transform]
+
+
+NF = len(S.CATCHMENT_FEATURES)
+CTR = f"{CATCH}, cf AS (SELECT id, source, flow, latitude AS lat, longitude AS lon, {', '.join(f'{_how(f, f.column)} AS f{i}' for i, f in enumerate(S.CATCHMENT_FEATURES))} FROM ca), cd AS (SELECT * FROM cf WHERE flow AND source <> 'archive1'), "
+CSU = "cs AS (SELECT " + ", ".join(f"count(f{i}) AS n{i}, avg(f{i}) AS m{i}, coalesce(var_pop(f{i}), 0) * count(f{i}) AS q{i}" for i in range(NF)) + " FROM cd), "
+CSD = "ct AS (SELECT cf.*, " + ", ".join(f"CASE WHEN flow AND source <> 'archive1' AND f{i} IS NOT NULL THEN sqrt(greatest((q{i} - (f{i} - m{i}) ** 2) / (n{i} - 1) - ((f{i} - m{i}) / (n{i} - 1)) ** 2, 0)) ELSE sqrt(q{i} / n{i}) END AS sd{i}" for i in range(NF)) + " FROM cf, cs), "
+CTERM = " + ".join(f"CASE WHEN t.f{i} IS NULL THEN 0 ELSE (CASE WHEN d.f{i} IS NULL THEN 3 ELSE abs(d.f{i} - t.f{i}) / sd{i} END * {f.weight}::DOUBLE) ** 2 END" for i, f in enumerate(S.CATCHMENT_FEATURES))
+CWSUM = " + ".join(f"CASE WHEN t.f{i} IS NULL THEN 0 ELSE {f.weight ** 2!r}::DOUBLE END" for i, f in enumerate(S.CATCHMENT_FEATURES))
+CTOP = CTR + CSU + CSD + (f"cp AS (SELECT t.id AS target, d.id AS donor, sqrt(({CTERM}) / ({CWSUM})) AS attr, {KM} AS km FROM ct t, cd d WHERE t.id <> d.id), ck AS (SELECT *, sqrt(attr ** 2 + (km / 500) ** 2) AS score, "
+                          "row_number() OVER (PARTITION BY target ORDER BY sqrt(attr ** 2 + (km / 500) ** 2), donor) AS place FROM cp QUALIFY place <= 10)")
+
+
+def catchment_ranking(spark, sf):
+    c = catchments(spark, sf)
+    return S.similar_basins(c, c, method="combined", sources=["archive0", "archive2"])
+
+
+@query("similar_catchments", f"WITH {CTOP} SELECT target, donor, {N('score')} AS score, place, {N('attr')} AS similarity_distance, {N('km', 4)} AS distance_km FROM ck")
+def similar_catchments(spark, sf):
+    d = catchment_ranking(spark, sf)[0].withColumn("place", F.col("place").cast("long"))
+    return nudged(nudged(d, 6, "score", "similarity_distance"), 4, "distance_km")
+
+
+@query("similar_catchment_deltas", f"WITH {CTOP}, lo AS (UNPIVOT (SELECT id, {', '.join(ATTRS)} FROM ca) ON {', '.join(ATTRS)} INTO NAME feature VALUE value) "
+       f"SELECT target, donor, a.feature AS feature, {N('a.value', 3)} AS station, {N('b.value', 3)} AS own FROM ck JOIN lo a ON a.id = donor JOIN lo b ON b.id = target AND b.feature = a.feature")
+def similar_catchment_deltas(spark, sf):
+    return catchment_ranking(spark, sf)[1]
+
+
 SITE = "site AS (SELECT c_custkey AS station_id, (c_custkey * 53 % 17999)::DOUBLE / 100 - 89.995 AS latitude, (c_custkey * 97 % 36000)::DOUBLE / 100 - 180 AS longitude FROM customer)"
 
 

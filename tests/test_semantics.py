@@ -276,8 +276,8 @@ def test_block_size_does_not_change_results(spark):
     b = [tuple(round(x, 9) for x in r) for r in similarity.variogram(d, rows_per_block=13).orderBy("bin").collect()]
     assert a == b
     f = spark.createDataFrame(pdf.rename(columns={"station_id": "id", "lat": "f0", "lon": "f1"})[["id", "f0", "f1"]])
-    t = similarity.block_topk(f, f, 4, lambda x, y: np.abs(x["f0"].to_numpy()[:, None] - y["f0"].to_numpy()[None, :]), 1000)
-    u = similarity.block_topk(f, f, 4, lambda x, y: np.abs(x["f0"].to_numpy()[:, None] - y["f0"].to_numpy()[None, :]), 17)
+    t = similarity.block_topk(f, f, 4, lambda x, y: np.abs(x["f0"].to_numpy()[:, None] - y["f0"].to_numpy()[None, :]), lambda x, b: similarity._gap(x["f0"].to_numpy(), b, "f0"), ["f0"], 1000)
+    u = similarity.block_topk(f, f, 4, lambda x, y: np.abs(x["f0"].to_numpy()[:, None] - y["f0"].to_numpy()[None, :]), lambda x, b: similarity._gap(x["f0"].to_numpy(), b, "f0"), ["f0"], 17)
     assert sorted(map(tuple, t.collect())) == sorted(map(tuple, u.collect()))
 
 

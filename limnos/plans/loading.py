@@ -379,7 +379,20 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-CLOSED = "(SELECT max(ts) - INTERVAL 2 DAY FROM obs)"
+def arriving(rows: DataFrame, name: str, parts: int = 3) -> DataFrame:
+    """``rows`` as a file stream that arrives in ``parts`` stretches of time, one a batch, and ends with a closing row."""
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, f"{name}-in")
+    lo, hi = rows.agg(F.min("ts"), F.max("ts")).first()
+    if lo is not None:
+        part = F.least(F.lit(parts - 1), F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(lo))) / (F.unix_micros(F.lit(hi)) - F.unix_micros(F.lit(lo)) + 1) * parts))
+        for i in range(parts):
+            rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    S.closing_row(rows).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def observed(spark, sf):
+    return obs(spark, sf).select("station_id", "parameter", "ts", "value", "seq")
 
 
 @query("stream_alerts", f"WITH {HITS} SELECT seq, standard, severity FROM hs")
@@ -387,14 +400,21 @@ def stream_alerts(spark, sf):
     return drained(S.alerts(named(stream_source(spark, sf), DRINKING)).select("seq", "standard", "severity"), "alerts")
 
 
-@query("stream_daily_mean", f"WITH {OBS} SELECT station_id, parameter, CAST(ts AS DATE) AS date, {N('avg(value)', 8)} AS value, count(value) AS n FROM obs GROUP BY 1, 2, 3 HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= {CLOSED}".replace("HAVING CAST(ts AS DATE) +", "HAVING any_value(CAST(ts AS DATE)) +"))
+@query("stream_daily_mean", f"WITH {OBS} SELECT station_id, parameter, CAST(ts AS DATE) AS date, {N('avg(value)', 8)} AS value, count(value) AS n FROM obs GROUP BY 1, 2, 3")
 def stream_daily_mean(spark, sf):
-    return nudged(drained(S.daily_mean(stream_source(spark, sf)), "daily"), 8, "value")
+    return nudged(drained(S.daily_mean(arriving(observed(spark, sf), "daily")), "daily"), 8, "value")
 
 
-@query("stream_sliding_stats", f"WITH {OBS}, w AS (SELECT station_id, parameter, CAST(CAST(ts AS DATE) - CAST(k AS INT) AS TIMESTAMP) AS start, value FROM obs, range(7) t(k)) SELECT station_id, parameter, start, start + INTERVAL 7 DAY AS \"end\", {N('avg(value)', 8)} AS mean, count(value) AS n FROM w GROUP BY 1, 2, 3 HAVING start + INTERVAL 7 DAY <= {CLOSED}")
+@query("stream_sliding_stats", f"WITH {OBS}, w AS (SELECT station_id, parameter, CAST(CAST(ts AS DATE) - CAST(k AS INT) AS TIMESTAMP) AS start, value FROM obs, range(7) t(k)) SELECT station_id, parameter, start, start + INTERVAL 7 DAY AS \"end\", {N('avg(value)', 8)} AS mean, {N('stddev_samp(value)')} AS std, count(value) AS n FROM w GROUP BY 1, 2, 3")
 def stream_sliding_stats(spark, sf):
-    return nudged(drained(S.sliding_stats(stream_source(spark, sf)), "sliding").drop("std"), 8, "mean")
+    return nudged(nudged(drained(S.sliding_stats(arriving(observed(spark, sf), "sliding")), "sliding"), 8, "mean"), 6, "std")
+
+
+@query("stream_dedupe_last", f"WITH {OBS}, twice AS (SELECT station_id, parameter, ts, value + c AS value, 2 * seq + c AS seq FROM obs, (SELECT 0 AS c UNION ALL SELECT 1) cc) SELECT station_id, ts, parameter, {N('arg_max(value, seq)', 4)} AS value, max(seq) AS seq FROM twice GROUP BY 1, 2, 3")
+def stream_dedupe_last(spark, sf):
+    rows = observed(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(0))))
+    twice = rows.select("station_id", "parameter", "ts", (F.col("value") + F.col("copy")).alias("value"), (2 * F.col("seq") + F.col("copy")).alias("seq"))
+    return nudged(drained(S.dedupe_last(arriving(twice, "last")), "last"), 4, "value")
 
 
 @query("stream_dedupe", f"WITH {OBS} SELECT DISTINCT station_id, ts, parameter FROM obs")
@@ -404,8 +424,20 @@ def stream_dedupe(spark, sf):
     return drained(S.dedupe(twice), "dedupe").select("station_id", "ts", "parameter")
 
 
-@query("stream_cusum")
+SUMS = (f"WITH RECURSIVE {OBS}, r AS (SELECT station_id, ts, value, row_number() OVER (PARTITION BY station_id ORDER BY ts, value) AS rn FROM obs WHERE value IS NOT NULL), "
+        "c AS (SELECT station_id, ts, rn, greatest(0, value - 50) AS up, greatest(0, 50 - value) AS dn FROM r WHERE rn = 1 UNION ALL "
+        "SELECT r.station_id, r.ts, r.rn, greatest(0, CASE WHEN up > 400 THEN 0 ELSE up END + value - 50), greatest(0, CASE WHEN up <= 400 AND dn > 400 THEN 0 ELSE dn END + 50 - value) FROM c JOIN r ON r.station_id = c.station_id AND r.rn = c.rn + 1) ")
+
+
+@query("stream_cusum", SUMS + f"SELECT station_id, ts, CASE WHEN up > 400 THEN 'up' ELSE 'down' END AS side, {N('greatest(up, dn)', 6)} AS statistic FROM c WHERE up > 400 OR dn > 400")
 def stream_cusum(spark, sf):
-    return drained(S.cusum(stream_source(spark, sf), 50.0, 400.0), "cusum")
+    return nudged(drained(S.cusum(arriving(observed(spark, sf), "cusum"), 50.0, 400.0), "cusum"), 6, "statistic")
 
 
+@query("stream_spells_running", f"WITH {FLOW}, h AS (SELECT station_id, date, value FROM flow WHERE value > 200), g AS (SELECT *, CASE WHEN date - lag(date) OVER (PARTITION BY station_id ORDER BY date) <= 2 THEN 0 ELSE 1 END AS b FROM h), s AS (SELECT *, sum(b) OVER (PARTITION BY station_id ORDER BY date) AS sid FROM g) "
+       "SELECT station_id, min(date) AS start, max(date) AS last, count(*) AS n, max(value) AS peak FROM s GROUP BY station_id, sid")
+def stream_spells_running(spark, sf):
+    rows = flow(spark, sf).select("station_id", F.col("date").cast("timestamp").alias("ts"), "value")
+    closed = arriving(rows, "spells").withColumn("value", F.when(F.col("station_id").isNull(), 1e9).otherwise(F.col("value")))
+    d = drained(S.spell_sessions(closed, 200.0, "2 days 1 second"), "spells")
+    return d.select("station_id", F.to_date("start").alias("start"), F.to_date("last").alias("last"), "n", "peak")

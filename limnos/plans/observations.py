@@ -352,3 +352,18 @@ def oxygen_sag(spark, sf):
 @query("oxygen_profile", f"WITH {SAG} SELECT station_id, {R('i * 10.0::DOUBLE / 49')} AS t_days, {R('9 - (0.3::DOUBLE * round(bod, 4) / 0.2 * (exp(-0.3 * i * 10 / 49) - exp(-0.5 * i * 10 / 49)) + (9 - round(dm, 4)) * exp(-0.5 * i * 10 / 49))')} AS do_mg_l FROM e, range(50) t(i)")
 def oxygen_profile(spark, sf):
     return S.oxygen_profile(oxygen_sag(spark, sf))
+
+
+@query("approx_profile", f"WITH {OBS}, o AS (SELECT parameter, year(ts) AS year, round(value, 1) AS value FROM obs WHERE value IS NOT NULL) SELECT parameter, year, count(*) AS n, count(DISTINCT value) AS exact_distinct, true AS distinct_within, true AS p05_within, true AS p50_within, true AS p95_within FROM o GROUP BY 1, 2")
+def approx_profile(spark, sf):
+    """Merged sketches beside exact counts: estimates lie within four standard errors (distinct) and three times the rank error (quantiles)."""
+    from limnos.operators import sketches as K
+
+    o = obs(spark, sf).where("value IS NOT NULL").withColumn("value", F.round("value", 1))
+    near = K.approx_profile(o, ("parameter",)).withColumnRenamed("n", "_n")
+    rows = o.select("parameter", F.year("ts").cast("long").alias("year"), "value").join(near, ["parameter", "year"])
+    share = [e for c in K.QUANTILES for e in (F.avg((F.col("value") < F.col(c)).cast("double")).alias(f"_lo_{c}"), F.avg((F.col("value") <= F.col(c)).cast("double")).alias(f"_hi_{c}"))]
+    g = rows.groupBy("parameter", "year").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("exact_distinct"), F.first("n_distinct").alias("_d"), *share)
+    slack = 3 * K.RANK_ERROR
+    return g.select("parameter", "year", "n", "exact_distinct", (F.abs(F.col("_d") - F.col("exact_distinct")) <= F.greatest(F.lit(1.0), 4 * K.DISTINCT_ERROR * F.col("exact_distinct"))).alias("distinct_within"),
+                    *[((F.col(f"_lo_{c}") <= p + slack) & (F.col(f"_hi_{c}") >= p - slack)).alias(f"{c}_within") for c, p in K.QUANTILES.items()])

@@ -142,7 +142,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss
 
 
 def clean(docs: DataFrame, text_col: str = "text", loss: int = LOSS) -> DataFrame:
-    """The documents that are kept, with the columns of ``docs`` and without their failed lines.
+    """The documents that are kept, with the columns of ``docs`` and without their failed lines (the others stand joined by line breaks).
 
     Null and empty texts go. Columns stay as they are, whatever their names; the text column becomes a string.
     """
@@ -164,7 +164,8 @@ def clean(docs: DataFrame, text_col: str = "text", loss: int = LOSS) -> DataFram
                     for b, e in spans:  # with the line break behind a line
                         out.append(p.data[at:b].tobytes())
                         at = min(e + 1, stop)
-                    texts[d] = (b"".join(out) + p.data[at:stop].tobytes()).decode()
+                    left = b"".join(out) + p.data[at:stop].tobytes()
+                    texts[d] = left.removesuffix(b"\n" if spans[-1][1] == stop else b"").decode()
                 if cuts:
                     own = own.set_column(place, own.schema.field(place), pa.array(texts, own.schema.field(place).type))
                 yield own.filter(pa.array(v.kept))

@@ -123,10 +123,19 @@ def spi_status(spark, sf):
     return C.spi_status(monthly_precip(spark, sf), (1, 3, 6), min_per_group=5)
 
 
-@query("pdsi_simplified")
+UPPER, LOWER = "(100.0::DOUBLE / 3)", "(100.0::DOUBLE - 100.0::DOUBLE / 3)"
+PALMER = (f"WITH RECURSIVE {MONTHLY}, {PRECIP}, {PM}, j AS (SELECT station_id, date, pm.value AS p, m.value AS pe, row_number() OVER (PARTITION BY station_id ORDER BY date) AS rn FROM pm JOIN m USING (station_id, date)), "
+          f"b AS (SELECT DISTINCT station_id, 0::BIGINT AS rn, {UPPER} AS s, {LOWER} AS u, 0.0::DOUBLE AS et FROM j UNION ALL SELECT station_id, rn, s1 + fill, u1 + least(p - fill, {LOWER} - u1), et FROM (SELECT *, least(p, {UPPER} - s1) AS fill FROM "
+          "(SELECT *, s - a AS s1, u - bb AS u1, a + bb AS et FROM (SELECT *, least(pe - a, u) AS bb FROM (SELECT j.station_id AS station_id, j.rn AS rn, p, pe, s, u, least(pe, s) AS a FROM b JOIN j ON j.station_id = b.station_id AND j.rn = b.rn + 1))))), "
+          "sh AS (SELECT station_id, avg(CASE WHEN pe > 0 THEN et / pe ELSE 1 END) AS share FROM b JOIN j USING (station_id, rn) GROUP BY 1), "
+          "z AS (SELECT station_id, date, rn, (p - share * pe) / (stddev_pop(p - share * pe) OVER (PARTITION BY station_id) + 1e-10) AS z FROM j JOIN sh USING (station_id)), "
+          "x AS (SELECT station_id, date, rn, 0.0::DOUBLE AS x FROM z WHERE rn = 1 UNION ALL SELECT z.station_id, z.date, z.rn, 0.897::DOUBLE * x.x + z.z / 3 FROM x JOIN z ON z.station_id = x.station_id AND z.rn = x.rn + 1) ")
+
+
+@query("pdsi_simplified", PALMER + f"SELECT station_id, date, {N('x', 5)} AS pdsi FROM x")
 def pdsi_simplified(spark, sf):
     q = monthly(spark, sf).withColumnRenamed("value", "pet")
-    return C.pdsi(monthly_precip(spark, sf).withColumnRenamed("value", "precip").join(q, [*K, "date"]))
+    return nudged(C.pdsi(monthly_precip(spark, sf).withColumnRenamed("value", "precip").join(q, [*K, "date"])), 5, "pdsi")
 
 
 @query("water_balance_monthly", f"WITH {FLOW}, {PRECIP}, a AS (SELECT station_id, CAST(date_trunc('month', date) AS DATE) AS date, sum(value) * 10 AS p FROM precip GROUP BY 1, 2), b AS (SELECT station_id, CAST(date_trunc('month', date) AS DATE) AS date, sum(value) AS e FROM flow GROUP BY 1, 2) "

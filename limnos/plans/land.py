@@ -85,23 +85,31 @@ def fields(spark, sf):
                     F.date_add(F.lit("1996-01-01").cast("date"), (k % 90).cast("int")).alias("planting_date"))
 
 
-@query("crop_kc", f"WITH {FIELD} SELECT field_id, crop, kc_mid AS kc, kcb_mid AS kcb FROM field JOIN crops USING (crop)")
+STAGED = f"{FIELD}, staged AS (SELECT field_id, station_id, planting_date, crop, unnest(['initial', 'mid', 'late']) AS stage, unnest([kc_ini, kc_mid, kc_late]) AS kc, unnest([kcb_ini, kcb_mid, kcb_late]) AS kcb FROM field JOIN crops USING (crop))"
+
+
+def staged(spark, sf):
+    return fields(spark, sf).join(F.broadcast(A.crop_coefficients(spark)), "crop")
+
+
+@query("crop_kc", f"WITH {STAGED} SELECT field_id, crop, stage, kc, kcb FROM staged")
 def crop_kc(spark, sf):
-    k = A.crop_coefficients(spark).where("stage = 'mid'").drop("stage")
-    return fields(spark, sf).join(F.broadcast(k), "crop").select("field_id", "crop", "kc", "kcb")
+    return staged(spark, sf).select("field_id", "crop", "stage", "kc", "kcb")
 
 
-@query("compute_ke", f"WITH {FIELD} SELECT field_id, {N('greatest(least(0.8::DOUBLE * (1.2::DOUBLE - kcb_ini), 0.5::DOUBLE * 1.2), 0)')} AS ke FROM field JOIN crops USING (crop)")
+@query("compute_ke", f"WITH {STAGED} SELECT field_id, stage, {N('greatest(least(0.8::DOUBLE * (1.2::DOUBLE - kcb), 0.5::DOUBLE * 1.2), 0)')} AS ke FROM staged")
 def compute_ke(spark, sf):
-    f = fields(spark, sf).join(F.broadcast(A.crops(spark)), "crop")
-    return nudged(f.select("field_id", A.soil_evaporation(c("kcb_ini"), 1.2, 0.5, 0.8).alias("ke")), 6, "ke")
+    return nudged(staged(spark, sf).select("field_id", "stage", A.soil_evaporation(c("kcb"), 1.2, 0.5, 0.8).alias("ke")), 6, "ke")
 
 
-@query("crop_et", f"WITH {WX}, {FIELD} SELECT field_id, w6.date, {N('kc_mid * eto')} AS etc FROM field JOIN crops USING (crop) JOIN w6 USING (station_id) WHERE w6.date BETWEEN planting_date AND planting_date + 30")
+@query("crop_et", f"WITH {WX}, {FIELD}, d AS (SELECT field_id, w6.date AS date, eto, date_diff('day', planting_date, w6.date) AS day, crops.* FROM field JOIN crops USING (crop) JOIN w6 USING (station_id)) "
+       f"SELECT field_id, date, {N('CASE WHEN day < l_ini THEN kc_ini WHEN day < l_ini + l_dev + l_mid THEN kc_mid ELSE kc_late END * eto')} AS etc FROM d WHERE day BETWEEN 0 AND l_ini + l_dev + l_mid + l_late - 1")
 def crop_et(spark, sf):
+    """Reference evapotranspiration times the tabulated coefficient of the day's stage, over whole seasons."""
     f = fields(spark, sf).join(F.broadcast(A.crops(spark)), "crop")
-    j = f.join(A.reference_et(weather(spark, sf)), "station_id").where(c("date").between(c("planting_date"), F.date_add("planting_date", 30)))
-    return nudged(j.select("field_id", "date", (c("kc_mid") * c("eto")).alias("etc")), 6, "etc")
+    j = f.join(A.reference_et(weather(spark, sf)), "station_id").withColumn("day", F.datediff("date", "planting_date")).where((c("day") >= 0) & (c("day") < c("l_ini") + c("l_dev") + c("l_mid") + c("l_late")))
+    kc = F.when(c("day") < c("l_ini"), c("kc_ini")).when(c("day") < c("l_ini") + c("l_dev") + c("l_mid"), c("kc_mid")).otherwise(c("kc_late"))
+    return nudged(j.select("field_id", "date", (kc * c("eto")).alias("etc")), 6, "etc")
 
 
 def _kc(i, m, la):

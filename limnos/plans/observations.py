@@ -242,10 +242,10 @@ def alerts_report(spark, sf):
     return S.alert_report(named(obs(spark, sf), DRINKING))
 
 
-@query("alerts_top", f"WITH {HITS} SELECT seq, parameter, standard, limit_value, {R('ratio', 6)} AS ratio FROM hs WHERE limit_value > 0 ORDER BY hs.ratio DESC, seq, standard, limit_value LIMIT 20")
+@query("alerts_top", f"WITH {HITS} SELECT seq, parameter, standard, limit_value, CASE WHEN isinf(hs.ratio) THEN hs.ratio ELSE {R('hs.ratio', 6)} END AS ratio FROM hs ORDER BY hs.ratio DESC, seq, standard, limit_value LIMIT 20")
 def alerts_top(spark, sf):
-    d = named(obs(spark, sf), DRINKING).where("parameter <> 'e_coli'")
-    return S.top_alerts(d).select("seq", "parameter", "standard", "limit_value", F.round("ratio", 6).alias("ratio"))
+    d = S.top_alerts(named(obs(spark, sf), DRINKING))
+    return d.select("seq", "parameter", "standard", "limit_value", F.when(F.col("ratio") == float("inf"), F.col("ratio")).otherwise(F.round("ratio", 6)).alias("ratio"))
 
 
 @query("who_screen", f"""WITH {named_sql(DRINKING)}, {GUIDE}, r AS (SELECT lower(obs.parameter) AS parameter, value FROM obs WHERE value IS NOT NULL), a AS (SELECT r.parameter, count(*) AS n, CAST(sum(CASE WHEN high IS NULL THEN CASE WHEN value < low THEN 1 ELSE 0 END

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from limnos.functions.arith import correlation, ratio
 from limnos.operators.ensemble import cross_products, solve_rows
-from limnos.operators.series import block_pairs
 from limnos.session import cut
 
 SCALE_KM = 500.0
@@ -438,34 +437,93 @@ def proximity_weights(donors: DataFrame, lat: float, lon: float) -> DataFrame:
     return d.join(F.broadcast(total), F.lit(True)).withColumn("weight", F.col("inv") / F.col("_t")).drop("inv", "_t")
 
 
+PAIRED_BLOCKS = 2_000  # blocks of a variogram, whose pairs the driver looks through
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of (x, y) points."""
+    pts = np.unique(points, axis=0)
+    if len(pts) < 3:
+        return pts
+
+    def chain(order) -> list:
+        out: list = []
+        for p in order:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    rows = pts.tolist()
+    return np.array(chain(rows) + chain(rows[::-1]))
+
+
+def _farthest(points: np.ndarray) -> float:
+    """Largest distance between any two points, from the corners of their hull."""
+    corners, most = hull(points), 0.0
+    for at in range(0, len(corners), 1000):
+        most = max(most, float(((corners[at:at + 1000, None, :] - corners[None, :, :]) ** 2).sum(2).max()))
+    return math.sqrt(most)
+
+
 def variogram(stations: DataFrame, bins: int = 15, rows_per_block: int = 4000) -> DataFrame:
-    """Empirical variogram of (lat, lon, value) stations: blocks of stations return bin sums, never pairs."""
-    n = stations.count()
-    nb = max(1, -(-n // rows_per_block))
-    bins = min(bins, n)
-    blk = F.pmod(F.xxhash64("station_id"), F.lit(nb))
-
-    def split(pdf: pd.DataFrame, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = pdf[pdf["_blk"] == i], pdf[pdf["_blk"] == j]
-        x, y = a[["lat", "lon"]].to_numpy(float), b[["lat", "lon"]].to_numpy(float)
-        d = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-        g = (a["value"].to_numpy(float)[:, None] - b["value"].to_numpy(float)[None, :]) ** 2
-        use = np.triu(np.ones(d.shape, bool), 1) if i == j else np.ones(d.shape, bool)
-        return d[use], g[use]
-
-    far = block_pairs(stations, blk, nb, lambda p, i, j: pd.DataFrame({"d": [float(max(split(p, i, j)[0], default=0.0))]}), "d double")
-    top = far.agg((F.max("d") / 2).alias("half"))
-
-    def sums(pdf: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
-        d, g = split(pdf, i, j)
-        edges = np.linspace(0, float(pdf["half"].iloc[0]), bins + 1)
-        at = np.searchsorted(edges, d, "left") - 1
-        ok = (at >= 0) & (at < bins)
-        return pd.DataFrame({"bin": np.arange(bins), "pairs": np.bincount(at[ok], minlength=bins), "sq": np.bincount(at[ok], g[ok], minlength=bins),
-                             "half": float(pdf["half"].iloc[0])})
-
-    rows = block_pairs(stations.join(F.broadcast(top), F.lit(True)), blk, nb, sums, "bin long, pairs long, sq double, half double")
-    g = rows.groupBy("bin").agg(F.sum("pairs").alias("pairs"), F.sum("sq").alias("sq"), F.max("half").alias("half")).where("pairs > 0")
+    """Empirical variogram of (lat, lon, value) stations over half the largest distance.
+
+    Stations are cut into blocks of neighbours. Of two blocks that lie wholly in one distance bin, their counts and sums give all
+    pairs; blocks farther apart than the last bin are passed over; only the rest compares stations, one pair of blocks a task.
+    """
+    s = cut(stations.select("lat", "lon", "value").dropna())
+    n = s.count()
+    bins, blocks = min(bins, n), min(PAIRED_BLOCKS, max(1, -(-n // rows_per_block)))
+    kind = "bin long, pairs long, sq double, half double"
+    if blocks > 1:
+        shape = s.where(F.pmod(F.xxhash64("lat", "lon", "value"), F.lit(1_000_000)) < min(1.0, SAMPLE_ROWS / n) * 1_000_000).select("lat", "lon").toPandas()
+        s = cut(s.withColumn("_blk", Splits.of(shape, ["lat", "lon"], blocks).place(s)))
+    else:
+        s = s.withColumn("_blk", F.lit(0))
+    # a block's corners come first, so the farthest pair needs no second look at the stations
+    corners = s.groupBy("_blk").applyInPandas(lambda p: pd.DataFrame(hull(p[["lat", "lon"]].to_numpy(float)), columns=["lat", "lon"]), "lat double, lon double")
+    far = corners.toPandas().to_numpy(float)
+    half = _farthest(far) / 2 if len(far) else 0.0
+    edges, mean = np.linspace(0, half, bins + 1) if n else np.zeros(1), F.lit(float(s.agg(F.avg("value")).first()[0] or 0.0))
+    v = F.col("value") - mean
+    box = s.groupBy("_blk").agg(*[f(c).alias(f"{name}_{c}") for c in ("lat", "lon") for name, f in (("lo", F.min), ("hi", F.max))], F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    box = box.orderBy("_blk").toPandas()  # at most 2 PAIRED_BLOCKS rows
+    done, open_ = np.zeros((bins, 2)), []
+    for i in range(len(box)):
+        other = np.arange(i, len(box))
+        lo, hi = box[["lo_lat", "lo_lon"]].to_numpy(float), box[["hi_lat", "hi_lon"]].to_numpy(float)
+        near = np.sqrt((np.maximum(0, np.maximum(lo[other] - hi[i], lo[i] - hi[other])) ** 2).sum(1))
+        most = np.sqrt((np.maximum(hi[other] - lo[i], hi[i] - lo[other]) ** 2).sum(1))
+        slack = 1e-9 * half
+        b = np.clip(np.searchsorted(edges, near, "right") - 1, 0, max(bins - 1, 0))
+        one = (other > i) & (near > edges[b] + slack) & (most < edges[b + 1] - slack) if bins else np.zeros(len(other), bool)
+        count, total, square = box["n"].to_numpy(float), box["s"].to_numpy(float), box["q"].to_numpy(float)
+        j = other[one]
+        np.add.at(done, b[one], np.stack([count[i] * count[j], count[j] * square[i] + count[i] * square[j] - 2 * total[i] * total[j]], axis=1))
+        left = other[~one & (near <= half + slack)]
+        open_.append(np.stack([np.full(len(left), box["_blk"].iloc[i]), box["_blk"].to_numpy()[left]], axis=1))
+    spark = stations.sparkSession
+    pairs = spark.createDataFrame(pd.DataFrame(np.concatenate(open_) if open_ else np.zeros((0, 2), int), columns=["_bi", "_bj"]), "_bi int, _bj int")
+    sides = pairs.select("_bi", "_bj", F.explode(F.array_distinct(F.array("_bi", "_bj"))).alias("_blk"))
+
+    def sums(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[pdf["_blk"] == k] for k in key)
+        out = np.zeros((bins, 2))
+        y, w = b[["lat", "lon"]].to_numpy(float), b["value"].to_numpy(float)
+        for at in range(0, len(a), 500):
+            x = a[["lat", "lon"]].to_numpy(float)[at:at + 500]
+            d = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+            g = (a["value"].to_numpy(float)[at:at + 500, None] - w[None, :]) ** 2
+            use = np.arange(at, at + len(x))[:, None] < np.arange(len(b))[None, :] if key[0] == key[1] else np.ones(d.shape, bool)
+            place = np.searchsorted(edges, d, "left") - 1
+            use &= (place >= 0) & (place < bins)
+            out += np.stack([np.bincount(place[use], minlength=bins), np.bincount(place[use], g[use], minlength=bins)], axis=1)
+        return pd.DataFrame({"bin": np.arange(bins), "pairs": out[:, 0].astype(int), "sq": out[:, 1], "half": half})
+
+    rows = sides.join(s, "_blk").groupBy("_bi", "_bj").applyInPandas(sums, kind)
+    known = spark.createDataFrame(pd.DataFrame({"bin": np.arange(bins), "pairs": done[:, 0].astype(int), "sq": done[:, 1], "half": half}), kind)
+    g = rows.unionByName(known).groupBy("bin").agg(F.sum("pairs").alias("pairs"), F.sum("sq").alias("sq"), F.max("half").alias("half")).where("pairs > 0")
     return g.select("bin", ((F.col("bin") + 0.5) * F.col("half") / bins).alias("bin_center"), "pairs", (F.col("sq") / F.col("pairs") / 2).alias("gamma"))
 
 

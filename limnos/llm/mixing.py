@@ -1,23 +1,24 @@
 """Mixing sources to target weights by a Pfair schedule of blocks.
 
-Every source is cut into blocks of ``block`` documents. Block j (from 0) of a source of weight w is released at slot floor(j / w) and due
-before slot ceil((j + 1) / w); in each slot the released block with the earliest deadline runs, ties going to the larger weight and
-then to the source's name. Each source has then run within one block of w times the slots so far, at every slot.
-
-Weights are whole numbers of blocks in a period of ``PERIOD`` slots, so the schedule repeats: only one period is laid out, whatever the
-corpus, and joined to the blocks by their number in the period. A source that runs out ends a phase; the remaining weights go on among
-the remaining sources, so every document gets a place. There are at most as many phases as sources.
-
-Of more than ``SOURCES`` sources the ``ALONE`` largest are scheduled as above and the others in up to ``GROUPS`` groups, each of which is
-scheduled like a source of their summed weight. A group holds sources that would run out at about the same time. Inside it, block j of
-a source of weight w comes at time (j + u) / w, u from 0 to 1 by a hash of the source; the order of these times is a Spark table.
+A block runs as two halves of ``block / 2`` documents. Weights are exact fractions. Time is cut into frames: of the halves of a source
+of weight w that are released before a frame ends (half j at j / w), as many run in it as earliest deadlines ((j + 1) / w) allow, so at
+every frame's end each source stands within one half of its target. Inside a frame of T slots the i-th of a source's n halves is
+released at slot floor(i * T / n) and due before ceil((i + 1) * T / n); in each slot the released half with the earliest deadline runs,
+ties going to the source with more halves and then to its name. Both errors together stay below two halves: at every slot of a phase
+each source has run within one block of its target weight, however long the mix and however many the sources.
+
+A source that runs out ends a phase; the remaining weights go on among the remaining sources, so every document gets a place. Only
+numbers of halves a frame and source are made on the driver; frames are laid out in tasks and joined to the documents by source and half.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
+from math import lcm
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,158 +26,127 @@ from pyspark.sql import functions as F
 from limnos.llm.spread import gapless, join_split, landed, small
 
 BLOCK = 8
-PERIOD = 1_000  # slots; a weight is a multiple of 1 / PERIOD
-SOURCES = 500  # most sources that each have a share of the period of their own
-ALONE, GROUPS = 192, 64  # with more sources: the largest that keep one, and groups of the others
-BLOCKS_A_TASK = 20_000  # blocks of a group that one task orders
+FRAME = 1 << 16  # slots that one task lays out, or more with many sources
+SLOTS_A_SOURCE = 1024  # least slots of a frame for each source, so that frames times sources stay below a thousandth of the documents
 ROWS_A_TASK = 50_000  # rows of a source that one task numbers
 TEMPER = 0.7  # default target: block counts to this power
 
 
-def whole_shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Blocks of each source in a period: at least one, adding up to ``period``, by largest remainder."""
-    if not weights:
-        return {}
-    if len(weights) > period:
-        raise ValueError("more sources than slots in a period")
-    total = sum(weights.values())
-    spare = period - len(weights)
-    exact = {s: spare * w / total for s, w in weights.items()}
-    share = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:period - sum(share.values())]:
-        share[s] += 1
-    return share
-
-
-def windows(share: int, period: int) -> list[tuple[int, int]]:
-    """Release and deadline slots of a source's blocks in one period."""
-    return [(j * period // share, -(-(j + 1) * period // share)) for j in range(share)]
-
-
-def one_period(shares: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, number, release, deadline, slot) of each block of a period that all shares fill, earliest deadline first."""
-    period = sum(shares.values())
-    waiting = sorted((r, d, -shares[s], s, j) for s in shares for j, (r, d) in enumerate(windows(shares[s], period)))
-    ready, out, at = [], [], 0
-    for slot in range(period):
-        while at < len(waiting) and waiting[at][0] <= slot:
-            r, d, heavy, s, j = waiting[at]
-            heapq.heappush(ready, (d, heavy, s, j, r))
-            at += 1
-        d, _, s, j, r = heapq.heappop(ready)
-        out.append((s, j, r, d, slot))
-    return out
+def whole_weights(weights: list[float | Fraction]) -> np.ndarray:
+    """Whole numbers in exactly the ratio of the weights."""
+    exact = [Fraction(w) for w in weights]
+    if any(w < 0 for w in exact):
+        raise ValueError("weights must not be negative")
+    unit = lcm(*[w.denominator for w in exact]) if exact else 1
+    return np.array([int(w * unit) for w in exact], object)
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
-    """Consecutive stretches in which the same sources have blocks left: shares, blocks used before and first slot."""
-    left, used, start, out = dict(blocks), {s: 0 for s in blocks}, 0, []
-    while any(left.values()):
-        shares = whole_shares({s: weights[s] for s in left if left[s] > 0}, period)
-        plan = one_period(shares)
-        slots = {}
-        for s, j, _, _, slot in plan:
-            slots.setdefault(s, []).append(slot)
-        # the phase ends right after the slot at which a source places its last block
-        end = min((left[s] - 1) // shares[s] * period + slots[s][(left[s] - 1) % shares[s]] + 1 for s in shares)
-        done = {s: end // period * shares[s] + sum(x < end % period for x in slots[s]) for s in shares}
-        out.append({"phase": len(out), "start": start, "slots": end, "plan": plan, "shares": shares, "used": {s: used[s] for s in shares}, "done": done})
-        for s in shares:
-            left[s] -= done[s]
-            used[s] += done[s]
-        start += end
+def quotas(left: list[int], weights: list[float | Fraction], frame: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(phase, first slot, slots, sources, halves used before, halves to run) of consecutive frames until nothing is left.
+
+    A phase lasts until the deadline of the last half of the source that runs out first. Sources of weight 0 come last, in equal shares.
+    """
+    left, p = np.array(left, object), whole_weights(weights)
+    used, start, phase = np.zeros(len(left), object), 0, 0
+    while (left > 0).any():
+        live = np.flatnonzero((left > 0) & (p > 0))
+        w = p[live]
+        if not len(live):
+            live = np.flatnonzero(left > 0)
+            w = np.ones(len(live), object)
+        total, room = w.sum(), left[live]
+        length, ran, at = int((-(-room * total // w)).min()), np.zeros(len(live), object), 0
+        while at < length:
+            end = min(at + frame, length)
+            due = w * end
+            after = np.maximum(ran, np.minimum(due // total, room))
+            free = np.flatnonzero(after < np.minimum(-(-due // total), room))
+            deadline = -(-(after[free] + 1) * total // w[free])
+            for k in sorted(range(len(free)), key=lambda k: (deadline[k], -w[free[k]], free[k]))[:end - after.sum()]:
+                after[free[k]] += 1
+            some = np.flatnonzero(after > ran)
+            yield phase, start + at, end - at, live[some], (used[live] + ran)[some].astype(np.int64), (after - ran)[some].astype(np.int64)
+            ran, at = after, end
+        left[live] -= ran
+        used[live] += ran
+        start, phase = start + length, phase + 1
+
+
+def one_frame(counts: list[int]) -> list[tuple[int, int, int, int]]:
+    """(source, number, release, deadline) of the half in each slot of a frame that all counts fill, earliest deadline first.
+
+    A source's next half waits for its release, its turn or both, so no more than one a source is held.
+    """
+    slots = sum(counts)
+    waiting, ready, out = [(0, s, 0) for s in range(len(counts)) if counts[s]], [], []
+    heapq.heapify(waiting)
+    for slot in range(slots):
+        while waiting and waiting[0][0] <= slot:
+            release, s, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * slots // counts[s]), -counts[s], s, i, release))
+        deadline, _, s, i, release = heapq.heappop(ready)
+        out.append((s, i, release, deadline))
+        if i + 1 < counts[s]:
+            heapq.heappush(waiting, ((i + 1) * slots // counts[s], s, i + 1))
     return out
 
 
-def _weighed(sizes: DataFrame, weights: dict[str, float] | None, block: int, temper: float) -> DataFrame:
-    """(key, blocks, weight) of every source."""
-    counted = sizes.select("key", F.ceil(F.col("n") / block).alias("blocks"))
-    if weights is None:
-        return counted.withColumn("weight", F.pow(F.col("blocks").cast("double"), F.lit(float(temper))))
-    keys = ["n" if s is None else f"s{s}" for s in weights]
-    given = sizes.sparkSession.createDataFrame(pa.table({"key": keys, "weight": [float(w) for w in weights.values()]}))
-    return counted.join(given, "key", "left").withColumn("weight", F.coalesce("weight", F.lit(float(min(weights.values())))))
+def _lay(group):
+    import pandas as pd
+    g = group.sort_values("number")
+    source, number, release, deadline = np.array(one_frame(g["n"].tolist()), np.int64).T
+    start = g["start"].iat[0]
+    return pd.DataFrame({"key": g["key"].to_numpy()[source], "half": g["first_half"].to_numpy()[source] + number, "phase": g["phase"].iat[0],
+                         "release": start + release, "deadline": start + deadline, "slot": start + np.arange(len(source))})
 
 
-def _in_groups(sizes: DataFrame) -> tuple[list, list, DataFrame]:
-    """The largest sources of (key, blocks, weight), groups of all others, and (key, block, lane, turn_of): each grouped block's place in its group.
+def laid_out(spark, halves: dict[str, int], weights: dict[str, float | Fraction], frame: int = FRAME) -> DataFrame:
+    """(key, half, phase, release, deadline, slot) of every half of every source."""
+    keys = sorted(halves)
+    frame = max(frame, SLOTS_A_SOURCE * len(keys)) if frame >= FRAME else frame
+    rows = list(quotas([halves[k] for k in keys], [weights[k] for k in keys], frame))
+    each = [len(r[3]) for r in rows]
+    whole = lambda parts: pa.array(np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64))
+    number = whole([r[3] for r in rows])
+    table = pa.table({"frame": whole([np.repeat(np.arange(len(rows)), each)]), "phase": whole([np.repeat([r[0] for r in rows], each)]), "start": whole([np.repeat([r[1] for r in rows], each)]),
+                      "number": number, "key": pa.array(keys, pa.string()).take(number), "first_half": whole([r[4] for r in rows]), "n": whole([r[5] for r in rows])})
+    return spark.createDataFrame(table).groupBy("frame").applyInPandas(_lay, "key string, half long, phase int, release long, deadline long, slot long")
 
-    Sources go to groups by the time at which they run out, blocks / weight, in equal steps of its logarithm, so a group keeps its
-    sources nearly to its end. Names of sources begin with s or n, those of groups with g.
-    """
-    alone = sizes.orderBy(F.desc("blocks"), "key").limit(ALONE).collect()
-    names = sizes.sparkSession.createDataFrame(pa.table({"key": [r["key"] for r in alone]}))
-    rest = sizes.join(F.broadcast(names), "key", "left_anti").withColumn("weight", F.greatest("weight", F.lit(1e-9))).withColumn("end", F.col("blocks") / F.col("weight"))
-    least, most = rest.agg(F.min(F.log("end")), F.max(F.log("end"))).first()
-    step = F.floor((F.log("end") - least) / (most - least) * GROUPS) if most > least else F.lit(0)
-    rest = rest.withColumn("lane", F.format_string("g%d", F.least(step, F.lit(GROUPS - 1)).cast("int")))
-    sums = rest.groupBy("lane").agg(F.sum("blocks").alias("blocks"), F.sum("weight").alias("weight"), F.max("end").alias("last"))
-    lanes = sums.select(F.col("lane").alias("key"), "blocks", "weight").collect()
-    u = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / float(1 << 20)
-    each = rest.join(F.broadcast(sums.select("lane", "last", F.col("blocks").alias("all"))), "lane")
-    each = each.select("key", "lane", "weight", "last", "all", u.alias("u"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    each = each.withColumn("time", (F.col("block") + F.col("u")) / F.col("weight"))
-    run = F.floor(F.col("time") / F.col("last") * F.ceil(F.col("all") / BLOCKS_A_TASK))
-    return alone, lanes, gapless(each, "lane", ["time", "key", "block"], "turn_of", bucket=run).select("key", "block", "lane", "turn_of")
-
-
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, temper: float = TEMPER, id_col: str = "doc_id",
+
+def schedule(docs: DataFrame, weights: dict[str, float | Fraction] | None = None, block: int = BLOCK, frame: int = FRAME, temper: float = TEMPER, id_col: str = "doc_id",
              source_col: str = "source") -> DataFrame:
     """Place of every document in the mix.
 
-    Returns one row per input row: doc_id, source, block (its number within the source), phase, release, deadline, slot (place of the
-    block among all blocks, from 0), position (place of the document among all documents of its block). Phase 0 has all sources at
-    their target weights; ``slot`` < the length of phase 0 is the mix proper. Without ``weights`` the target is each source's number of
-    blocks to the power ``temper``. A weight that is missing counts as the smallest one given. A null source is a source of its own
-    (null), null ids sort first, repeated rows get places of their own. Empty tables give no rows. Other columns are not read.
+    Returns one row per input row: doc_id, source, block (number of the half block within the source), phase, release, deadline, slot
+    (place of the half block among all, from 0), position (place of the document in it). Phase 0 has all sources at their target weights.
+    Without ``weights`` the target is each source's number of half blocks to the power ``temper``; given ones are taken exactly, in any
+    unit. A weight that is missing counts as the smallest one given, one of 0 puts a source after all others. A null source is a source
+    of its own (null), null ids sort first, repeated rows get places of their own. Empty tables give no rows. Other columns are not read.
 
-    With more than ``SOURCES`` sources the smaller ones are scheduled in groups; their windows are those of the group's blocks. The
-    driver receives one count per source, or per group beyond that.
+    The driver receives one count per source. With a ``block`` of 1 a document is the smallest part and the bound is two documents.
     """
-    spark = docs.sparkSession
+    half = max(1, block // 2)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"))
     named = named.withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-    sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["key"]: r["n"] for r in sizes.limit(SOURCES + 1).collect()}
-    grouped = None
-    if len(counts) > SOURCES:
-        alone, lanes, grouped = _in_groups(landed(_weighed(sizes, weights, block, temper), "sizes"))
-        blocks, target = {r["key"]: r["blocks"] for r in alone + lanes}, {r["key"]: r["weight"] for r in alone + lanes}
-        most = alone[0]["blocks"] * block
+    counts = {r["key"]: r["n"] for r in named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
+    halves = {k: -(-n // half) for k, n in counts.items()}
+    if weights is None:
+        target = {k: float(n) ** temper for k, n in halves.items()}
     else:
-        blocks = {s: -(-n // block) for s, n in counts.items()}
-        most = max(counts.values(), default=0)
-        if weights is None:
-            target = {s: float(n) ** temper for s, n in blocks.items()}
-        else:
-            target = {s: float(weights.get(s[1:] if s[0] == "s" else None, min(weights.values()))) for s in blocks}
-    plan = phases(blocks, target, period)
-    spans = [(p["phase"], s, p["start"], p["used"][s], p["used"][s] + p["done"][s], p["shares"][s], sum(p["shares"].values())) for p in plan for s in p["shares"]]
-    places = [(p["phase"], s, j, r, d, slot) for p in plan for s, j, r, d, slot in p["plan"] if slot < p["slots"]]
-    columns = lambda rows, names: spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], pa.string() if n == "lane" else pa.int64()) for i, n in enumerate(names)}))
-    span = columns(spans, ["phase", "lane", "start", "from_block", "to_block", "share", "period"])
-    place = columns(places, ["phase", "lane", "number", "release", "deadline", "slot"])
+        least = min(weights.values())
+        target = {k: weights.get(k[1:] if k[0] == "s" else None, least) for k in halves}
+    most = max(counts.values(), default=0)
     numbered = gapless(named.withColumn("_order", F.coalesce("doc_id", F.lit(-2**63))), "key", ["_order"], "rank", spread=max(256, most // ROWS_A_TASK))
-    at = numbered.withColumn("block", F.floor(F.col("rank") / block))
-    if grouped is None:
-        at = at.withColumn("lane", F.col("key")).withColumn("turn_of", F.col("block"))
-    else:
-        at = join_split(at, grouped, ["key", "block"], "left").withColumn("lane", F.coalesce("lane", "key")).withColumn("turn_of", F.coalesce("turn_of", "block"))
-    # both tables are bounded by the sources or groups and the period, not by documents
-    in_phase = at.join(small(span, len(spans)), "lane").where("turn_of >= from_block and turn_of < to_block")
-    in_phase = in_phase.withColumn("own", F.col("turn_of") - F.col("from_block"))
-    in_phase = in_phase.withColumn("number", F.col("own") % F.col("share")).withColumn("turn", (F.col("own") - F.col("own") % F.col("share")) / F.col("share") * F.col("period"))
-    base = F.col("start") + F.col("turn").cast("long")
-    out = in_phase.join(small(place, len(places)), ["phase", "lane", "number"])
-    return out.select("doc_id", "source", "block", F.col("phase").cast("int"), (base + F.col("release")).alias("release"), (base + F.col("deadline")).alias("deadline"),
-                      (base + F.col("slot")).alias("slot"), (F.col("rank") % block).cast("int").alias("position"))
+    at = numbered.withColumn("half", F.floor(F.col("rank") / half))
+    out = join_split(at, laid_out(docs.sparkSession, halves, target, frame), ["key", "half"])
+    return out.select("doc_id", "source", F.col("half").alias("block"), "phase", "release", "deadline", "slot", (F.col("rank") % half).cast("int").alias("position"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, id_col: str = "doc_id", whole: bool = False, **options) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``, in the order of the schedule.
 
     With ``whole`` every row comes out, phase after phase. Otherwise only the mix proper does, which ends when the first source runs
-    out: up to there every source stands within one block of its target share. Rows that share an id (or have none) share the first
+    out: up to there every source stands within one block of its target weight. Rows that share an id (or have none) share the first
     place among them. Rows are laid out in ranges of slots, so the files, read in order, are the schedule.
     """
     placed = schedule(docs, weights, block, id_col=id_col, **options)
@@ -187,4 +157,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
     places = landed(first.select(F.col("doc_id").alias("_to"), F.col("_at.slot").alias("_slot"), F.col("_at.position").alias("_position")), "places")
     at = small(places, places.count())  # while it is small, only the laying out moves texts
     out = docs.withColumn("_id", ids).join(at, F.col("_id").eqNullSafe(F.col("_to")))
-    return out.repartitionByRange("_slot", "_position").sortWithinPartitions("_slot", "_position").select(*own)
+    # rows without an id share one place: a hash of the row deals them over tasks
+    tie = F.when(F.col("_id").isNull(), F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in own]))))
+    out = out.withColumn("_tie", tie)
+    return out.repartitionByRange("_slot", "_position", "_tie").sortWithinPartitions("_slot", "_position", "_tie").select(*own)

@@ -274,25 +274,42 @@ def test_licenses_of_full_texts_and_versions(spark):
     assert all(out[i].licenses == [n] for i, (n, _) in enumerate(made) if n and i >= len(rows))
 
 
-def test_mixing_follows_pfair_windows(spark):
+def deviation(order, weights):
+    """Largest distance in half blocks between what a source has run and its share of the slots so far."""
+    from fractions import Fraction
+    total, ran, worst = sum(map(Fraction, weights.values())), dict.fromkeys(weights, 0), 0
+    for t, s in enumerate(order, 1):
+        ran[s] += 1
+        worst = max(worst, *(abs(ran[k] - Fraction(w) * t / total) for k, w in weights.items()))
+    return worst
+
+
+@pytest.mark.parametrize("frame", [50, mixing.FRAME])
+def test_mixing_follows_pfair_windows(spark, frame):
     rows = [(i, "t", None, s) for i, s in enumerate(["hot"] * 900 + ["b"] * 300 + ["c"] * 150 + [None] * 90 + ["one"])] + [(None, "t", None, "b"), (3, "t", None, "hot")]
     d = clashing(spark, rows)
-    out = mixing.schedule(d, block=4, period=50).collect()
+    out = mixing.schedule(d, block=4, frame=frame).collect()
     assert len(out) == len(rows)
     block = {(o.source, o.block, o.slot, o.phase, o.release, o.deadline) for o in out}
     assert sorted(b[2] for b in block) == list(range(len(block)))
     assert all(b[4] <= b[2] < b[5] for b in block)
-    first = sorted((b[2], b[0]) for b in block if b[3] == 0)
-    shares = mixing.whole_shares({s: float(-(-n // 4)) ** mixing.TEMPER for s, n in {"shot": 901, "sb": 301, "sc": 150, "n": 90, "sone": 1}.items()}, 50)
-    ran = defaultdict(int)
-    for slot, s in first:
-        ran["n" if s is None else "s" + s] += 1
-        assert all(abs(ran[k] - (slot + 1) * n / 50) < 1 for k, n in shares.items())
-    m = mixing.mixed(d, block=4, period=50)
+    first = [b[0] for b in sorted((b for b in block if b[3] == 0), key=lambda b: b[2])]
+    assert deviation(first, {s: float(-(-n // 2)) ** mixing.TEMPER for s, n in {"hot": 901, "b": 301, "c": 150, None: 90, "one": 1}.items()}) < 2
+    m = mixing.mixed(d, block=4, frame=frame)
     mixed = {o.doc_id for o in out if o.phase == 0}
     assert m.columns == d.columns and m.count() == sum(r[0] in mixed for r in rows)
 
 
+@pytest.mark.parametrize("weights", [{"hot": 0.9} | {f"w{k}": 0.1 / 399 for k in range(399)}, {"hot": 0.50, "w0": 0.0101, "w1": 0.49}])
+def test_mixing_keeps_the_given_weights(spark, weights):
+    sources = ["hot"] * 3600 + [f"w{k}" for k in range(len(weights) - 1) for _ in range(2 if len(weights) > 3 else 900)]
+    out = mixing.schedule(clashing(spark, [(i, "t", None, s) for i, s in enumerate(sources)]), weights, block=2, frame=700).collect()
+    assert sorted(o.doc_id for o in out) == list(range(len(sources)))
+    first = sorted((o.slot, o.source) for o in out if o.phase == 0)
+    order = [s for _, s in first]
+    assert deviation(order, weights) < 2 and abs(order.count("hot") / len(order) - weights["hot"] / sum(weights.values())) < 0.002
+
+
 def test_pipeline_mix_is_whole_and_shards_keep_its_order(spark, tmp_path):
     import corpus_pipeline
     rows = [(i, f"text {i}", None, s) for i, s in enumerate(["hot"] * 3000 + ["b"] * 700 + [None] * 90 + ["one"])] + [(None, "t", None, "b"), (3, "again", None, "hot"), (None, None, None, "hot")]
@@ -308,30 +325,33 @@ def test_pipeline_mix_is_whole_and_shards_keep_its_order(spark, tmp_path):
     assert sum(map(len, by.values())) == len(rows) and all(v == sorted(v) for v in by.values())
 
 
-@pytest.mark.parametrize("weights", [None, {"hot": 5.0, "w3": 2.0, None: 1.0}])
-def test_mixing_of_any_number_of_sources(spark, monkeypatch, weights):
-    monkeypatch.setattr(mixing, "ALONE", 4)
-    monkeypatch.setattr(mixing, "GROUPS", 3)
-    monkeypatch.setattr(mixing, "BLOCKS_A_TASK", 100)
+@pytest.mark.parametrize("weights", [None, {"hot": 5.0, "w3": 2.0, None: 1.0}, {"hot": 0, "w3": 2.0, None: 1.0}])
+def test_mixing_of_any_number_of_sources(spark, weights):
     r = random.Random(3)
     sources = ["hot"] * 900 + [None] * 90 + [f"w{k}" for k in range(620) for _ in range(r.randint(1, 9))]
     d = clashing(spark, [(i, "t", None, s) for i, s in enumerate(sources)])
-    out = mixing.schedule(d, weights, block=2, period=50).collect()
+    out = mixing.schedule(d, weights, block=2, frame=50).collect()
     assert sorted(o.doc_id for o in out) == list(range(len(sources))) and all(sources[o.doc_id] == o.source for o in out)
     blocks = {(o.source, o.block, o.slot, o.release, o.deadline) for o in out}
     assert sorted(b[2] for b in blocks) == list(range(len(blocks))) and all(b[3] <= b[2] < b[4] for b in blocks)
     own = defaultdict(list)
     for s, j, slot, _, _ in blocks:
         own[s].append((slot, j))
-    assert all([j for _, j in sorted(v)] == list(range(-(-sources.count(s) // 2))) for s, v in own.items())
+    assert all([j for _, j in sorted(v)] == list(range(sources.count(s))) for s, v in own.items())
 
 
-def test_every_period_is_full_and_in_time():
+def test_every_frame_is_full_and_in_time():
     r = random.Random(7)
     for _ in range(60):
-        shares = mixing.whole_shares({f"s{i}": r.random() + 0.01 for i in range(r.randint(1, 12))}, 60)
-        plan = mixing.one_period(shares)
-        assert sorted(p[4] for p in plan) == list(range(60)) and all(a <= slot < d for _, _, a, d, slot in plan)
+        left, weights = [r.randint(1, 60) for _ in range(r.randint(1, 9))], [r.random() ** 5 for _ in range(9)]
+        order = []
+        for phase, start, slots, who, first, n in mixing.quotas(left, weights[:len(left)], 20):
+            assert start == len(order) and n.sum() == slots
+            for slot, (s, i, release, deadline) in enumerate(mixing.one_frame(n.tolist())):
+                assert release <= slot < deadline
+                order.append((phase, int(who[s]), int(first[s]) + i))
+        assert sorted(o[1:] for o in order) == [(s, j) for s, n in enumerate(left) for j in range(n)]
+        assert deviation([s for phase, s, _ in order if phase == 0], dict(enumerate(weights[:len(left)]))) < 2
 
 
 @pytest.mark.parametrize("sizes", [[40, 9, 5, 3, 2, 2, 2] + [1] * 60, [100, 50], [1] * 5, [7] * 20, [30] * 3 + [1] * 4])

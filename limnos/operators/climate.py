@@ -195,14 +195,39 @@ def water_balance(precip: DataFrame, et: DataFrame, keys: Sequence[str] = KEYS)
         "surplus_deficit", F.when(bal >= 0, "surplus").otherwise("deficit"))
 
 
-def point_climate(precip: DataFrame, et: DataFrame, min_days: int = 300, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Mean annual sums of well-covered years, their aridity and the wettest day."""
+DAYS_A_MONTH = 30.44
+
+
+def point_climate(precip: DataFrame, et: DataFrame, temp: DataFrame | None = None, min_days: int = 300, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Climate of each point from daily precipitation, reference evapotranspiration and, if given, temperature.
+
+    Mean annual sums of years with at least ``min_days`` values and their ratio with its class, mean temperature, wettest day, twelve
+    monthly sums (mean of all days of a calendar month times the mean length of a month) and the annual sums as (year, mm). A point
+    without such a year keeps its row with nulls; months without values are null. Days are added up to months once, everything else
+    reads those.
+    """
     k = list(keys)
-    yr = lambda d, n: resample(d, "year", "sum", k, min_days).groupBy(*k).agg(F.avg("value").alias(n))
-    out = yr(precip, "p").join(yr(et, "e"), k).join(precip.groupBy(*k).agg(F.max("value").alias("wettest_day")), k)
-    a = F.when(F.col("e") != 0, F.col("p") / F.col("e"))
-    return out.select(*k, F.col("p").alias("precipitation_per_year"), F.col("e").alias("et0_per_year"), a.alias("aridity_index"),
-                      aridity_class(a, 0.05).alias("aridity_class"), "wettest_day")
+    parts = [("p", precip), ("e", et)] + ([("t", temp)] if temp is not None else [])
+    d = parts[0][1].select(*k, "date", "value", F.lit("p").alias("kind"))
+    for kind, other in parts[1:]:
+        d = d.unionByName(other.select(*k, "date", "value", F.lit(kind).alias("kind")))
+    # dealt by point alone, so that the sums below need no further shuffle than this one of months
+    months = d.where("value IS NOT NULL").groupBy(*k, "kind", F.year("date").cast("long").alias("year"), F.month("date").alias("month")).agg(
+        F.sum("value").alias("s"), F.count("value").alias("c"), F.max("value").alias("most"))
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    years = months.groupBy(*k, "kind", "year").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).where(F.col("c") >= min_days).groupBy(*k).agg(
+        F.avg(of("p", F.col("s"))).alias("p"), F.avg(of("e", F.col("s"))).alias("et0"),
+        F.array_sort(F.collect_list(of("p", F.struct("year", F.col("s").alias("mm"))))).alias("annual_precipitation"))
+    cycle = lambda kind: F.array(*[F.try_divide(F.sum(F.when((F.col("kind") == kind) & (F.col("month") == m), F.col("s"))),
+                                               F.sum(F.when((F.col("kind") == kind) & (F.col("month") == m), F.col("c")))) * DAYS_A_MONTH for m in range(1, 13)])
+    whole_record = months.groupBy(*k).agg(
+        F.try_divide(F.sum(of("t", F.col("s"))), F.sum(of("t", F.col("c")))).alias("temperature_mean"), F.max(of("p", F.col("most"))).alias("wettest_day"),
+        cycle("p").alias("monthly_precipitation"), cycle("e").alias("monthly_et0"))
+    out = whole_record.join(years, k, "left")
+    index = F.when(F.col("et0") != 0, F.col("p") / F.col("et0"))
+    return out.select(*k, F.col("p").alias("precipitation_per_year"), F.col("et0").alias("et0_per_year"), index.alias("aridity_index"),
+                      aridity_class(index, 0.05).alias("aridity_class"), "temperature_mean", "wettest_day", "monthly_precipitation", "monthly_et0",
+                      F.coalesce("annual_precipitation", F.array().cast("array<struct<year: bigint, mm: double>>")).alias("annual_precipitation"))
 
 
 def export_indices(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

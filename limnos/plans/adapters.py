@@ -57,6 +57,28 @@ SFLOW = ("sflow AS (SELECT l_suppkey AS station_id, CAST(l_shipdate AS DATE) AS
          "sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)")
 
 
+def long_flow(spark, sf) -> DataFrame:
+    """One station per supplier over half a century: each line number has seven years of its own."""
+    return table(spark, sf, "lineitem").groupBy(
+        F.col("l_suppkey").alias("station_id"), F.add_months(F.to_date("l_shipdate"), ((F.col("l_linenumber") - 1) * 84).cast("int")).alias("date")).agg(
+        F.sum("l_quantity").alias("value"))
+
+
+LFLOW = ("lflow AS (SELECT l_suppkey AS station_id, CAST(CAST(l_shipdate AS DATE) + to_months(CAST((l_linenumber - 1) * 84 AS INTEGER)) AS DATE) AS date, "
+         "sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)")
+
+
+def rain(spark, sf) -> DataFrame:
+    """Daily sums with values on nearly every day of a year."""
+    return table(spark, sf, "lineitem").groupBy(
+        (F.col("l_suppkey") % 10).alias("station_id"), F.to_date("l_shipdate").alias("date")).agg(
+        F.round(F.sum("l_extendedprice") / 1e4, 7).alias("value"))
+
+
+RAIN = ("rain AS (SELECT l_suppkey % 10 AS station_id, CAST(l_shipdate AS DATE) AS date, "
+        "round(sum(l_extendedprice) / 1e4, 7) AS value FROM lineitem GROUP BY 1, 2)")
+
+
 def precip(spark, sf) -> DataFrame:
     return table(spark, sf, "orders").groupBy(
         (F.col("o_custkey") % 10).alias("station_id"), F.to_date("o_orderdate").alias("date")).agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from limnos.functions.special import norm_ppf_sql
 from limnos.operators import climate as C
 from limnos.operators import periods as P
-from limnos.plans.adapters import FLOW, OBS, PAIRED, PRECIP, flow, obs, paired, precip
+from limnos.plans.adapters import FLOW, OBS, PAIRED, PRECIP, RAIN, flow, long_flow, obs, paired, precip, rain
 from limnos.plans.catalog import N, nudged, query
 from limnos.plans.trends import MONTHLY, monthly
 
@@ -108,9 +108,13 @@ def sgi(spark, sf):
     return nudged(C.sgi(monthly(spark, sf)).drop("value"), 6, "sgi")
 
 
+def long_months(spark, sf):
+    return P.resample(long_flow(spark, sf), "month", "sum").select(*K, "date", "value")
+
+
 @query("spi")
 def spi(spark, sf):
-    return C.spi(monthly_precip(spark, sf), 3, min_per_group=5)
+    return C.spi(long_months(spark, sf), 3)
 
 
 @query("spi_accumulated", f"WITH {PRECIP}, {PM}, a AS (SELECT station_id, date, sum(value) OVER w AS acc, count(value) OVER w AS c FROM pm WINDOW w AS (PARTITION BY station_id ORDER BY date ROWS 2 PRECEDING)) SELECT station_id, date, {N('acc')} AS acc FROM a WHERE c = 3")
@@ -120,7 +124,7 @@ def spi_accumulated(spark, sf):
 
 @query("spi_status")
 def spi_status(spark, sf):
-    return C.spi_status(monthly_precip(spark, sf), (1, 3, 6), min_per_group=5)
+    return C.spi_status(long_months(spark, sf))
 
 
 UPPER, LOWER = "(100.0::DOUBLE / 3)", "(100.0::DOUBLE - 100.0::DOUBLE / 3)"
@@ -145,10 +149,33 @@ def water_balance_monthly(spark, sf):
     return nudged(C.water_balance(p, flow(spark, sf)), 6, "precipitation", "water_balance")
 
 
-@query("point_climate", f"WITH {FLOW}, {PRECIP}, a AS (SELECT station_id, avg(s) AS p FROM (SELECT station_id, year(date) AS y, sum(value) AS s FROM precip GROUP BY 1, 2 HAVING count(value) >= 100) GROUP BY 1), b AS (SELECT station_id, avg(s) AS e FROM (SELECT station_id, year(date) AS y, sum(value) AS s FROM flow GROUP BY 1, 2 HAVING count(value) >= 100) GROUP BY 1), "
-       f"c AS (SELECT station_id, max(value) AS w FROM precip GROUP BY 1) SELECT station_id, {N('p')} AS precipitation_per_year, {N('e')} AS et0_per_year, {N('p / e')} AS aridity_index, CASE WHEN p / e < 0.05 THEN 'hyper-arid' WHEN p / e < 0.2 THEN 'arid' WHEN p / e < 0.5 THEN 'semi-arid' WHEN p / e < 0.65 THEN 'dry sub-humid' WHEN p / e >= 0.65 THEN 'humid' END AS aridity_class, {N('w')} AS wettest_day FROM c LEFT JOIN a USING (station_id) LEFT JOIN b USING (station_id)")
+POINT = (f"WITH {FLOW}, {RAIN}, a AS (SELECT station_id, avg(s) AS p FROM (SELECT station_id, year(date) AS y, sum(value) AS s FROM rain GROUP BY 1, 2 HAVING count(value) >= 300) GROUP BY 1), "
+         "b AS (SELECT station_id, avg(s) AS e FROM (SELECT station_id, year(date) AS y, sum(value) AS s FROM flow GROUP BY 1, 2 HAVING count(value) >= 300) GROUP BY 1), "
+         "c AS (SELECT station_id, max(value) AS w FROM rain GROUP BY 1), t AS (SELECT station_id, avg(9 + value % 10) AS t FROM flow GROUP BY 1) ")
+
+
+def climate_of_points(spark, sf):
+    return C.point_climate(rain(spark, sf), flow(spark, sf), flow(spark, sf).withColumn("value", 9 + F.col("value") % 10))
+
+
+@query("point_climate", POINT + f"SELECT station_id, {N('p')} AS precipitation_per_year, {N('e')} AS et0_per_year, {N('p / e')} AS aridity_index, CASE WHEN p / e < 0.05 THEN 'hyper-arid' WHEN p / e < 0.2 THEN 'arid' WHEN p / e < 0.5 THEN 'semi-arid' WHEN p / e < 0.65 THEN 'dry sub-humid' WHEN p / e >= 0.65 THEN 'humid' END AS aridity_class, "
+       f"{N('t')} AS temperature_mean, {N('w')} AS wettest_day FROM c JOIN t USING (station_id) LEFT JOIN a USING (station_id) LEFT JOIN b USING (station_id)")
 def point_climate(spark, sf):
-    return nudged(C.point_climate(precip(spark, sf), flow(spark, sf), 100), 6, "precipitation_per_year", "et0_per_year", "aridity_index", "wettest_day")
+    d = climate_of_points(spark, sf).drop("monthly_precipitation", "monthly_et0", "annual_precipitation")
+    return nudged(d, 6, "precipitation_per_year", "et0_per_year", "aridity_index", "temperature_mean", "wettest_day")
+
+
+@query("point_climate_monthly", f"WITH {FLOW}, {RAIN}, p AS (SELECT station_id, month(date) AS month, avg(value) * 30.44::DOUBLE AS p FROM rain GROUP BY 1, 2), e AS (SELECT station_id, month(date) AS month, avg(value) * 30.44::DOUBLE AS e FROM flow GROUP BY 1, 2) "
+       f"SELECT station_id, month, {N('p')} AS precipitation, {N('e')} AS et0 FROM p JOIN e USING (station_id, month)")
+def point_climate_monthly(spark, sf):
+    z = F.arrays_zip(F.col("monthly_precipitation").alias("precipitation"), F.col("monthly_et0").alias("et0"))
+    d = climate_of_points(spark, sf).select(*K, F.posexplode(z).alias("at", "m")).select(*K, (F.col("at") + 1).cast("long").alias("month"), "m.precipitation", "m.et0")
+    return nudged(d, 6, "precipitation", "et0")
+
+
+@query("point_climate_annual", f"WITH {RAIN} SELECT station_id, year(date) AS year, {N('sum(value)')} AS mm FROM rain GROUP BY 1, 2 HAVING count(value) >= 300")
+def point_climate_annual(spark, sf):
+    return nudged(climate_of_points(spark, sf).select(*K, F.explode("annual_precipitation").alias("y")).select(*K, "y.year", "y.mm"), 6, "mm")
 
 
 CI = "ci AS (SELECT station_id, date, p.value AS precip, f.value / 30 AS pet, f.value / 20 - 4 AS temp FROM flow f JOIN precip p USING (station_id, date))"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.operators import learn as L
-from limnos.plans.adapters import FLOW, INDICATOR, OBS, PRECIP, STATION, flow, indicators, obs, precip, stations, supplier_flow, table
+from limnos.plans.adapters import FLOW, INDICATOR, OBS, PRECIP, SFLOW, STATION, flow, indicators, obs, precip, stations, supplier_flow, table
 from limnos.plans.catalog import N, nudged, query
 from limnos.plans.frequency import NAMES, WIDE, wide
 from limnos.plans.observations import DRINKING, HITS, RIVER, named
@@ -268,10 +268,24 @@ def ingest_map(spark, sf):
     return nudged(d.drop("was_sentinel"), 8, "value")
 
 
-@query("ingest_guess")
+def messy_table(spark, sf):
+    """A landed export of one station per supplier with a flag column, as text."""
+    raw = supplier_flow(spark, sf).select(F.col("station_id").alias("site_no"), F.date_format("date", "MM/dd/yyyy").alias("datetime"), F.col("value").alias("flow_cfs"), F.lit("A").alias("qual_cd"))
+    return R.read_table(spark, landed(raw, "guess", sep="\t"))
+
+
+GUESS = f"WITH {SFLOW}, n AS (SELECT count(*) AS n_rows FROM sflow) "
+
+
+@query("ingest_guess", GUESS + "SELECT c AS column_name, CASE WHEN c = 'datetime' THEN 1.0::DOUBLE ELSE 0 END AS date_share, CASE WHEN c IN ('site_no', 'flow_cfs') THEN 1.0::DOUBLE ELSE 0 END AS numeric_share, h AS hint, p AS place, n_rows, CASE WHEN c IN ('site_no', 'flow_cfs') THEN 1 + h END AS score "
+       "FROM n, (VALUES ('site_no', 0.0::DOUBLE, 0), ('datetime', 0.0::DOUBLE, 1), ('flow_cfs', 0.2::DOUBLE, 2), ('qual_cd', -0.8::DOUBLE, 3)) v(c, h, p)")
 def ingest_guess(spark, sf):
-    raw = flow(spark, sf).select(F.col("station_id").alias("site_no"), F.date_format("date", "MM/dd/yyyy").alias("datetime"), F.col("value").alias("flow_cfs"), F.lit("A").alias("qual_cd"))
-    return R.guess_mapping(R.read_table(spark, landed(raw, "guess", sep="\t")))
+    return R.guess_mapping(messy_table(spark, sf)).drop("n_distinct")
+
+
+@query("ingest_decision", GUESS + "SELECT 'datetime' AS date_column, 'flow_cfs' AS value_column, 'discharge' AS variable, 'm3/s' AS unit, 0.028316846592::DOUBLE AS to_si_factor, CASE WHEN (SELECT count(DISTINCT station_id) FROM sflow) <= greatest(1, n_rows // 20) THEN 'site_no' END AS station_column, 1.0::DOUBLE AS date_share, round(0.4::DOUBLE + 1.2::DOUBLE / 3, 8) AS confidence FROM n")
+def ingest_decision(spark, sf):
+    return R.decide_mapping(messy_table(spark, sf)).withColumn("confidence", F.round("confidence", 8))
 
 
 # ── features and learning ───────────────────────────────────────────────────────

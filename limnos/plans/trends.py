@@ -10,7 +10,7 @@ from limnos.operators import changepoint as C
 from limnos.operators import trend as T
 from limnos.operators.periods import resample
 from limnos.operators.series import numbered
-from limnos.plans.adapters import FLOW, OBS, flow, obs
+from limnos.plans.adapters import FLOW, LFLOW, OBS, flow, long_flow, obs
 from limnos.plans.catalog import N, nudged, query
 
 RN = "s AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY date) AS rn, count(*) OVER (PARTITION BY station_id) AS n FROM {src})"
@@ -72,10 +72,10 @@ def kendall_monthly(spark, sf):
     return nudged(kendall_tau_b(s.drop("n"), "rn", "value", ["station_id"]).select("station_id", "n", "tau"), 6, "tau")
 
 
-@query("annual_trend", f"WITH {FLOW}, y AS (SELECT station_id, year(date) AS y, avg(value) AS value, count(*) AS c FROM flow GROUP BY 1, 2), yy AS (SELECT *, quantile_cont(c, 0.5) OVER (PARTITION BY station_id) AS u FROM y), yk AS (SELECT station_id, make_date(y, 1, 1) AS date, value, count(*) OVER (PARTITION BY station_id) AS ny FROM yy WHERE c >= 0.8::DOUBLE * u), "
-       f"yf AS (SELECT station_id, date, value FROM yk WHERE ny >= 5), {RN.format(src='yf')}, {PAIRS} SELECT {MK_COLS} FROM z")
+@query("annual_trend", f"WITH {LFLOW}, y AS (SELECT station_id, year(date) AS y, avg(value) AS value, count(*) AS c FROM lflow GROUP BY 1, 2), yy AS (SELECT *, quantile_cont(c, 0.5) OVER (PARTITION BY station_id) AS u FROM y), yk AS (SELECT station_id, make_date(y, 1, 1) AS date, value, count(*) OVER (PARTITION BY station_id) AS ny FROM yy WHERE c >= 0.8::DOUBLE * u), "
+       f"yf AS (SELECT station_id, date, value FROM yk WHERE ny >= 8), {RN.format(src='yf')}, {PAIRS} SELECT {MK_COLS} FROM z")
 def annual_trend(spark, sf):
-    return mk_out(T.annual_trend(flow(spark, sf), min_years=5))
+    return mk_out(T.annual_trend(long_flow(spark, sf)))
 
 
 for _m in ("hamed_rao", "yue_wang", "pre_whitening", "tfpw"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -161,29 +162,62 @@ def apply_mapping(df: DataFrame, time: str, value: str, factor: float = 1.0, dec
 
 
 # Name patterns → variable and unit; unit patterns → SI unit and factor; names of flag columns.
-NAME_HINTS = ((r"discharge|streamflow|\bflow\b|\bq\b|debit|caudal", "discharge", "m3/s"),
-              (r"stage|water[_ ]?level|gauge[_ ]?height|gage[_ ]?height|hauteur|nivel|\bh\b", "water_level", "m"),
-              (r"precip|rain|pluie|lluvia", "precipitation", "mm"), (r"ground ?water|piezo|well|nappe", "groundwater_level", "m"),
-              (r"\bet0\b|evapotrans|\beto\b", "evapotranspiration", "mm"), (r"storage|reservoir|volume", "reservoir_storage", "hm3"))
-UNIT_HINTS = ((r"cfs|ft3/s|cubic feet", "m3/s", 0.028316846592), (r"m3/s|cms|cumec", "m3/s", 1.0), (r"l/s|litre|liter", "m3/s", 0.001),
+NAME_HINTS = ((r"discharge|streamflow|\bflow\b|\bq\b|debit|débit|caudal|流量", "discharge", "m3/s"),
+              (r"stage|water[_ ]?level|gauge[_ ]?height|gage[_ ]?height|hauteur|nivel|水位|\bh\b", "water_level", "m"),
+              (r"precip|rain|pluie|lluvia|降雨|雨量", "precipitation", "mm"), (r"ground ?water|piezo|well|nappe|地下水", "groundwater_level", "m"),
+              (r"\bet0\b|evapotrans|\beto\b", "evapotranspiration", "mm"), (r"storage|reservoir|volume|蓄水", "reservoir_storage", "hm3"))
+UNIT_HINTS = ((r"cfs|ft3/s|ft³/s|cubic feet", "m3/s", 0.028316846592), (r"m3/s|m³/s|cms|cumec", "m3/s", 1.0), (r"l/s|litre|liter", "m3/s", 0.001),
               (r"\bmm\b", "mm", 1.0), (r"\bcm\b", "m", 0.01), (r"\bft\b|feet", "m", 0.3048), (r"\binch|\bin\b", "mm", 25.4))
 FLAG_NAME = r"flag|qual|code|status|remark|comment|id\b"
 
 
-def guess_mapping(df: DataFrame) -> DataFrame:
-    """One scored row per column over all rows: date share, numeric share, name and unit hints, approximate distinct count, role."""
-    import re
+STATION_NAME = r"station|site|gauge|gage|code|id$"
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy/MM/dd", "yyyyMMdd",
+                "MM/dd/yyyy", "MM/dd/yyyy HH:mm", "dd.MM.yyyy", "dd/MM/yyyy")
+
+
+def _hint(name: str, hints) -> tuple | None:
+    return next((h[1:] for h in hints if re.search(h[0], name, re.I)), None)
+
 
-    n = lambda c, cond: F.avg(F.when(F.col(c).isNotNull(), cond.cast("double")))
+def guess_mapping(df: DataFrame) -> DataFrame:
+    """One scored row per column over all rows: date share, numeric share, name and unit hints, approximate distinct count, rows."""
+    n = lambda c, cond: F.coalesce(F.avg(F.when(c.isNotNull(), cond.cast("double"))), F.lit(0.0))
     rows = []
-    for c in df.columns:
-        text = F.col(c).cast("string")
-        is_date = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy")]).isNotNull()
-        is_num = F.expr(f"try_cast(replace(CAST(`{c}` AS STRING), ',', '.') AS DOUBLE) IS NOT NULL")
-        bonus = (1.0 if any(re.search(p, c, re.I) for p, *_ in NAME_HINTS) else 0.0) + (0.2 if any(re.search(p, c, re.I) for p, *_ in UNIT_HINTS) else 0.0)
-        bonus -= 0.8 if re.search(FLAG_NAME, c, re.I) else 0.0
-        rows.append(F.struct(F.lit(c).alias("column_name"), n(c, is_date).alias("date_share"), n(c, is_num).alias("numeric_share"),
-                             F.lit(bonus).alias("hint"), F.approx_count_distinct(F.col(c)).alias("n_distinct")))
+    for at, name in enumerate(df.columns):
+        c = F.col(f"`{name}`")
+        text = F.trim(c.cast("string"))
+        is_date = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]).isNotNull()
+        is_num = F.replace(text, F.lit(","), F.lit(".")).try_cast("double").isNotNull()
+        bonus = (1.0 if _hint(name, NAME_HINTS) else 0.0) + (0.2 if _hint(name, UNIT_HINTS) else 0.0) - (0.8 if re.search(FLAG_NAME, name, re.I) else 0.0)
+        rows.append(F.struct(F.lit(name).alias("column_name"), n(c, is_date).alias("date_share"), n(c, is_num).alias("numeric_share"), F.lit(bonus).alias("hint"),
+                             F.approx_count_distinct(c).alias("n_distinct"), F.lit(at).alias("place"), F.count(F.lit(1)).alias("n_rows")))
     d = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
     return d.withColumn("score", F.when(F.col("numeric_share") >= 0.5, F.col("numeric_share") + F.col("hint")))
 
+
+def decide_mapping(df: DataFrame, variable: str | None = None, min_date_share: float = 0.6) -> DataFrame:
+    """One row: the columns to read, what they hold and how sure that is.
+
+    The date column is the one whose values parse most often (the first of equal ones, null below ``min_date_share``); the value column
+    has the best score of the others. Variable, unit and factor to it follow from the name of the value column, discharge where it says
+    nothing; a given ``variable`` stays. The station column is the first other one with a station-like name whose values repeat twenty
+    times on average. ``date_format`` is left to the reader. A table without rows, dates or numbers gives nulls there and confidence 0.
+    """
+    about = []
+    for name in df.columns:
+        by_name, by_unit = _hint(name, NAME_HINTS), _hint(name, UNIT_HINTS)
+        what = variable or (by_name[0] if by_name else "discharge")
+        unit, factor = by_unit or (next((u for _, v, u in NAME_HINTS if v == what), ""), 1.0)
+        about.append(F.struct(F.lit(what).alias("variable"), F.lit(unit).alias("unit"), F.lit(factor).alias("to_si_factor"), F.lit(re.search(STATION_NAME, name, re.I) is not None).alias("station_like")))
+    scored = guess_mapping(df).withColumn("about", F.array(*about)[F.col("place")])
+    # as many structs as the table has columns
+    d = scored.agg(F.array_sort(F.collect_list(F.struct("place", "column_name", "date_share", "score", "n_distinct", "n_rows", "about"))).alias("columns"))
+    d = d.withColumn("date", F.array_max(F.transform("columns", lambda c: F.struct(c["date_share"].alias("share"), -c["place"], c["column_name"].alias("name")))))
+    d = d.withColumn("date_column", F.when(F.col("date.share") >= min_date_share, F.col("date.name")))
+    rest = F.filter("columns", lambda c: ~c["column_name"].eqNullSafe(F.col("date_column")))
+    d = d.withColumn("best", F.array_max(F.transform(F.filter(rest, lambda c: c["score"] > -1), lambda c: F.struct(c["score"].alias("score"), -c["place"], c["column_name"].alias("name"), c["about"].alias("about")))))
+    repeats = lambda c: c["about"]["station_like"] & ~c["column_name"].eqNullSafe(F.col("best.name")) & (c["n_distinct"] <= F.greatest(F.lit(1), F.floor(c["n_rows"] / 20)))
+    sure = F.when(F.col("date_column").isNotNull() & F.col("best").isNotNull(), F.least(F.lit(0.95), 0.4 + F.col("best.score") / 3)).otherwise(0.0)
+    return d.select("date_column", F.col("best.name").alias("value_column"), "best.about.variable", "best.about.unit", "best.about.to_si_factor",
+                    F.get(F.filter(rest, repeats), F.lit(0))["column_name"].alias("station_column"), F.col("date.share").alias("date_share"), sure.alias("confidence"))

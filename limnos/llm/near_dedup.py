@@ -202,15 +202,20 @@ def _block_links(members: DataFrame, known: DataFrame, sets: DataFrame, percent:
     met = landed(met.select("bucket", "block", "block2"), "met")
     sides = met.select("bucket", F.col("block").alias("own"), "block", "block2").unionByName(
         met.where("block <> block2").select("bucket", F.col("block2").alias("own"), "block", "block2"))
-    data = known.select(F.col("doc_id").alias("node"), "bands").join(sets.withColumnRenamed("doc_id", "node"), "node")
+    # an id with several texts brings each text's bands beside each set; the set's name tells which belong together
+    data = known.select(F.col("doc_id").alias("node"), "name_a", "bands").join(sets.withColumnRenamed("doc_id", "node"), "node")
     rows = dealt.withColumnRenamed("block", "own").join(sides, ["bucket", "own"]).select("bucket", "block", "block2", "own", "node", "c")
     rows = join_split(rows, data, "node")
 
     def compare(group):
         import pandas as pd
-        g = group.drop_duplicates("node")
+        bucket = group["bucket"].iat[0]
+        named = [np.frombuffer(x, np.uint64).sum().view(np.int64) == name and (b == bucket).any() for x, name, b in zip(group["shingles"], group["name_a"], group["bands"])]
+        g = group[named].drop_duplicates(["node", "name_a"])
+        if len(g) < 2:
+            return pd.DataFrame([], columns=["a", "b"], dtype="int64")
         node, c, own = g["node"].to_numpy(), g["c"].to_numpy(), g["own"].to_numpy()
-        bands, bucket = np.stack(g["bands"].to_list()), g["bucket"].iat[0]
+        bands = np.stack(g["bands"].to_list())
         here = (bands == bucket).argmax(1)
         each = [np.frombuffer(x, np.uint64) for x in g["shingles"]]
         size = np.array([len(x) for x in each])

@@ -96,6 +96,26 @@ def test_an_id_with_two_texts_ties_both(spark):
     assert {(r.doc_id, r.component_id) for r in rows} == {(1, 1), (2, 1), (3, 1)}
 
 
+@pytest.mark.parametrize("pivots,block", [(2, 128), (0, 4), (0, 40)])
+def test_ids_with_several_texts_by_force(spark, pivots, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    r = random.Random(11)
+    base = [prose(r, 60, VOCABULARY) for _ in range(12)]
+
+    def copy(t):
+        w = t.split()
+        w[r.randrange(len(w))] = r.choice(VOCABULARY)
+        return " ".join(w)
+    rows = [(i, copy(base[k % 12])) for i in range(1, 13) for k in (i, i + 5 * (i % 2))] + [(100 + i, copy(base[i % 12])) for i in range(144)]
+    rows += rows[:5]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), few=2).collect()
+    each = [(i, shingle_set(t)) for i, t in set(rows)]
+    linked = [(a, b) for x, (a, p) in enumerate(each) for b, q in each[x + 1:] if a == b or 100 * len(p & q) >= 75 * len(p | q)]
+    want = components_by_force({i for i, _ in rows}, linked)
+    assert len(out) == len(rows) and {(o.doc_id, o.component_id) for o in out} == set(want.items())
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], CLASH)
     items = spark.createDataFrame([], "item_id long, text string")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from limnos.llm import decontaminate, language, mixing, near_dedup, sharding
 from limnos.llm.spread import landed
 
-#: Language ID has no SQL form; tests compare run() with a brute-force version.
+#: Language ID has no SQL form. Tests compare stages with brute force one by one; no test does so for run() as a whole.
 ORACLE_SQL = None
 
 

@@ -10,17 +10,25 @@ from limnos.operators import ensemble as M
 from limnos.operators import extremes as X
 from limnos.operators import rating as R
 from limnos.operators.periods import annual_max
-from limnos.plans.adapters import FLOW, GAUGING, OBS, PAIRED, SFLOW, flow, gaugings, obs, paired, supplier_flow
+from limnos.plans.adapters import FLOW, GAUGING, LFLOW, OBS, PAIRED, SFLOW, flow, gaugings, long_flow, obs, paired, supplier_flow
 from limnos.plans.catalog import N, nudged, query
 
 K = ["station_id"]
 AM = SFLOW + ", am AS (SELECT station_id, year(date) AS year, max(value) AS value FROM sflow GROUP BY 1, 2)"
 
 
+AML = LFLOW + ", am AS (SELECT station_id, year(date) AS year, max(value) AS value FROM lflow GROUP BY 1, 2)"
+
+
 def am(spark, sf):
     return annual_max(supplier_flow(spark, sf)).drop("n_days")
 
 
+def long_am(spark, sf):
+    """Annual maxima over half a century."""
+    return annual_max(long_flow(spark, sf)).drop("n_days")
+
+
 def lmom_sql(src="am", key="station_id", name="lm"):
     return (f"{name}r AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY value, year) - 1 AS i, count(*) OVER (PARTITION BY {key}) AS n FROM {src}), "
             f"{name}b AS (SELECT {key}, max(n)::DOUBLE AS n, avg(value) AS b0, sum(value * i / (n - 1)) / max(n) AS b1, sum(value * i * (i - 1) / ((n - 1) * (n - 2))) / max(n) AS b2, sum(value * i * (i - 1) * (i - 2) / ((n - 1) * (n - 2) * (n - 3))) / max(n) AS b3 FROM {name}r WHERE n >= 4 GROUP BY {key}), "
@@ -47,20 +55,51 @@ def gev_lmom(spark, sf):
     return nudged(nudged(X.gev_lmom(am(spark, sf)), 6, "shape", "loc", "scale"), 5, "level")
 
 
-@query("gev_bootstrap")
+def drawn_sql(src, keys, reps):
+    """Rows of ``src`` (with ``at``, 0-based, of ``n``) drawn with replacement by the digits of a hash."""
+    key = ", ".join(f"q.{c}" for c in keys)
+    return (f"dr AS (SELECT {key}, q.pos AS i, rep, CAST('0x' || substr(md5(concat_ws(':', {key.replace('q.station_id', 'q.station_id, 42', 1)}, rep, q.pos)), 1, 15) AS BIGINT) % q.n AS pos FROM {src} q, range({reps}) p(rep)), "
+            f"bs AS (SELECT {', '.join(keys)}, rep, i AS year, value FROM dr JOIN {src} USING ({', '.join(keys)}, pos))")
+
+
+@query("gev_bootstrap", f"WITH {AML}, v AS (SELECT station_id, value::DOUBLE AS value, row_number() OVER (PARTITION BY station_id ORDER BY year, value) - 1 AS pos, count(*) OVER (PARTITION BY station_id) AS n FROM am QUALIFY n >= 5), "
+       f"{drawn_sql('v', K, 1000)}, {lmom_sql('bs', 'station_id, rep')}, {gev_sql(keep='station_id, rep')}, sp AS (SELECT station_id, rep, min(value) < max(value) AS spread FROM bs GROUP BY 1, 2), "
+       f"lv AS (SELECT station_id, return_period, {LEV.format(p='1 - 1 / return_period')} AS level FROM gv JOIN sp USING (station_id, rep), {RP} WHERE spread AND scale > 0 AND abs(shape) <= 0.5), "
+       "band AS (SELECT station_id, return_period, quantile_cont(level, 0.05) AS lo, quantile_cont(level, 0.95) AS hi, count(*) AS n_boot FROM lv WHERE level > 0 GROUP BY 1, 2), "
+       f"{lmom_sql('am', name='pm')}, {gev_sql('pm', 'pg')}, held AS (SELECT * REPLACE (least(greatest(shape, -0.5), 0.5) AS shape) FROM pg) "
+       f"SELECT station_id, return_period, {N(LEV.format(p='1 - 1 / return_period'), 5)} AS level, CASE WHEN n_boot > 10 THEN {N('lo', 5)} END AS ci_low, CASE WHEN n_boot > 10 THEN {N('hi', 5)} END AS ci_high, coalesce(n_boot, 0) AS n_boot "
+       f"FROM held CROSS JOIN {RP} LEFT JOIN band USING (station_id, return_period) WHERE n >= 5")
 def gev_bootstrap(spark, sf):
-    return X.gev_bootstrap(annual_max(flow(spark, sf)).drop("n_days"))
+    return nudged(X.gev_bootstrap(long_am(spark, sf)), 5, "level", "ci_low", "ci_high")
 
 
-@query("gumbel")
+@query("gumbel", f"WITH RECURSIVE {AM}, z AS (SELECT station_id, value - min(value) OVER w AS z, min(value) OVER w AS least FROM am WINDOW w AS (PARTITION BY station_id) QUALIFY count(*) OVER w >= 5), "
+       "s AS (SELECT station_id, min(least) AS least, avg(z) AS mid, greatest(stddev_pop(z) / 1000, 1e-12) AS lo, greatest(stddev_pop(z) * 10, 1e-9) AS hi FROM z GROUP BY 1), "
+       "r(station_id, k, pos, step) AS (SELECT station_id, 0, (lo + hi) / 2, (hi - lo) / 4 FROM s UNION ALL SELECT r.station_id, r.k + 1, "
+       "any_value(r.pos) + CASE WHEN any_value(r.pos - s.mid) + sum(z * exp(-z / r.pos)) / sum(exp(-z / r.pos)) < 0 THEN any_value(r.step) ELSE -any_value(r.step) END, any_value(r.step) / 2 "
+       "FROM r JOIN s ON s.station_id = r.station_id JOIN z ON z.station_id = r.station_id WHERE r.k < 60 GROUP BY r.station_id, r.k), "
+       "g AS (SELECT z.station_id, any_value(pos) AS scale, any_value(least) - any_value(pos) * ln(avg(exp(-z / pos))) AS loc FROM r JOIN z USING (station_id) WHERE k = 60 GROUP BY 1) "
+       f"SELECT station_id, {N('loc')} AS loc, {N('scale')} AS scale, return_period, {N('loc - scale * ln(-ln(1 - 1 / return_period))', 5)} AS level FROM g, {RP}")
 def gumbel(spark, sf):
-    return X.gumbel(am(spark, sf))
+    return nudged(nudged(X.gumbel(am(spark, sf)), 6, "loc", "scale"), 5, "level")
+
 
+FRACTIONS = "(VALUES " + ", ".join(f"({f!r}::DOUBLE)" for f in X.WEIBULL_BOUNDS) + ") t(f)"
 
-@query("weibull_min")
+
+@query("weibull_min", f"WITH RECURSIVE {LFLOW}, low AS (SELECT station_id, year(date) AS year, min(value) AS value FROM lflow GROUP BY 1, 2), e AS (SELECT station_id, min(value) AS lo, max(value) AS hi FROM low GROUP BY 1 HAVING count(*) >= 5), "
+       f"b AS (SELECT station_id, f, lo - greatest(hi - lo, 1e-9) * f AS loc FROM e, {FRACTIONS}), y AS (SELECT station_id, f, ln(value - loc) AS y FROM low JOIN b USING (station_id)), "
+       "s AS (SELECT station_id, f, max(y) AS top, avg(y) AS mid, sum(y) AS total, count(*) AS n FROM y GROUP BY 1, 2), z AS (SELECT station_id, f, y - top AS z FROM y JOIN s USING (station_id, f)), "
+       "r(station_id, f, k, pos, step) AS (SELECT station_id, f, 0, 100.01::DOUBLE / 2, 99.99::DOUBLE / 4 FROM s UNION ALL SELECT r.station_id, r.f, r.k + 1, "
+       "any_value(r.pos) + CASE WHEN sum(z * exp(r.pos * z)) / sum(exp(r.pos * z)) - 1 / any_value(r.pos) + any_value(s.top - s.mid) < 0 THEN any_value(r.step) ELSE -any_value(r.step) END, any_value(r.step) / 2 "
+       "FROM r JOIN s ON s.station_id = r.station_id AND s.f = r.f JOIN z ON z.station_id = r.station_id AND z.f = r.f WHERE r.k < 60 GROUP BY r.station_id, r.f, r.k), "
+       "g AS (SELECT station_id, f, any_value(pos) AS shape, ln(avg(exp(pos * z))) AS w FROM r JOIN z USING (station_id, f) WHERE k = 60 GROUP BY 1, 2), "
+       "p AS (SELECT station_id, shape, loc, exp(top + w / shape) AS scale, n * (ln(shape) - shape * (top + w / shape)) + (shape - 1) * total - n AS ll FROM g JOIN s USING (station_id, f) JOIN b USING (station_id, f)), "
+       "best AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY ll DESC, shape DESC) = 1) "
+       f"SELECT station_id, {N('shape')} AS shape, {N('loc')} AS loc, {N('scale')} AS scale, return_period, {N('loc + scale * (-ln(1 - 1 / return_period)) ** (1 / shape)')} AS level FROM best, {RP}")
 def weibull_min(spark, sf):
-    f = flow(spark, sf).groupBy(*K, F.year("date").cast("long").alias("year")).agg(F.min("value").alias("value"))
-    return X.weibull_low(f)
+    f = long_flow(spark, sf).groupBy(*K, F.year("date").cast("long").alias("year")).agg(F.min("value").alias("value"))
+    return nudged(X.weibull_low(f), 6, "shape", "loc", "scale", "level")
 
 
 @query("lp3")
@@ -91,10 +130,29 @@ def pot_threshold_rules(spark, sf):
     return nudged(d, 6, "p95", "sqrt_rule")
 
 
-@query("gpd")
+RATIOS = ("(VALUES " + ", ".join(f"({j}, {-f!r}::DOUBLE, 0::DOUBLE)" for j, f in enumerate(X.PARETO_BELOW)) + ", "
+          + ", ".join(f"({j}, 0::DOUBLE, {f!r}::DOUBLE)" for j, f in enumerate(X.PARETO_ABOVE, len(X.PARETO_BELOW))) + ") q(j, below, above)")
+FLAT = "abs({t}) * mean < 1e-7"
+FALLS = ("CASE WHEN any_value(abs(r.pos) * s.mean) < 1e-7 THEN any_value(s.mean - s.sq / (2 * s.mean)) "
+         "ELSE avg(y / (1 + r.pos * y)) * (1 / avg(ln(1 + r.pos * y)) + 1) - 1 / any_value(r.pos) END")
+
+
+@query("gpd", f"WITH RECURSIVE {LFLOW}, th AS (SELECT station_id, quantile_cont(value, 0.95) AS threshold, count(*) AS total FROM lflow GROUP BY 1), "
+       "y AS (SELECT station_id, value - threshold AS y FROM lflow JOIN th USING (station_id) WHERE value > threshold QUALIFY count(*) OVER (PARTITION BY station_id) >= 5), "
+       "s AS (SELECT station_id, avg(y) AS mean, max(y) AS most, avg(y * y) AS sq, count(*) AS n FROM y GROUP BY 1), "
+       f"grid AS (SELECT station_id, j, mean, below / most + above / mean AS t FROM s, {RATIOS}), k AS (SELECT station_id, j, t, any_value(mean) AS mean, avg(ln(1 + t * y)) AS k FROM grid JOIN y USING (station_id) GROUP BY ALL), "
+       f"l AS (SELECT station_id, j, CASE WHEN {FLAT.format(t='t')} THEN -ln(mean) - 1 ELSE -ln(k / t) - k - 1 END AS ll FROM k), best AS (SELECT station_id, j FROM l QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY ll DESC, j) = 1), "
+       "edge AS (SELECT b.station_id, min(t) AS lo, max(t) AS hi FROM best b JOIN grid g ON g.station_id = b.station_id AND g.j BETWEEN b.j - 1 AND b.j + 1 GROUP BY 1), "
+       "r(station_id, i, pos, step) AS (SELECT station_id, 0, (lo + hi) / 2, (hi - lo) / 4 FROM edge UNION ALL "
+       f"SELECT r.station_id, r.i + 1, any_value(r.pos) + CASE WHEN {FALLS} < 0 THEN any_value(r.step) ELSE -any_value(r.step) END, any_value(r.step) / 2 "
+       "FROM r JOIN s ON s.station_id = r.station_id JOIN y ON y.station_id = r.station_id WHERE r.i < 60 GROUP BY r.station_id, r.i), "
+       "f AS (SELECT station_id, any_value(pos) AS t, avg(ln(1 + pos * y)) AS k FROM r JOIN y USING (station_id) WHERE i = 60 GROUP BY 1), "
+       f"g AS (SELECT station_id, n, CASE WHEN {FLAT.format(t='t')} THEN 0 ELSE k END AS shape, CASE WHEN {FLAT.format(t='t')} THEN mean ELSE k / t END AS scale FROM f JOIN s USING (station_id)) "
+       f"SELECT station_id, {N('shape')} AS shape, {N('scale')} AS scale, n AS n_exceed, total, {N('threshold')} AS threshold, return_period, "
+       f"{N('CASE WHEN abs(shape) < 1e-10 THEN threshold + scale * ln(return_period * n / total) ELSE threshold + scale / shape * ((return_period * n / total) ** shape - 1) END', 5)} AS level FROM g JOIN th USING (station_id), {RP}")
 def gpd(spark, sf):
-    f = flow(spark, sf)
-    return X.gpd(f, X.pot_threshold(f, method="percentile"))
+    f = long_flow(spark, sf)
+    return nudged(nudged(X.gpd(f, X.pot_threshold(f, method="percentile")), 6, "shape", "scale", "threshold"), 5, "level")
 
 
 REG = (f"{AM}, {lmom_sql()}, one AS (SELECT count(*) AS k, sum(n) AS tot, avg(t3) AS m3, avg(t4) AS m4, var_pop(t3) AS a, var_pop(t4) AS d, covar_pop(t3, t4) AS b, sum(n * l2 / l1) / sum(n) AS rl2, sum(n * t3) / sum(n) AS rt3, sum(n * t3 * t3) / sum(n) AS q3 FROM lm)")
@@ -133,12 +191,28 @@ def grubbs_beck(spark, sf):
     return nudged(X.grubbs_beck(am(spark, sf)), 6, "threshold")
 
 
-for _name, _fn in (("ema_censored", X.ema_censored), ("fit_compare", X.fit_compare), ("loo_cv", X.leave_one_out), ("coverage", X.coverage)):
+for _name, _fn in (("ema_censored", X.ema_censored), ("fit_compare", X.fit_compare)):
     def _run(spark, sf, fn=_fn):
         return fn(am(spark, sf))
     query(_name)(_run)
 
 
+@query("loo_cv", f"WITH {AML}, o AS (SELECT a.station_id, a.year AS without, a.value AS held, b.year, b.value FROM am a JOIN am b ON b.station_id = a.station_id AND b.year <> a.year), {lmom_sql('o', 'station_id, without, held')}, {gev_sql(keep='station_id, n, held')}, "
+       f"e AS (SELECT station_id, {LEV.format(p='0.5::DOUBLE')} - held AS e FROM gv WHERE n >= 5) SELECT station_id, {N('sqrt(avg(e * e))')} AS rmse, {N('avg(e)')} AS bias, {N('avg(abs(e))')} AS mae, count(*) AS n FROM e GROUP BY 1")
+def loo_cv(spark, sf):
+    return nudged(X.leave_one_out(long_am(spark, sf)), 6, "rmse", "bias", "mae")
+
+
+@query("coverage", f"WITH {AML}, f AS (SELECT station_id, year, value::DOUBLE AS value, (row_number() OVER (PARTITION BY station_id ORDER BY md5(concat_ws(':', station_id, 42, year)), year, value) - 1) % 10 AS part FROM am QUALIFY count(*) OVER (PARTITION BY station_id) >= 10), "
+       "v AS (SELECT f.station_id, g.fold, value, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY f.station_id, g.fold) AS n FROM f JOIN range(10) g(fold) ON f.part <> g.fold WINDOW w AS (PARTITION BY f.station_id, g.fold ORDER BY year, value) QUALIFY n >= 4), "
+       f"{drawn_sql('v', ['station_id', 'fold'], 200)}, {lmom_sql('bs', 'station_id, fold, rep')}, {gev_sql(keep='station_id, fold, rep')}, sp AS (SELECT station_id, fold, rep, min(value) AS least, max(value) AS most FROM bs GROUP BY 1, 2, 3), "
+       f"m AS (SELECT station_id, fold, CASE WHEN least = most THEN least ELSE {LEV.format(p='0.5::DOUBLE')} END AS m FROM gv JOIN sp USING (station_id, fold, rep)), "
+       "band AS (SELECT station_id, fold, quantile_cont(m, 0.05) AS lo, quantile_cont(m, 0.95) AS hi FROM m WHERE isfinite(m) GROUP BY 1, 2 HAVING count(*) >= 50) "
+       f"SELECT f.station_id, {N('coalesce(avg(CASE WHEN lo IS NOT NULL THEN (value BETWEEN lo AND hi)::INT END), 0)')} AS coverage, count(lo) AS n_tested FROM f LEFT JOIN band ON band.station_id = f.station_id AND band.fold = f.part GROUP BY 1")
+def coverage(spark, sf):
+    return nudged(X.coverage(long_am(spark, sf)), 6, "coverage")
+
+
 @query("return_shift", f"WITH {AM}, ha AS (SELECT * FROM am WHERE year <= 1999), fa AS (SELECT * FROM am WHERE year > 1996), {lmom_sql('ha', name='hl')}, {lmom_sql('fa', name='fl')}, {gev_sql('hl', 'hg')}, {gev_sql('fl', 'fg')}, a AS (SELECT station_id, return_period, {LEV.format(p='1 - 1 / return_period')} AS h FROM hg, {RP} WHERE n >= 4), b AS (SELECT station_id, return_period, {LEV.format(p='1 - 1 / return_period')} AS f FROM fg, {RP} WHERE n >= 5) "
        f"SELECT station_id, return_period, {N('h', 4)} AS hist_level, {N('f', 4)} AS future_level, {N('f / h', 4)} AS shift FROM a JOIN b USING (station_id, return_period) WHERE return_period <= 100 AND station_id IN (SELECT station_id FROM hg WHERE n >= 5)")
 def return_shift(spark, sf):

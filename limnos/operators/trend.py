@@ -163,7 +163,7 @@ def variance_inflation(df: DataFrame, method: str, keys: Sequence[str] = KEYS) -
         flat = v - median_slope(v) * np.arange(1, n + 1)
         lags = np.arange(1, n)
         if method == "hamed_rao":
-            rho = _acf(pd.Series(flat).rank().to_numpy())[1:]
+            rho = _acf(pd.Series(flat.round(9)).rank().to_numpy())[1:]  # months that set the slope tie, whatever the last digit
             rho = np.where(np.abs(rho) > 1.959963984540054 / math.sqrt(n), rho, 0.0)
             f = 1 + 2 / (n * (n - 1) * (n - 2)) * float((((n - lags) * (n - lags - 1) * (n - lags - 2)) * rho).sum())
         else:

@@ -226,16 +226,18 @@ def linear_trend_significance(spark, sf):
     return P.trend_significance(P.linear_trend(m, F.datediff("date", "d0") / 365.25))
 
 
-@query("seasonal_decompose", f"WITH {MONTHLY}, s AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY date) AS rn, avg(value) OVER a AS m1, avg(value) OVER b AS m2, count(value) OVER a AS c1, count(value) OVER b AS c2 FROM m WINDOW a AS (PARTITION BY station_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING), b AS (PARTITION BY station_id ORDER BY date ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING)), "
-       "t AS (SELECT *, CASE WHEN c1 = 12 AND c2 = 12 THEN (m1 + m2) / 2 END AS trend, (rn - 1) % 12 AS ph FROM s), g AS (SELECT station_id, ph, avg(value - trend) AS sa FROM t GROUP BY 1, 2), h AS (SELECT station_id, ph, sa - avg(sa) OVER (PARTITION BY station_id) AS seasonal FROM g) "
-       f"SELECT station_id, date, {N('trend')} AS trend, {N('seasonal')} AS seasonal, {N('value - trend - seasonal')} AS residual FROM t JOIN h USING (station_id, ph)")
+DECOMPOSED = (f"WITH {MONTHLY}, s AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY date) AS rn, avg(value) OVER a AS m1, avg(value) OVER b AS m2, count(value) OVER a AS c1, count(value) OVER b AS c2 FROM m WINDOW a AS (PARTITION BY station_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING), b AS (PARTITION BY station_id ORDER BY date ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING)), "
+              "t AS (SELECT *, CASE WHEN c1 = 12 AND c2 = 12 THEN (m1 + m2) / 2 END AS trend, (rn - 1) % 12 AS ph FROM s), g AS (SELECT station_id, ph, avg(value - trend) AS sa FROM t GROUP BY 1, 2), h AS (SELECT station_id, ph, sa - avg(sa) OVER (PARTITION BY station_id) AS seasonal FROM g) ")
+
+
+@query("seasonal_decompose", DECOMPOSED + f"SELECT station_id, date, {N('trend')} AS trend, {N('seasonal')} AS seasonal, {N('value - trend - seasonal')} AS residual FROM t JOIN h USING (station_id, ph)")
 def seasonal_decompose(spark, sf):
     return nudged(C.seasonal_decompose(monthly(spark, sf)).drop("value", "detrended"), 6, "trend", "seasonal", "residual")
 
 
-@query("seasonal_strength")
+@query("seasonal_strength", DECOMPOSED + f"SELECT station_id, {N('CASE WHEN var_pop(value - trend) > 0 THEN greatest(0, 1 - var_pop(value - trend - seasonal) / var_pop(value - trend)) ELSE 0 END')} AS strength FROM t JOIN h USING (station_id, ph) GROUP BY 1")
 def seasonal_strength(spark, sf):
-    return C.seasonal_strength(C.seasonal_decompose(monthly(spark, sf)))
+    return nudged(C.seasonal_strength(C.seasonal_decompose(monthly(spark, sf))), 6, "strength")
 
 
 SPLIT = FLOW + ", " + PRECIP + ", hist AS (SELECT station_id, date, value FROM flow WHERE date < DATE '1998-06-01'), fut AS (SELECT station_id, date, value FROM flow WHERE date >= DATE '1998-06-01')"

@@ -78,10 +78,44 @@ def annual_trend(spark, sf):
     return mk_out(T.annual_trend(long_flow(spark, sf)))
 
 
-for _m in ("hamed_rao", "yue_wang", "pre_whitening", "tfpw"):
+MK_OUT = (f"SELECT station_id, CAST(n AS BIGINT) AS n, CAST(s AS BIGINT) AS s, {N('var_s')} AS var_s, {N('z')} AS z, {N('p')} AS p_value, {N('s / (n * (n - 1) / 2)')} AS tau, {N('slope')} AS slope, {N('intercept')} AS intercept, "
+          "CASE WHEN p < 0.05 AND z > 0 THEN 'increasing' WHEN p < 0.05 AND z < 0 THEN 'decreasing' ELSE 'no trend' END AS trend FROM w")
+P_VALUE = f"q AS (SELECT *, -abs(z) AS a FROM {{src}}), w AS (SELECT *, 2 * {norm_cdf_sql('a')} AS p FROM q) "
+
+
+def inflated_sql(y, factor):
+    """Twin of the variance factors: autocorrelation of ``y`` (a function of the detrended value x) over all lags k."""
+    return (f"WITH {MONTHLY}, {RN.format(src='m')}, {PAIRS}, fl AS (SELECT s.station_id, s.rn, s.n::DOUBLE AS n, s.value - v.slope * s.rn AS x FROM s JOIN v USING (station_id)), y AS (SELECT *, {y} AS y FROM fl), "
+            "c AS (SELECT station_id, rn, n, y - avg(y) OVER (PARTITION BY station_id) AS c FROM y), d AS (SELECT station_id, sum(c * c) AS d FROM c GROUP BY 1), "
+            "rho AS (SELECT a.station_id, a.n, (b.rn - a.rn)::DOUBLE AS k, sum(a.c * b.c) / any_value(d.d) AS rho FROM c a JOIN c b ON b.station_id = a.station_id AND b.rn > a.rn JOIN d ON d.station_id = a.station_id GROUP BY 1, 2, 3), "
+            f"f AS (SELECT station_id, {factor} AS f FROM rho GROUP BY station_id, n), i AS (SELECT station_id, n, s, var_s * f AS var_s, slope, intercept FROM v JOIN f USING (station_id)), "
+            "iz AS (SELECT *, CASE WHEN var_s <= 0 THEN 0 WHEN s > 0 THEN (s - 1) / sqrt(var_s) WHEN s < 0 THEN (s + 1) / sqrt(var_s) ELSE 0 END AS z FROM i), "
+            + P_VALUE.format(src="iz") + MK_OUT)
+
+
+def whitened_sql(x, back):
+    """Twin of the whitened variants: ``x`` is whitened by its first autocorrelation, ``back`` is added again; the line is that of the values."""
+    return (f"WITH {MONTHLY}, o AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY date) AS rn FROM m), "
+            "l0 AS (SELECT a.station_id, quantile_cont((b.value - a.value) / (b.rn - a.rn), 0.5) AS line FROM o a JOIN o b ON a.station_id = b.station_id AND a.rn < b.rn GROUP BY 1), "
+            "m0 AS (SELECT station_id, line, any_value(med) - (count(*) - 1) / 2 * line AS base FROM (SELECT station_id, quantile_cont(value, 0.5) OVER (PARTITION BY station_id) AS med FROM o) JOIN l0 USING (station_id) GROUP BY station_id, line), "
+            f"x AS (SELECT station_id, date, rn, line, {x} AS x FROM o JOIN l0 USING (station_id)), c AS (SELECT *, x - avg(x) OVER (PARTITION BY station_id) AS c FROM x), "
+            "l AS (SELECT *, lag(c) OVER u AS pc, lag(x) OVER u AS px FROM c WINDOW u AS (PARTITION BY station_id ORDER BY date)), r AS (SELECT station_id, sum(c * pc) / sum(c * c) AS r1 FROM l GROUP BY 1), "
+            f"wv AS (SELECT station_id, date, round(x - r1 * px{back}, 9) AS value FROM l JOIN r USING (station_id) WHERE px IS NOT NULL), {RN.format(src='wv')}, {PAIRS}, zl AS (SELECT z.* REPLACE (line AS slope, base AS intercept) FROM z JOIN m0 USING (station_id)), "
+            + P_VALUE.format(src="zl") + MK_OUT)
+
+
+RANKED = "rank() OVER (PARTITION BY station_id ORDER BY round(x, 9)) + (count(*) OVER (PARTITION BY station_id, round(x, 9)) - 1) / 2.0::DOUBLE"
+MODIFIED = {
+    "hamed_rao": inflated_sql(RANKED, "1 + 2 / (n * (n - 1) * (n - 2)) * sum((n - k) * (n - k - 1) * (n - k - 2) * CASE WHEN abs(rho) > 1.959963984540054 / sqrt(n) THEN rho ELSE 0 END)"),
+    "yue_wang": inflated_sql("x", "1 + 2 * sum((1 - k / n) * rho)"),
+    "pre_whitening": whitened_sql("value", ""),
+    "tfpw": whitened_sql("value - line * rn", " + line * (rn - 1)"),
+}
+
+for _m, _sql in MODIFIED.items():
     def _mk(spark, sf, method=_m):
-        return T.mann_kendall_modified(monthly(spark, sf), method)
-    query(f"mk_modified_{_m}")(_mk)
+        return nudged(T.mann_kendall_modified(monthly(spark, sf), method), 6, "var_s", "z", "p_value", "tau", "slope", "intercept")
+    query(f"mk_modified_{_m}", _sql)(_mk)
 
 WHITE = (f"WITH {MONTHLY}, {RN.format(src='m')}, c AS (SELECT *, value - avg(value) OVER (PARTITION BY station_id) AS c FROM s), l AS (SELECT *, lag(c) OVER w AS pc, lag(value) OVER w AS pv FROM c WINDOW w AS (PARTITION BY station_id ORDER BY date)), "
          "r AS (SELECT station_id, sum(c * pc) / sum(c * c) AS r1 FROM l GROUP BY 1), ")

@@ -2,7 +2,8 @@
 
 Every pair says that one labelled document is better than another. The score's weights maximise the likelihood that the better one of
 a pair wins, which is a logistic loss on the difference of their features, minimised by Newton steps whose sums Spark adds up over
-the pairs. The threshold is the score quantile that leaves as large a share of the sampled documents below it as the labels do.
+the pairs. The threshold is the score quantile that leaves as large a share of the labelled documents below it as the labels do.
+All labelled documents outside the held-out fold take part in the features' moments, the pairs and the threshold.
 """
 
 from __future__ import annotations
@@ -13,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.llm.arrays import lowered, pieces, table, words
-from limnos.llm.labelled import held_out, labelled_sample, with_texts
-from limnos.llm.spread import landed
+from limnos.llm.labelled import held_out, labelled
+from limnos.llm.spread import landed, small
 
-PER_CLASS = 5_000  # expected labelled documents of each class
-ROUNDS = 4  # pairs that each document of the sample takes part in on its own side
+ROUNDS = 4  # pairs that each labelled document takes part in on its own side
 RIDGE = 1.0
 STEPS = 8
 CLIP = 4.0  # standardised features are cut there
+BINS = 1 << 16  # of the ranks, to find the threshold
 
 _SPACE = table(lambda b: b in (9, 10, 11, 12, 13, 32))
 _WORD = ~_SPACE
@@ -93,14 +94,14 @@ def with_features(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return chosen.mapInArrow(task, "doc_id long, x array<double>" + "".join(f", {k} long" for k in keep))
 
 
-def preference_pairs(sample: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def preference_pairs(known: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(better, worse) feature arrays: in each round every document meets one of the other class.
 
     Both classes are numbered by hash within ``SLOTS`` slots and meet in equal slots, so the number of pairs is in proportion to the
-    sample and no document meets all others.
+    labelled documents and no document of the smaller class meets all others.
     """
-    s = sample.select("x", "label", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), "doc_id")
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    s = known.select("x", "label", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), "doc_id")
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = max(1, min(sizes.get(0, 0), sizes.get(1, 0)))
     s = s.withColumn("slot", F.pmod(F.xxhash64("doc_id", "round", "label"), F.lit(slots)))
     good, bad = s.where("label = 1").withColumnRenamed("x", "better"), s.where("label = 0").withColumnRenamed("x", "worse")
@@ -133,18 +134,46 @@ def learn(pairs: DataFrame, centre: np.ndarray, scale: np.ndarray, steps: int =
     return weight
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 3, fold: int = 1, per_class: int = PER_CLASS, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+def weighted_quantile(df: DataFrame, value: str, freq: str, share: float, bins: int = BINS) -> float | None:
+    """Exact quantile of ``value``, each row counting ``freq`` times, interpolated between neighbours as ``percentile`` does; null values don't count.
+
+    Counts in equal bins tell which ones hold the two neighbours; only the values there are read again, so no task holds all values.
+    """
+    d = df.where(F.col(value).isNotNull())
+    at = d.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum(freq).alias("n")).first()
+    if at["n"] is None or at["lo"] == at["hi"]:
+        return at["lo"]
+    b = F.floor((F.col(value) - at["lo"]) / (at["hi"] - at["lo"]) * bins)
+    position = (at["n"] - 1) * share
+    below, before, wanted = {}, 0, {}
+    for r in sorted(d.groupBy(b.alias("b")).agg(F.sum(freq).alias("n")).collect()):
+        below[r["b"]] = before
+        for place in (int(np.floor(position)), int(np.ceil(position))):
+            if before <= place < before + r["n"]:
+                wanted[place] = r["b"]
+        before += r["n"]
+    found = {}
+    for bin_ in set(wanted.values()):
+        before = below[bin_]
+        for r in sorted(d.where(b == bin_).groupBy(value).agg(F.sum(freq).alias("n")).collect()):
+            found |= {place: r[0] for place in wanted if before <= place < before + r["n"]}
+            before += r["n"]
+    low, high = int(np.floor(position)), int(np.ceil(position))
+    return found[low] if found[low] == found[high] else (high - position) * found[low] + (position - low) * found[high]
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 3, fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Quality of every whole text: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
 
-    Learns from labels outside the held-out fold only. A text that is null or has no words scores as the sample's average features
-    do. Without labels of both classes every score is 0.5. Null ids are scored and teach nothing; repeated rows come out repeated; an
+    Learns from all labels outside the held-out fold and from no others. A text that is null or has no words scores as the average
+    features of what it learns from do. Without labels of both classes every score is 0.5. Null ids are scored and teach nothing; repeated rows come out repeated; an
     empty table gives no rows; other columns are not read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample, sizes = labelled_sample(labels, label_col, folds, fold, per_class)
+    taught, sizes = labelled(labels, label_col, folds, fold)
     out = held_out("doc_id", folds, fold)
-    known = landed(with_features(with_texts(d, sample), ["label"]), "features") if min(sizes.values()) else None
+    every = landed(with_features(d), "features") if min(sizes.values()) else None
+    known = None if every is None else landed(every.join(small(taught, sum(sizes.values())), "doc_id"), "labelled")
     if known is None or known.select("label").distinct().count() < 2:
         return d.select("doc_id", out.alias("held_out"), F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
     k = len(FEATURES)
@@ -163,7 +192,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     by_class = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = sizes[0] / (sizes[0] + sizes[1])
     weighted = ranked(known, ["label"]).withColumn("w", F.when(F.col("label") == 0, sizes[0] / by_class[0]).otherwise(sizes[1] / by_class[1]))
-    cut = weighted.agg(F.percentile("rank", share, F.greatest(F.lit(1), F.round(F.col("w") * 10)).cast("int"))).first()[0]
+    weighted = weighted.select("rank", F.greatest(F.lit(1), F.round(F.col("w") * 10)).cast("int").alias("freq"))
+    cut = weighted_quantile(weighted, "rank", "freq", share)
     score = 1 / (1 + F.exp(-F.greatest(F.least(F.coalesce(F.col("rank") - float(cut), F.lit(-float(cut))), F.lit(30.0)), F.lit(-30.0))))
-    return (ranked(with_features(d), []).select("doc_id", out.alias("held_out"), score.alias("score"))
+    return (ranked(every, []).select("doc_id", out.alias("held_out"), score.alias("score"))
             .select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))

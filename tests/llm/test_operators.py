@@ -413,3 +413,26 @@ def test_sharding_by_another_key(spark):
         counts[o.shard] += 1
     # every document is linked, so only swaps are left: all groups started in 8 shards
     assert set(counts.values()) == {50} and np.mean([len(v) for v in where.values()]) < 6
+
+
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    docs = [(i, f"{'plain words of text' if i % 100 else '### | ### % $ ###'} number {i}") for i in range(9_000)]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 100 > 0)) for i, _ in docs], "doc_id long, quality int")
+    met = []
+    pairs = quality.preference_pairs
+    monkeypatch.setattr(quality, "preference_pairs", lambda known: met.append(known.count()) or pairs(known))
+    got = {r.doc_id: r for r in quality.score_quality(d, lab).collect()}
+    taught = sum(not r.held_out for r in got.values())
+    assert taught > 5_900 and met == [taught]
+    assert sum(r.predicted == (i % 100 > 0) for i, r in got.items()) > 8_700
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000])
+def test_weighted_quantile_by_force(spark, n):
+    r = random.Random(n)
+    rows = [(r.choice([None, r.gauss(0, 1), 0.25]) if i else r.gauss(0, 1), r.randint(1, 9)) for i in range(n)]
+    flat = np.array([v for v, f in rows if v is not None for _ in range(f)])
+    d = spark.createDataFrame(rows, "v double, f int")
+    for share in (0.0, 0.07, 0.5, 1.0):
+        assert abs(quality.weighted_quantile(d, "v", "f", share, bins=5) - np.percentile(flat, 100 * share)) < 1e-12
+    assert quality.weighted_quantile(d.where("f > 99"), "v", "f", 0.5) is None

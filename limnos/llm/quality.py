@@ -171,6 +171,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     taught, sizes = labelled(labels, label_col, folds, fold)
+    taught = taught.withColumn("label", F.col("label").cast("long"))  # its type is part of the hash that deals out pairs
     out = held_out("doc_id", folds, fold)
     every = landed(with_features(d), "features") if min(sizes.values()) else None
     known = None if every is None else landed(every.join(small(taught, sum(sizes.values())), "doc_id"), "labelled")

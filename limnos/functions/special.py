@@ -114,6 +114,44 @@ def _gammainc(a: float, x: float) -> float:
     return float("nan")  # not converged: no value is better than a wrong one
 
 
+def _gammainc_all(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``_gammainc`` of many pairs: all that have not converged take a step at once."""
+    out = np.full(len(x), np.nan)
+    known = (a > 0) & ~np.isnan(x)
+    out[known & (x <= 0)] = 0.0
+    at = np.flatnonzero(known & (x > 0) & np.isfinite(a) & np.isfinite(x))
+    for i in np.flatnonzero(known & (x > 0) & ~(np.isfinite(a) & np.isfinite(x))):
+        out[i] = _gammainc(float(a[i]), float(x[i]))
+    shapes, each = np.unique(a[at], return_inverse=True)
+    front = np.exp(-x[at] + a[at] * np.log(x[at]) - np.array([math.lgamma(s) for s in shapes])[each]) if len(at) else x[at]
+    low = x[at] < a[at] + 1
+    rows, v, n = at[low], x[at][low], a[at][low]
+    scale, term = front[low], 1.0 / n
+    total = term
+    while len(rows):
+        n = n + 1
+        term = term * (v / n)
+        total = total + term
+        more = np.abs(term) > np.abs(total) * 1e-16
+        out[rows[~more]] = (total * scale)[~more]
+        rows, v, n, term, total, scale = (z[more] for z in (rows, v, n, term, total, scale))
+    rows, k, scale = at[~low], a[at][~low], front[~low]
+    b = x[rows] + 1 - k
+    c, d = np.full(len(rows), 1e300), 1 / b
+    h, i = d, 0
+    while len(rows) and (i := i + 1) < 10_000:
+        an = -i * (i - k)
+        b = b + 2
+        d, c = an * d + b, b + an / c
+        d, c = 1 / np.where(d == 0, 1e-300, d), np.where(c == 0, 1e-300, c)
+        step = d * c
+        h = h * step
+        more = ~(np.abs(step - 1) < 1e-15)
+        out[rows[~more]] = (1 - scale * h)[~more]
+        rows, k, scale, b, c, d, h = (z[more] for z in (rows, k, scale, b, c, d, h))
+    return out
+
+
 def _betainc(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta I_x(a, b) by its continued fraction."""
     if math.isnan(x) or a <= 0 or b <= 0:
@@ -195,7 +233,8 @@ def _vector(fn, *series: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def gammainc(a: pd.Series, x: pd.Series) -> pd.Series:
-    return _vector(_gammainc, a, x)
+    with np.errstate(all="ignore"):
+        return pd.Series(_gammainc_all(a.to_numpy(dtype=float), x.to_numpy(dtype=float)), index=a.index)
 
 
 @F.pandas_udf(DoubleType())

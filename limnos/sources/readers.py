@@ -176,6 +176,23 @@ DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-M
                 "MM/dd/yyyy", "MM/dd/yyyy HH:mm", "dd.MM.yyyy", "dd/MM/yyyy")
 
 
+# A text in the format looks like this; anything else is no candidate, and failing to parse it would cost far more than to see that.
+_LOOKS = {"yyyy": r"[+-]?\d{4,}", "MM": r"\d{2}", "dd": r"\d{2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}", "'T'": "[Tt]", "X": r"([Zz]|[+-]\d.*)", "XXX": r"([Zz]|[+-]\d.*)", ".": "[.]"}
+
+
+def _look(fmt: str) -> str:
+    """Pattern that every text in a date format of ``DATE_FORMATS`` meets."""
+    return "^" + "".join(_LOOKS.get(p, p) for p in re.findall(r"yyyy|MM|dd|HH|mm|ss|'T'|X+|.", fmt)) + "$"
+
+
+def _parses(text: Column) -> Column:
+    """Whether a text is a time in one of ``DATE_FORMATS``."""
+    some = F.lit(False)
+    for fmt in DATE_FORMATS:
+        some = some | (text.rlike(_look(fmt)) & F.try_to_timestamp(text, F.lit(fmt)).isNotNull())
+    return text.rlike("|".join(map(_look, DATE_FORMATS))) & some
+
+
 def _hint(name: str, hints) -> tuple | None:
     return next((h[1:] for h in hints if re.search(h[0], name, re.I)), None)
 
@@ -187,7 +204,7 @@ def guess_mapping(df: DataFrame) -> DataFrame:
     for at, name in enumerate(df.columns):
         c = F.col(f"`{name}`")
         text = F.trim(c.cast("string"))
-        is_date = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]).isNotNull()
+        is_date = _parses(text)
         is_num = F.replace(text, F.lit(","), F.lit(".")).try_cast("double").isNotNull()
         bonus = (1.0 if _hint(name, NAME_HINTS) else 0.0) + (0.2 if _hint(name, UNIT_HINTS) else 0.0) - (0.8 if re.search(FLAG_NAME, name, re.I) else 0.0)
         rows.append(F.struct(F.lit(name).alias("column_name"), n(c, is_date).alias("date_share"), n(c, is_num).alias("numeric_share"), F.lit(bonus).alias("hint"),

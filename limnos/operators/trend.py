@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,20 +91,66 @@ def median_slope(v: np.ndarray) -> float:
     return float((lower + upper) / 2)
 
 
+_SHORT = 64  # values of a series whose pairs are held, at most 2016
+
+
+def median_slopes(v: np.ndarray) -> np.ndarray:
+    """``median_slope`` of every row of a matrix of short series, from all their pairs."""
+    m, n = v.shape
+    if n < 2:
+        return np.zeros(m)
+    i, j = np.triu_indices(n, 1)
+    out, at_once = np.zeros(m), max(1, 1_000_000 // len(i))
+    middle = [(len(i) + 1) // 2 - 1, len(i) // 2]
+    for at in range(0, m, at_once):
+        x = v[at:at + at_once]
+        step = np.abs(np.diff(x, axis=1)).max(axis=1)
+        mid = np.partition((x[:, j] - x[:, i]) / (j - i), middle, axis=1)[:, middle]
+        mid = np.where(np.abs(mid) > 1e-14 * step[:, None], mid, 0.0)
+        out[at:at + at_once] = np.where(np.isfinite(step), (mid[:, 0] + mid[:, 1]) / 2, 0.0)
+    return out
+
+
 def sens_slope(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Sen's slope per step and its intercept."""
+    """Sen's slope per step and its intercept. Tasks take sorted rows batch by batch, many short series at once."""
     k = list(keys)
     types = dict(df.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("date")["value"].to_numpy(float)
-        slope = median_slope(v)
-        head = {c: [pdf[c].iloc[0]] for c in k}
-        return pd.DataFrame({**head, "slope": [slope], "intercept": [float(np.median(v)) - (len(v) - 1) / 2 * slope],
-                             "n_samples": [len(v)]})
+    def fit(t: pa.Table) -> pa.Table:
+        v, first = t.column("value").to_numpy(), np.flatnonzero(t.column("_rn").to_numpy() == 1)
+        size = np.diff(np.append(first, len(v)))
+        slope, middle = np.zeros(len(first)), np.zeros(len(first))
+        for n in np.unique(size):
+            own = np.flatnonzero(size == n)
+            if n <= _SHORT:
+                x = v[first[own][:, None] + np.arange(n)]
+                with np.errstate(invalid="ignore"):
+                    slope[own], middle[own] = median_slopes(x), np.median(x, axis=1)
+            else:
+                for s in own:
+                    x = v[first[s]:first[s] + n]
+                    slope[s], middle[s] = median_slope(x), np.median(x)
+        head = t.select(k).take(pa.array(first)).combine_chunks()
+        fitted = {"slope": slope, "intercept": middle - (size - 1) / 2 * slope, "n_samples": size.astype(np.int64)}
+        return pa.Table.from_arrays([*head.columns, *[pa.array(c) for c in fitted.values()]], names=[*k, *fitted]).combine_chunks()
+
+    def task(batches):
+        held: list[pa.RecordBatch] = []  # a series whose end has not come yet
+        for batch in batches:
+            first = np.flatnonzero(batch.column("_rn").to_numpy() == 1)
+            if len(first):
+                whole_series = [*held, batch.slice(0, first[-1])]
+                held = [batch.slice(first[-1])]
+                if sum(b.num_rows for b in whole_series):
+                    yield from fit(pa.Table.from_batches(whole_series)).to_batches()
+            else:
+                held.append(batch)
+        if sum(b.num_rows for b in held):
+            yield from fit(pa.Table.from_batches(held)).to_batches()
 
+    d = df.where("value IS NOT NULL").select(*k, F.col("value").cast("double").alias("value"), F.row_number().over(by(k)).alias("_rn"))
     schema = ", ".join([f"{c} {types[c]}" for c in k] + ["slope double, intercept double, n_samples long"])
-    return per_series(df.where("value IS NOT NULL").select(*k, "date", "value"), k, run, schema)
+    return d.sortWithinPartitions(*k, "_rn").mapInArrow(task, schema)
 
 
 def z_and_p(d: DataFrame, alpha: float = 0.05) -> DataFrame:

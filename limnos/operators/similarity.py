@@ -8,7 +8,7 @@ bounding box could hold a nearer donor than the k-th it has found. Tasks return
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,10 +79,12 @@ class Splits:
     depth: int
 
     @classmethod
-    def of(cls, rows: pd.DataFrame, columns: Sequence[str], blocks: int) -> Splits:
+    def of(cls, rows: pd.DataFrame, columns: Sequence[str], blocks: int, worth: dict[str, float] | None = None) -> Splits:
+        """``worth``: what a unit of a column adds to a score; a column without it counts by its standard deviations."""
         depth = max(1, math.ceil(math.log2(blocks)))
         x = rows[list(columns)].to_numpy(float)
         scale = np.nan_to_num(np.nanstd(x, axis=0)) if len(x) else np.ones(x.shape[1])
+        scale = np.array([1 / worth[c] if c in (worth or {}) else s for c, s in zip(columns, scale)])
         side, cut_at = np.zeros((1 << depth) - 1, int), np.zeros((1 << depth) - 1)
         nodes = {0: np.arange(len(x))}
         for slot in range(len(side)):
@@ -117,11 +119,13 @@ def _chunked(df: DataFrame, by: str, rows: int, id_col: str = "id") -> tuple[Dat
     return df.join(F.broadcast(sizes), by).withColumn("_chunk", F.pmod(F.xxhash64(id_col), F.col("_chunks")).cast("int")).drop("_chunks"), sizes
 
 
-def block_topk(targets: DataFrame, donors: DataFrame, k: int, distance, bound, columns: Sequence[str], rows_per_block: int = 3000, skip_self: bool = True) -> DataFrame:
+def block_topk(targets: DataFrame, donors: DataFrame, k: int, distance, bound, columns: Sequence[str], rows_per_block: int = 3000, skip_self: bool = True,
+               worth: Callable[[pd.DataFrame], dict[str, float]] | None = None) -> DataFrame:
     """(target, donor, score, place): the k nearest donors of every target, exactly; equal scores go by donor id.
 
     ``distance(t, d)`` maps two blocks (pandas) to a score matrix; ``bound(t, boxes)`` gives the least score that a donor in a box can
     have, from ``lo_c``, ``hi_c`` (null where all are) and ``some_c`` (whether values are missing) of every column in ``columns``.
+    ``worth`` tells from sampled donors what a unit of each column adds to a score, so that blocks are cut along what decides it.
     """
     kind, want = dict(targets.dtypes)["id"], k + 1 if skip_self else k
     targets, donors = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (targets, donors))  # one table may be both sides
@@ -137,7 +141,7 @@ def block_topk(targets: DataFrame, donors: DataFrame, k: int, distance, bound, c
         d, t = donors.withColumn("_block", F.lit(0)), targets.withColumn("_block", F.lit(0))
     else:
         shape = donors.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < min(1.0, SAMPLE_ROWS / n) * 1_000_000).select(*columns).toPandas()
-        splits = Splits.of(shape, columns, n_blocks)
+        splits = Splits.of(shape, columns, n_blocks, worth(shape) if worth else None)
         d, t = cut(donors.withColumn("_block", splits.place(donors))), targets.withColumn("_block", splits.place(targets))
         sides = [e for c in columns for e in (F.min(F.when(~F.isnan(c), F.col(c))).alias(f"lo_{c}"), F.max(F.when(~F.isnan(c), F.col(c))).alias(f"hi_{c}"),
                                               F.max(F.col(c).isNull() | F.isnan(c)).alias(f"some_{c}"))]
@@ -265,7 +269,14 @@ def similar(targets: DataFrame, donors: DataFrame, features: Sequence[Feature],
         phi, lam = F.radians("lat"), F.radians("lon")
         on_sphere = lambda d: d.withColumns({"_ux": F.cos(phi) * F.cos(lam), "_uy": F.cos(phi) * F.sin(lam), "_uz": F.sin(phi)})
         t, donors, shape = on_sphere(t), on_sphere(donors), [*shape, *_SPHERE]
-    return block_topk(t, donors, k, distance, bound, shape, rows_per_block)
+
+    def worth(sample: pd.DataFrame) -> dict[str, float]:
+        per_sd = dict(zip(cols, w / math.sqrt(max((w * w).sum(), 1e-9)))) if by_attributes else {}
+        sd = sample[list(per_sd)].std(ddof=0)
+        far = {c: 6371.0088 / (SCALE_KM if by_attributes else 1.0) for c in _SPHERE} if by_ground else {}
+        return {c: v / sd[c] for c, v in per_sd.items() if sd[c] > 0 and v > 0} | far
+
+    return block_topk(t, donors, k, distance, bound, shape, rows_per_block, worth=worth)
 
 
 _SPHERE = ("_ux", "_uy", "_uz")
@@ -347,8 +358,10 @@ def similar_basins(targets: DataFrame, stations: DataFrame, features: Sequence[F
     km = haversine(F.col("target_lat"), F.col("target_lon"), F.col("donor_lat"), F.col("donor_lon"), 6371.0088)
     apart = F.col("score") if not by_ground else F.sqrt(F.greatest(F.pow("score", 2) - F.pow(km / SCALE_KM, 2), F.lit(0.0))) if by_attributes else F.lit(None).cast("double")
     ranked = far.select("target", "donor", "score", "place", apart.alias("similarity_distance"), (km if by_ground else F.lit(None).cast("double")).alias("distance_km"))
-    long = lambda df, end, v: df.select(F.col("id").alias(end), *[F.col(c).cast("double").alias(c) for c in raw]).unpivot([end], raw, "feature", v)
-    deltas = top.select("target", "donor").join(long(stations, "donor", "station"), "donor").join(long(targets, "target", "own"), ["target", "feature"])
+    wide = lambda df, end, v: df.select(F.col("id").alias(end), F.array(*[F.col(c).cast("double") for c in raw]).alias(v))
+    both = top.select("target", "donor").join(wide(stations, "donor", "_there"), "donor").join(wide(targets, "target", "_here"), "target")
+    cells = [F.struct(F.lit(c).alias("feature"), F.col("_there")[i].alias("station"), F.col("_here")[i].alias("own")) for i, c in enumerate(raw)]
+    deltas = both.select("target", "donor", F.explode(F.array(*cells)).alias("e")).select("target", "donor", "e.*")
     return ranked, deltas.where("station IS NOT NULL AND own IS NOT NULL").select("target", "donor", "feature", F.round("station", 3).alias("station"), F.round("own", 3).alias("own"))
 
 
@@ -437,6 +450,7 @@ def proximity_weights(donors: DataFrame, lat: float, lon: float) -> DataFrame:
     return d.join(F.broadcast(total), F.lit(True)).withColumn("weight", F.col("inv") / F.col("_t")).drop("inv", "_t")
 
 
+PAIRS_AT_ONCE = 250_000  # pairs of stations that a task holds: some 15 MB
 PAIRED_BLOCKS = 2_000  # blocks of a variogram, whose pairs the driver looks through
 
 
@@ -511,14 +525,16 @@ def variogram(stations: DataFrame, bins: int = 15, rows_per_block: int = 4000) -
         a, b = (pdf[pdf["_blk"] == k] for k in key)
         out = np.zeros((bins, 2))
         y, w = b[["lat", "lon"]].to_numpy(float), b["value"].to_numpy(float)
-        for at in range(0, len(a), 500):
-            x = a[["lat", "lon"]].to_numpy(float)[at:at + 500]
-            d = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-            g = (a["value"].to_numpy(float)[at:at + 500, None] - w[None, :]) ** 2
-            use = np.arange(at, at + len(x))[:, None] < np.arange(len(b))[None, :] if key[0] == key[1] else np.ones(d.shape, bool)
+        step = max(1, PAIRS_AT_ONCE // max(1, len(b)))
+        for at in range(0, len(a), step):
+            x, v = a[["lat", "lon"]].to_numpy(float)[at:at + step], a["value"].to_numpy(float)[at:at + step]
+            d = np.sqrt((x[:, :1] - y[:, 0]) ** 2 + (x[:, 1:] - y[:, 1]) ** 2)
             place = np.searchsorted(edges, d, "left") - 1
-            use &= (place >= 0) & (place < bins)
-            out += np.stack([np.bincount(place[use], minlength=bins), np.bincount(place[use], g[use], minlength=bins)], axis=1)
+            use = (place >= 0) & (place < bins)
+            if key[0] == key[1]:
+                use &= np.arange(at, at + len(x))[:, None] < np.arange(len(b))
+            place, g = place[use], ((v[:, None] - w) ** 2)[use]
+            out += np.stack([np.bincount(place, minlength=bins), np.bincount(place, g, minlength=bins)], axis=1)
         return pd.DataFrame({"bin": np.arange(bins), "pairs": out[:, 0].astype(int), "sq": out[:, 1], "half": half})
 
     rows = sides.join(s, "_blk").groupBy("_bi", "_bj").applyInPandas(sums, kind)

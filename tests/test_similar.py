@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from limnos.operators import similarity as S
@@ -97,3 +98,27 @@ def test_ranking_with_filters(spark):
     assert all(r["distance_km"] is None and r["similarity_distance"] == r["score"] for r in got)
     first = {(r["donor"], r["target"], r["feature"]): (r["station"], r["own"]) for r in deltas.collect()}
     assert all(first[r["donor"], r["target"], "a"] == (10.0 * r["donor"], 10.0 * r["target"]) for r in got) and len(first) == 108
+
+
+def test_blocks_are_cut_along_what_decides_the_score(spark, monkeypatch):
+    """Places around the globe outweigh many attributes: most blocks are too far away to be met."""
+    rng = np.random.default_rng(8)
+    n, names = 2000, [f"e{i}" for i in range(8)]
+    pdf = pd.DataFrame(rng.normal(size=(n, 8)), columns=names)
+    u = rng.normal(size=(n, 3))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    pdf = pdf.assign(id=np.arange(n), lat=np.degrees(np.arcsin(u[:, 2])), lon=np.degrees(np.arctan2(u[:, 1], u[:, 0])))
+    compared, real = spark.sparkContext.accumulator(0), S.block_topk
+
+    def counted(targets, donors, k, distance, *rest, **more):
+        def count(a, b):
+            compared.add(len(a) * len(b))
+            return distance(a, b)
+        return real(targets, donors, k, count, *rest, **more)
+
+    monkeypatch.setattr(S, "block_topk", counted)
+    features = [S.Feature(c) for c in names]
+    t = S.feature_table(spark.createDataFrame(pdf), "id", features, ("lat", "lon"))
+    top = S.similar(t, t, features, 3, "combined", rows_per_block=50)
+    assert top.count() == 3 * n
+    assert compared.value < 0.35 * n * n

@@ -148,7 +148,8 @@ def sens_slope(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         if sum(b.num_rows for b in held):
             yield from fit(pa.Table.from_batches(held)).to_batches()
 
-    d = df.where("value IS NOT NULL").select(*k, F.col("value").cast("double").alias("value"), F.row_number().over(by(k)).alias("_rn"))
+    last = Window.partitionBy(*k).orderBy(F.col("date").asc_nulls_last())  # a row without a date comes last
+    d = df.where("value IS NOT NULL").select(*k, F.col("value").cast("double").alias("value"), F.row_number().over(last).alias("_rn"))
     schema = ", ".join([f"{c} {types[c]}" for c in k] + ["slope double, intercept double, n_samples long"])
     return d.sortWithinPartitions(*k, "_rn").mapInArrow(task, schema)
 

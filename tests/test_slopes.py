@@ -42,3 +42,9 @@ def test_series_meet_batch_ends_and_null_keys(spark):
         slope = all_pairs(v)
         np.testing.assert_allclose([out[k]["slope"], out[k]["intercept"]], [slope, np.median(v) - (len(v) - 1) / 2 * slope], atol=1e-9)
         assert out[k]["n_samples"] == len(v)
+
+
+def test_a_row_without_a_date_comes_last(spark):
+    rows = [("a", dt.date(2000, 1, 1), 1.0), ("a", dt.date(2000, 1, 2), 2.0), ("a", dt.date(2000, 1, 3), 3.0), ("a", None, 10.0)]
+    out = T.sens_slope(spark.createDataFrame(rows, "station_id string, date date, value double")).first()
+    assert out["slope"] == all_pairs(np.array([1.0, 2.0, 3.0, 10.0]))

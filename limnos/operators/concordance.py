@@ -12,13 +12,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.functions.arith import ratio
 from limnos.functions.special import norm_cdf
-from limnos.operators.series import avg_rank_expr, value_ranks, whole
-from limnos.operators.trend import kendall_score
+from limnos.operators.series import avg_rank_expr, value_ranks
+from limnos.operators.trend import _slopes_at_most
 from limnos.session import cut
 
 ROWS = 20_000
@@ -39,14 +39,24 @@ def bucketed(df: DataFrame, x: str, y: str, keys: Sequence[str], rows: int = ROW
 
 
 def _inside(rows: DataFrame, keys: Sequence[str], k: Sequence[str], first: str, second: str) -> DataFrame:
-    """(key, s): score of the pairs inside groups of ``keys`` that differ in ``first``."""
-    order = Window.partitionBy(*keys).orderBy(first, second)
-    r = rows.select(*keys, first, second).withColumn("rn", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(whole(keys))).withColumn("value", F.col(second))
-    score = kendall_score(r, keys).select(*k, F.col("s").cast("double").alias("s"))
-    # rows that tie in ``first`` are ordered by ``second`` and have counted as rising
-    both = rows.groupBy(*keys, first, second).agg(F.count(F.lit(1)).cast("double").alias("t"))
-    one = both.groupBy(*keys, first).agg(F.sum("t").alias("t"), F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("same"))
-    return score.unionByName(one.select(*k, (F.col("same") - F.col("t") * (F.col("t") - 1) / 2).alias("s")))
+    """(key, s): score of the pairs inside groups of ``keys`` that differ in ``first``; a group is a bucket and fits a task."""
+    types = dict(rows.dtypes)
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in k}, "s": [float(_concordance(pdf[first].to_numpy(), pdf[second].to_numpy()))]})
+
+    return rows.select(*keys, first, second).groupBy(*keys).applyInPandas(score, ", ".join([*[f"{c} {types[c]}" for c in k], "s double"]))
+
+
+def _concordance(x: np.ndarray, y: np.ndarray) -> int:
+    """Rising minus falling pairs among those that differ in both."""
+    x, y = (np.unique(v, return_inverse=True)[1] for v in (x, y))
+    order = np.lexsort((y, x))
+    x, v = x[order], y[order].astype(float)
+    # rows that tie in x are ordered by y and count as rising
+    inside = lambda c: int((c * (c - 1) // 2).sum())
+    same_x, same = np.bincount(x), np.diff(np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (v[1:] != v[:-1]), [True]))))
+    return _slopes_at_most(-v, 0.0) - _slopes_at_most(v, 0.0) - inside(same_x) + inside(same)
 
 
 def _across(cells: pd.DataFrame) -> float:

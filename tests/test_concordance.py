@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from limnos.operators.concordance import bucketed, kendall_tau_b, pair_dependence
@@ -67,3 +68,21 @@ def test_dependence_report(spark):
         assert (r["tau"], r["upper_tail_dep"], r["lower_tail_dep"]) == pytest.approx((tau, up, low), abs=1e-12)
         assert r["p_value"] == pytest.approx(p, rel=1e-6, abs=1e-12)
     assert got["e"]["tau"] is None and got["e"]["p_value"] is None
+
+
+def test_score_of_a_bucket_against_all_pairs():
+    from limnos.operators.concordance import _concordance
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 65, 300):
+        x, y = rng.integers(0, 9, n) / 4 - 1, rng.normal(size=n).round(1)
+        y[: n // 5] = np.inf
+        sign = lambda v: np.sign(np.subtract.outer(np.unique(v, return_inverse=True)[1], np.unique(v, return_inverse=True)[1]))
+        assert _concordance(x, y) == int((sign(x) * sign(y)).sum()) // 2
+
+
+def test_no_bucket_is_spread_over_levels(spark):
+    """Rows are counted inside their buckets; copies of them for every level of a merge would fill a task."""
+    rows = spark.createDataFrame([("k", float(i % 50), float(i * 7 % 61)) for i in range(400)], "k string, x double, y double")
+    plan = kendall_tau_b(rows, "x", "y", ["k"], rows=40, grid=8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan

@@ -46,15 +46,16 @@ def grow_trees(x: np.ndarray, tree: np.ndarray, trees: int, height: int, rng: np
     rows, or stands at ``height``; the path length of a node that ends early fills all slots below it.
     """
     feature, split, path = np.zeros((trees, (1 << height) - 1), np.int32), np.zeros((trees, (1 << height) - 1)), np.zeros((trees, 1 << height))
-    slot, live = np.zeros(len(x), np.int64), np.arange(len(x))
+    slot, live, columns = np.zeros(len(x), np.int64), np.arange(len(x)), np.ascontiguousarray(x.T)
+    places = np.min_scalar_type(trees * (2 << height))  # short numbers sort faster
     for depth in range(height + 1):
         if len(live) == 0:
             break
-        live = live[np.lexsort((slot[live], tree[live]))]
-        t, s = tree[live], slot[live]
+        live = live[np.argsort((tree[live] * np.int64(2 << height) + slot[live]).astype(places), kind="stable")]
+        t, s, own = tree[live], slot[live], columns.take(live, axis=1)
         first = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (s[1:] != s[:-1]))))
         size, t, s = np.diff(np.append(first, len(live))), t[first], s[first]
-        low, high = np.minimum.reduceat(x[live], first, axis=0), np.maximum.reduceat(x[live], first, axis=0)
+        low, high = (np.stack([least.reduceat(c, first) for c in own], axis=1) for least in (np.minimum, np.maximum))
         apart = high > low
         ends = (size < 2) | ~apart.any(1) | (depth == height)
         width = 1 << height - depth
@@ -71,6 +72,26 @@ def grow_trees(x: np.ndarray, tree: np.ndarray, trees: int, height: int, rng: np
     return feature, split, path
 
 
+def grown(h: np.ndarray, x: np.ndarray, key: Sequence, trees: int, sample: int, seed: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int, float]:
+    """Trees of one key from its rows and their hashes, with their height and the path length that scores one half."""
+    by = np.argsort(h, kind="stable")
+    h, x = h[by], x[by]
+    most = min(sample, len(x))
+    height = max(1, math.ceil(math.log2(max(most, 2))))
+    # the rows whose hash, stirred anew for every tree, is among the smallest
+    row = np.concatenate([np.sort(np.argpartition(_stirred(h, j), most - 1)[:most]) for j in range(trees)])
+    rng = np.random.default_rng([seed, zlib.crc32(repr([str(v) for v in key]).encode())])
+    return grow_trees(x[row], np.repeat(np.arange(trees), most), trees, height, rng), height, float(usual_path(most))
+
+
+def _hashed(rows: DataFrame, names: Sequence[str], keys: Sequence[str], order: str, seed: int, carry: Sequence[str] = ()) -> DataFrame:
+    return rows.select(*keys, *carry, F.xxhash64(*keys, order, F.lit(seed)).alias("h"), F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
+
+
+def _arrays(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(t.column("h")).view(np.uint64), np.asarray(t.column("x").combine_chunks().flatten()).reshape(t.num_rows, width)
+
+
 def forests(features: DataFrame, names: Sequence[str], trees: int = TREES, sample: int = SAMPLE, seed: int = 42, keys: Sequence[str] = KEYS, order: str = "date") -> DataFrame:
     """One row per key: ``forest`` (array of trees), ``height`` and ``usual``, the path length that scores one half.
 
@@ -78,22 +99,13 @@ def forests(features: DataFrame, names: Sequence[str], trees: int = TREES, sampl
     """
     k = list(keys)
     types = dict(features.dtypes)
-    d = features.select(*k, F.xxhash64(*k, order, F.lit(seed)).alias("h"), F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
+    d = _hashed(features, names, k, order, seed)
     kind = pa.list_(pa.struct([("feature", pa.list_(pa.int32())), ("split", pa.list_(pa.float64())), ("path", pa.list_(pa.float64()))]))
 
     def grow(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
-        t = block.combine_chunks()
-        h = np.asarray(t.column("h")).view(np.uint64)
-        by = np.argsort(h, kind="stable")
-        h, x = h[by], np.asarray(t.column("x").combine_chunks().flatten()).reshape(t.num_rows, len(names))[by]
-        most = min(sample, len(x))
-        height = max(1, math.ceil(math.log2(max(most, 2))))
-        # the rows whose hash, stirred anew for every tree, is among the smallest
-        row = np.concatenate([np.sort(np.argpartition(_stirred(h, j), most - 1)[:most]) for j in range(trees)])
-        rng = np.random.default_rng([seed, zlib.crc32(repr([str(v.as_py()) for v in key]).encode())])
-        grown = grow_trees(x[row], np.repeat(np.arange(trees), most), trees, height, rng)
-        forest = [{"feature": f, "split": s, "path": p} for f, s, p in zip(*[g.tolist() for g in grown])]
-        columns = [*[pa.array([v.as_py()], v.type) for v in key], pa.array([height], pa.int32()), pa.array([float(usual_path(most))]), pa.array([forest], kind)]
+        trained, height, usual = grown(*_arrays(block.combine_chunks(), len(names)), [v.as_py() for v in key], trees, sample, seed)
+        forest = [{"feature": f, "split": s, "path": p} for f, s, p in zip(*[g.tolist() for g in trained])]
+        columns = [*[pa.array([v.as_py()], v.type) for v in key], pa.array([height], pa.int32()), pa.array([usual]), pa.array([forest], kind)]
         return pa.Table.from_arrays(columns, names=[*k, "height", "usual", "forest"])
 
     schema = ", ".join([*[f"{c} {types[c]}" for c in k], "height int, usual double, forest array<struct<feature: array<int>, split: array<double>, path: array<double>>>"])
@@ -127,6 +139,43 @@ def path_lengths(rows: DataFrame, forest: DataFrame, names: Sequence[str], carry
     return d.groupBy(*k).cogroup(forest.groupBy(*k)).applyInPandas(score, schema)
 
 
+_STEP = 1 << 18  # places (trees x rows) that walk at once
+
+
+def walk_all(feature: np.ndarray, split: np.ndarray, path: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``walk`` of all trees at once, some rows at a time; path lengths are added in the order of the trees."""
+    trees, inner = feature.shape
+    root, leaves = (np.arange(trees) * inner)[:, None], (np.arange(trees) * (inner + 1) - inner)[:, None]
+    feature, split, path, total, step = feature.ravel(), split.ravel(), path.ravel(), np.zeros(len(x)), max(1, _STEP // trees)
+    for at in range(0, len(x), step):
+        own = np.ascontiguousarray(x[at:at + step])
+        first, own = np.arange(len(own)) * own.shape[1], own.ravel()
+        slot = np.zeros((trees, len(first)), np.int64)
+        for _ in range((inner + 1).bit_length() - 1):
+            node = slot + root
+            slot = 2 * slot + 1 + (own.take(feature.take(node) + first) > split.take(node))
+        for found in path.take(slot + leaves):
+            total[at:at + step] += found
+    return total / trees
+
+
+def forest_paths(rows: DataFrame, names: Sequence[str], carry: Sequence[str], trees: int = TREES, sample: int = SAMPLE, seed: int = 42, keys: Sequence[str] = KEYS,
+                 order: str = "date") -> DataFrame:
+    """``path_lengths`` of rows over the ``forests`` that their own keys give, grown and walked in one task: a forest, larger than its key's rows, is not written."""
+    k, types = list(keys), dict(rows.dtypes)
+    kept = [*k, order, *carry]
+
+    def score(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
+        t = block.combine_chunks()
+        h, x = _arrays(t, len(names))
+        trained, _, usual = grown(h, x, [v.as_py() for v in key], trees, sample, seed)
+        found = [pa.array(walk_all(*trained, x)), pa.array(np.full(len(x), usual))]
+        return pa.Table.from_arrays([*[t.column(c) for c in kept], *found], names=[*kept, "path", "usual"])
+
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in kept], "path double, usual double"])
+    return _hashed(rows, names, k, order, seed, [order, *carry]).groupBy(*k).applyInArrow(score, schema)
+
+
 def isolation_scores(features: DataFrame, names: Sequence[str], contamination: float = 0.05, trees: int = TREES, sample: int = SAMPLE, seed: int = 42,
                      keys: Sequence[str] = KEYS) -> DataFrame:
     """Anomaly score 2 ** (-path / usual path) of every row; of each key, rows above the 1 - ``contamination`` quantile are flagged.
@@ -136,8 +185,7 @@ def isolation_scores(features: DataFrame, names: Sequence[str], contamination: f
     """
     k = list(keys)
     known = features.dropna(subset=list(names))
-    forest = cut(forests(known, names, trees, sample, seed, k))
-    paths = path_lengths(known, forest, names, ["y"], k)
+    paths = forest_paths(known, names, ["y"], trees, sample, seed, k)
     scored = cut(paths.select(*k, "date", "y", F.when(F.col("usual") > 0, F.pow(F.lit(2.0), -F.col("path") / F.col("usual"))).otherwise(0.5).alias("anomaly_score")))
     limit = exact_quantiles(scored.select(*k, F.col("anomaly_score").alias("value")), k, {"cut": 1 - contamination})
     return scored.join(limit, k).select(*k, "date", "y", "anomaly_score", (F.col("anomaly_score") > F.col("cut")).alias("is_anomaly"))

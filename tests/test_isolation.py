@@ -76,3 +76,21 @@ def test_repeatable_and_small_keys(spark):
     one = sorted(map(tuple, isolation_scores(df, NAMES, trees=5).collect()))
     assert one == sorted(map(tuple, isolation_scores(df.repartition(3), NAMES, trees=5).collect())) and len(one) == 41
     assert isolation_scores(df.limit(0), NAMES, trees=5).count() == 0
+
+
+def test_forest_of_a_key_is_walked_where_it_grows(spark):
+    """Paths as of forests that are written, trees walked all at once or one by one."""
+    from limnos.operators.isolation import forest_paths, walk, walk_all
+
+    rng = np.random.default_rng(3)
+    rows = [(k, i, float(rng.normal()), float(rng.integers(0, 5)), 1.0) for k, n in (("a", 90), ("b", 7), ("c", 1)) for i in range(n)] + [(None, i, 2.0, 2.0, 0.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "station_id string, date int, p double, q double, y double")
+    one = path_lengths(df, forests(df, ["p", "q"], 12, 32), ["p", "q"], ["y"])
+    other = forest_paths(df, ["p", "q"], ["y"], 12, 32)
+    order = lambda d: sorted(map(str, d.collect()))
+    assert other.columns == one.columns and order(other.where("station_id is not null")) == order(one.where("station_id is not null"))
+    assert other.count() == len(rows)
+    x = rng.normal(size=(70, 2))
+    f, s, p = grow_trees(np.tile(x, (5, 1)), np.repeat(np.arange(5), 70), 5, 4, rng)
+    trees = [{"feature": a, "split": b, "path": c} for a, b, c in zip(f, s, p)]
+    assert walk(trees, x).tolist() == walk_all(f, s, p, x).tolist()

@@ -9,6 +9,7 @@ folder, which keeps the plan short and lets lost executors be replaced.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,18 +106,26 @@ def members(ptr: DataFrame, outlets: DataFrame) -> DataFrame:
 def strahler(ptr: DataFrame, tables: Sequence[DataFrame]) -> DataFrame:
     """Stream order. A node has order above k exactly when it lies at or below a node with two tributaries
     of order k or more, so the loop runs over orders, not over levels, until no order has two tributaries."""
-    order = cut(ptr.select("v", F.lit(1).cast("long").alias("strahler")))
-    at_least = ptr.select("v")
-    k = 0
+    left, levels, held, k = ptr.where("v IS NOT NULL"), [], None, 1
     while True:
-        k += 1
-        joins = ptr.join(at_least, "v", "left_semi").where("j IS NOT NULL").groupBy(F.col("j").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+        joins = left.where("j IS NOT NULL").groupBy(F.col("j").alias("v")).agg(F.count(F.lit(1)).alias("c"))
         seeds = cut(joins.where("c >= 2").select("v"))
         if seeds.isEmpty():
-            return order
+            break
+        k += 1
         at_least = downstream_closure(seeds, tables)
-        order = cut(order.join(at_least.withColumn("_up", F.lit(True)), "v", "left").select(
-            "v", F.when(F.col("_up"), F.lit(k + 1)).otherwise(F.col("strahler")).cast("long").alias("strahler")))
+        levels.append(at_least.select("v", F.lit(k).cast("long").alias("_k")))
+        n = at_least.count()
+        # the next order lies within this one, which drains into itself: the rest of the network is not read again
+        if held is None or 4 * n <= held:
+            held, left = n, cut(left.join(at_least, "v", "left_semi"))
+            tables = [t for t in (cut(t.join(at_least, "v", "left_semi")) for t in tables) if not t.isEmpty()]
+        else:
+            left = left.join(at_least, "v", "left_semi")
+    if not levels:
+        return ptr.select("v", F.lit(1).cast("long").alias("strahler"))
+    top = reduce(DataFrame.unionByName, levels).groupBy("v").agg(F.max("_k").alias("_k"))
+    return cut(ptr.select("v").join(top, "v", "left").select("v", F.coalesce("_k", F.lit(1).cast("long")).alias("strahler")))
 
 
 def area_weighted(attrs: DataFrame, tables: Sequence[DataFrame], mean: Sequence[str] = (), total: Sequence[str] = (), top: Sequence[str] = (),

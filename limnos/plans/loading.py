@@ -393,16 +393,23 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def arriving(rows: DataFrame, name: str, parts: int = 3) -> DataFrame:
-    """``rows`` as a file stream that arrives in ``parts`` stretches of time, one a batch, and ends with a closing row."""
+def arriving(rows: DataFrame, name: str, parts: int = 3, rows_per_file: int = 200_000) -> DataFrame:
+    """``rows`` as a file stream that arrives in ``parts`` stretches of time, one a batch, and ends with a closing row.
+
+    Every batch has the same number of files, so that a task of the stream reads some ``rows_per_file`` rows whatever the table's size.
+    """
     spark, path = rows.sparkSession, scratch_path(rows.sparkSession, f"{name}-in")
-    lo, hi = rows.agg(F.min("ts"), F.max("ts")).first()
+    lo, hi, n = rows.agg(F.min("ts"), F.max("ts"), F.count("ts")).first()
+    files = max(1, -(-n // (parts * rows_per_file)))
     if lo is not None:
         part = F.least(F.lit(parts - 1), F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(lo))) / (F.unix_micros(F.lit(hi)) - F.unix_micros(F.lit(lo)) + 1) * parts))
         for i in range(parts):
-            rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
+            own = rows.where(part == i)
+            (own.coalesce(1) if files == 1 else own.repartition(files)).write.mode("append").parquet(path)
+            for _ in range((i + 1) * files - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
+                rows.limit(0).coalesce(1).write.mode("append").parquet(path)  # a stretch of few rows fills up its batch
     S.closing_row(rows).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def observed(spark, sf):
